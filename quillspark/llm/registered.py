@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import ann_hilbert, bpe_dp, chat_format, decontaminate, license_scan, ngram_join, token_count
+from quillspark.llm import ann_hilbert, bpe_dp, chat_format, decontaminate, license_scan, lm_mixing, ngram_join, quality_knn, token_count, toxicity
 
 
 def tokenizer_path() -> str:
@@ -60,6 +60,20 @@ def op2_ann_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_hilbert.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "id % 20 = 0", 20)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_mixing.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    return toxicity.score_toxicity(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    return quality_knn.score_quality(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_count.count_tokens(docs, tokenizer_path()).drop("text")
@@ -87,7 +101,7 @@ def op10_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_ann_hilbert, op6_token_count, op7_decontaminate, op8_ngram_join, op9_license_scan, op10_bpe_encode)
+    f.__name__: f for f in (op1_chat_format, op2_ann_hilbert, op3_lm_scoring, op4_toxicity, op5_quality, op6_token_count, op7_decontaminate, op8_ngram_join, op9_license_scan, op10_bpe_encode)
 }
 SQL: dict[str, str] = {"op1_chat_format": OP1_SQL}
 
