@@ -14,22 +14,24 @@ columns stay, and those named as a result are replaced; an empty table gives an
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm.pretokens import hashes, pieces, specials, split
-from quillspark.llm.textops import chunks, map_texts, per_segment
+from quillspark.llm.textops import chunks, map_texts, per_segment, texts_of
 
-TABLE, CACHE, LIMIT = 1 << 16, 1 << 18, 1024
+TABLE, CACHE, LIMIT = 1 << 16, 1 << 17, 1024
 
 
 def load(path: str):
-    """The library's tokenizer, without truncation and padding."""
+    """The library's tokenizer, without truncation and padding, on one thread: Spark's tasks fill the cores."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -49,7 +51,7 @@ def frequent(docs: DataFrame, text_col: str, path: str, size: int = TABLE) -> tu
         marks = [m for m, _ in specials(path)]
         total, names = {}, {}
         for b in batches:
-            texts = [t.encode() for t in b["t"].fillna("")]
+            texts = texts_of(b.column(0))
             for i, j in chunks(texts):
                 cp, s, e, _, _ = split(pieces(texts[i:j], marks)[0])
                 h, at, n = np.unique(hashes(cp, s, e), return_index=True, return_counts=True)
@@ -58,13 +60,13 @@ def frequent(docs: DataFrame, text_col: str, path: str, size: int = TABLE) -> tu
                     if x not in total:
                         names[x] = cp[s[a] : e[a]].tobytes()
                     total[x] = total.get(x, 0) + c
-            if len(total) > 8 * size:
+            if len(total) > 3 * size:
                 keep = sorted(total, key=lambda x: (-total[x], x))[:size]
                 total, names = {x: total[x] for x in keep}, {x: names[x] for x in keep}
         keep = sorted(total, key=lambda x: (-total[x], x))[:size]
-        yield pd.DataFrame({"h": np.array(keep, np.uint64).view(np.int64), "w": [names[x].decode("utf-32-le") for x in keep], "n": [total[x] for x in keep]})
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(keep, np.uint64).view(np.int64)), pa.array([names[x].decode("utf-32-le") for x in keep], pa.string()), pa.array([total[x] for x in keep], pa.int64())], names=["h", "w", "n"])
 
-    seen = docs.select(F.col(f"`{text_col}`").cast("string").alias("t")).mapInPandas(count, "h long, w string, n long")
+    seen = docs.select(F.col(f"`{text_col}`").cast("string")).mapInArrow(count, "h long, w string, n long")
     top = seen.groupBy("h").agg(F.min("w").alias("w"), F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(size).select("h", "w").toPandas()
     h = top["h"].to_numpy(np.int64).view(np.uint64)
     n = lengths(load(path), list(top["w"])) if len(top) else np.zeros(0, np.int64)
