@@ -12,7 +12,7 @@ BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
 def pattern(p: str, ignore_case: bool = False) -> str:
-    return ("(?i)" if ignore_case else "") + p.replace(r"\b", BOUNDARY)
+    return ("(?iu)" if ignore_case else "") + p.replace(r"\b", BOUNDARY)
 
 
 def has(c: Column, p: str, ignore_case: bool = True) -> Column:
