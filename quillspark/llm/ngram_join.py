@@ -4,9 +4,10 @@ A document is the set of its distinct word shingles. The inverted lists of a set
 any partner must reach, all but the size - T + 1 shortest lists are long. Every partner occurs in a short list. The
 short lists are merged by Spark's sort-merge on the shingle, which yields candidates; the long lists are never read:
 each is probed for a candidate by binary search, in the candidate's sorted set. Length and position filters come
-before the probes. "Short" means late in a fixed global order: shingles that many documents share, counted over the
-whole corpus, come last, by count. (Any fixed order gives exact results; this one keeps shared passages out of the
-lists that are read.)
+before the probes. "Short" means early in a fixed global order: shingles that many documents share, counted over the
+whole corpus, come last, by count; of the others those of rare words, counted likewise, come first. (Any fixed order
+gives exact results; this one keeps shared passages, and what texts have in common by chance, out of the lists that
+are read.)
 
 Large groups of near copies share all their lists. They are linked without all pairs: first each member of a list is
 tried against the list's least member only; what is linked then is one component. After that only pairs of a list
@@ -32,33 +33,48 @@ from quillspark.llm.components import components
 from quillspark.llm.store import written
 from quillspark.llm.textops import NONSPACE, chunks, map_texts, mix, per_segment, span_hash, texts_of, words
 
-#: Shingles whose counts are broadcast for the order (16 bytes each); ids broadcast for a semi-join at most.
-COMMON, BROADCAST_IDS = 1 << 18, 1 << 20
+#: Shingles, and words, whose counts are broadcast for the order (16 bytes each); ids broadcast for a semi-join at most.
+COMMON, COMMON_WORDS, BROADCAST_IDS = 1 << 18, 1 << 16, 1 << 20
 _MULTIPLIERS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
-def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each text's distinct shingles, sorted, and each text's first (and a last bound)."""
+def lookup(keys: np.ndarray, values: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """values of h in sorted keys; 0 where there is none."""
+    if not len(keys):
+        return np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return np.where(keys[at] == h, values[at], 0)
+
+
+def shingle_sets(texts: list[bytes], k: int, common_words: tuple[np.ndarray, np.ndarray] | None = None) -> tuple:
+    """Hashes of each text's distinct shingles, sorted, and each text's first (and a last bound).
+
+    With ``common_words`` also each shingle's commonness, the sum of the binary logarithms of its words' counts;
+    without, the hashes of all words.
+    """
     data, s, e, first = words(texts, NONSPACE)
     h = span_hash(data, s, e)
     n = np.diff(first)
-    total = len(h) - k + 1
-    acc = np.full(max(total, 0), k, np.uint64)
-    for j in range(k if total > 0 else 0):
+    total = max(len(h) - k + 1, 0)
+    acc = np.full(total, k, np.uint64)
+    grade = np.zeros(total, np.int64)
+    per_word = np.zeros(len(h), np.int64) if common_words is None else np.ceil(np.log2(lookup(*common_words, h) + 1)).astype(np.int64)
+    for j in range(k if total else 0):
         acc += h[j : j + total] * _MULTIPLIERS[j]
+        grade += per_word[j : j + total]
     owner = np.repeat(np.arange(len(texts)), n)
-    whole = owner[:total] == owner[k - 1 :] if total > 0 else np.zeros(0, bool)
-    acc, doc = mix(acc[whole]), owner[:total][whole] if total > 0 else owner[:0]
+    whole = owner[:total] == owner[k - 1 :] if total else np.zeros(0, bool)
+    acc, grade, doc = mix(acc[whole]), grade[whole], owner[:total][whole]
     short = np.flatnonzero((n > 0) & (n < k))
     if len(short):
         more = np.array([int(n[d]) + sum(int(h[first[d] + j]) * int(_MULTIPLIERS[j]) for j in range(n[d])) & (1 << 64) - 1 for d in short], np.uint64)
-        acc, doc = np.concatenate([acc, mix(more)]), np.concatenate([doc, short])
+        acc, doc, grade = np.concatenate([acc, mix(more)]), np.concatenate([doc, short]), np.concatenate([grade, np.zeros(len(short), np.int64)])
     order = np.lexsort((acc, doc))
     acc, doc = acc[order], doc[order]
     new = np.ones(len(acc), bool)
     new[1:] = (acc[1:] != acc[:-1]) | (doc[1:] != doc[:-1])
-    acc, doc = acc[new], doc[new]
-    return acc, np.searchsorted(doc, np.arange(len(texts) + 1))
+    doc = doc[new]
+    return acc[new], np.searchsorted(doc, np.arange(len(texts) + 1)), h if common_words is None else grade[order][new]
 
 
 def set_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -66,57 +82,61 @@ def set_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return per_segment(mix(h ^ np.uint64(0x5851F42D4C957F2D)), first).view(np.int64)
 
 
-def common_shingles(docs: DataFrame, text_col: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The COMMON shingles that most documents share, by hash, and their counts; counted over all documents.
+def common_counts(docs: DataFrame, text_col: str, k: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """(COMMON shingles that most documents share, COMMON_WORDS most frequent words): hashes, sorted, and counts.
 
-    A task reports those that at least two of its documents share (in stretches of 2**22 shingles)."""
+    Counted over all documents; a task reports what comes twice at least in a stretch of 2**22."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
+        held: list[list[np.ndarray]] = [[], []]
 
-        def report() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["h", "n"])
+        def report(kind: int) -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held[kind]), return_counts=True)
+            least = 2 if kind == 0 else max(2, len(h) and np.sort(n)[-min(len(n), 2 * COMMON_WORDS)])
+            h, n = h[n >= least], n[n >= least]
+            held[kind] = []
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(h.view(np.int64)), pa.array(n)], names=["kind", "h", "n"])
 
         for b in batches:
             texts = texts_of(b.column(0))
             for i, j in chunks(texts):
-                held.append(shingle_sets(texts[i:j], k)[0])
-                size += len(held[-1])
-                if size > 1 << 22:
-                    yield report()
-                    held, size = [], 0
-        if held:
-            yield report()
+                h, _, w = shingle_sets(texts[i:j], k)
+                held[0].append(h), held[1].append(w)
+                for kind in (0, 1):
+                    if sum(map(len, held[kind])) > 1 << 22:
+                        yield report(kind)
+        for kind in (0, 1):
+            if held[kind]:
+                yield report(kind)
+
+    seen = written(docs.select(F.col(f"`{text_col}`").cast("string")).mapInArrow(count, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")))
 
-    seen = docs.select(F.col(f"`{text_col}`").cast("string")).mapInArrow(count, "h long, n long")
-    top = seen.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
-    h = top["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], top["n"].to_numpy(np.int64)[order]
+    def table(kind: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        top = seen.where(F.col("kind") == kind).orderBy(F.desc("n"), "h").limit(size).toPandas()
+        h = top["h"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(h)
+        return h[order], top["n"].to_numpy(np.int64)[order]
+
+    return table(0, COMMON), table(1, COMMON_WORDS)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
     """id, node (a 64-bit key of the set), set size n, and the short lists' shingles in the global order."""
-    table = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col, k))
+    table = docs.sparkSession.sparkContext.broadcast(common_counts(docs, text_col, k))
 
     def make():
-        common, counts = table.value
+        shingle_counts, word_counts = table.value
 
         def run(texts: list[bytes]) -> list:
             cols: list[list] = [[], []]
             lists: list[np.ndarray] = []
             for i, j in chunks(texts):
-                h, first = shingle_sets(texts[i:j], k)
+                h, first, grade = shingle_sets(texts[i:j], k, word_counts)
                 n = np.diff(first)
                 cols[0].append(set_keys(h, first))
                 cols[1].append(n)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-                    c = np.where(common[at] == h, counts[at], 0)
-                    doc = np.repeat(np.arange(j - i), n)
-                    h = h[np.lexsort((c, doc))]  # stable: by hash where counts are equal
+                grade += lookup(*shingle_counts, h) << 12  # words' grades stay below: 64 words of at most 2**63
+                h = h[np.lexsort((grade, np.repeat(np.arange(j - i), n)))]  # stable: by hash where grades are equal
                 signed = h.view(np.int64)
                 need = -(-n * num // den)
                 lists += [signed[a : a + m] for a, m in zip(first[:-1].tolist(), np.where(n > 0, n - need + 1, 0).tolist(), strict=True)]
@@ -138,7 +158,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, k: int, ids: DataFrame)
         def run(texts: list[bytes]) -> list:
             nodes, out = [], []
             for i, j in chunks(texts):
-                h, first = shingle_sets(texts[i:j], k)
+                h, first, _ = shingle_sets(texts[i:j], k)
                 nodes.append(set_keys(h, first))
                 out += [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             return [np.concatenate(nodes), out]
@@ -174,7 +194,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = written(live.groupBy("node", "n").agg(F.min("id").alias("rep"), F.min_by("short", "id").alias("short")))
     posts = nodes.select("node", "rep", "n", F.posexplode("short").alias("i", "h"))
     lead = posts.groupBy("h").agg(F.min(F.struct("rep", "node", "i", "n")).alias("l"), F.count("*").alias("size")).where("size > 1")
-    lead = lead.select("h", F.col("l.node").alias("lead"), F.col("l.i").alias("li"), F.col("l.n").alias("ln"))
+    lead = lead.select("h", F.col("l.node").alias("lead"), F.col("l.rep").alias("lead_rep"), F.col("l.i").alias("li"), F.col("l.n").alias("ln"))
     lists = written(posts.join(lead.hint("merge"), "h"))
 
     def passes(i: str, n: str, j: str, m: str) -> str:
@@ -182,22 +202,23 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         bound = f"least({i}, {j}) + least({n} - {i}, {m} - {j})"
         return f"({den} * least({n}, {m}) >= {num} * greatest({n}, {m}) AND {den + num} * ({bound}) >= {num} * ({n} + {m}))"
 
-    star = written(lists.where("node != lead").where(passes("i", "n", "li", "ln")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
-    sets = written(sets_of(docs, id_col, text_col, k, lists.select(F.col("rep").alias("id")).distinct()))
+    star = lists.where("node != lead").where(passes("i", "n", "li", "ln"))
+    star = written(star.select(F.col("lead").alias("a"), F.col("node").alias("b"), F.col("lead_rep").alias("ia"), F.col("rep").alias("ib")).distinct())
+
+    def ids_of(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("ia", "ib")).alias("id")).distinct()
+
+    sets = written(sets_of(docs, id_col, text_col, k, ids_of(star)))
     linked = components(probe(star, sets, num, den))
     named = lists.join(linked.select("node", "component").hint("merge"), "node", "left").withColumn("c", F.coalesce("component", "node"))
     heads = named.where("node = lead").select("h", F.col("c").alias("lc"))
-    named = written(named.join(heads.hint("merge"), "h").select("h", "node", "n", "i", "c", "lc", "lead"))
-    x = named.where("c != lc").select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("c").alias("cb"))
-    y = named.where("node != lead").select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("c").alias("ca"))
-    rest = x.join(y.hint("merge"), "h").where("ca != cb").where(passes("ia", "na", "ib", "nb"))
-    swap = F.col("a") < F.col("b")
-    rest = written(
-        rest.select(
-            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("ca")).otherwise(F.col("cb")).alias("ca"), F.when(swap, F.col("cb")).otherwise(F.col("ca")).alias("cb")
-        ).distinct()
-    )
-    more = probe(rest, sets, num, den).select(F.col("u").alias("a"), F.col("v").alias("b")).join(rest.hint("merge"), ["a", "b"])
+    named = written(named.join(heads.hint("merge"), "h").select("h", "node", "rep", "n", "i", "c", "lc", "lead"))
+    x = named.where("c != lc").select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("pb"), F.col("c").alias("cb"), F.col("rep").alias("ib"))
+    y = named.where("node != lead").select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("pa"), F.col("c").alias("ca"), F.col("rep").alias("ia"))
+    rest = x.join(y.hint("merge"), "h").where("ca != cb").where(passes("pa", "na", "pb", "nb"))
+    rest = written(rest.select("a", "b", "ca", "cb", "ia", "ib").distinct())
+    sets = written(sets_of(docs, id_col, text_col, k, ids_of(rest)))
+    more = probe(rest.select("a", "b").distinct(), sets, num, den).select(F.col("u").alias("a"), F.col("v").alias("b")).join(rest.hint("merge"), ["a", "b"])
     merged = components(more.select(F.col("ca").alias("u"), F.col("cb").alias("v"))).select(F.col("node").alias("c"), F.col("component").alias("final"))
     # root of each node: of what its component was merged into, else its component, else itself
     roots = nodes.select("node", "n", "rep").join(linked.hint("merge"), "node", "left").withColumn("c", F.coalesce("component", "node"))
