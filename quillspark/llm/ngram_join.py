@@ -27,10 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from quillspark.llm.components import components
-from quillspark.llm.store import written
+from quillspark.llm.store import most_frequent, written
 from quillspark.llm.textops import NONSPACE, chunks, map_texts, mix, per_segment, span_hash, texts_of, words
 
 #: Shingles, and words, whose counts are broadcast for the order (16 bytes each); ids broadcast for a semi-join at most.
@@ -112,7 +113,7 @@ def common_counts(docs: DataFrame, text_col: str, k: int) -> tuple[tuple[np.ndar
     seen = written(docs.select(F.col(f"`{text_col}`").cast("string")).mapInArrow(count, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")))
 
     def table(kind: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-        top = seen.where(F.col("kind") == kind).orderBy(F.desc("n"), "h").limit(size).toPandas()
+        top = most_frequent(seen.where(F.col("kind") == kind), "n", size)[0].toPandas()
         h = top["h"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(h)
         return h[order], top["n"].to_numpy(np.int64)[order]
@@ -192,31 +193,34 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sig = written(signatures(docs, id_col, text_col, k, num, den))
     live = sig.where("id IS NOT NULL AND n > 0")
     nodes = written(live.groupBy("node", "n").agg(F.min("id").alias("rep"), F.min_by("short", "id").alias("short")))
-    posts = nodes.select("node", "rep", "n", F.posexplode("short").alias("i", "h"))
-    lead = posts.groupBy("h").agg(F.min(F.struct("rep", "node", "i", "n")).alias("l"), F.count("*").alias("size")).where("size > 1")
-    lead = lead.select("h", F.col("l.node").alias("lead"), F.col("l.rep").alias("lead_rep"), F.col("l.i").alias("li"), F.col("l.n").alias("ln"))
-    lists = written(posts.join(lead.hint("merge"), "h"))
+    posts = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("short").alias("i", "h"))
+    # one exchange and sort by shingle: each list's least member, and lists of one member go
+    by_list, first = W.partitionBy("h"), W.partitionBy("h").orderBy("node")
+    lead = F.first(F.struct("node", "i", "n")).over(first)
+    lists = posts.withColumn("l", lead).withColumn("size", F.count("*").over(by_list)).where("size > 1")
+    lists = written(lists.select("h", "node", "n", "i", F.col("l.node").alias("lead"), F.col("l.i").alias("li"), F.col("l.n").alias("ln")))
 
     def passes(i: str, n: str, j: str, m: str) -> str:
-        """Length, and position: what can be shared before, at and after places i and j."""
-        bound = f"least({i}, {j}) + least({n} - {i}, {m} - {j})"
-        return f"({den} * least({n}, {m}) >= {num} * greatest({n}, {m}) AND {den + num} * ({bound}) >= {num} * ({n} + {m}))"
+        """Length, and position: from the first shared shingle on, at places i and j, n - i and m - j can be shared.
 
-    star = lists.where("node != lead").where(passes("i", "n", "li", "ln"))
-    star = written(star.select(F.col("lead").alias("a"), F.col("node").alias("b"), F.col("lead_rep").alias("ia"), F.col("rep").alias("ib")).distinct())
+        A later shared shingle may fail where the pair would link, but then its first one passes, in another list."""
+        return f"({den} * least({n}, {m}) >= {num} * greatest({n}, {m}) AND {den + num} * least({n} - {i}, {m} - {j}) >= {num} * ({n} + {m}))"
+
+    star = written(lists.where("node != lead").where(passes("i", "n", "li", "ln")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
 
     def ids_of(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.explode(F.array("ia", "ib")).alias("id")).distinct()
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        return nodes.select("node", F.col("rep").alias("id")).join(ends.hint("merge"), "node", "left_semi").select("id").distinct()
 
     sets = written(sets_of(docs, id_col, text_col, k, ids_of(star)))
     linked = components(probe(star, sets, num, den))
     named = lists.join(linked.select("node", "component").hint("merge"), "node", "left").withColumn("c", F.coalesce("component", "node"))
     heads = named.where("node = lead").select("h", F.col("c").alias("lc"))
-    named = written(named.join(heads.hint("merge"), "h").select("h", "node", "rep", "n", "i", "c", "lc", "lead"))
-    x = named.where("c != lc").select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("pb"), F.col("c").alias("cb"), F.col("rep").alias("ib"))
-    y = named.where("node != lead").select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("pa"), F.col("c").alias("ca"), F.col("rep").alias("ia"))
+    named = written(named.join(heads.hint("merge"), "h").where("c != lc OR node != lead").select("h", "node", "n", "i", "c", "lc", "lead"))
+    x = named.where("c != lc").select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("pb"), F.col("c").alias("cb"))
+    y = named.where("node != lead").select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("pa"), F.col("c").alias("ca"))
     rest = x.join(y.hint("merge"), "h").where("ca != cb").where(passes("pa", "na", "pb", "nb"))
-    rest = written(rest.select("a", "b", "ca", "cb", "ia", "ib").distinct())
+    rest = written(rest.select("a", "b", "ca", "cb").distinct())
     sets = written(sets_of(docs, id_col, text_col, k, ids_of(rest)))
     more = probe(rest.select("a", "b").distinct(), sets, num, den).select(F.col("u").alias("a"), F.col("v").alias("b")).join(rest.hint("merge"), ["a", "b"])
     merged = components(more.select(F.col("ca").alias("u"), F.col("cb").alias("v"))).select(F.col("node").alias("c"), F.col("component").alias("final"))
