@@ -31,7 +31,7 @@ def pivot_codes(df: DataFrame, text: str, catalogue: Catalogue | None = None) ->
 
 
 def section_refs(c: Column) -> Column:
-    bare = F.filter(find_all(c, r"\b(\d+\.\d+(?:\.\d+)*)\b", 1), lambda x: F.substring_index(x, ".", 1).cast("int") < 100)
+    bare = F.filter(find_all(c, r"\b(\d+\.\d+(?:\.\d+)*)\b", 1), lambda x: F.coalesce(F.substring_index(x, ".", 1).try_cast("int"), F.lit(100)) < 100)
     return F.array_distinct(F.array_union(find_all(c, cat.SECTION, 1), F.when(has(c, cat.SECTION_CONTEXT), bare).otherwise(F.array().cast("array<string>"))))
 
 

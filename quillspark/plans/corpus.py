@@ -249,3 +249,48 @@ def x13_claim_property(spark, d):
 @query(rf"""WITH t AS (SELECT page_id, {TAGS} AS t FROM pages) SELECT page_id, length(t)::INT AS chars, len(regexp_extract_all(t, '\d+'))::INT AS numbers FROM t""")
 def s2_page_texts(spark, d):
     return T(spark, d, "pages").select("page_id", strip_tags(F.col("html")).alias("t")).select("page_id", F.length("t").alias("chars"), count_of(F.col("t"), r"\d+").alias("numbers"))
+
+
+@query(r"""WITH e AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), x AS (SELECT doc_id, list_concat(regexp_extract_all(t, '\b(?:section|clause|para(?:graph)?|subsection)\s*(\d+(?:\.\d+)+)', 1, 'i'),
+ CASE WHEN regexp_matches(t, '\b(?:scope|about|says?|describes?|covers?|regarding|refers?\s+to|meaning\s+of|details?\s+of)\b', 'i') THEN list_filter(regexp_extract_all(t, '\b(\d+\.\d+(?:\.\d+)*)\b', 1), lambda v: coalesce(try_cast(split_part(v, '.', 1) AS INT), 100) < 100) ELSE [] END) AS r FROM e)
+SELECT doc_id, list_sort(list_distinct(r)) AS refs FROM x WHERE len(r) > 0""")
+def x2_section_refs(spark, d):
+    return T(spark, d, "documents").select("doc_id", F.array_sort(X.section_refs(F.coalesce("text", F.lit("")))).alias("refs")).where(F.size("refs") > 0)
+
+
+@query("""WITH q AS (SELECT conv_id, turn, 'A' || (700 + conv_id % 12) AS code FROM conversations), i AS (SELECT 'A' || (700 + doc_id % 9) AS code, list_sort(list(DISTINCT doc_id)) AS docs FROM documents GROUP BY 1) SELECT conv_id, turn, docs AS documents FROM q LEFT JOIN i USING (code)""")
+def x6_resolve_documents(spark, d):
+    docs = T(spark, d, "documents").select("doc_id", F.concat(F.lit("A"), (F.col("doc_id") % 9 + 700).cast("string")).alias("name"))
+    q = T(spark, d, "conversations").select("conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("k"), F.concat(F.lit("yield per A"), (F.col("conv_id") % 12 + 700).cast("string")).alias("t"))
+    return X.resolve_documents(q, "t", "k", X.code_index(docs, "doc_id", X.filename_codes(F.col("name")))).select("conv_id", "turn", "documents")
+
+
+@query(r"""WITH u AS (SELECT doc_id, upper(coalesce(text, '')) AS t FROM documents) SELECT doc_id, coalesce(nullif(regexp_extract(t, '(A\d{3,4})(?:[^M\d]|$)', 1), ''), nullif(regexp_extract(t, '(?:API|SPEC)[\s-]+(?:SPEC\s+)?(\d{1,2}[A-Z]{1,4})', 1), ''), nullif(regexp_extract(t, '(\d{1,2}(?:CT|CRA|[A-Z]))', 1), '')) AS code FROM u""")
+def x7_spec_code(spark, d):
+    return T(spark, d, "documents").select("doc_id", X.spec_code(F.col("text")).alias("code"))
+
+
+@query(r"""SELECT DISTINCT doc_id, 'short' AS code_type, lower(unnest(regexp_extract_all(coalesce(text, ''), '\bth[a-z]{2}\b', 0, 'i'))) AS code FROM documents UNION ALL SELECT DISTINCT doc_id, 'number', unnest(regexp_extract_all(coalesce(text, ''), '\b\d{2,3}\b')) FROM documents""")
+def x12_entities(spark, d):
+    return X.extract_codes(T(spark, d, "documents"), "text", ["doc_id"], {"short": [(r"\bth[a-z]{2}\b", 0)], "number": [(r"\b\d{2,3}\b", 0)]}, upper=False)
+
+
+@query("""SELECT p_partkey AS standard, p_brand AS grade, 'size' AS property, p_size::VARCHAR AS value, p_size::DOUBLE AS low, p_size::DOUBLE AS high FROM part UNION ALL SELECT p_partkey, p_brand, 'band', p_size || '-' || (p_size + 5), p_size::DOUBLE, (p_size + 5)::DOUBLE FROM part""")
+def s7_spec_facts(spark, d):
+    size = F.col("p_size").cast("string")
+    props = F.create_map(F.lit("size"), size, F.lit("band"), F.concat(size, F.lit("-"), (F.col("p_size") + 5).cast("string")))
+    return S.spec_facts(T(spark, d, "part").select(F.col("p_partkey").alias("standard"), F.to_json(F.create_map("p_brand", props)).alias("grades")))
+
+
+@query()
+def d3_attach_footnotes(spark, d):
+    docs = T(spark, d, "documents").select("doc_id", "text", F.lit(1).alias("page"))
+    blocks = D.classify_blocks(D.paragraphs(docs, "text", ["doc_id", "page"], r"\n"), "doc_id", "page", ["tion the"])
+    return D.attach_footnotes(blocks, "doc_id", "page").groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.count_if("has_footnotes").alias("with_footnotes"))
+
+
+@query(r"""WITH f AS (SELECT page_id, url, length(coalesce(html, '')) AS n FROM pages) SELECT page_id, CASE WHEN trim(coalesce(url, '')) = '' THEN 'no name' WHEN page_id % 5 = 0 THEN 'content type' WHEN n > 3000 THEN 'too large' WHEN page_id % 3 = 0 THEN 'not a pdf' END AS reason,
+ CASE WHEN trim(coalesce(url, '')) <> '' AND page_id % 5 > 0 AND n <= 3000 AND page_id % 3 > 0 THEN '1000-' || regexp_replace(url, '[^a-zA-Z0-9.-]', '_', 'g') END AS storage_name FROM f""")
+def s5_ingest_gate(spark, d):
+    f = T(spark, d, "pages").select("page_id", F.col("url").alias("name"), F.length(F.coalesce("html", F.lit(""))).alias("length"), F.when(F.col("page_id") % 5 == 0, "text/html").otherwise("application/pdf").alias("content_type"), F.concat(F.when(F.col("page_id") % 3 == 0, "<html").otherwise("%PDF-"), "html").cast("binary").alias("content"), F.timestamp_seconds(F.lit(1)).alias("at"))
+    return S.ingest_gate(f, 3000).select("page_id", "reason", "storage_name")
