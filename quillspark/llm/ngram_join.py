@@ -3,8 +3,8 @@
 A document is the set of its distinct word shingles. The inverted lists of a set are divided: with T the overlap that
 any partner must reach, all but the size - T + 1 shortest lists are long. Every partner occurs in a short list. The
 short lists are merged by Spark's sort-merge on the shingle, which yields candidates; the long lists are never read:
-each is probed for a candidate by binary search, in the candidate's sorted set. Length and position filters come
-before the probes. "Short" means early in a fixed global order: shingles that many documents share, counted over the
+each is probed for a candidate by binary search, in the candidate's sorted set. Length and position filters, and sketches of the sets,
+come before the probes. "Short" means early in a fixed global order: shingles that many documents share, counted over the
 whole corpus, come last, by count; of the others those of rare words, counted likewise, come first. (Any fixed order
 gives exact results; this one keeps shared passages, and what texts have in common by chance, out of the lists that
 are read.)
@@ -36,6 +36,8 @@ from quillspark.llm.textops import NONSPACE, chunks, map_texts, mix, per_segment
 
 #: Shingles, and words, whose counts are broadcast for the order (16 bytes each); ids broadcast for a semi-join at most.
 COMMON, COMMON_WORDS, BROADCAST_IDS = 1 << 18, 1 << 16, 1 << 20
+#: Bits of a set's parity sketch, in longs of 64.
+SKETCH = [f"b{i}" for i in range(4)]
 _MULTIPLIERS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -83,6 +85,17 @@ def set_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return per_segment(mix(h ^ np.uint64(0x5851F42D4C957F2D)), first).view(np.int64)
 
 
+def sketches(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A row of SKETCH longs for each set: bit i is the parity of its shingles that fall on i.
+
+    Each shingle that only one of two sets has turns one bit, so their sketches differ in no more bits than the sets in
+    shingles: pairs with more different bits can't reach the overlap."""
+    m, bits = len(first) - 1, 64 * len(SKETCH)
+    doc = np.repeat(np.arange(m), np.diff(first))
+    odd = np.bincount(doc * bits + (h >> np.uint64(40)).astype(np.int64) % bits, minlength=m * bits).reshape(m, bits) & 1
+    return np.packbits(odd.astype(bool), axis=1).view(np.int64)
+
+
 def common_counts(docs: DataFrame, text_col: str, k: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """(COMMON shingles that most documents share, COMMON_WORDS most frequent words): hashes, sorted, and counts.
 
@@ -122,30 +135,31 @@ def common_counts(docs: DataFrame, text_col: str, k: int) -> tuple[tuple[np.ndar
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """id, node (a 64-bit key of the set), set size n, and the short lists' shingles in the global order."""
+    """id, node (a 64-bit key of the set), set size n, its sketch, and the short lists' shingles in the global order."""
     table = docs.sparkSession.sparkContext.broadcast(common_counts(docs, text_col, k))
 
     def make():
         shingle_counts, word_counts = table.value
 
         def run(texts: list[bytes]) -> list:
-            cols: list[list] = [[], []]
+            cols: list[list] = [[], [], []]
             lists: list[np.ndarray] = []
             for i, j in chunks(texts):
                 h, first, grade = shingle_sets(texts[i:j], k, word_counts)
                 n = np.diff(first)
                 cols[0].append(set_keys(h, first))
                 cols[1].append(n)
+                cols[2].append(sketches(h, first))
                 grade += lookup(*shingle_counts, h) << 12  # words' grades stay below: 64 words of at most 2**63
                 h = h[np.lexsort((grade, np.repeat(np.arange(j - i), n)))]  # stable: by hash where grades are equal
                 signed = h.view(np.int64)
                 need = -(-n * num // den)
                 lists += [signed[a : a + m] for a, m in zip(first[:-1].tolist(), np.where(n > 0, n - need + 1, 0).tolist(), strict=True)]
-            return [*(np.concatenate(c) for c in cols), pa.array(lists, pa.list_(pa.int64()))]
+            return [*map(np.concatenate, cols[:2]), *np.ascontiguousarray(np.concatenate(cols[2]).T), pa.array(lists, pa.list_(pa.int64()))]
 
         return run
 
-    fields = [T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("short", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), *(T.StructField(b, T.LongType()) for b in SKETCH), T.StructField("short", T.ArrayType(T.LongType()))]
     ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return map_texts(ids, "text", make, fields, keep=["id"])
 
@@ -192,7 +206,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """id, n_shingles and component_id of every row: documents link when den * overlap >= num * union."""
     sig = written(signatures(docs, id_col, text_col, k, num, den))
     live = sig.where("id IS NOT NULL AND n > 0")
-    nodes = written(live.groupBy("node", "n").agg(F.min("id").alias("rep"), F.min_by("short", "id").alias("short")))
+    nodes = written(live.groupBy("node", "n").agg(F.min("id").alias("rep"), *[F.min(b).alias(b) for b in SKETCH], F.min_by("short", "id").alias("short")))
     posts = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("short").alias("i", "h"))
     # one exchange and sort by shingle: each list's least member, and lists of one member go
     by_list, first = W.partitionBy("h"), W.partitionBy("h").orderBy("node")
@@ -206,7 +220,17 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         A later shared shingle may fail where the pair would link, but then its first one passes, in another list."""
         return f"({den} * least({n}, {m}) >= {num} * greatest({n}, {m}) AND {den + num} * least({n} - {i}, {m} - {j}) >= {num} * ({n} + {m}))"
 
-    star = written(lists.where("node != lead").where(passes("i", "n", "li", "ln")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
+    def alike(x: str, n: str, y: str, m: str):
+        """Sketches differ in no more bits than sets with the overlap can."""
+        bits = sum((F.bit_count(F.col(x + b).bitwiseXOR(F.col(y + b))) for b in SKETCH), F.lit(0))
+        return (den + num) * bits <= (den - num) * (F.col(n) + F.col(m))
+
+    def sketch_of(prefix: str, key: str) -> DataFrame:
+        return nodes.select(F.col("node").alias(key), *[F.col(b).alias(prefix + b) for b in SKETCH])
+
+    star = lists.where("node != lead").where(passes("i", "n", "li", "ln")).select(F.col("lead").alias("a"), F.col("node").alias("b"), "ln", "n").distinct()
+    star = star.join(sketch_of("x", "a").hint("merge"), "a").join(sketch_of("y", "b").hint("merge"), "b").where(alike("x", "ln", "y", "n"))
+    star = written(star.select("a", "b"))
 
     def ids_of(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -216,10 +240,12 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linked = components(probe(star, sets, num, den))
     named = lists.join(linked.select("node", "component").hint("merge"), "node", "left").withColumn("c", F.coalesce("component", "node"))
     heads = named.where("node = lead").select("h", F.col("c").alias("lc"))
-    named = written(named.join(heads.hint("merge"), "h").where("c != lc OR node != lead").select("h", "node", "n", "i", "c", "lc", "lead"))
-    x = named.where("c != lc").select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("pb"), F.col("c").alias("cb"))
-    y = named.where("node != lead").select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("pa"), F.col("c").alias("ca"))
-    rest = x.join(y.hint("merge"), "h").where("ca != cb").where(passes("pa", "na", "pb", "nb"))
+    # lists in which all are of the least member's component have nothing to try
+    mixed = named.join(heads.hint("merge"), "h").withColumn("out", F.max((F.col("c") != F.col("lc")).cast("int")).over(by_list)).where("out = 1 AND node != lead")
+    named = written(mixed.join(sketch_of("", "node").hint("merge"), "node").select("h", "node", "n", "i", "c", "lc", *SKETCH))
+    x = named.where("c != lc").select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("pb"), F.col("c").alias("cb"), *[F.col(k).alias("x" + k) for k in SKETCH])
+    y = named.select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("pa"), F.col("c").alias("ca"), *[F.col(k).alias("y" + k) for k in SKETCH])
+    rest = x.join(y.hint("merge"), "h").where("ca != cb").where(passes("pa", "na", "pb", "nb")).where(alike("x", "nb", "y", "na"))
     rest = written(rest.select("a", "b", "ca", "cb").distinct())
     sets = written(sets_of(docs, id_col, text_col, k, ids_of(rest)))
     more = probe(rest.select("a", "b").distinct(), sets, num, den).select(F.col("u").alias("a"), F.col("v").alias("b")).join(rest.hint("merge"), ["a", "b"])
