@@ -10,8 +10,9 @@ gives exact results; this one keeps shared passages, and what texts have in comm
 are read.)
 
 Large groups of near copies share all their lists. They are linked without all pairs: first each member of a list is
-tried against the list's least member only; what is linked then is one component. After that only pairs of a list
-that lie in different components, one of them not that of the least member, are still tried. So no link between
+tried against two leaders of the list only, one of them the member with the least of its own; what is linked then is one
+component. After that only pairs of a list that lie in different components, one of them not that of the first leader,
+are still tried. So no link between
 different components is lost, and a group of n near copies takes about n probes.
 
 Equal sets are one node from the start. Defined results: a text with fewer words than a shingle is one shingle of all
@@ -208,11 +209,13 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     live = sig.where("id IS NOT NULL AND n > 0")
     nodes = written(live.groupBy("node", "n").agg(F.min("id").alias("rep"), *[F.min(b).alias(b) for b in SKETCH], F.min_by("short", "id").alias("short")))
     posts = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("short").alias("i", "h"))
-    # one exchange and sort by shingle: each list's least member, and lists of one member go
-    by_list, first = W.partitionBy("h"), W.partitionBy("h").orderBy("node")
-    lead = F.first(F.struct("node", "i", "n")).over(first)
-    lists = posts.withColumn("l", lead).withColumn("size", F.count("*").over(by_list)).where("size > 1")
-    lists = written(lists.select("h", "node", "n", "i", F.col("l.node").alias("lead"), F.col("l.i").alias("li"), F.col("l.n").alias("ln")))
+    # one exchange by shingle: each list's leaders, and lists of one member go. The first leader is the member with the
+    # least before the shingle, so with the least that is its own: the middle of a group of near copies.
+    by_list = W.partitionBy("h")
+    lists = posts.withColumn("l", F.min(F.struct("i", "node", "n")).over(by_list)).withColumn("s", F.min(F.struct("node", "i", "n")).over(by_list))
+    lists = lists.withColumn("size", F.count("*").over(by_list)).where("size > 1")
+    names = [F.col(f"{a}.{b}").alias(c) for a, cs in (("l", ("lead", "li", "ln")), ("s", ("second", "si", "sn"))) for b, c in zip(("node", "i", "n"), cs, strict=True)]
+    lists = written(lists.select("h", "node", "n", "i", *names))
 
     def passes(i: str, n: str, j: str, m: str) -> str:
         """Length, and position: from the first shared shingle on, at places i and j, n - i and m - j can be shared.
@@ -228,7 +231,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def sketch_of(prefix: str, key: str) -> DataFrame:
         return nodes.select(F.col("node").alias(key), *[F.col(b).alias(prefix + b) for b in SKETCH])
 
-    star = lists.where("node != lead").where(passes("i", "n", "li", "ln")).select(F.col("lead").alias("a"), F.col("node").alias("b"), "ln", "n").distinct()
+    star = lists.where("node != lead").where(passes("i", "n", "li", "ln")).select(F.col("lead").alias("a"), F.col("node").alias("b"), "ln", "n")
+    star = star.unionByName(lists.where("node != second").where(passes("i", "n", "si", "sn")).select(F.col("second").alias("a"), F.col("node").alias("b"), F.col("sn").alias("ln"), "n")).distinct()
     star = star.join(sketch_of("x", "a").hint("merge"), "a").join(sketch_of("y", "b").hint("merge"), "b").where(alike("x", "ln", "y", "n"))
     star = written(star.select("a", "b"))
 
