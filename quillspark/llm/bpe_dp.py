@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from quillspark.llm.pretokens import hashes, pieces, specials, split
 from quillspark.llm.textops import chunks, map_texts, per_segment
 
-CACHE, LONG = 1 << 19, 1 << 30
+CACHE, PAIRS, LONG = 1 << 18, 1 << 17, 1 << 30
 
 
 def byte_chars() -> list[str]:
@@ -116,7 +116,7 @@ class PrefixEncoder:
                 elif (p := last[end - n]) >= 0:
                     ok = fits.get(p << 20 | t)
                     if ok is None:
-                        if len(fits) > CACHE:
+                        if len(fits) > PAIRS:
                             fits.clear()
                         ok = fits[p << 20 | t] = self.crossing(p, t) == LONG
                     if ok:

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 CHUNK = 1 << 20
+#: Rows of an Arrow batch: a worker holds the texts of one batch at a time.
+BATCH_ROWS = 1024
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -99,10 +101,12 @@ def map_texts(
     """Keep columns of ``df`` and add ``fields``, computed from whole texts batch by batch.
 
     ``make`` runs once in each task and gives the function that turns the texts of a batch into one list or
-    array for each field. A kept column with the name of a new field is replaced, as withColumn does.
+    array for each field. A kept column with the name of a new field is replaced, as withColumn does. The session's Arrow
+    batches are set to BATCH_ROWS rows, as whole texts are long.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     new = {f.name.lower() for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
     schema = T.StructType([f for c in kept for f in df.select(f"`{c}`").schema.fields] + fields)
