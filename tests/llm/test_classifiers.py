@@ -42,3 +42,11 @@ def test_odd_rows(spark, score):
     assert len(got) == docs.count() and {len({r.score for r in got if r.text == t}) for t in set(texts)} == {1}
     assert score(docs.limit(0), labels).count() == 0
     assert len({r.score for r in score(docs, labels.limit(0)).collect()}) == 1
+
+
+def test_shouts_of_whole_text():
+    calm = b"a calm line of words, "
+    late = calm * 4000 + b"NO TEA AT NOON " * 6000
+    assert len(calm * 4000) > 1 << 16
+    shouts = toxicity.occurrences([late, calm * 4000])[2][:, toxicity.PATTERNS.index("shouts")]
+    assert shouts.tolist() == [True, False]
