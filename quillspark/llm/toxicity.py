@@ -30,6 +30,10 @@ from quillspark.llm.store import written
 from quillspark.llm.textops import ALNUM, chunks, map_texts, mix, span_hash, texts_of, words
 
 SAMPLE, TERMS, GROUPS, TOXIC_AT = 16384, 512, 8, 0.5
+#: Toxic documents of the sample that a term of the lexicon stands in at least, at every size.
+LEAST = 4
+#: Rows of a block of the label model.
+BLOCK = 2048
 STEMS = (4, 5, 6)
 PATTERNS = ("exclaims", "shouts", "numbers", "long", "asks")
 
@@ -87,9 +91,8 @@ def mine(rows: DataFrame, n_pos: int, n_neg: int) -> np.ndarray:
             yield pa.RecordBatch.from_pandas(g.reset_index(), preserve_index=False)
 
     t = rows.mapInArrow(count, "h long, pos long, neg long").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    least = 2 if n_pos < 200 else 4
     odds = F.log((F.col("pos") + 0.5) / n_pos) - F.log((F.col("neg") + 0.5) / n_neg)
-    sure = (F.col("pos") >= least) & (F.col("pos") >= 4 * F.col("neg")) & (odds > 3)
+    sure = (F.col("pos") >= LEAST) & (F.col("pos") >= 4 * F.col("neg")) & (odds > 3)
     top = t.where(sure).orderBy(F.desc(F.col("pos") * odds), "h").limit(TERMS).select("h").toPandas()
     return np.sort(top["h"].to_numpy(np.int64).view(np.uint64))
 
@@ -97,7 +100,7 @@ def mine(rows: DataFrame, n_pos: int, n_neg: int) -> np.ndarray:
 def votes_of(x: np.ndarray, n_terms: int, y: np.ndarray) -> np.ndarray:
     """Voters by columns: 1 toxic, -1 clean, 0 silent."""
     terms, patterns = x[:, :n_terms], x[:, n_terms:]
-    cols = [terms[:, k].astype(np.int8) for k in range(min(n_terms, 96))]
+    cols = [terms[:, k].astype(np.int8) for k in range(n_terms)]
     for g in range(min(GROUPS, n_terms)):
         cols.append(np.where(terms[:, g::GROUPS].any(axis=1), 1, -1).astype(np.int8))
     cols.append(np.where(terms.any(axis=1), 1, -1).astype(np.int8))
@@ -115,18 +118,27 @@ def label_model(votes: np.ndarray, y: np.ndarray, rounds: int = 8) -> np.ndarray
     count by 1 / (1 + the sum of their excess correlations with others within the classes). As dependent voters make
     it too sure all the same, its log odds are at last scaled and shifted to fit the labels.
     """
-    one_hot = np.stack([votes == v for v in (-1, 0, 1)]).astype(float)  # value, row, voter
+    n, n_voters = votes.shape
+    blocks = [slice(i, i + BLOCK) for i in range(0, n, BLOCK)]
     share = float(np.clip(y.mean(), 0.01, 0.99))
     q = np.clip(y.astype(float), 0.02, 0.98)
     for _ in range(rounds):
-        rates = [(np.einsum("vrj,r->vj", one_hot, w) + 0.5) / (w.sum() + 1.5) for w in (1 - q, q)]
-        centred = votes - (q[:, None] * (rates[1][2] - rates[1][0]) + (1 - q)[:, None] * (rates[0][2] - rates[0][0]))
-        sd = centred.std(axis=0) + 1e-9
-        corr = (centred / sd).T @ (centred / sd) / len(votes)
+        w = np.stack([1 - q, q])
+        # class, value, voter
+        seen = sum(np.stack([w[:, b] @ (votes[b] == v) for v in (-1, 0, 1)], axis=1) for b in blocks)
+        rates = (seen + 0.5) / (w.sum(axis=1) + 1.5)[:, None, None]
+        mean = rates[:, 2] - rates[:, 0]
+        total, products = np.zeros(n_voters), np.zeros((n_voters, n_voters))
+        for b in blocks:
+            centred = votes[b] - w[:, b].T @ mean
+            total += centred.sum(axis=0)
+            products += centred.T @ centred
+        sd = np.sqrt(np.maximum(np.diag(products) / n - (total / n) ** 2, 0)) + 1e-9
+        corr = products / n / np.outer(sd, sd)
         np.fill_diagonal(corr, 0)
         count = 1 / (1 + np.where(corr > 0.1, corr, 0).sum(axis=0))
-        lift = np.log(rates[1]) - np.log(rates[0])
-        z = np.log(share / (1 - share)) + np.einsum("vrj,vj->r", one_hot, lift * count)
+        lift = (np.log(rates[1]) - np.log(rates[0])) * count
+        z = np.log(share / (1 - share)) + np.concatenate([sum((votes[b] == v) @ lift[k] for k, v in enumerate((-1, 0, 1))) for b in blocks])
         q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     z = np.clip(z, -30, 30)
     w = logistic(z[:, None] / 10, y.astype(float), ridge=0.01)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 import pytest
 
 from quillspark.llm import quality_knn, registered, toxicity
@@ -50,3 +51,22 @@ def test_shouts_of_whole_text():
     assert len(calm * 4000) > 1 << 16
     shouts = toxicity.occurrences([late, calm * 4000])[2][:, toxicity.PATTERNS.index("shouts")]
     assert shouts.tolist() == [True, False]
+
+
+def test_every_term_votes():
+    y = np.arange(600) % 2
+    x = np.zeros((600, 200 + len(toxicity.PATTERNS)), bool)
+    x[np.arange(200) * 2 + 1, np.arange(200)] = True  # each term in one toxic document of its own
+    votes = toxicity.votes_of(x, 200, y)
+    for k in range(200):
+        assert (votes == x[:, k, None]).all(axis=0).any()
+    assert ((q := toxicity.label_model(votes, y)) >= 0).all() and (q <= 1).all()
+
+
+def test_one_mining_rule(spark):
+    def lexicon(n_pos):
+        texts = [("rareword thrice" if i < 3 else "oftenword" if i < 8 else f"bad{i}", 1) for i in range(n_pos)] + [(f"good{i}", 0) for i in range(9 * n_pos)]
+        terms = toxicity.mine(spark.createDataFrame(texts, "text string, y int"), n_pos, 9 * n_pos)
+        return [bool(toxicity.presence([t], terms)[0, : len(terms)].any()) for t in (b"thrice", b"oftenword")]
+
+    assert lexicon(100) == lexicon(300) == [False, True]
