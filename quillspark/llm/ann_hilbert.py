@@ -10,9 +10,13 @@ vectors are spread along any curve: so recall stays the same at every size, and
 With clustered vectors more ranges and fewer curves serve as well; both are parameters. A range holds at least four
 times the vectors asked for, so that a table of few vectors has fewer ranges and a query meets enough of them.
 
+Nearness is by inner product, so a vector of the index gets one more dimension, by which all are as long as the
+longest (in a query it is 0), and lengths count in the order. If few vectors are far longer than all others, the
+others fall into few cells: then more of them are looked at, up to all. A key shared by many vectors is one range.
+
 Equal vectors are indexed once: of their ids only the k + 1 smallest can ever be among the k nearest of a query, and
 those are kept with the vector, so no group of copies meets in one task. Large ranges are cut into blocks by hash
-on both sides; every query block meets every vector block of its ranges.
+on both sides, by the rows and queries that meet there; every query block meets every vector block of its ranges.
 
 Defined results: vectors that are null, zero, empty or hold null or non-finite values take no part, nor do vectors
 whose length is not the commonest; null ids take no part; of repeated ids with one vector one counts, with several
@@ -59,12 +63,17 @@ def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_keys(vectors: np.ndarray, curve: int, dims: int = DIMS, bits: int = BITS, seed: int = 17) -> np.ndarray:
-    """Hilbert keys of the rows on one shifted curve; projections are of unit vectors, so lengths don't matter."""
+def curve_keys(vectors: np.ndarray, curve: int, longest: float | None = None, dims: int = DIMS, bits: int = BITS, seed: int = 17) -> np.ndarray:
+    """Hilbert keys of the rows on one shifted curve. Without ``longest``, as queries: the unit vector and 0. With it,
+    as members of the index: the vector / longest and what it lacks to length 1, so that the largest inner product
+    with a query is the smallest angle."""
     rng = np.random.default_rng([seed, curve, vectors.shape[1]])
-    project, shift = rng.standard_normal((vectors.shape[1], dims)), rng.random(dims)
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    spread = unit @ project  # about standard normal in every dimension
+    project, shift, lift = rng.standard_normal((vectors.shape[1], dims)), rng.random(dims), rng.standard_normal(dims)
+    length = np.linalg.norm(vectors, axis=1, keepdims=True)
+    spread = vectors / length @ project  # about standard normal in every dimension
+    if longest is not None:
+        share = np.minimum(np.nan_to_num(length / longest, nan=1.0), 1)
+        spread = spread * share + np.sqrt(1 - share**2) * lift
     cells = np.clip((spread + 4 + 2 * shift) / 10 * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
     return hilbert_key(cells, bits)
 
@@ -97,25 +106,37 @@ def nearest(
     asked = rows.where(is_query).groupBy("vec").agg(F.lit(True).alias("asked"))
     index = written(groups.join(asked.hint("merge"), "vec", "left").select(F.col("ids")[0].alias("rep"), "vec", "ids", F.coalesce("asked", F.lit(False)).alias("asked")))
 
+    squares = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
+    n, longest = index.agg(F.count("*"), F.sqrt(F.max(squares))).first()
+
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                x = np.stack(b["vec"].to_numpy())
-                yield pd.concat([pd.DataFrame({"rep": b["rep"], "curve": c, "key": curve_keys(x, c)}) for c in range(curves)])
-
-    keyed = written(index.select("rep", "vec").mapInPandas(keys, "rep long, curve int, key long"))
-    # equal cuts of each curve; of values that fill several ranges the later ones stay empty
-    ranges = max(1, min(ranges, index.count() // (4 * (k + 1))))
-    cuts = keyed.groupBy("curve").agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)] or [1.0], 10_000).alias("cuts"), F.count("*").alias("n"))
-    placed = keyed.join(F.broadcast(cuts), "curve").select(
-        "rep", "curve", F.size(F.filter("cuts", lambda c: c < F.col("key"))).alias("range"), F.ceil(F.col("n") / ranges / BLOCK_ROWS).cast("int").alias("blocks")
-    )
-    placed = index.join(placed.hint("merge"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    near = F.explode(F.sequence(F.greatest(F.col("range") - neighbours, F.lit(0)), F.least(F.col("range") + neighbours, F.lit(ranges - 1))))
-    ask = placed.where("asked").select("curve", near.alias("range"), "rep", "vec", "blocks", F.col("block").alias("qblock"))
-    ask = ask.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    held = placed.select(F.col("curve").alias("c"), F.col("range").alias("r"), F.col("block").alias("b"), F.col("rep").alias("member"), F.col("vec").alias("x"))
-    pairs = ask.groupBy("curve", "range", "block").cogroup(held.groupBy("c", "r", "b"))
+                x, asked = np.stack(b["vec"].to_numpy()), b["asked"].to_numpy(bool)
+                for c in range(curves):
+                    at = pd.Series(pd.NA, index=b.index, dtype="Int64")
+                    at[asked] = curve_keys(x[asked], c)
+                    yield pd.DataFrame({"rep": b["rep"], "curve": c, "key": curve_keys(x, c, longest), "at": at})
+
+    keyed = written(index.select("rep", "vec", "asked").mapInPandas(keys, "rep long, curve int, key long, at long"))
+    # equal cuts of each curve; a value that fills several ranges is one cut, so that neighbouring numbers hold rows
+    ranges = max(1, min(ranges, n // (4 * (k + 1))))
+    cuts = keyed.groupBy("curve").agg(F.array_distinct(F.percentile_approx("key", [i / ranges for i in range(1, ranges)] or [1.0], 10_000)).alias("cuts"))
+    place = lambda key: F.size(F.filter("cuts", lambda c: c < F.col(key)))
+    placed = keyed.join(F.broadcast(cuts), "curve").select("rep", "curve", place("key").alias("range"), F.when(F.col("at").isNotNull(), place("at")).alias("spot"), F.size("cuts").alias("last"))
+    near = F.sequence(F.greatest(F.col("spot") - neighbours, F.lit(0)), F.least(F.col("spot") + neighbours, F.col("last")))
+    asks, members = placed.where("spot IS NOT NULL").select("rep", "curve", F.explode(near).alias("range")), placed.select("rep", "curve", "range")
+    # how many rows and queries meet in each range, by which both are cut into blocks
+    blocks_of = lambda rows: F.ceil(F.col(rows) / BLOCK_ROWS).cast("int")
+    met = members.groupBy("curve", "range").agg(F.count("*").alias("held")).join(F.broadcast(asks.groupBy("curve", "range").agg(F.count("*").alias("asks"))), ["curve", "range"])
+    met = F.broadcast(met.select("curve", "range", blocks_of("held").alias("blocks"), blocks_of("asks").alias("qblocks")))
+    part = lambda of: F.pmod(F.xxhash64("rep"), of).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    ask = asks.join(met, ["curve", "range"]).select("rep", "curve", "range", part("qblocks").alias("qblock"), each("blocks").alias("block"))
+    ask = index.select("rep", "vec").join(ask.hint("merge"), "rep")
+    held = members.join(met, ["curve", "range"]).select("rep", F.col("curve").alias("c"), F.col("range").alias("r"), part("blocks").alias("b"), each("qblocks").alias("qb"))
+    held = index.select("rep", "vec").join(held.hint("merge"), "rep").select("c", "r", "b", "qb", F.col("rep").alias("member"), F.col("vec").alias("x"))
+    pairs = ask.groupBy("curve", "range", "block", "qblock").cogroup(held.groupBy("c", "r", "b", "qb"))
 
     def best(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         out = []

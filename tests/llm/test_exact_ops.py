@@ -6,6 +6,7 @@ from __future__ import annotations
 import random
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,3 +201,43 @@ def test_nearest_recall(spark, sf_dir):
         assert [h[0] for h in sorted(hs)] == list(range(1, len(hs) + 1))
         scores = [h[2] for h in sorted(hs)]
         assert scores == sorted(scores, reverse=True)
+
+
+def recall_of(spark, rows, ids, is_query):
+    """Share of the 20 true neighbours that the operator finds."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, rows, strict=True)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann_hilbert.nearest(df, "vec_id", "embedding", is_query, 20).select("query_id", "vec_id").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    scores = rows @ rows.T
+    np.fill_diagonal(scores, -np.inf)
+    return np.mean([len(got.get(ids[q], set()) & {ids[x] for x in np.argsort(-scores[q])[:20]}) / 20 for q in range(len(ids)) if ids[q] % 20 == 0])
+
+
+@pytest.mark.parametrize("kind", ["given", "lengths", "cluster"])
+def test_nearest_recall_full_ranges(spark, kind):
+    t = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("embedding IS NOT NULL").limit(2400).toPandas()
+    r, rows = np.random.default_rng(5), np.stack(t["embedding"].to_numpy()).astype(float)
+    if len(rows) < 2100:  # enough for 24 ranges
+        rows = np.vstack([rows, r.permuted(rows, axis=1)])[:2400]
+    if kind == "lengths":
+        rows *= np.exp(r.standard_normal(len(rows)))[:, None]
+    if kind == "cluster":  # a third lies so close together that it has one key on most curves
+        rows[::3] = rows[0] + 1e-4 * r.standard_normal((len(rows[::3]), rows.shape[1]))
+    assert len(rows) // 84 >= ann_hilbert.RANGES
+    got = recall_of(spark, rows, list(range(len(rows))), "id % 20 = 0")
+    assert got >= 0.9
+
+
+def test_nearest_beside_hot_key(spark):
+    r = np.random.default_rng(2)
+    # 900 vectors of one key, 1,488 far off, and 12 around the cluster, whose neighbours are in it
+    angle = np.concatenate([1e-6 * r.standard_normal(900), r.uniform(1.8, 4.4, 1488), r.uniform(-0.6, 0.6, 12)])
+    rows = np.stack([np.cos(angle), np.sin(angle)], axis=1)
+    keys = ann_hilbert.curve_keys(rows, 0)
+    assert (keys[:900] == keys[0]).all()
+    above = [q for q in range(2388, 2400) if keys[q] > keys[0] and ((keys > keys[0]) & (keys <= keys[q])).sum() < 2400 // ann_hilbert.RANGES]
+    assert above
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {x.query_id for x in ann_hilbert.nearest(df, "vec_id", "embedding", "id >= 2388", 20, curves=1).where("vec_id < 900").collect()}
+    assert got >= set(above)
