@@ -1,6 +1,8 @@
 """License scans: an exact containment join of text blocks with license templates.
 
-A block is a line of a text; a template is a license notice. Both are sets of words. A block matches a template when
+A template is a license notice. A block is a line of a text, a paragraph (lines with words, without one between them
+that has none), or a window of as many words as a template has, and a quarter more at the usual threshold, at any place
+of the whole text: notices are mostly wrapped, in comments too. Both are sets of words. A block matches a template when
 it holds at least ``threshold`` of the template's distinct words. Template words are put in order of their frequency
 over the whole corpus, rare ones first. A match then needs
 
@@ -8,7 +10,9 @@ over the whole corpus, rare ones first. A match then needs
 * length: at least ``need`` words in the block;
 * position: from the first shared prefix word on, enough words of the template's order to reach ``need``;
 
-and what passes is checked by exact intersection. Texts are read once for the word counts and once for the join;
+and what passes is checked by exact intersection. In windows, a running count of distinct template words takes the place
+of the last two. Of windows that match one after the other the best counts; a window counts beside lines it meets, and
+a paragraph beside lines and windows in it, only if it holds more of the template than each of them. Texts are read once for the word counts and once for the join;
 templates and the counts of their words are broadcast, bounded by ``MAX_TEMPLATE_WORDS``.
 
 Beside this, the places of fixed phrases (words consecutive) are counted; they alone make the base labels.
@@ -76,11 +80,46 @@ def word_counts(docs: DataFrame, text_col: str, wanted: list[bytes]) -> dict[int
     return {r["h"] & (1 << 64) - 1: r["n"] for r in rows}
 
 
+def windows(h: np.ndarray, cand: np.ndarray, first: np.ndarray, order: np.ndarray, need: int, span: int) -> list[tuple[int, int, int, int]]:
+    """The windows of ``span`` words, within one text, with at least ``need`` distinct words of ``order``: start, end,
+    overlap and first such word; of an unbroken run of windows the first of the best. ``cand`` has the places of all
+    rare words: windows without one of this template's are not looked at."""
+    c = cand[np.isin(h[cand], order[: len(order) - need + 1])]
+    if not len(c):
+        return []
+    step = np.zeros(len(h) + 1, np.int32)
+    np.add.at(step, np.maximum(c - span + 1, 0), 1)
+    np.add.at(step, np.minimum(c + span, len(h)), -1)
+    w, known = np.flatnonzero(np.cumsum(step[:-1])), np.sort(order)
+    at = np.minimum(np.searchsorted(known, h[w]), len(known) - 1)
+    hit = known[at] == h[w]
+    w, at = w[hit], at[hit]
+    # a word counts in the windows that begin after its last place before, at most span - 1 words back
+    by_word = np.argsort(at, kind="stable")
+    same = at[by_word[1:]] == at[by_word[:-1]]
+    before = np.full(len(w), -1)
+    before[by_word[1:][same]] = w[by_word[:-1][same]]
+    begin = np.maximum(np.maximum(before, w - span) + 1, first[np.searchsorted(first, w, side="right") - 1])
+    points, which = np.unique(np.concatenate([begin, w + 1]), return_inverse=True)
+    count = np.cumsum(np.bincount(which[: len(w)], minlength=len(points)) - np.bincount(which[len(w) :], minlength=len(points)))
+    good = np.flatnonzero(count >= max(need, 1))
+    text = np.searchsorted(first, points[good], side="right")
+    out = []
+    for run in np.split(good, np.flatnonzero((np.diff(good) > 1) | (np.diff(text) > 0)) + 1):
+        if len(run):
+            best = run[np.argmax(count[run])]
+            a = int(points[best])
+            end = int(first[np.searchsorted(first, a, side="right")])
+            out.append((a, min(a + span, end), int(count[best]), int(w[np.searchsorted(w, a)])))
+    return out
+
+
 def scan_licenses(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, threshold: float = THRESHOLD
 ) -> DataFrame:
     """id, n_words, n_base, first_word, last_word, base_labels array, matches array<struct<label, block, overlap,
-    size>> (block: number of the line from 0), labels array and score, the best containment of any template (1 where
+    size>> (block: number from 0 of the line, or of the line in which the window's first template word or the paragraph
+    stands), labels array and score, the best containment of any template (1 where
     a phrase stands)."""
     templates, phrases = TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases
     sets = {k: sorted(set(word_list(t))) for k, t in templates.items()}
@@ -93,12 +132,25 @@ def scan_licenses(
         h = hash_words(ws)
         order = h[np.lexsort((h, np.array([counts.get(int(x), 0) for x in h])))]
         plans.append((label, order, math.ceil(threshold * len(order) - 1e-9)))
+    spans = {label: math.ceil(len(word_list(templates[label])) / max(threshold, 0.1) - 1e-9) for label in sets}
     spoken = [(b" ".join(word_list(p)), len(word_list(p)), label) for p, label in phrases.items()]
 
     def make() -> Callable:
         rare = np.unique(np.concatenate([o[: len(o) - need + 1] for _, o, need in plans])) if plans else np.zeros(0, np.uint64)
         least = min((need for _, _, need in plans), default=0)
 
+        def contained(block: np.ndarray) -> list[tuple[str, int]]:
+            """Label and overlap of each template that a block's words match."""
+            out = []
+            for label, order, need in plans:
+                if len(block) < need:
+                    continue
+                inside = np.isin(order, block)
+                lead = np.flatnonzero(inside[: len(order) - need + 1])
+                if len(lead) and len(order) - lead[0] >= need and (got := int(inside.sum())) >= need:
+                    out.append((label, got))
+            return out
+
         def chunk(texts: list[bytes], out: list[list]) -> None:
             data, s, e, first = words(texts, ALNUM)
             h = span_hash(data, s, e)
@@ -130,20 +182,32 @@ def scan_licenses(
                     ends_line[last] = True
                     lines = np.flatnonzero(ends_line)
                     line_of = np.searchsorted(lines, s)
+                    found: list[tuple[str, int, int, int, int]] = []  # label, words from, to, overlap, word of the block's line
                     for line in np.unique(line_of[cand]).tolist():
                         a, b = np.searchsorted(line_of, [line, line + 1])
                         if b - a < least:
                             continue
-                        block = np.unique(h[a:b])
-                        k = int(np.searchsorted(first, a, side="right")) - 1
-                        for label, order, need in plans:
-                            if len(block) < need:
-                                continue
-                            inside = np.isin(order, block)
-                            lead = np.flatnonzero(inside[: len(order) - need + 1])
-                            if len(lead) and len(order) - lead[0] >= need and (got := int(inside.sum())) >= need:
-                                number = line - int(np.searchsorted(lines, edge[k]))
-                                hits.setdefault(k, []).append({"label": label, "block": number, "overlap": got, "size": len(order)})
+                        found += [(label, a, b, got, a) for label, got in contained(np.unique(h[a:b]))]
+                    for label, order, need in plans:
+                        for a, b, got, word in windows(h, cand, first, order, need, spans[label]):
+                            if got > max((x[3] for x in found if x[0] == label and x[1] < b and a < x[2]), default=0):
+                                found.append((label, a, b, got, word))
+                    apart = np.zeros(len(h), np.int64)
+                    apart[1:] = np.diff(line_of) > 1
+                    apart[first[first < len(h)]] = 1
+                    para_of = np.cumsum(apart)
+                    for para in np.unique(para_of[cand]).tolist():
+                        a, b = np.searchsorted(para_of, [para, para + 1]).tolist()
+                        if b - a < least or line_of[a] == line_of[b - 1]:
+                            continue
+                        for label, got in contained(np.unique(h[a:b])):
+                            if got > max((x[3] for x in found if x[0] == label and x[1] < b and a < x[2]), default=0):
+                                found.append((label, a, b, got, a))
+                    sizes = {label: len(order) for label, order, _ in plans}
+                    for label, _, _, got, word in found:
+                        k = int(np.searchsorted(first, word, side="right")) - 1
+                        number = int(line_of[word]) - int(np.searchsorted(lines, edge[k]))
+                        hits.setdefault(k, []).append({"label": label, "block": number, "overlap": got, "size": sizes[label]})
             for k in range(len(texts)):
                 at_k, m = base.get(k, []), hits.get(k, [])
                 places = sorted(w - int(first[k]) for w, _ in at_k)

@@ -179,6 +179,30 @@ def test_chat_parts(spark):
     assert r.expanded_tokens == 1049 and [s.loss for s in r.spans] == [False, True]
 
 
+def test_license_wrapped(spark):
+    def wrapped(label, lead="", blank=None):
+        ws = license_scan.TEMPLATES[label].split()
+        lines = [lead + " ".join(ws[i : i + 7]) for i in range(0, len(ws), 7)]
+        return "\n".join(lines if blank is None else [*lines[:blank], "", *lines[blank:]])
+
+    labels = sorted(license_scan.TEMPLATES)
+    texts = [f"first line\n\nmore {chr(120 + n)}\n{wrapped(label, lead, blank)}\n\nlast" for label in labels for n, (lead, blank) in enumerate([("", None), (" * ", None), ("# ", 1)])]
+    far = "\n".join(w + " filler" * 60 for w in license_scan.TEMPLATES["mpl"].split())
+    texts += ["\n\n".join(far.split("\n")), far, wrapped("mit") + "\n\n" + "plain words " * 40 + "\n\n" + wrapped("mit")]
+    # half of a notice at the end of a text, the other half in the next text
+    ws = license_scan.TEMPLATES["bsd"].split()
+    texts += [" ".join(ws[:11]), " ".join(ws[11:])]
+    got = [r for r in license_scan.scan_licenses(docs_of(spark, texts).coalesce(1)).orderBy("doc_id").collect()]
+    for i, label in enumerate(labels):
+        for r in got[3 * i : 3 * i + 3]:
+            assert label in r.labels and r.score == 1.0
+            assert [(m.block, m.overlap == m.size) for m in r.matches if m.label == label] == [(3, True)]
+    scattered, paragraph, twice, *halves = got[3 * len(labels) :]
+    assert not scattered.labels and list(paragraph.labels) == ["mpl"]
+    assert len(twice.matches) == 2 and {m.label for m in twice.matches} == {"mit"}
+    assert not any(r.labels for r in halves)
+
+
 def test_nearest_small(spark):
     inf = float("inf")
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, None), (40, [0.0, 0.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, []), (8, [-1.0, 0.0]), (None, [1.0, 1.0]), (1, [1.0, 0.0])]
