@@ -23,6 +23,7 @@ def spark():
         .config("spark.driver.memory", "6g")
         .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-"))
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-"))
+        .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="spark-"))
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
