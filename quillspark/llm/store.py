@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset, as in tests, a new temporary one."""
+    """The folder named in spark.checkpoint.dir, which driver and executors share."""
     if d := spark.conf.get("spark.checkpoint.dir", None):
         return d
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return _own[app]
+    if spark.sparkContext.master.startswith("local"):  # one process: the warehouse folder is everyone's
+        return spark.conf.get("spark.sql.warehouse.dir")
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def written(df: DataFrame, *partition_by: str) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm import quality_knn, registered, toxicity
 
@@ -70,3 +71,24 @@ def test_one_mining_rule(spark):
         return [bool(toxicity.presence([t], terms)[0, : len(terms)].any()) for t in (b"thrice", b"oftenword")]
 
     assert lexicon(100) == lexicon(300) == [False, True]
+
+
+def test_votes_by_brute_force(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    space = quality_knn.fit(docs, labels, "quality")
+    got = {r.doc_id: r.score for r in registered.op5_quality(spark, sf_dir).collect()}
+    sample = [[int(x) for x in v] for v in space.vectors]
+    for r in docs.collect():
+        v = [int(x) for x in space.vectors_of(quality_knn.features([r.text.encode()]))[0]]
+        cos = [sum(a * b for a, b in zip(v, x, strict=True)) for x in sample]
+        best = sorted(range(len(cos)), key=lambda i: (-cos[i], i))[: quality_knn.NEIGHBOURS]
+        w = [max(cos[i] / quality_knn.GRID**2, 0) ** quality_knn.SHARPNESS for i in best]
+        want = sum(x * space.labels[i] for x, i in zip(w, best, strict=True)) / sum(w) if sum(w) else space.labels.mean()
+        assert abs(got[r.doc_id] - want) < 1e-9
+
+
+def test_equal_texts_over_partitions(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    copies = docs.limit(40).selectExpr("doc_id", "text").crossJoin(spark.range(20)).withColumn("doc_id", F.col("doc_id") + 1000 * F.col("id") + 1000).repartition(7, "id")
+    more = quality_knn.score_quality(docs.select("doc_id", "text").unionByName(copies.select("doc_id", "text")), labels)
+    assert more.groupBy("text").agg(F.countDistinct("score").alias("n")).where("n > 1").count() == 0
