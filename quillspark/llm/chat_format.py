@@ -4,16 +4,18 @@ A message is a row (conversation, turn, role, parts); a part is a struct (type,
 image, audio or document. A visitor flattens the parts in order: text is escaped, any other part becomes its
 placeholder, and its reference and expanded token count are recorded as an attachment.
 
-Template of a turn: ``<|turn|>ROLE<|text|>BODY<|end|>`` and a line feed. Control strings inside roles and texts are
-escaped by a backslash after their first character, and backslashes are doubled, so ``unescape`` gives back every
-text exactly and no control string survives in one.
+Template of a turn: ``<|turn|>ROLE<|text|>BODY<|end|>`` and a line feed. In roles and texts every "<" and "[" gets a
+backslash after it, and backslashes are doubled, so ``unescape`` gives back every text exactly. As each control string
+begins with "<" or "[" and has no backslash, none can stand in a text, nor come about where parts meet.
 
 Defined results: null text, role or parts count as empty; an unknown type counts as a document; a null unit count
 is 1; turns with the same number are ordered by role, then by rendered text; null turns come first; a null
-conversation id is a conversation of its own; an empty table gives an empty table; other columns are ignored.
+conversation id is a conversation of its own; an empty table gives an empty table; other columns are ignored; texts
+of any length are kept whole.
 
 A conversation may be long: turns are first joined in blocks of ``BLOCK`` turn numbers, spread over tasks, and only
-one row for each block meets in the last aggregation.
+one row for each block meets in the last aggregation. A conversation is one result row, so it must fit a task; so must
+the rows of one conversation with one turn number, or without, which meet in one block.
 """
 
 from __future__ import annotations
@@ -28,17 +30,14 @@ TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 PLACEHOLDERS = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>"}
 #: Expanded tokens for each unit: an image tile, a second of audio, a page.
 UNIT_TOKENS = {"image": 256, "audio": 25, "document": 512}
-#: What is escaped: our own control strings and those of common chat templates. Each begins with "<" or "[" and
-#: has neither character later on; the escape rests on that.
+#: Control strings that no text may hold once it is formatted: our own, and those of common chat templates.
 CONTROLS = (TURN, TEXT, END, *PLACEHOLDERS.values(), "<s>", "</s>", "[INST]", "[/INST]", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
-_REST = "|".join(re.escape(c[1:]) for c in CONTROLS)
-CONTROL_PATTERN = rf"([<\[])({_REST})"
 
 PARTS = "array<struct<type:string,text:string,ref:string,units:int>>"
 
 
 def escape(c: Column) -> Column:
-    return F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), CONTROL_PATTERN, r"$1\\$2")
+    return F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), r"([<\[])", r"$1\\")
 
 
 def unescape(c: Column) -> Column:

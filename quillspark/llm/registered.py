@@ -43,8 +43,7 @@ WITH m AS (
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 e AS (
-  SELECT *, length(regexp_replace(replace(role || chr(0) || text, '\', '\\'),
-    '([<\[])(\|turn\|>|\|text\|>|\|end\|>|\|image\|>|\|audio\|>|\|document\|>|s>|/s>|INST\]|/INST\]|\|im_start\|>|\|im_end\|>|\|endoftext\|>)', '\1\\\2', 'g')) - 1
+  SELECT *, length(role) + length(text) + length(regexp_replace(role || text, '[^\\<\[]', '', 'g'))
     + length('<|turn|>') + length('<|text|>') + length('<|end|>') + 1 AS chars
   FROM m)
 SELECT conv_id, count(*)::BIGINT AS n_turns,

@@ -179,6 +179,28 @@ def test_chat_parts(spark):
     assert r.expanded_tokens == 1049 and [s.loss for s in r.spans] == [False, True]
 
 
+def test_chat_forged_parts(spark):
+    """Control strings cut at random over parts read back as the given turns, and none stands in a body."""
+    r = random.Random(11)
+    pool = [*chat_format.CONTROLS, "\\", "\\\\", "<", "[", "<\\", "a", "é\n", ""]
+    turns = []
+    for c in range(60):
+        for t in range(r.randint(1, 3)):
+            text = "".join(r.choice(pool) for _ in range(r.randint(0, 8)))
+            cuts = sorted(r.randint(0, len(text)) for _ in range(r.randint(0, 6)))
+            parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+            turns.append((c, t, r.choice(["user", "assistant", "<|turn|>x"]), [("text", p, None, None) for p in parts], text))
+    df = spark.createDataFrame([x[:4] for x in turns], f"conv_id long, turn long, role string, parts {chat_format.PARTS}")
+    got = {x.conv_id: x for x in chat_format.read_back(chat_format.format_conversations(df)).collect()}
+    for c in range(60):
+        want = [(x[2], x[4]) for x in turns if x[0] == c]
+        assert [(t.role, t.text) for t in got[c].turns] == want and got[c].n_turns == len(want)
+        assert [t.under_loss for t in got[c].turns] == [x if role == "assistant" else None for role, x in want]
+        for s in got[c].formatted.split(chat_format.TURN)[1:]:
+            role, body = s.split(chat_format.TEXT)
+            assert not any(x in y for x in chat_format.CONTROLS for y in (role, body.removesuffix(chat_format.END + "\n")))
+
+
 def test_license_wrapped(spark):
     def wrapped(label, lead="", blank=None):
         ws = license_scan.TEMPLATES[label].split()
