@@ -1,15 +1,18 @@
 """Token counts by a two-tier lookup on the map side.
 
-First tier: a broadcast hash table of the corpus's most frequent pre-tokens and their token counts (``TABLE``
-entries at most, 16 bytes each). Second tier: each worker's cache of encoded misses, filled by the tokenizer library
-and emptied when it holds ``CACHE`` entries. No pre-token is shuffled: the frequent ones are found from each task's
-own ``TABLE`` most frequent, summed by hash.
+First tier: a broadcast hash table of the corpus's frequent pre-tokens and their token counts (``TABLE`` entries at
+most, 16 bytes each). Second tier: each worker's cache of encoded misses, filled by the tokenizer library and emptied
+when it holds ``CACHE`` entries. No pre-token is shuffled. To find the frequent ones every
+task reads all of its texts and yields one row, a summary of its ``SUMMARY`` most frequent; summaries are merged
+``FAN`` at a time, ``TABLE`` entries kept, until one is left, the only row that the driver gets. The table only spares
+work: what a summary leaves out is encoded as a miss, and no count depends on it.
 
 A pre-token is known by a 64-bit hash (chance of any mix-up among 10**8 kinds: about 3 in 10**4). Texts with code
 points of unsure class go to the library whole.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; rows are kept as they are, repeated ids too; extra
-columns stay, and those named as a result are replaced; an empty table gives an empty table.
+columns stay, and those named as a result are replaced; an empty table gives an empty table; very long texts are
+counted whole.
 """
 
 from __future__ import annotations
@@ -24,9 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm.pretokens import hashes, pieces, specials, split
+from quillspark.llm.store import written
 from quillspark.llm.textops import chunks, map_texts, per_segment, texts_of
 
-TABLE, CACHE, LIMIT = 1 << 16, 1 << 17, 1024
+TABLE, SUMMARY, FAN, CACHE, LIMIT = 1 << 15, 1 << 13, 32, 1 << 17, 1024
 
 
 def load(path: str):
@@ -44,32 +48,58 @@ def lengths(tokenizer, texts: list[str]) -> np.ndarray:
     return np.fromiter((len(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)), np.int64, len(texts))
 
 
+def summary(h: np.ndarray, n: np.ndarray, w: list[str], size: int) -> pa.RecordBatch:
+    """One row: the ``size`` entries of the largest counts, ties to the smaller hash."""
+    top = np.lexsort((h, -n))[:size]
+    cols = [pa.array([h[top].view(np.int64)], pa.list_(pa.int64())), pa.array([n[top]], pa.list_(pa.int64())), pa.array([[w[i] for i in top.tolist()]], pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays(cols, names=["h", "n", "w"])
+
+
+def merged(hs: list[np.ndarray], ns: list[np.ndarray], ws: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Entries with the counts of equal hashes added."""
+    h, at, back = np.unique(np.concatenate(hs), return_index=True, return_inverse=True)
+    return h, np.bincount(back, np.concatenate(ns), len(h)).astype(np.int64), [ws[i] for i in at.tolist()]
+
+
 def frequent(docs: DataFrame, text_col: str, path: str, size: int = TABLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, in order, and token counts of the corpus's most frequent pre-tokens."""
+    """Hashes, in order, and token counts of frequent pre-tokens of the whole corpus."""
 
     def count(batches):
         marks = [m for m, _ in specials(path)]
-        total, names = {}, {}
+        hs, ns, ws = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
         for b in batches:
             texts = texts_of(b.column(0))
             for i, j in chunks(texts):
                 cp, s, e, _, _ = split(pieces(texts[i:j], marks)[0])
                 h, at, n = np.unique(hashes(cp, s, e), return_index=True, return_counts=True)
-                top = np.argsort(-n, kind="stable")[:size]
-                for x, a, c in zip(h[top].tolist(), at[top].tolist(), n[top].tolist(), strict=True):
-                    if x not in total:
-                        names[x] = cp[s[a] : e[a]].tobytes()
-                    total[x] = total.get(x, 0) + c
-            if len(total) > 3 * size:
-                keep = sorted(total, key=lambda x: (-total[x], x))[:size]
-                total, names = {x: total[x] for x in keep}, {x: names[x] for x in keep}
-        keep = sorted(total, key=lambda x: (-total[x], x))[:size]
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(keep, np.uint64).view(np.int64)), pa.array([names[x].decode("utf-32-le") for x in keep], pa.string()), pa.array([total[x] for x in keep], pa.int64())], names=["h", "w", "n"])
-
-    seen = docs.select(F.col(f"`{text_col}`").cast("string")).mapInArrow(count, "h long, w string, n long")
-    top = seen.groupBy("h").agg(F.min("w").alias("w"), F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(size).select("h", "w").toPandas()
-    h = top["h"].to_numpy(np.int64).view(np.uint64)
-    n = lengths(load(path), list(top["w"])) if len(top) else np.zeros(0, np.int64)
+                top = np.argsort(-n, kind="stable")[:SUMMARY]
+                hs.append(h[top]), ns.append(n[top])
+                ws += [cp[x:y].tobytes().decode("utf-32-le", "surrogatepass") for x, y in zip(s[at[top]].tolist(), e[at[top]].tolist(), strict=True)]
+                if len(ws) > 8 * SUMMARY:
+                    h, n, w = merged(hs, ns, ws)
+                    top = np.argsort(-n, kind="stable")[: 4 * SUMMARY]
+                    hs, ns, ws = [h[top]], [n[top]], [w[i] for i in top.tolist()]
+        yield summary(*merged(hs, ns, ws), min(size, SUMMARY))
+
+    def merge(batches):
+        hs, ns, ws = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
+        for b in batches:
+            for k in range(b.num_rows):
+                hs.append(b.column("h")[k].values.to_numpy().view(np.uint64)), ns.append(b.column("n")[k].values.to_numpy())
+                ws += b.column("w")[k].as_py()
+        if len(hs) > 1:
+            yield summary(*merged(hs, ns, ws), size)
+
+    schema = "h array<long>, n array<long>, w array<string>"
+    seen = written(docs.select(F.col(f"`{text_col}`").cast("string")).mapInArrow(count, schema))
+    m = seen.count()
+    while m > 1:
+        m = -(-m // FAN)
+        seen = written(seen.repartition(m).mapInArrow(merge, schema))
+    row = seen.first()
+    if row is None or not row["h"]:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h, n = np.array(row["h"], np.int64).view(np.uint64), lengths(load(path), row["w"])
     order = np.argsort(h)
     return h[order], n[order]
 
