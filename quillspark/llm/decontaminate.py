@@ -9,17 +9,19 @@ those m bytes (the suffix hash with the prefix test of the method in one), a buc
 compared with the text byte by byte. All texts of a chunk are probed in lanes at once; a lane is a stretch of
 ``LANE`` bytes plus an overlap.
 
-The pattern tables are broadcast in parts of at most ``PART`` bytes of item text, each with a pass of its own over
-the documents' words, so what is broadcast is bounded whatever the size of the benchmark.
+Items are dealt by hash into parts of about ``PART`` bytes of text. Only one part at a time comes to the driver, is
+broadcast, and is let go after its pass over the documents; its tables are built once in each task. With several parts
+the hits of each pass are written, and joined by row, so memory is bounded whatever the size of the benchmark.
 
 Defined results: a text without words (or null) has 0 words and 0 hits and is not contaminated; null and empty items
-hold no window; items with the same id count once; rows of documents are kept, repeated ids too; extra columns stay,
+hold no window; items with the same id count once, and windows of all their texts count; very long texts are read whole; rows of documents are kept, repeated ids too; extra columns stay,
 and those named as a result are replaced; empty tables give empty or uncontaminated results.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.llm.store import written
 from quillspark.llm.textops import ALNUM, LOWER, chunks, map_texts, words
 
 WINDOW, BLOCK, LANE, PART = 13, 8, 4096, 1 << 23
@@ -142,49 +145,69 @@ def scan(texts: list[bytes], tables: list[ShiftTables]) -> Iterator[tuple[int, n
             yield int(first[k + 1] - first[k]), hit[first[k] : first[k + 1]], found.get(k, set())
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """All columns of ``docs`` with n_words, n_hit, item_ids (sorted as strings), hit_spans (word ranges, end
-    excluded) and contaminated: some word is hit, and a twentieth of all words at least."""
-    sc = docs.sparkSession.sparkContext
-    rows = items.where(F.col(f"`{item_text}`").isNotNull()).select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{item_text}`").cast("string").alias("t"))
-    parts: list = []
-    part: list[tuple[str, bytes]] = []
-    size = 0
-    for r in rows.toLocalIterator():
-        part.append((r["i"] or "", r["t"].encode()))
-        size += len(part[-1][1])
-        if size >= PART:
-            parts.append(sc.broadcast(part))
-            part, size = [], 0
-    parts.append(sc.broadcast(part))
+HITS = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("item_ids", T.ArrayType(T.StringType()))]
+
+
+def _hits(docs: DataFrame, text_col: str, part, window: int, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with n_words, hit_spans and item_ids for the items of one broadcast part."""
 
     def make() -> Callable:
-        whole = groups(item_windows(parts[0].value, window)) if len(parts) == 1 else None
+        tables = groups(item_windows(part.value, window))
 
         def run(texts: list[bytes]) -> list:
-            total: list[int] = []
-            hits: list[np.ndarray] = []
-            found: list[set[str]] = []
-            for b in parts:
-                for k, (n, hit, names) in enumerate(scan(texts, whole or groups(item_windows(b.value, window)))):
-                    if k == len(total):
-                        total.append(n), hits.append(hit), found.append(names)
-                    else:
-                        hits[k], found[k] = hits[k] | hit, found[k] | names
-            n_hit = [int(h.sum()) for h in hits]
-            spans = [np.flatnonzero(np.diff(h.astype(np.int8), prepend=0, append=0)).reshape(-1, 2).tolist() if n else [] for h, n in zip(hits, n_hit, strict=True)]
-            return [total, n_hit, [sorted(f) for f in found], spans, [n > 0 and 20 * n >= t for n, t in zip(n_hit, total, strict=True)]]
+            found = list(scan(texts, tables))
+            spans = [np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0)).reshape(-1, 2).tolist() if hit.any() else [] for _, hit, _ in found]
+            return [[n for n, _, _ in found], spans, [sorted(names) for _, _, names in found]]
 
         return run
 
-    fields = [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("n_hit", T.LongType()),
-        T.StructField("item_ids", T.ArrayType(T.StringType())),
-        T.StructField("hit_spans", T.ArrayType(T.ArrayType(T.LongType()))),
-        T.StructField("contaminated", T.BooleanType()),
-    ]
-    return map_texts(docs, text_col, make, fields)
+    return map_texts(docs, text_col, make, HITS, keep)
+
+
+def _merged(spans):
+    """Sorted spans with those that meet or overlap made one."""
+    spans = F.array_sort(spans)
+
+    def add(done, x):
+        last = F.try_element_at(done, F.lit(-1))
+        more = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.array(last[0], F.greatest(last[1], x[1]))))
+        return F.when(F.coalesce(last[1] >= x[0], F.lit(False)), more).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(spans, F.array().cast("array<array<bigint>>"), add)
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, part_bytes: int | None = None) -> DataFrame:
+    """All columns of ``docs`` with n_words, n_hit, item_ids (sorted as strings), hit_spans (word ranges, end
+    excluded) and contaminated: some word is hit, and a twentieth of all words at least."""
+    sc, part_bytes = docs.sparkSession.sparkContext, part_bytes or PART
+    rows = items.where(F.col(f"`{item_text}`").isNotNull()).select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("i"), F.col(f"`{item_text}`").cast("string").alias("t"))
+    parts = max(1, math.ceil((rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0) / part_bytes))
+
+    def broadcast(some: DataFrame):
+        return sc.broadcast([(r["i"], r["t"].encode()) for r in some.distinct().toLocalIterator()])
+
+    if parts == 1:
+        out = _hits(docs, text_col, broadcast(rows), window)
+    else:
+        names = {f.name for f in HITS} | {"n_hit", "contaminated"}
+        keyed = written(docs.drop(*names).withColumn("__row__", F.monotonically_increasing_id()) if text_col not in names else docs.withColumn("__row__", F.monotonically_increasing_id()))
+        dealt = written(rows.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(parts))), "part")
+        passes = []
+        for k in range(parts):
+            part = broadcast(dealt.where(F.col("part") == k))
+            hits = _hits(keyed, text_col, part, window, ["__row__"])
+            passes.append(written(hits if k == 0 else hits.where("size(item_ids) > 0")))  # the first has every row's words
+            part.destroy()
+        more = passes[1]
+        for p in passes[2:]:
+            more = more.unionByName(p)
+        more = more.unionByName(passes[0].where("size(item_ids) > 0")).groupBy("__row__")
+        more = more.agg(F.flatten(F.collect_list("hit_spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("names"))
+        both = passes[0].select("__row__", "n_words").join(more.hint("merge"), "__row__", "left")
+        both = both.select("__row__", "n_words", F.coalesce(_merged("spans"), F.array().cast("array<array<bigint>>")).alias("hit_spans"), F.coalesce("names", F.array().cast("array<string>")).alias("item_ids"))
+        out = keyed.join(both.hint("merge"), "__row__").drop("__row__")
+    n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, x: n + x[1] - x[0])
+    return out.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def items_digest(names: list[str]) -> str:

@@ -49,7 +49,7 @@ def contamination(doc, items, n=13):
     """items: id -> text; gives n_words, n_hit, ids, contaminated."""
     w = ALNUM.findall(low(doc))
     hit, found = set(), set()
-    for name, text in items.items():
+    for name, text in items.items() if isinstance(items, dict) else items:
         for p in windows(text, n):
             for i in range(len(w) - len(p) + 1):
                 if tuple(w[i : i + len(p)]) == p:

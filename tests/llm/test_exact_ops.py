@@ -64,13 +64,23 @@ def test_decontaminate(spark):
     assert none == 0 and decontaminate.decontaminate(docs_of(spark, texts).limit(0), bench).count() == 0
 
 
-def test_decontaminate_in_parts(spark, monkeypatch):
-    items = {i: f"alpha{i} beta gamma{i}" for i in range(9)}
-    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
-    texts = [f"x alpha{i} beta gamma{i} y alpha3 beta gamma3" for i in range(9)]
-    monkeypatch.setattr(decontaminate, "PART", 40)
-    got = {x.doc_id: x for x in decontaminate.decontaminate(docs_of(spark, texts), bench).collect()}
-    assert all((got[i].n_hit, list(got[i].item_ids)) == brute.contamination(t, items)[1:3] for i, t in enumerate(texts))
+@pytest.mark.parametrize("size", [40, 300])
+def test_decontaminate_in_parts(spark, size):
+    r = random.Random(7)
+    words = [f"w{i}" for i in range(12)]
+    items = [(i % 20, " ".join(r.choice(words) for _ in range(r.choice([1, 2, 5, 13, 20])))) for i in range(30)]  # repeated ids and windows
+    items += [(3, "w1 w2"), (4, "w1 w2"), (3, "w1 w2"), (None, "w5 w5 w5"), (5, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 60))) for _ in range(80)] + [None, "w1 W2 " * 3000]
+    docs = docs_of(spark, texts).withColumn("hit_spans", F.lit("x"))
+    docs = docs.unionByName(docs.limit(3))
+    want = {i: brute.contamination(t, [("" if k is None else k, t) for k, t in items]) for i, t in enumerate(texts)}
+    got = decontaminate.decontaminate(docs, bench, part_bytes=size).collect()
+    whole = decontaminate.decontaminate(docs, bench).collect()
+    assert len(got) == len(whole) == len(texts) + 3
+    for x in (*got, *whole):
+        assert (x.n_words, x.n_hit, list(x.item_ids), x.contaminated) == want[x.doc_id]
+    assert sorted((x.doc_id, repr(x.hit_spans)) for x in got) == sorted((x.doc_id, repr(x.hit_spans)) for x in whole)
 
 
 def near_texts(seed=1):
