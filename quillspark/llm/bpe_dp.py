@@ -9,12 +9,13 @@ Two tokens are compatible when no merge rule joins what stood at their border at
 first and the left edge of the second are taken apart, latest merge first, and each pair that stood there together
 is looked up.
 
-Encodings of kinds of pre-tokens are kept in a worker's cache, emptied at ``CACHE`` entries. Texts are cut at special
+Encodings of kinds of pre-tokens of ``LONGEST`` characters at most are kept in a worker's cache, emptied at ``CACHE``
+entries; longer ones are encoded where they stand. Texts are cut at special
 strings, which get their own ids. Texts with code points of unsure class are cut by the tokenizer library's
 pre-tokenizer; their pre-tokens are encoded the same way.
 
 Defined results: null and empty texts have no ids; rows are kept as they are; extra columns stay, and those named as a
-result are replaced; an empty table gives an empty table; unknown ids cannot be decoded and raise KeyError.
+result are replaced; an empty table gives an empty table; very long texts are encoded whole; unknown ids cannot be decoded and raise KeyError.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 from quillspark.llm.pretokens import hashes, pieces, specials, split
 from quillspark.llm.textops import chunks, map_texts, per_segment
 
-CACHE, PAIRS, LONG = 1 << 18, 1 << 17, 1 << 30
+CACHE, LONGEST, PAIRS, LONG = 1 << 18, 64, 1 << 17, 1 << 30
 
 
 def byte_chars() -> list[str]:
@@ -171,7 +172,9 @@ def _encode_batches(path: str) -> Callable[[list[bytes]], Iterable[tuple[str, by
         found = []
         for x, w in zip(kinds, where.tolist(), strict=True):
             if (got := cache.get(x)) is None:
-                got = cache[x] = entry(enc.encode(cp[s[w] : e[w]].tobytes().decode("utf-32-le", "surrogatepass")))
+                got = entry(enc.encode(cp[s[w] : e[w]].tobytes().decode("utf-32-le", "surrogatepass")))
+                if e[w] - s[w] <= LONGEST:
+                    cache[x] = got
             found.append(got)
         shown, plain = [x[0] for x in found], [x[1] for x in found]
         counts = per_segment(np.array([x[2] for x in found], np.int64)[back] if found else np.zeros(0, np.int64), at).tolist()
