@@ -3,9 +3,12 @@
 Voters: every term of a lexicon (words and word beginnings found in the labelled sample) votes toxic where it occurs;
 groups of terms vote toxic where one occurs and clean where none does; patterns (runs of exclamation marks, capitals,
 numbers, long texts) vote by the side on which they stand more often. A generative label model with the voters' rates
-under each class is fitted by expectation-maximisation; a voter correlated with others within the classes counts for
-less, by the sum of its excess correlations. Its posterior labels train a ridge-penalised logistic regression on the
-presence of terms and patterns, which scores every document.
+under each class is fitted to the votes alone by expectation-maximisation, from the majority of votes on; a voter
+correlated with others within the classes counts for less, by the sum of its excess correlations. Its posterior labels
+train a ridge-penalised logistic regression on the presence of terms and patterns, which scores every document.
+
+What gold labels are for: the source of the lexicon and of the patterns' sides, the share of class 1, and at last the
+scale and shift of the label model's log odds (two numbers), as dependent voters make it too sure all the same.
 
 Learned from: at most ``SAMPLE`` labelled documents whose crc32(id) mod 5 is not 0, chosen by hash; only texts enter a
 score. What is broadcast is bounded by ``TERMS``.
@@ -114,14 +117,15 @@ def votes_of(x: np.ndarray, n_terms: int, y: np.ndarray) -> np.ndarray:
 def label_model(votes: np.ndarray, y: np.ndarray, rounds: int = 8) -> np.ndarray:
     """Posterior probability of class 1 of each row.
 
-    The voters' rates start from the labels and are refined on the votes alone, the class share held fixed; voters
+    Rows start by the majority of their votes and rates are fitted on the votes alone, the class share held fixed; voters
     count by 1 / (1 + the sum of their excess correlations with others within the classes). As dependent voters make
     it too sure all the same, its log odds are at last scaled and shifted to fit the labels.
     """
     n, n_voters = votes.shape
     blocks = [slice(i, i + BLOCK) for i in range(0, n, BLOCK)]
     share = float(np.clip(y.mean(), 0.01, 0.99))
-    q = np.clip(y.astype(float), 0.02, 0.98)
+    total = votes.astype(np.int32).sum(axis=1)
+    q = np.where(total > total.mean(), 0.9, 0.02)
     for _ in range(rounds):
         w = np.stack([1 - q, q])
         # class, value, voter
@@ -210,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id",
     x = np.unpackbits(np.frombuffer(b"".join(got["x"]), np.uint8).reshape(len(got), -1), axis=1, count=len(terms) + len(PATTERNS)).astype(bool)
     y = got["y"].to_numpy()
     q = label_model(votes_of(x, len(terms), y), y)
-    tiers = tiers_of(x, len(terms), y)
+    tiers = tiers_of(x, len(terms), q)
     return Model(terms, tiers, logistic(with_tiers(x, tiers), q))
 
 
