@@ -143,11 +143,13 @@ def scan_licenses(
             """Label and overlap of each template that a block's words match."""
             out = []
             for label, order, need in plans:
-                if len(block) < need:
+                head = len(order) - need + 1
+                if len(block) < need:  # length
                     continue
-                inside = np.isin(order, block)
-                lead = np.flatnonzero(inside[: len(order) - need + 1])
-                if len(lead) and len(order) - lead[0] >= need and (got := int(inside.sum())) >= need:
+                lead = np.flatnonzero(np.isin(order[:head], block))
+                if not len(lead) or len(order) - lead[0] < need:  # prefix, position
+                    continue
+                if (got := len(lead) + int(np.isin(order[head:], block).sum())) >= need:
                     out.append((label, got))
             return out
 
