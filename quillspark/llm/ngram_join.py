@@ -1,7 +1,7 @@
 """N-gram Jaccard join by T-occurrence search, in the manner of DivideSkip.
 
 A document is the set of its distinct word shingles. The inverted lists of a set are divided: with T the overlap that
-any partner must reach, all but the size - T + 1 shortest lists are long. Every partner occurs in a short list. The
+any partner must reach, L = T - 1 lists are long, so that T - L = 1: a partner occurs in at least one short list. The
 short lists are merged by Spark's sort-merge on the shingle, which yields candidates; the long lists are never read:
 each is probed for a candidate by binary search, in the candidate's sorted set. Length and position filters, and sketches of the sets,
 come before the probes. "Short" means early in a fixed global order: shingles that many documents share, counted over the
@@ -17,7 +17,8 @@ different components is lost, and a group of n near copies takes about n probes.
 
 Equal sets are one node from the start. Defined results: a text with fewer words than a shingle is one shingle of all
 its words; null, empty and wordless texts have an empty set and are linked with nothing; rows with a null id take no
-part, and come back with a null component; repeated ids come back as often as they came; extra columns are ignored.
+part, and come back with a null component; repeated ids come back as often as they came; ids must be whole numbers;
+very long texts are read whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -221,12 +222,12 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         """Length, and position: from the first shared shingle on, at places i and j, n - i and m - j can be shared.
 
         A later shared shingle may fail where the pair would link, but then its first one passes, in another list."""
-        return f"({den} * least({n}, {m}) >= {num} * greatest({n}, {m}) AND {den + num} * least({n} - {i}, {m} - {j}) >= {num} * ({n} + {m}))"
+        return f"({den}L * least({n}, {m}) >= {num}L * greatest({n}, {m}) AND {den + num}L * least({n} - {i}, {m} - {j}) >= {num}L * ({n} + {m}))"
 
     def alike(x: str, n: str, y: str, m: str):
         """Sketches differ in no more bits than sets with the overlap can."""
         bits = sum((F.bit_count(F.col(x + b).bitwiseXOR(F.col(y + b))) for b in SKETCH), F.lit(0))
-        return (den + num) * bits <= (den - num) * (F.col(n) + F.col(m))
+        return (den + num) * bits <= (den - num) * (F.col(n).cast("long") + F.col(m))
 
     def sketch_of(prefix: str, key: str) -> DataFrame:
         return nodes.select(F.col("node").alias(key), *[F.col(b).alias(prefix + b) for b in SKETCH])
@@ -267,4 +268,4 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents without all but the smallest id of each component; rows with a null id stay."""
     drop = written(ngram_join(docs, id_col, text_col, k, num, den).where(f"`{id_col}` != component_id").select(id_col).distinct())
-    return docs.join(drop.hint("broadcast" if drop.count() <= BROADCAST_IDS else "merge"), id_col, "left_anti")
+    return docs.join(drop.hint("broadcast" if drop.count() <= BROADCAST_IDS else "merge"), id_col, "left_anti").select(*docs.columns)
