@@ -12,7 +12,8 @@ BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
 def pattern(p: str, ignore_case: bool = False) -> str:
-    return ("(?iu)" if ignore_case else "") + p.replace(r"\b", BOUNDARY)
+    """A pattern for Java; letters beyond ASCII are folded only where the pattern has some."""
+    return ("(?i)" if p.isascii() else "(?iu)") * ignore_case + p.replace(r"\b", BOUNDARY)
 
 
 def has(c: Column, p: str, ignore_case: bool = True) -> Column:

@@ -8,16 +8,13 @@ from pyspark.sql import Window as W
 
 from quillspark.functions import catalogues as cat
 from quillspark.functions.text import cascade, has_any
-from quillspark.operators.evaluate import percentile_rank
+from quillspark.operators.evaluate import percentiles
 
 
 def request_percentiles(m: DataFrame, by: list[str], value: str, ps: list[float], convention: str = "offset") -> DataFrame:
     """A column for each percentile; absent ones are 0."""
-    out = None
-    for p in ps:
-        one = percentile_rank(m, by, value, p, convention).select(*by, F.coalesce("percentile", F.lit(0)).alias(f"p{round(100 * p)}"))
-        out = one if out is None else out.join(one, by)
-    return out
+    names = {f"p{round(100 * p)}": p for p in ps}
+    return percentiles(m, by, value, names, convention).select(*by, *[F.coalesce(c, F.lit(0)).alias(c) for c in names])
 
 
 def error_rate(m: DataFrame, by: str, failed: Column) -> DataFrame:

@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder of spark.checkpoint.dir (in local mode the warehouse serves as
+    well) and read back: it is computed once, its size is known to the planner, and lost executors don't matter."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -79,16 +95,38 @@ def export_embeddings(chunks: DataFrame, docs: DataFrame, key: str, preview: int
     return chunks.where(F.col("embedding").isNotNull()).join(docs, key).withColumn("preview", text)
 
 
-def store_chunks(chunks: DataFrame, path: str, keys: list[str]) -> None:
-    """Append chunks that the store doesn't have yet."""
+#: Folders of a chunk store; keys are dealt to them by hash.
+STORE_PARTS = 64
+
+
+def store_chunks(chunks: DataFrame, path: str, keys: list[str], batch: str | None = None) -> None:
+    """Append chunks that the store doesn't have yet. The store is partitioned by a hash of the keys, and only the
+    folders that the chunks fall in are read.
+
+    With ``batch``, a name for a stream's micro-batch, the chunks are those of that batch alone: rows of other batches that
+    the store has are left out, and the batch's own folders are replaced, so a batch that is run again after a failure
+    leaves each row once. One writer at a time."""
     spark = chunks.sparkSession
+    dealt = chunks.withColumn("part_", F.pmod(F.xxhash64(*keys), F.lit(STORE_PARTS)).cast("int")).withColumn("batch_", F.lit(batch or "-"))
     try:
-        new = chunks.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
+        store = spark.read.schema(dealt.schema).parquet(path)
+        store.isEmpty()
     except Exception as e:  # the store doesn't exist yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        new = chunks
-    new.write.mode("append").parquet(path)
+        store = None
+    if store is not None:
+        parts = [r["part_"] for r in dealt.select("part_").distinct().collect()]  # STORE_PARTS at most
+        have = store.where(F.col("part_").isin(parts))
+        have = have if batch is None else have.where(F.col("batch_") != batch)
+        dealt = dealt.join(have.select(*keys), keys, "left_anti")
+    mode, option = ("append", "static") if batch is None else ("overwrite", "dynamic")
+    dealt.write.mode(mode).option("partitionOverwriteMode", option).partitionBy("batch_", "part_").parquet(path)
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """All chunks of a store."""
+    return spark.read.parquet(path).drop("part_", "batch_")
 
 
 def status_funnel(events: DataFrame, key: str, status: str, ts: str, tie: str, legal: dict[str, list[str]]) -> DataFrame:

@@ -6,6 +6,7 @@ key in Spark's state store; the batch twins are windows, or one ordered pass for
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -120,13 +121,50 @@ def cache_evictions(df: DataFrame, key: str, ts: str, window: str, capacity: int
     return g.select(F.col("window.start").alias("start"), "live", F.greatest(F.col("live") - capacity, F.lit(0)).alias("evicted"))
 
 
-def rolling_latency(df: DataFrame, by: str, ts: str, tie: str, value: str, n: int = 100) -> DataFrame:
-    """Mean and percentiles (place floor(n p), the last at most) of the last n samples at each event (batch)."""
-    w = W.partitionBy(by).orderBy(ts, tie).rowsBetween(1 - n, 0)
-    d = df.where(F.col(value).isNotNull()).withColumn("last_", F.array_sort(F.collect_list(value).over(w)))
-    at = lambda p: F.get("last_", F.least(F.floor(F.size("last_") * p), F.size("last_") - 1).cast("int"))
-    mean = F.aggregate("last_", F.lit(0.0), lambda a, x: a + x) / F.size("last_")
-    return d.select(by, tie, mean.alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+def last_stats(last: Column) -> list[Column]:
+    """Mean and percentiles (place floor(n p), the last at most) of a sorted array."""
+    at = lambda p: F.get(last, F.least(F.floor(F.size(last) * p), F.size(last) - 1).cast("int"))
+    return [(F.aggregate(last, F.lit(0.0), lambda a, x: a + x) / F.size(last)).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99")]
+
+
+def rolling_latency(df: DataFrame, by: str, ts: str, tie: str, value: str, n: int = 100, slice_seconds: int = 86_400) -> DataFrame:
+    """Mean and percentiles of the last n samples at each event; batch twin of ``rolling_latency_stream``.
+
+    Each key's time is cut into slices, so a task sorts a slice of a key at a time; a slice is led by the n - 1 samples
+    before it, which come from as many slices as it takes."""
+    d = df.where(F.col(value).isNotNull()).withColumn("slice_", F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / slice_seconds))
+    sizes = d.groupBy(by, "slice_").agg(F.count("*").alias("m_"))
+    # how many slices back hold n - 1 samples: the slices of a key are few
+    w = W.partitionBy(by).orderBy("slice_")
+    past = sizes.withColumn("upto_", F.sum("m_").over(w) - F.col("m_"))
+    past = past.withColumn("all_", F.collect_list(F.struct("slice_", "upto_")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    lead = F.coalesce(F.element_at(F.filter("all_", lambda x: x["upto_"] <= F.greatest(F.col("upto_") - (n - 1), F.lit(0))), -1)["slice_"], F.col("slice_"))
+    to = past.select(by, F.col("slice_").alias("home_"), F.explode(F.filter(F.transform("all_", lambda x: x["slice_"]), lambda x: x >= lead)).alias("slice_"))
+    led = d.join(to.hint("merge"), [by, "slice_"])
+    # of what leads a slice only the last n - 1 samples go there
+    late = F.row_number().over(W.partitionBy(by, "home_", "slice_").orderBy(F.desc(ts), F.desc(tie)))
+    led = led.withColumn("late_", late).where((F.col("slice_") == F.col("home_")) | (F.col("late_") < n))
+    over = W.partitionBy(by, "home_").orderBy(ts, tie).rowsBetween(1 - n, 0)
+    return led.withColumn("last_", F.array_sort(F.collect_list(value).over(over))).where("slice_ = home_").select(by, tie, *last_stats(F.col("last_")))
+
+
+def rolling_latency_stream(df: DataFrame, by: str, ts: str, tie: str, value: str, n: int = 100, watermark: str = "10 minutes") -> DataFrame:
+    """The same for a stream that comes in order of time: a key's state is its last n - 1 samples. Keys come as string,
+    ties as long, values as double."""
+    d = with_time(df.where(F.col(value).isNotNull()).select(F.col(by).cast("string").alias(by), F.col(ts).alias("ts"), F.col(tie).cast("long").alias(tie), F.col(value).cast("double").alias("v")), "ts", watermark)
+
+    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        got = pd.concat(list(parts)).sort_values(["ts", tie])
+        held = list(state.get[0]) if state.exists else []
+        rows = []
+        for t, v in zip(got[tie], got["v"], strict=True):
+            held = [*held, v][-n:]
+            last, m = sorted(held), len(held)
+            rows.append((k[0], t, sum(last) / m, *(last[min(int(m * p), m - 1)] for p in (0.5, 0.95, 0.99))))
+        state.update((held[1 - n :],))
+        yield pd.DataFrame(rows, columns=[by, tie, "mean", "p50", "p95", "p99"])
+
+    return d.groupBy(by).applyInPandasWithState(step, f"{by} string, {tie} long, mean double, p50 double, p95 double, p99 double", "held array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed_slo(df: DataFrame, ts: str, window: str, value: str, failed: Column, p95_above: float, errors_above: float) -> DataFrame:
@@ -149,24 +187,29 @@ def audit_stream(changes: DataFrame) -> DataFrame:
     return changes.select("key", action.alias("action")).where("action IS NOT NULL")
 
 
-def ingest_batch(pages: DataFrame, chunk, path: str, key: str) -> None:
+def batch_name(checkpoint: str, n: int) -> str:
+    """A name that only this batch of this stream has."""
+    return f"{zlib.crc32(checkpoint.encode()):08x}-{n}"
+
+
+def ingest_batch(pages: DataFrame, chunk, path: str, key: str, batch: str | None = None) -> None:
     """Chunk the documents of a micro-batch that the sink doesn't have yet, and append them. For foreachBatch: a batch
     that is run again adds nothing."""
     from quillspark.sources.corpus import store_chunks
 
-    store_chunks(chunk(pages), path, [key])
+    store_chunks(chunk(pages), path, [key], batch)
 
 
 def ingest_stream(pages: DataFrame, chunk, path: str, key: str, checkpoint: str):
     """Start a stream of pages into a chunk store; batches hold whole documents."""
-    return pages.writeStream.foreachBatch(lambda b, _: ingest_batch(b, chunk, path, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return pages.writeStream.foreachBatch(lambda b, n: ingest_batch(b, chunk, path, key, batch_name(checkpoint, n))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def index_refresh(docs: DataFrame, codes: Column, doc: str, path: str, checkpoint: str, trigger: dict | None = None):
     """Keep (code, document) pairs of all documents seen so far; readers group them by code."""
     from quillspark.sources.corpus import store_chunks
 
-    def add(batch: DataFrame, _: int) -> None:
-        store_chunks(batch.select(doc, F.explode(codes).alias("code")).distinct(), path, [doc, "code"])
+    def add(batch: DataFrame, n: int) -> None:
+        store_chunks(batch.select(doc, F.explode(codes).alias("code")).distinct(), path, [doc, "code"], batch_name(checkpoint, n))
 
     return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
