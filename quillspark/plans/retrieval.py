@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from quillspark.operators import dedup as P
 from quillspark.operators import search as R
 from quillspark.sources.corpus import read_table as T
+from quillspark.sources.corpus import written
 
 QUERIES, SQL = {}, {}
 
@@ -22,12 +23,13 @@ def query(sql=None):
     return add
 
 
-def postings(spark, d):
-    return R.build_postings(T(spark, d, "documents"), "doc_id", "text")
+def postings(spark, d, positions=False):
+    """The inverted index, written once and read as often as a query needs it."""
+    return written(R.build_postings(T(spark, d, "documents"), "doc_id", "text", positions=positions))
 
 
 def terms(spark, d):
-    return R.query_terms(T(spark, d, "benchmark"), "item_id", "text")
+    return written(R.query_terms(T(spark, d, "benchmark"), "item_id", "text"))
 
 
 TOK = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
@@ -39,9 +41,11 @@ sc AS (SELECT query_id, chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf *
 lx AS (SELECT query_id, chunk_id, s / (s + 1) AS bm25_score FROM sc)"""
 
 
-@query(f"WITH {LEX} SELECT chunk_id, term, tf, length::INT AS length FROM pp")
+@query(f"""WITH {LEX}, ix AS (SELECT chunk_id, unnest(range(0, len(ts))) AS p, unnest(ts) AS term, len(ts) AS length FROM dt)
+SELECT chunk_id, term, count(*) AS tf, any_value(length)::INT AS length, string_agg(p::VARCHAR, ',' ORDER BY p) AS positions FROM ix GROUP BY 1, 2""")
 def r1_build_postings(spark, d):
-    return postings(spark, d).select("chunk_id", "term", "tf", "length")
+    p = R.build_postings(T(spark, d, "documents"), "doc_id", "text")
+    return p.select("chunk_id", "term", "tf", "length", F.array_join("positions", ",").alias("positions"))
 
 
 @query(f"WITH {LEX}, nd AS (SELECT query_id, count(*) AS need FROM qt GROUP BY 1), hv AS (SELECT query_id, chunk_id, count(*) AS have FROM qt JOIN pp USING (term) GROUP BY 1, 2) SELECT query_id, chunk_id FROM hv JOIN nd USING (query_id) WHERE have = need")
@@ -51,12 +55,13 @@ def r2_match_all(spark, d):
 
 @query(f"WITH {BM} SELECT query_id, chunk_id, round(bm25_score, 6) AS bm25_score FROM lx")
 def r3_lexical_scores(spark, d):
-    return R.lexical_scores(terms(spark, d), postings(spark, d)).withColumn("bm25_score", F.round("bm25_score", 6))
+    size = R.corpus_size(T(spark, d, "documents"), "text")
+    return R.lexical_scores(terms(spark, d), postings(spark, d), size).withColumn("bm25_score", F.round("bm25_score", 6))
 
 
 @query()
 def r3_cover_scores(spark, d):
-    return R.cover_scores(terms(spark, d), postings(spark, d))
+    return R.cover_scores(terms(spark, d), postings(spark, d, True))
 
 
 TOPK = "row_number() OVER (PARTITION BY query_id ORDER BY {s} DESC, chunk_id)::INT"
@@ -76,13 +81,13 @@ COS = """cs AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_co
 WHERE q.vec_id % 25 = 0 AND q.embedding IS NOT NULL AND c.embedding IS NOT NULL)"""
 
 
-def scored(spark, d, t):
-    return R.vector_scores(*vectors(spark, d)).withColumn("vector_score", F.round("vector_score", 6)).where(F.col("vector_score") > t)
+def scored(spark, d, t, k=None):
+    return R.vector_scores(*vectors(spark, d), t, k, 6)
 
 
 @query(f"WITH {COS}, k AS (SELECT *, {TOPK.format(s='vector_score')} AS rank FROM cs WHERE vector_score > 0.2) SELECT * FROM k WHERE rank <= 10")
 def r5_vector_search(spark, d):
-    return R.top_k(scored(spark, d, 0.2), 10, "vector_score")
+    return R.vector_search(*vectors(spark, d), 10, 0.2, 6)
 
 
 @query(f"WITH {COS} SELECT * FROM cs WHERE vector_score > 0.3")
@@ -99,7 +104,7 @@ top AS (SELECT *, {TOPK.format(s='combined_score')} AS rank FROM hy)"""
 def hybrid(spark, d):
     w = T(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 0, 0.3).otherwise(0.7).alias("w_lexical")).withColumn("w_vector", 1 - F.col("w_lexical"))
     lexical = r3_lexical_scores(spark, d).withColumn("bm25_score", F.round("bm25_score", 3))
-    vector = scored(spark, d, 0.2).join(w.select("query_id"), "query_id", "left_semi").withColumn("vector_score", F.round("vector_score", 3))
+    vector = scored(spark, d, 0.2).join(w.select("query_id").hint("merge"), "query_id", "left_semi").withColumn("vector_score", F.round("vector_score", 3))
     f = R.fuse(lexical, vector, w)
     return f.withColumn("combined_score", F.round("combined_score", 4))
 
@@ -111,7 +116,7 @@ def r7_hybrid_search(spark, d):
 
 def with_meta(spark, d, hits):
     m = T(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), (F.col("n_chars") % 2 == 0).alias("has_codes"), F.when(F.col("lang") == "en", "table").otherwise("text").alias("chunk_type"), F.col("source").alias("section_title"), F.col("lang").alias("section_number"))
-    return hits.join(m, "chunk_id")
+    return hits.join(m.hint("merge"), "chunk_id")
 
 
 META = "JOIN (SELECT doc_id AS chunk_id, n_chars % 2 = 0 AS hc, lang = 'en' AS tb, source, lang FROM documents) m USING (chunk_id)"
@@ -137,15 +142,16 @@ def r10_boost_v3(spark, d):
  OR regexp_matches(text, '\b\d+(?:\.\d+)?\s*(?:ksi|MPa)\b.*\b\d+(?:\.\d+)?\s*(?:ksi|MPa)\b') OR len(regexp_extract_all(text, '\d+(?:\.\d+)?')) / len(regexp_split_to_array(text, '\s+')) > 0.2 AS tb FROM top JOIN documents ON doc_id = chunk_id WHERE rank <= 20)
 SELECT query_id, chunk_id, CASE WHEN tb THEN greatest(combined_score, least(1.0, round(combined_score + 0.15, 6))) ELSE combined_score END AS combined_score FROM t""")
 def r11_table_content_boost(spark, d):
-    h = R.top_k(hybrid(spark, d), 20, "combined_score").join(T(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
+    h = R.top_k(hybrid(spark, d), 20, "combined_score").join(T(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text").hint("merge"), "chunk_id")
     return R.table_content_boost(h, "text").select("query_id", "chunk_id", F.round("combined_score", 6).alias("combined_score"))
 
 
-@query(f"WITH {HY} SELECT query_id, chunk_id, combined_score FROM top WHERE rank <= 20 AND (query_id % 2 = 1 OR chunk_id % 10 IN (1, 2, 3))")
+@query(f"""WITH {HY}, al AS (SELECT * FROM hy WHERE query_id % 2 = 1 OR chunk_id % 10 IN (1, 2, 3)), ak AS (SELECT *, {TOPK.format(s='combined_score')} AS rank FROM al)
+SELECT query_id, chunk_id, combined_score, rank FROM ak WHERE rank <= 20""")
 def r12_document_filter(spark, d):
     allowed = T(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 0, F.array(*[F.lit(i).cast("long") for i in (1, 2, 3)])).alias("documents"))
-    h = R.top_k(hybrid(spark, d), 20, "combined_score").withColumn("document_id", F.col("chunk_id") % 10)
-    return R.document_filter(h, allowed).select("query_id", "chunk_id", "combined_score")
+    h = R.document_filter(hybrid(spark, d).withColumn("document_id", F.col("chunk_id") % 10), allowed)
+    return R.top_k(h, 20, "combined_score").select("query_id", "chunk_id", "combined_score", "rank")
 
 
 @query(f"WITH {COS}, hb AS (SELECT *, vector_score AS combined_score, 0.5::DOUBLE AS bm25_score FROM cs WHERE vector_score > 0.45 AND query_id <> chunk_id) SELECT query_id, chunk_id, bm25_score, combined_score FROM hb UNION ALL SELECT query_id, chunk_id, 0.0, vector_score FROM cs WHERE vector_score > 0.3 AND query_id NOT IN (SELECT query_id FROM hb)")
@@ -159,7 +165,7 @@ SUB = f"{COS}, sub AS (SELECT query_id % 100 AS query_id, (query_id // 100)::INT
 
 
 def subhits(spark, d):
-    h = R.top_k(scored(spark, d, 0.3), 1_000_000, "vector_score")
+    h = R.ranked(scored(spark, d, 0.3), "vector_score")
     return h.select((F.col("query_id") % 100).alias("query_id"), F.floor(F.col("query_id") / 100).cast("int").alias("sub_no"), "chunk_id", "vector_score", "rank")
 
 
@@ -183,8 +189,8 @@ def r15_coverage(spark, d):
     return covered(spark, d)
 
 
-@query(f"""WITH {SUB}, {COV}, k AS (SELECT s.*, CASE WHEN rank > 5 THEN s.sub_no + 1000000 ELSE s.sub_no END AS o FROM sub s JOIN cov USING (query_id, sub_no) WHERE rank <= CASE WHEN missing OR thin THEN 10 ELSE 5 END),
-m AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY o, rank) AS r FROM k) SELECT query_id, sub_no, chunk_id, rank FROM m WHERE r = 1""")
+@query(f"""WITH {SUB}, {COV}, k AS (SELECT s.* FROM sub s JOIN cov USING (query_id, sub_no) WHERE rank <= CASE WHEN missing OR thin THEN 10 ELSE 5 END),
+m AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY rank > 5, sub_no, rank) AS r FROM k) SELECT query_id, sub_no, chunk_id, rank FROM m WHERE r = 1""")
 def r16_gap_fill(spark, d):
     return R.gap_fill(subhits(spark, d), covered(spark, d), 5).select("query_id", "sub_no", "chunk_id", "rank")
 
@@ -195,14 +201,14 @@ SELECT query_id, entity FROM e LEFT JOIN h USING (query_id) GROUP BY 1, 2 HAVING
 def r17_missing_entities(spark, d):
     ents = F.array_distinct(F.filter(F.split("text", r"\s+"), lambda x: F.length(x) > 6))
     q = T(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), ents.alias("e"))
-    h = R.top_k(hybrid(spark, d), 5, "combined_score").join(T(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
+    h = R.top_k(hybrid(spark, d), 5, "combined_score").join(T(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text").hint("merge"), "chunk_id")
     return R.missing_entities(q, "e", h, "text")
 
 
 def reranked(spark, d, none):
-    h = R.top_k(scored(spark, d, 0.3), 20, "vector_score").withColumnRenamed("vector_score", "combined_score")
+    h = R.top_k(scored(spark, d, 0.3, 20), 20, "vector_score").withColumnRenamed("vector_score", "combined_score")
     s = T(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), (F.col("label") / 10.0).alias("score"))
-    s = h.select("query_id", "chunk_id").join(s, "chunk_id").where("query_id % 50 = 0" if none else "true")
+    s = h.select("query_id", "chunk_id").join(s.hint("merge"), "chunk_id").where("query_id % 50 = 0" if none else "true")
     return R.rerank_select(h.drop("rank"), s, 5).select("query_id", "chunk_id", "rerank", "rank")
 
 
@@ -243,14 +249,14 @@ def r21_best_strategy(spark, d):
 @query(f"""WITH {COS}, h AS (SELECT *, {TOPK.format(s='vector_score')} AS rank, chunk_id % 7 AS document_id, chunk_id % 3 AS page_number FROM cs WHERE vector_score > 0.2),
 p AS (SELECT *, min(rank) OVER w AS place, row_number() OVER (PARTITION BY query_id, document_id, page_number ORDER BY vector_score DESC, rank) AS r FROM h WINDOW w AS (PARTITION BY query_id, document_id, page_number)) SELECT query_id, chunk_id, place FROM p WHERE r = 1""")
 def r22_dedup_pages(spark, d):
-    h = R.top_k(scored(spark, d, 0.2), 1_000_000, "vector_score").withColumnRenamed("vector_score", "combined_score")
+    h = R.ranked(scored(spark, d, 0.2), "vector_score").withColumnRenamed("vector_score", "combined_score")
     h = h.withColumn("document_id", F.col("chunk_id") % 7).withColumn("page_number", F.col("chunk_id") % 3)
     return R.dedup_pages(h).select("query_id", "chunk_id", "place")
 
 
 def texts_of_hits(spark, d, k):
     docs = T(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "source")
-    return R.top_k(hybrid(spark, d), k, "combined_score").join(docs, "chunk_id").withColumn("document_id", F.col("source")).withColumn("page_number", F.col("chunk_id") % 5)
+    return R.top_k(hybrid(spark, d), k, "combined_score").join(docs.hint("merge"), "chunk_id").withColumn("document_id", F.col("source")).withColumn("page_number", F.col("chunk_id") % 5)
 
 
 @query()
