@@ -37,20 +37,36 @@ def dedup_savings(decisions: DataFrame, size: str) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, text: str, doc: str, above: float = 0.8) -> DataFrame:
-    """Pairs of documents, each first of its word set, whose sets of lower-case words overlap by more than ``above``
-    (exact). Prefix filter: with words in order of rarity, such a pair shares one of each set's first
-    size - ceil(above * size) + 1 words, and the sizes differ little."""
-    sets = docs.select(F.col(doc).alias("id"), F.array_sort(F.array_distinct(F.split(F.trim(F.lower(F.coalesce(text, F.lit("")))), r"\s+"))).alias("ws"))
-    sets = sets.groupBy("ws").agg(F.min("id").alias("id")).withColumn("n", F.size("ws"))
+def near_duplicates(docs: DataFrame, text: str, doc: str, above: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(pairs, membership) of documents whose sets of lower-case words overlap by more than ``above`` (exact).
+
+    membership: every document with its class, the smallest id with the same word set (by a digest of the sorted words).
+    pairs: a, b, similarity of linked classes; copies aren't expanded. Prefix filter: with words in order of rarity, a
+    pair shares one of each set's first size - ceil(above * size) + 1 words, the sizes differ little, and from the first
+    shared word on enough words are left on both sides. Word sets meet only for what passes."""
+    words = F.array_sort(F.array_distinct(F.split(F.trim(F.lower(F.coalesce(text, F.lit("")))), r"\s+")))
+    member = docs.select(F.col(doc).alias("id"), words.alias("ws")).withColumn("digest", F.sha2(F.array_join("ws", " "), 256)).withColumn("n", F.size("ws"))
+    classes = member.groupBy("digest").agg(F.min("id").alias("class_id"))
+    membership = member.select("id", "digest").join(classes.hint("merge"), "digest").select(F.col("id").alias(doc), "class_id")
+    sets = member.join(classes.select("digest", F.col("class_id").alias("id")).hint("merge"), ["digest", "id"], "left_semi").select("id", "n", "ws").dropDuplicates(["id"])
     long = sets.select("id", "n", F.explode("ws").alias("w"))
     rare = long.groupBy("w").agg(F.count("*").alias("df"))
-    ranked = long.join(rare, "w").withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("df", "w")))
-    head = ranked.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * above) + 1) & (F.col("df") > 1)).select("id", "n", "w")
-    a, b = head.select(F.col("id").alias("a"), F.col("n").alias("na"), "w"), head.select(F.col("id").alias("b"), F.col("n").alias("nb"), "w")
+    ranked = long.join(rare.hint("merge"), "w").withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("df", "w")))
+    head = ranked.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * above) + 1) & (F.col("df") > 1)).select("id", "n", "w", "r")
+    a, b = ([F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("r").alias(f"r{x}"), "w"] for x in "ab")
+    least = above / (1 + above) * (F.col("na") + F.col("nb"))
     fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= above * F.greatest("na", "nb"))
-    pairs = a.join(b.hint("merge"), "w").where(fits).select("a", "b").distinct()
-    left, right = sets.select(F.col("id").alias("a"), F.col("ws").alias("wa")), sets.select(F.col("id").alias("b"), F.col("ws").alias("wb"))
+    left = F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) + 1
+    # at a later shared word less is left, but then the first one passes in its own list
+    pairs = head.select(*a).join(head.select(*b).hint("merge"), "w").where(fits & (left >= least - 1e-9)).select("a", "b").distinct()
+    wa, wb = sets.select(F.col("id").alias("a"), F.col("ws").alias("wa")), sets.select(F.col("id").alias("b"), F.col("ws").alias("wb"))
     both = F.size(F.array_intersect("wa", "wb"))
-    j = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").withColumn("similarity", both / (F.size("wa") + F.size("wb") - both))
-    return j.where(F.col("similarity") > above).select("a", "b", "similarity")
+    j = pairs.join(wa.hint("merge"), "a").join(wb.hint("merge"), "b").withColumn("similarity", both / (F.size("wa") + F.size("wb") - both))
+    return j.where(F.col("similarity") > above).select("a", "b", "similarity"), membership
+
+
+def near_classes(docs: DataFrame, text: str, doc: str, above: float = 0.8) -> DataFrame:
+    """A row for each document: its class and the number of other classes that it is linked with."""
+    pairs, membership = near_duplicates(docs, text, doc, above)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
+    return membership.join(ends.hint("merge"), "class_id", "left").na.fill(0, ["links"]).select(doc, "class_id", "links")

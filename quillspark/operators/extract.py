@@ -94,8 +94,10 @@ def quantities(c: Column, patterns: list | None = None) -> Column:
     fraction or a range the first number counts. Of equal (value, unit) the first stays."""
     found = []
     for p, v, u in patterns or QUANTITIES:
-        z = F.arrays_zip(find_all(c, p, v).alias("v"), find_all(c, p, u).alias("u"), find_all(c, p, 0).alias("o"))
-        found.append(F.transform(z, lambda x: F.struct(F.regexp_extract(F.replace(x["v"], F.lit(","), F.lit("")), r"^\d+(?:\.\d+)?", 0).cast("double").alias("value"), x["u"].alias("unit"), x["o"].alias("original"))))
+        part = lambda x, g, p=p: F.regexp_extract(x, pattern(p, True), g)
+        number = lambda x, v=v, part=part: F.regexp_extract(F.replace(part(x, v), F.lit(","), F.lit("")), r"^\d+(?:\.\d+)?", 0).cast("double")
+        # the text is scanned once; number and unit are taken from each short match
+        found.append(F.transform(find_all(c, p), lambda x, u=u, part=part, number=number: F.struct(number(x).alias("value"), part(x, u).alias("unit"), x.alias("original"))))
     every = F.flatten(F.array(*found))
     key = lambda x: F.struct(x["value"], x["unit"])
     seen = F.transform(every, key)
@@ -110,8 +112,8 @@ def measurements(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """A row for each measured value: kind, value, unit (upper case)."""
 
     def of(kind: str, p: str, v: int, u: int) -> Column:
-        z = F.arrays_zip(find_all(F.col(text), p, v).alias("v"), find_all(F.col(text), p, u).alias("u"))
-        return F.transform(z, lambda x: F.struct(F.lit(kind).alias("kind"), x["v"].cast("double").alias("value"), F.upper(x["u"]).alias("unit")))
+        part = lambda x, g: F.regexp_extract(x, pattern(p, True), g)
+        return F.transform(find_all(F.col(text), p), lambda x: F.struct(F.lit(kind).alias("kind"), part(x, v).cast("double").alias("value"), F.upper(part(x, u)).alias("unit")))
 
     return df.select(*keys, F.inline(F.flatten(F.array(*[of(*m) for m in MEASUREMENTS]))))
 

@@ -16,13 +16,13 @@ def material_lookup(keys: DataFrame, materials: DataFrame) -> DataFrame:
     """keys: key; materials: id, ord, names array. By id, else by name, the first in order; case is ignored."""
     by_id = materials.select(F.upper("id").alias("k"), F.lit(0).alias("how"), "ord", "id")
     by_name = materials.select(F.explode(F.transform("names", lambda n: F.upper(n))).alias("k"), F.lit(1).alias("how"), "ord", "id")
-    j = keys.withColumn("k", F.upper(F.trim("key"))).join(by_id.unionByName(by_name), "k")
+    j = keys.withColumn("k", F.upper(F.trim("key"))).join(by_id.unionByName(by_name).hint("merge"), "k")
     return j.groupBy("key").agg(F.min(F.struct("how", "ord", "id")).alias("m")).select("key", F.col("m.id").alias("id"))
 
 
 def requirements_for_family(families: DataFrame, requirements: DataFrame) -> DataFrame:
     """families: family; requirements: requirement, families array."""
-    return families.join(requirements.select("requirement", F.explode("families").alias("family")), "family")
+    return families.join(requirements.select("requirement", F.explode("families").alias("family")).hint("merge"), "family")
 
 
 def related_standards(keys: DataFrame, edges: DataFrame, known: DataFrame) -> DataFrame:

@@ -100,33 +100,37 @@ def table_header(c: Column) -> Column:
     return F.when(F.size(lines(c)) >= 3, F.array_join(head, "\n"))
 
 
-def semantic_chunks(pages: DataFrame, doc: str, page: str, text: str, sep: str = r"\n\n+", least: int = 800, most: int = 2500, target: int = 1500, overlap: int = 200, least_page: int = 50) -> DataFrame:
-    """Chunks of tables (with their footnotes; long ones split under their header), lists and remaining text."""
+def semantic_chunks(
+    pages: DataFrame, doc: str, page: str, text: str, sep: str = r"\n\n+", least: int = 800, most: int = 2500, target: int = 1500, overlap: int = 200, least_page: int = 50, headers: list[str] | None = None
+) -> DataFrame:
+    """Chunks of tables (with their footnotes; long ones split under their header), lists and remaining text.
+
+    One pass: the blocks of a page come together once, are made into units (each table, each list, and the rest of the
+    page), and each unit into its windows. All groupings follow the first, by document."""
     some = pages.where(F.length(F.trim(F.coalesce(text, F.lit("")))) >= least_page)
-    blocks = classify_blocks(paragraphs(some, text, [doc, page], sep), doc, page)
-    section = carry_section(blocks, doc, page)
-    blocks = attach_footnotes(blocks, doc, page)
-    keys = [doc, page, "block_no"]
-    n = F.length("block")
-    tables, lists = blocks.where("kind = 'table'"), blocks.where("kind = 'list'")
-    whole = tables.where(n <= most + 1000).select(*keys, F.lit(0).alias("chunk_no"), F.col("block").alias("content"), F.lit("table").alias("kind"), F.when(F.col("has_footnotes"), 0.98).otherwise(0.95).alias("confidence"))
-    long = tables.where(n > most + 1000).withColumn("head", F.coalesce(table_header(F.col("block")), F.lit("")))
-    # each piece but the first begins with the header, so windows are shorter by as much
-    width = F.greatest(F.lit(target) - F.length("head") - 1, F.lit(overlap + 100))
-    step = width - overlap
-    end = F.when(n > width, F.ceil((n - width) / step) * step).otherwise(0).cast("int")
-    cut = long.withColumn("w_", width).select(*keys, "head", "block", "w_", F.posexplode(F.sequence(F.lit(0), end, step.cast("int"))).alias("chunk_no", "start"))
-    piece = F.trim(F.expr("substring(block, start + 1, w_)"))
-    cut = cut.withColumn("p_", piece).where(F.length("p_") > 50)
-    cut = cut.select(*keys, "chunk_no", F.when((F.col("chunk_no") > 0) & (F.col("head") != ""), F.concat("head", F.lit("\n"), "p_")).otherwise(F.col("p_")).alias("content"), F.lit("table").alias("kind"), F.lit(0.85).alias("confidence"))
-    short_lists = lists.where(n <= most).select(*keys, F.lit(0).alias("chunk_no"), F.col("block").alias("content"), F.lit("list").alias("kind"), F.lit(0.9).alias("confidence"))
-    long_lists = window_chunks(lists.where(n > most), "block", keys, target, overlap).select(*keys, "chunk_no", "content", F.lit("list").alias("kind"), F.lit(0.8).alias("confidence"))
-    rest = blocks.where(~F.col("kind").isin("table", "list")).groupBy(doc, page).agg(F.array_sort(F.collect_list(F.struct("block_no", "block"))).alias("bs"), F.max("title").alias("title"))
-    rest = rest.select(doc, page, F.lit(-1).alias("block_no"), "title", F.array_join("bs.block", "\n\n").alias("rest")).where(F.length("rest") >= least)
-    texts = window_chunks(rest, "rest", [*keys, "title"], target, overlap)
-    texts = texts.select(*keys, "chunk_no", "content", F.when(F.col("title").isNotNull() & (F.length("content") < 150), "heading").otherwise("text").alias("kind"), F.lit(0.75).alias("confidence"))
-    out = whole.unionByName(cut).unionByName(short_lists).unionByName(long_lists).unionByName(texts)
-    return out.join(section, [doc, page], "left").withColumn("has_codes", has_codes(F.col("content")))
+    blocks = attach_footnotes(classify_blocks(paragraphs(some, text, [doc, page], sep), doc, page, headers), doc, page)
+    whole = blocks.groupBy(doc, page).agg(F.array_sort(F.collect_list(F.struct("block_no", "block", "kind", "title", "has_footnotes"))).alias("bs"))
+    titles = F.filter(F.col("bs.title"), lambda t: t.isNotNull())
+    whole = whole.withColumn("section", F.last(F.try_element_at(titles, F.lit(-1)), True).over(W.partitionBy(doc).orderBy(page)))
+    apart = lambda b: b["kind"].isin("table", "list")
+    unit = lambda no, block, kind, title, notes: F.struct(no.alias("block_no"), block.alias("block"), kind.alias("kind"), title.alias("title"), notes.alias("notes"))
+    own = F.transform(F.filter("bs", apart), lambda b: unit(b["block_no"], b["block"], b["kind"], F.lit(None).cast("string"), b["has_footnotes"]))
+    rest = F.array_join(F.transform(F.filter("bs", lambda b: ~apart(b)), lambda b: b["block"]), "\n\n")
+    rest = F.when(F.length(rest) >= least, F.array(unit(F.lit(-1), rest, F.lit("text"), F.array_max(titles), F.lit(False))))
+    units = whole.select(doc, page, "section", F.explode(F.concat(own, F.coalesce(rest, F.slice(own, 1, 0)))).alias("u")).select(doc, page, "section", "u.*")
+    n, table = F.length("block"), F.col("kind") == "table"
+    units = units.withColumn("whole", F.col("kind").isin("table", "list") & (n <= F.when(table, most + 1000).otherwise(most)))
+    # each piece of a table but the first begins with the header, so its windows are shorter by as much
+    units = units.withColumn("head", F.when(table & ~F.col("whole"), F.coalesce(table_header(F.col("block")), F.lit(""))).otherwise(""))
+    units = units.withColumn("width", F.when(table, F.greatest(target - F.length("head") - 1, F.lit(overlap + 100))).otherwise(target))
+    step = F.col("width") - overlap
+    end = F.when(~F.col("whole") & (n > F.col("width")), F.ceil((n - F.col("width")) / step) * step).otherwise(0).cast("int")
+    cut = units.select("*", F.posexplode(F.sequence(F.lit(0), end, step.cast("int"))).alias("chunk_no", "start"))
+    cut = cut.withColumn("piece", F.when(F.col("whole"), F.col("block")).otherwise(F.trim(F.expr("substring(block, start + 1, width)")))).where(F.col("whole") | (F.length("piece") > 50))
+    cut = cut.withColumn("content", F.when(~F.col("whole") & (F.col("chunk_no") > 0) & (F.col("head") != ""), F.concat("head", F.lit("\n"), "piece")).otherwise(F.col("piece")))
+    kind = F.when((F.col("kind") == "text") & F.col("title").isNotNull() & (F.length("content") < 150), "heading").otherwise(F.col("kind"))
+    sure = cascade([(F.col("kind") == "text", 0.75), (table & F.col("whole"), F.when(F.col("notes"), 0.98).otherwise(0.95)), (table, 0.85), (F.col("whole"), 0.9)], 0.8)
+    return cut.select(doc, page, "block_no", "chunk_no", "content", kind.alias("kind"), sure.alias("confidence"), "section", has_codes(F.col("content")).alias("has_codes"))
 
 
 def has_codes(c: Column) -> Column:

@@ -14,21 +14,19 @@ from quillspark.operators.extract import quantities
 def ground_answers(answers: DataFrame, sources: DataFrame, patterns: list | None = None, tolerance: float = 0.01, passing: int = 50) -> DataFrame:
     """Share of an answer's quantities that its sources have. answers, sources: answer_id, text.
 
-    A quantity is grounded by a source quantity within the tolerance, found by an equi-join on cells of that width and
-    their neighbours; else, if above 10 or not whole, by its number standing in a source. Without quantities the score
-    is 70."""
-    q = answers.select("answer_id", F.inline(quantities(F.col("text"), patterns))).select("answer_id", "value", "unit")
-    s = sources.select("answer_id", F.inline(quantities(F.col("text"), patterns))).select("answer_id", F.col("value").alias("sv")).distinct()
-    cell = lambda c: F.floor(F.col(c) / tolerance)
-    near = q.withColumn("cell", F.explode(F.array(cell("value") - 1, cell("value"), cell("value") + 1)))
-    near = near.join(s.withColumn("cell", cell("sv")), ["answer_id", "cell"]).where(F.abs(F.col("value") - F.col("sv")) < tolerance).select("answer_id", "value", "unit").distinct().withColumn("near", F.lit(True))
-    shown = F.when(F.col("value") == F.floor("value"), F.floor("value").cast("string")).otherwise(F.format_string("%.2f", "value"))
-    bare = q.where((F.col("value") > 10) | (F.col("value") != F.floor("value"))).withColumn("shown", shown)
-    numbers = sources.select("answer_id", F.explode(F.array_distinct(find_all(F.col("text"), r"\b\d+(?:\.\d+)?\b"))).alias("shown")).distinct()
-    bare = bare.join(numbers, ["answer_id", "shown"]).select("answer_id", "value", "unit").distinct().withColumn("bare", F.lit(True))
-    each = q.join(near, ["answer_id", "value", "unit"], "left").join(bare, ["answer_id", "value", "unit"], "left").withColumn("ok", F.coalesce("near", "bare", F.lit(False)))
-    g = each.groupBy("answer_id").agg(F.count("*").alias("n"), F.count_if("ok").alias("grounded"), F.array_sort(F.collect_list(F.when(~F.col("ok"), F.struct("value", "unit")))).alias("ungrounded"))
-    out = answers.select("answer_id").join(g, "answer_id", "left").na.fill(0, ["n", "grounded"])
+    A quantity is grounded by a source quantity within the tolerance; else, if above 10 or not whole, by its number
+    standing in a source. Without quantities the score is 70. Each text is scanned once for quantities; the quantities
+    and numbers of an answer's sources meet the answer as arrays in one join."""
+    q = answers.select("answer_id", quantities(F.col("text"), patterns).alias("q"))
+    found = sources.select("answer_id", F.transform(quantities(F.col("text"), patterns), lambda x: x["value"]).alias("sv"), F.array_distinct(find_all(F.col("text"), r"\b\d+(?:\.\d+)?\b")).alias("nb"))
+    found = found.groupBy("answer_id").agg(F.array_distinct(F.flatten(F.collect_list("sv"))).alias("sv"), F.array_distinct(F.flatten(F.collect_list("nb"))).alias("nb"))
+    q = q.groupBy("answer_id").agg(F.flatten(F.collect_list("q")).alias("q")).join(found.hint("merge"), "answer_id", "left")
+    shown = lambda v: F.when(v == F.floor(v), F.floor(v).cast("string")).otherwise(F.format_string("%.2f", v))
+    near = lambda v: F.exists("sv", lambda x: F.abs(v - x) < tolerance)
+    bare = lambda v: ((v > 10) | (v != F.floor(v))) & F.array_contains("nb", shown(v))
+    ok = lambda x: F.coalesce(near(x["value"]) | bare(x["value"]), F.lit(False))
+    out = q.withColumn("n", F.size("q").cast("long")).withColumn("bad_", F.filter("q", lambda x: ~ok(x)))
+    out = out.select("answer_id", "n", (F.col("n") - F.size("bad_")).alias("grounded"), F.array_sort(F.transform("bad_", lambda x: F.struct(x["value"].alias("value"), x["unit"].alias("unit")))).alias("ungrounded"))
     out = out.withColumn("score", F.when(F.col("n") == 0, 70).otherwise(F.floor(100 * F.col("grounded") / F.col("n") + 0.5)).cast("int"))
     return out.withColumn("passed", F.col("score") >= passing)
 
@@ -65,7 +63,7 @@ def quote_match(quote: Column, source: Column) -> Column:
 def verify_claims(claims: DataFrame, sources: DataFrame, least: int = 60, tolerance: float = 0.01) -> DataFrame:
     """claims: answer_id, claim_no, source_ref, exact_quote, numbers array<double>; sources: answer_id, ref, content."""
     nums = F.transform(F.coalesce(find_all(F.col("content"), r"\d+(?:\.\d+)?"), F.array().cast("array<string>")), lambda x: x.cast("double"))
-    j = claims.join(sources.select("answer_id", F.col("ref").alias("source_ref"), "content"), ["answer_id", "source_ref"], "left").withColumn("found", F.col("content").isNotNull())
+    j = claims.join(sources.select("answer_id", F.col("ref").alias("source_ref"), "content").hint("merge"), ["answer_id", "source_ref"], "left").withColumn("found", F.col("content").isNotNull())
     j = j.withColumn("quote_score", F.when(~F.col("found"), 0).when(F.coalesce("exact_quote", F.lit("")) == "", 100).otherwise(quote_match(F.col("exact_quote"), F.col("content"))))
     ok = F.forall(F.coalesce("numbers", F.array().cast("array<double>")), lambda n: F.exists(nums, lambda x: F.abs(x - n) < tolerance))
     j = j.withColumn("numbers_ok", F.col("found") & ok).withColumn("verified", F.col("found") & (F.col("quote_score") >= least) & F.col("numbers_ok"))
@@ -176,12 +174,12 @@ def refinement_warnings(text: Column, n_sources: Column) -> Column:
 def support_claims(claims: DataFrame, sources: DataFrame, least: float = 0.85) -> DataFrame:
     """claims: answer_id, claim_no, claim; sources: answer_id, source_no, content. The first source that has more than
     ``least`` of a claim's words (longer than three letters; of all its words), null if none."""
-    c = claims.select("answer_id", "claim_no", F.split(F.trim(F.lower("claim")), r"\s+").alias("ws")).withColumn("n", F.size("ws"))
-    w = c.select("answer_id", "claim_no", "n", F.posexplode("ws").alias("p", "w")).where(F.length("w") > 3)
+    c = claims.select("answer_id", "claim_no", F.split(F.trim(F.lower("claim")), r"\s+").alias("ws"))
     s = sources.select("answer_id", "source_no", F.lower("content").alias("t"))
-    hit = w.join(s, "answer_id").where(F.contains("t", "w")).groupBy("answer_id", "claim_no", "source_no").agg((F.count("*") / F.first("n")).alias("share")).where(F.col("share") > least)
+    share = F.size(F.filter("ws", lambda w: (F.length(w) > 3) & F.contains("t", w))) / F.size("ws")
+    hit = c.join(s.hint("merge"), "answer_id").select("answer_id", "claim_no", "source_no", share.alias("share")).where(F.col("share") > least)
     first = hit.groupBy("answer_id", "claim_no").agg(F.min(F.struct("source_no", "share")).alias("f")).select("answer_id", "claim_no", "f.source_no", "f.share")
-    return claims.select("answer_id", "claim_no").join(first, ["answer_id", "claim_no"], "left").withColumn("supported", F.col("source_no").isNotNull())
+    return claims.select("answer_id", "claim_no").join(first.hint("merge"), ["answer_id", "claim_no"], "left").withColumn("supported", F.col("source_no").isNotNull())
 
 
 def best_window(text: Column, claim: Column, width: int = 100, step: int = 1) -> Column:

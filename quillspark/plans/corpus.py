@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspark.functions import catalogues as cat
 from quillspark.functions.text import count_of, squeeze
 from quillspark.operators import extract as X
 from quillspark.operators import prepare as D
@@ -96,15 +97,21 @@ def d1_paragraphs(spark, d):
 THREE = r"""l AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\n'), lambda x: trim(x) <> '') AS ls FROM documents)"""
 
 
-@query(rf"""WITH {THREE} SELECT doc_id,
- (len(ls) >= 3 AND len(list_filter(ls, lambda x: len(regexp_extract_all(x, '\d+(?:\.\d+)?(?:\s*[-–]\s*\d+(?:\.\d+)?)?')) >= 2)) >= 0.5 * len(ls)) AS numeric_columns,
- (len(list_filter(ls, lambda x: contains(x, '|'))) >= 2 AND len(list_filter(ls, lambda x: regexp_matches(x, '^[\s|:-]+$'))) > 0) AS piped FROM l""")
+def any_of(c, patterns, flags):
+    return "(" + " OR ".join(f"regexp_matches({c}, '{p}', '{flags}')" for p in patterns) + ")"
+
+
+IS_TABLE = rf"""(len(ls) >= 2 AND ((len(list_filter(ls, lambda x: contains(x, '|'))) >= 2 AND len(list_filter(ls, lambda x: regexp_matches(x, '^[\s|:-]+$'))) > 0)
+ OR len(list_filter(ls, lambda x: len(string_split(x, chr(9))) >= 3)) >= 0.7 * len(ls) OR {{headers}}
+ OR (len(ls) >= 3 AND len(list_filter(ls, lambda x: len(regexp_extract_all(x, '{cat.NUMBER_OR_RANGE}')) >= 2)) >= 0.5 * len(ls))))"""
+
+
+@query(rf"""WITH {THREE} SELECT l.doc_id, {IS_TABLE.format(headers=any_of("text", cat.TABLE_HEADERS, "i"))} AS is_table, len(ls) >= 3 AND len(list_filter(ls, lambda x: len(regexp_extract_all(x, '{cat.NUMBER_OR_RANGE}')) >= 2)) >= 0.5 * len(ls) AS numeric_columns FROM l JOIN documents USING (doc_id)""")
 def d2_table_tests(spark, d):
     from quillspark.functions.text import lines
 
-    ls = lines(F.col("text"))
-    piped = (F.size(F.filter(ls, lambda x: x.contains("|"))) >= 2) & F.exists(ls, lambda x: x.rlike(r"^[\s|:-]+$"))
-    return T(spark, d, "documents").select("doc_id", D.numeric_columns(ls).alias("numeric_columns"), piped.alias("piped"))
+    c = F.coalesce("text", F.lit(""))
+    return T(spark, d, "documents").select("doc_id", D.is_table(c).alias("is_table"), D.numeric_columns(lines(c)).alias("numeric_columns"))
 
 
 @query(rf"""WITH {THREE} SELECT doc_id, CASE WHEN len(ls) >= 2 THEN CASE WHEN len(list_filter(ls, lambda x: regexp_matches(x, '^\s*[-•*◦▪]\s+'))) >= 0.6 * len(ls) THEN 'bullet'
@@ -113,11 +120,46 @@ def d2_list_kind(spark, d):
     return T(spark, d, "documents").select("doc_id", D.list_kind(F.col("text")).alias("kind"))
 
 
-@query()
+#: Four documents are the pages of one here: a list, a table with a footnote, and two of paragraphs.
+MANUAL = r"""m AS (SELECT doc_id // 4 AS doc_id, (doc_id % 4)::INT AS page, CASE doc_id % 4 WHEN 0 THEN '- ' || replace(text, chr(10), chr(10) || '- ') WHEN 1 THEN text || chr(10) || chr(10) || 'Note 1: as above.' ELSE replace(text, chr(10), chr(10) || chr(10)) END AS text FROM documents)"""
+HEADERS = [r"\bthe\b.*\band\b"]
+
+
+def semantic_pages(spark, d):
+    t, nl = F.col("text"), F.lit("\n")
+    text = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("- "), F.replace(t, nl, F.lit("\n- ")))).when(F.col("doc_id") % 4 == 1, F.concat(t, F.lit("\n\nNote 1: as above."))).otherwise(F.replace(t, nl, F.lit("\n\n")))
+    return T(spark, d, "documents").select(F.floor(F.col("doc_id") / 4).alias("doc_id"), (F.col("doc_id") % 4).cast("int").alias("page"), text.alias("text"))
+
+
+BLOCKS_SQL = rf"""{MANUAL}, c0 AS (SELECT doc_id, page, regexp_split_to_array(coalesce(text, ''), '\n\n+') AS a FROM m WHERE length(trim(coalesce(text, ''))) >= 50), c1 AS (SELECT doc_id, page, unnest(range(0, len(a)))::INT AS block_no, unnest(a) AS x FROM c0),
+c2 AS (SELECT doc_id, page, block_no, trim(regexp_replace(x, '^\s+|\s+$', '', 'g')) AS block FROM c1), c3 AS (SELECT *, list_filter(string_split(block, chr(10)), lambda x: trim(x) <> '') AS ls FROM c2 WHERE block <> ''),
+c4 AS (SELECT *, {IS_TABLE.format(headers=any_of("block", HEADERS, "i"))} AS tb, len(ls) BETWEEN 1 AND 10 AND len(list_filter(ls, lambda x: {any_of("x", cat.FOOTNOTES_CASED, "c")} OR {any_of("x", cat.FOOTNOTES, "i")})) >= 0.5 * len(ls) AS fn,
+ len(ls) >= 2 AND (len(list_filter(ls, lambda x: regexp_matches(x, '^\s*[-•*◦▪]\s+'))) >= 0.6 * len(ls) OR len(list_filter(ls, lambda x: regexp_matches(x, '^\s*\d+[.)]\s+'))) >= 0.6 * len(ls)) AS li,
+ coalesce({", ".join(f"nullif(trim(regexp_extract(block, '{p}', {g})), '')" for p, g in cat.HEADINGS)}) AS st FROM c3),
+c5 AS (SELECT *, sum(tb::INT) OVER (PARTITION BY doc_id ORDER BY page, block_no) AS tables FROM c4),
+bl AS (SELECT doc_id, page, block_no, block, CASE WHEN tb THEN 'table' WHEN tables > 0 AND fn THEN 'footnote' WHEN li THEN 'list' WHEN length(block) < 100 AND st IS NOT NULL THEN 'heading' ELSE 'text' END AS kind, CASE WHEN NOT tb AND NOT (tables > 0 AND fn) AND NOT li AND length(block) < 100 THEN st END AS title FROM c5),
+f1 AS (SELECT *, max(CASE WHEN kind = 'table' THEN page * 1000000 + block_no END) OVER (PARTITION BY doc_id ORDER BY page, block_no) AS lt FROM bl),
+f2 AS (SELECT *, CASE WHEN kind = 'footnote' AND lt // 1000000 = page THEN lt % 1000000 ELSE block_no END AS own FROM f1),
+ab AS (SELECT doc_id, page, own::INT AS block_no, string_agg(block, chr(10) || chr(10) ORDER BY block_no) AS block, arg_min(kind, block_no) AS kind, arg_min(title, block_no) FILTER (block_no = own) AS title, count(*) > 1 AS has_footnotes FROM f2 GROUP BY 1, 2, 3)"""
+
+SEMANTIC_SQL = rf"""{BLOCKS_SQL}, s1 AS (SELECT doc_id, page, arg_max(title, block_no) FILTER (title IS NOT NULL) AS own, max(title) AS title, string_agg(block, chr(10) || chr(10) ORDER BY block_no) FILTER (kind NOT IN ('table', 'list')) AS rest FROM ab GROUP BY 1, 2),
+s2 AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page) AS section FROM s1),
+u AS (SELECT doc_id, page, block_no, block, kind, NULL AS title, has_footnotes AS notes FROM ab WHERE kind IN ('table', 'list') UNION ALL SELECT doc_id, page, -1, rest, 'text', title, false FROM s2 WHERE length(rest) >= 800),
+v AS (SELECT *, kind IN ('table', 'list') AND length(block) <= CASE kind WHEN 'table' THEN 3500 ELSE 2500 END AS whole, list_filter(string_split(block, chr(10)), lambda x: trim(x) <> '') AS ls FROM u),
+h AS (SELECT *, list_transform(ls[1:5], lambda x: trim(x)) AS five FROM v), h1 AS (SELECT *, list_min(list_filter(range(2, len(five) + 1), lambda i: regexp_matches(five[i], '{cat.DATA_ROW}'))) AS cut FROM h),
+h2 AS (SELECT *, CASE WHEN kind = 'table' AND NOT whole AND len(ls) >= 3 THEN array_to_string(CASE WHEN cut IS NOT NULL THEN five[1:cut - 1] ELSE five END, chr(10)) ELSE '' END AS head FROM h1),
+w AS (SELECT *, CASE kind WHEN 'table' THEN greatest(1500 - length(head) - 1, 300) ELSE 1500 END AS width FROM h2),
+x1 AS (SELECT *, unnest(range(0, CASE WHEN NOT whole AND length(block) > width THEN ceil((length(block) - width) / (width - 200))::INT + 1 ELSE 1 END))::INT AS chunk_no FROM w),
+x2 AS (SELECT *, CASE WHEN whole THEN block ELSE trim(substring(block, (chunk_no * (width - 200) + 1)::INT, width::INT)) END AS piece FROM x1),
+x3 AS (SELECT *, CASE WHEN NOT whole AND chunk_no > 0 AND head <> '' THEN head || chr(10) || piece ELSE piece END AS content FROM x2 WHERE whole OR length(piece) > 50)
+SELECT x3.doc_id, x3.page, block_no, chunk_no, CASE WHEN kind = 'text' AND x3.title IS NOT NULL AND length(content) < 150 THEN 'heading' ELSE kind END AS kind,
+ CASE WHEN kind = 'text' THEN 0.75 WHEN kind = 'table' AND whole THEN CASE WHEN notes THEN 0.98 ELSE 0.95 END WHEN kind = 'table' THEN 0.85 WHEN whole THEN 0.9 ELSE 0.8 END::DOUBLE AS confidence, length(content)::INT AS chars, md5(content) AS digest, section, {{flag}} AS has_codes FROM x3 JOIN s2 USING (doc_id, page)"""
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT doc_id, page, block_no, kind, title FROM bl")
 def d2_classify_blocks(spark, d):
-    docs = T(spark, d, "documents").select("doc_id", "text", F.lit(1).alias("page"))
-    blocks = D.paragraphs(docs, "text", ["doc_id", "page"], r"\n")
-    return D.classify_blocks(blocks, "doc_id", "page").groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+    blocks = D.paragraphs(semantic_pages(spark, d).where(F.length(F.trim("text")) >= 50), "text", ["doc_id", "page"])
+    return D.classify_blocks(blocks, "doc_id", "page", HEADERS).select("doc_id", "page", "block_no", "kind", "title")
 
 
 @query(rf"""WITH {PARAGRAPHS}, h AS (SELECT *, CASE WHEN length(block) < 100 AND block_no % 3 = 0 THEN left(block, 20) END AS title, block_no // 5 AS page FROM b),
@@ -147,13 +189,32 @@ def d6_legacy_chunks(spark, d):
     return D.window_chunks(T(spark, d, "documents"), "text", ["doc_id"], 1000, 200, keep_single=True)
 
 
-@query()
+FLAG = r"""(regexp_matches(coalesce(text, ''), '\bUNS\s+[A-Z]\d{5}\b|\bASTM\s+[A-Z]\d{2,4}\b|\bAPI\s+\d+[A-Z]?\b|\bNACE\s+[A-Z]{2}\d{4}\b', 'i') OR regexp_matches(coalesce(text, ''), '\b[A-Z]{2,4}\s*\d{3,4}[A-Z]?\b|\b\d{3}[A-Z]?L?\b'))"""
+
+
+SEMANTIC_SQL = SEMANTIC_SQL.replace("{flag}", FLAG.replace("text", "content"))
+
+
+def semantic(pages):
+    return D.semantic_chunks(pages, "doc_id", "page", "text", headers=HEADERS)
+
+
+@query(f"WITH {SEMANTIC_SQL}")
 def d9_semantic_chunks(spark, d):
-    docs = T(spark, d, "documents").select("doc_id", F.lit(1).alias("page"), "text")
-    return D.semantic_chunks(docs, "doc_id", "page", "text", r"\n").select("doc_id", "block_no", "chunk_no", "kind", "confidence", F.length("content").alias("chars"), "section", "has_codes")
+    return semantic(semantic_pages(spark, d)).select("doc_id", "page", "block_no", "chunk_no", "kind", "confidence", F.length("content").alias("chars"), F.md5("content").alias("digest"), "section", "has_codes")
 
 
-FLAG = r"""(regexp_matches(coalesce(text, ''), '\bUNS\s+[A-Z]\d{5}\b|\bASTM\s+[A-Z]\d{2,4}\b|\bAPI\s+\d+[A-Z]?\b|\bNACE\s+[A-Z]{2}\d{4}\b', 'i') OR regexp_matches(coalesce(text, ''), '\b[A-Z]{2,4}\s*\d{3,4}[A-Z]?\b|\b\d{3}[A-Z]?L?\b'))"""
+@query(f"WITH x AS (WITH {SEMANTIC_SQL}) SELECT doc_id, page, block_no, count(*) AS pieces, sum(chars)::BIGINT AS chars FROM x WHERE kind = 'table' AND confidence = 0.85 GROUP BY 1, 2, 3")
+def d7_split_tables(spark, d):
+    """Tables too long for one chunk: their pieces, each under the header."""
+    c = semantic(semantic_pages(spark, d)).where("kind = 'table' AND confidence = 0.85")
+    return c.groupBy("doc_id", "page", "block_no").agg(F.count("*").alias("pieces"), F.sum(F.length("content")).alias("chars"))
+
+
+@query(f"WITH x AS (WITH {SEMANTIC_SQL}) SELECT doc_id, page, block_no, confidence, count(*) AS pieces, sum(chars)::BIGINT AS chars FROM x WHERE kind = 'list' GROUP BY 1, 2, 3, 4")
+def d8_list_chunks(spark, d):
+    c = semantic(semantic_pages(spark, d)).where("kind = 'list'")
+    return c.groupBy("doc_id", "page", "block_no", "confidence").agg(F.count("*").alias("pieces"), F.sum(F.length("content")).alias("chars"))
 
 
 @query(f"SELECT doc_id, {FLAG} AS has_codes FROM documents")
@@ -282,11 +343,11 @@ def s7_spec_facts(spark, d):
     return S.spec_facts(T(spark, d, "part").select(F.col("p_partkey").alias("standard"), F.to_json(F.create_map("p_brand", props)).alias("grades")))
 
 
-@query()
+@query(f"WITH {BLOCKS_SQL} SELECT doc_id, page, block_no, kind, title, has_footnotes, md5(block) AS digest FROM ab")
 def d3_attach_footnotes(spark, d):
-    docs = T(spark, d, "documents").select("doc_id", "text", F.lit(1).alias("page"))
-    blocks = D.classify_blocks(D.paragraphs(docs, "text", ["doc_id", "page"], r"\n"), "doc_id", "page", ["tion the"])
-    return D.attach_footnotes(blocks, "doc_id", "page").groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.count_if("has_footnotes").alias("with_footnotes"))
+    blocks = D.paragraphs(semantic_pages(spark, d).where(F.length(F.trim("text")) >= 50), "text", ["doc_id", "page"])
+    a = D.attach_footnotes(D.classify_blocks(blocks, "doc_id", "page", HEADERS), "doc_id", "page")
+    return a.select("doc_id", "page", "block_no", "kind", "title", "has_footnotes", F.md5("block").alias("digest"))
 
 
 @query(r"""WITH f AS (SELECT page_id, url, length(coalesce(html, '')) AS n FROM pages) SELECT page_id, CASE WHEN trim(coalesce(url, '')) = '' THEN 'no name' WHEN page_id % 5 = 0 THEN 'content type' WHEN n > 3000 THEN 'too large' WHEN page_id % 3 = 0 THEN 'not a pdf' END AS reason,

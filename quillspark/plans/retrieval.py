@@ -59,7 +59,11 @@ def r3_lexical_scores(spark, d):
     return R.lexical_scores(terms(spark, d), postings(spark, d), size).withColumn("bm25_score", F.round("bm25_score", 6))
 
 
-@query()
+@query(f"""WITH {LEX}, nd AS (SELECT query_id, count(*) AS need FROM qt GROUP BY 1), mp AS (SELECT query_id, chunk_id, need FROM (SELECT query_id, chunk_id, count(*) AS have FROM qt JOIN pp USING (term) GROUP BY 1, 2) JOIN nd USING (query_id) WHERE have = need),
+ix AS (SELECT chunk_id, unnest(range(0, len(ts))) AS p, unnest(ts) AS term FROM dt), w AS (SELECT mp.query_id, mp.chunk_id, need, qt.term, p FROM mp JOIN qt USING (query_id) JOIN ix ON ix.chunk_id = mp.chunk_id AND ix.term = qt.term),
+la AS (SELECT x.query_id, x.chunk_id, x.need, x.p, y.term, max(y.p) AS last FROM w x JOIN w y ON x.query_id = y.query_id AND x.chunk_id = y.chunk_id AND y.p <= x.p GROUP BY 1, 2, 3, 4, 5),
+lo AS (SELECT query_id, chunk_id, need, p, min(last) AS low FROM la GROUP BY 1, 2, 3, 4 HAVING count(*) = need), sp AS (SELECT query_id, chunk_id, need, low, min(p) AS p FROM lo GROUP BY 1, 2, 3, 4),
+su AS (SELECT query_id, chunk_id, sum(1 / (p - low - need + 2)) AS r FROM sp GROUP BY 1, 2) SELECT query_id, chunk_id, r / (r + 1) AS bm25_score FROM su""")
 def r3_cover_scores(spark, d):
     return R.cover_scores(terms(spark, d), postings(spark, d, True))
 
@@ -259,7 +263,10 @@ def texts_of_hits(spark, d, k):
     return R.top_k(hybrid(spark, d), k, "combined_score").join(docs.hint("merge"), "chunk_id").withColumn("document_id", F.col("source")).withColumn("page_number", F.col("chunk_id") % 5)
 
 
-@query()
+@query(f"""WITH RECURSIVE {HY}, h AS (SELECT query_id, source, chunk_id, rank, list_distinct(regexp_split_to_array(lower(coalesce(text, '')), '\\s+')) AS ws, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS i FROM top JOIN documents ON doc_id = chunk_id WHERE rank <= 20),
+k AS (SELECT query_id, source, i, [ws] AS kept, true AS good FROM h WHERE i = 1 UNION ALL
+ SELECT query_id, source, i, CASE WHEN ok THEN list_append(kept, ws) ELSE kept END, ok FROM (SELECT h.*, kept, len(list_filter(kept, lambda o: len(list_intersect(h.ws, o)) > 0.8 * (len(h.ws) + len(o) - len(list_intersect(h.ws, o))))) = 0 AS ok FROM k JOIN h ON h.query_id = k.query_id AND h.source = k.source AND h.i = k.i + 1))
+SELECT query_id, chunk_id, rank FROM h JOIN k USING (query_id, source, i) WHERE good""")
 def r23_suppress_overlap(spark, d):
     return R.suppress_overlap(texts_of_hits(spark, d, 20), "content").select("query_id", "chunk_id", "rank")
 
@@ -328,9 +335,16 @@ def p4_dedup_savings(spark, d):
     return P.dedup_savings(decisions(spark, d), "n_chars")
 
 
-@query(r"""WITH s AS (SELECT doc_id AS id, list_sort(list_distinct(regexp_split_to_array(trim(lower(coalesce(text, ''))), '\s+'))) AS ws FROM documents), g AS (SELECT ws, min(id) AS id FROM s GROUP BY ws),
-p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.ws, b.ws)) AS n, len(a.ws) AS na, len(b.ws) AS nb FROM g a JOIN g b ON a.id < b.id AND least(len(a.ws), len(b.ws)) >= 0.8 * greatest(len(a.ws), len(b.ws))) SELECT a, b, round(n / (na + nb - n), 6) AS similarity FROM p WHERE n / (na + nb - n) > 0.8""")
+NEAR = r"""s AS (SELECT doc_id AS id, list_sort(list_distinct(regexp_split_to_array(trim(lower(coalesce(text, ''))), '\s+'))) AS ws FROM documents), g AS (SELECT ws, min(id) AS id FROM s GROUP BY ws),
+p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.ws, b.ws)) AS n, len(a.ws) AS na, len(b.ws) AS nb FROM g a JOIN g b ON a.id < b.id AND least(len(a.ws), len(b.ws)) >= 0.8 * greatest(len(a.ws), len(b.ws)))"""
+
+
+@query(f"WITH {NEAR} SELECT a, b, round(n / (na + nb - n), 6) AS similarity FROM p WHERE n / (na + nb - n) > 0.8")
 def p5_near_duplicates(spark, d):
-    return P.near_duplicates(T(spark, d, "documents"), "text", "doc_id").withColumn("similarity", F.round("similarity", 6))
+    return P.near_duplicates(T(spark, d, "documents"), "text", "doc_id")[0].withColumn("similarity", F.round("similarity", 6))
 
 
+@query(f"""WITH {NEAR}, l AS (SELECT unnest([a, b]) AS class_id FROM p WHERE n / (na + nb - n) > 0.8), c AS (SELECT class_id, count(*) AS links FROM l GROUP BY 1)
+SELECT s.id AS doc_id, g.id AS class_id, coalesce(links, 0) AS links FROM s JOIN g ON s.ws = g.ws LEFT JOIN c ON c.class_id = g.id""")
+def p5_near_classes(spark, d):
+    return P.near_classes(T(spark, d, "documents"), "text", "doc_id")

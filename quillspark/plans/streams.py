@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from quillspark.operators import prepare as D
+from quillspark.plans.corpus import SEMANTIC_SQL, semantic, semantic_pages
+from quillspark.sources.corpus import read_chunks
 from quillspark.sources.corpus import read_table as T
 from quillspark.streaming import events as S
 
@@ -25,7 +28,9 @@ def at(c):
     return F.date_format(c, "yyyy-MM-dd HH:mm").alias("start")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id || '/' || event_type AS key, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) AS i FROM events),
+w AS (SELECT key, i, ts, ts AS since FROM e WHERE i = 1 UNION ALL SELECT e.key, e.i, e.ts, CASE WHEN epoch(e.ts) - epoch(since) >= 86400 THEN e.ts ELSE since END FROM w JOIN e ON e.key = w.key AND e.i = w.i + 1),
+n AS (SELECT key, row_number() OVER (PARTITION BY key, since ORDER BY i) AS nth FROM w) SELECT key, count(*) AS n, count(*) FILTER (nth <= 2)::BIGINT AS allowed FROM n GROUP BY key""")
 def t1_rate_limit_anchored(spark, d):
     e = T(spark, d, "events").withColumn("key", F.concat_ws("/", "user_id", "event_type"))
     return S.rate_limit_anchored(e, "key", "ts", 86_400.0, 2).groupBy("key").agg(F.count("*").alias("n"), F.count_if("decision").alias("allowed"))
@@ -41,7 +46,9 @@ def t2_rate_limit_sliding(spark, d):
     return S.rate_limit_sliding(T(spark, d, "events"), "user_id", "ts", 21_600, 2).select("event_id", "n", "over")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id || '/' || event_type AS key, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) AS i FROM events),
+w AS (SELECT key, i, ts AS since, false AS hit FROM e WHERE i = 1 UNION ALL SELECT e.key, e.i, CASE WHEN epoch(e.ts) - epoch(since) > 43200 THEN e.ts ELSE since END, epoch(e.ts) - epoch(since) <= 43200 FROM w JOIN e ON e.key = w.key AND e.i = w.i + 1)
+SELECT key, count(*) AS n, count(*) FILTER (hit)::BIGINT AS hits FROM w GROUP BY key""")
 def t3_repeat_queries(spark, d):
     key = F.concat_ws("/", "user_id", "event_type")
     return S.repeat_queries(T(spark, d, "events"), key, "ts", 43_200.0).groupBy("key").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
@@ -64,9 +71,20 @@ def t6_windowed_slo(spark, d):
     return s.select(at("start"), "n", "p95", F.round("error_percent", 6).alias("error_percent"), "slow", "failing")
 
 
-@query("SELECT page_id, count(*) AS chunks FROM (SELECT page_id, unnest(range(0, CASE WHEN length(html) > 1500 THEN ceil((length(html) - 1500) / 1300.0)::INT + 1 ELSE 1 END)) AS i, html FROM pages WHERE length(html) > 0) WHERE length(trim(substring(html, (i * 1300 + 1)::INT, 1500))) > 50 GROUP BY 1")
+def folder(spark):
+    """A new folder beside the written tables."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/store-{uuid.uuid4().hex}"
+
+
+@query(f"WITH x AS (WITH {SEMANTIC_SQL}" + """) SELECT doc_id, kind, count(*) AS chunks, sum(chars)::BIGINT AS chars FROM x GROUP BY 1, 2""")
 def t7_ingest(spark, d):
-    return D.window_chunks(T(spark, d, "pages"), "html", ["page_id"]).groupBy("page_id").agg(F.count("*").alias("chunks"))
+    """The work of the ingest stream on two batches of documents that overlap: semantic chunks, each document once."""
+    path, pages = folder(spark), semantic_pages(spark, d)
+    chunk = lambda p: semantic(p).withColumn("chars", F.length("content")).select("doc_id", "block_no", "chunk_no", "kind", "chars")
+    S.ingest_batch(pages.where("doc_id % 3 > 0"), chunk, path, "doc_id", "a-0")
+    S.ingest_batch(pages, chunk, path, "doc_id", "a-1")
+    return read_chunks(spark, path).groupBy("doc_id", "kind").agg(F.count("*").alias("chunks"), F.sum("chars").alias("chars"))
 
 
 @query("SELECT user_id, strftime(date_trunc('month', ts), '%Y-%m') AS period, count(*) AS used, count(*) > 60 AS over FROM events GROUP BY 1, 2")
@@ -86,4 +104,7 @@ def t10_index_pairs(spark, d):
     from quillspark.operators.extract import codes
 
     c = F.array_distinct(codes(F.col("text"), [("(?-i)" + r"\b[A-Z]{3,}\b", 0)]))
-    return T(spark, d, "documents").select("doc_id", F.explode(c).alias("code")).distinct()
+    path, docs = folder(spark), T(spark, d, "documents")
+    S.index_batch(docs.where("doc_id % 2 = 0"), c, "doc_id", path, "a-0")
+    S.index_batch(docs, c, "doc_id", path, "a-1")
+    return read_chunks(spark, path)

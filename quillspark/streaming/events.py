@@ -34,6 +34,23 @@ def rate_limit_sliding(df: DataFrame, key: str, ts: str, seconds: int, limit: in
     return df.withColumn("n", F.count("*").over(w)).withColumn("over", F.col("n") > limit)
 
 
+def in_sequence(d: DataFrame, schema: str, fresh, step) -> DataFrame:
+    """Run ``step(rows, key, state) -> (rows, state)`` over each key's rows in order of ts. Keys are dealt to tasks and
+    sorted there; a key's state goes from one Arrow batch to the next, so a long key is never held whole."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = object(), None
+        for b in batches:
+            for key, rows in b.groupby("key", sort=False, dropna=False):
+                key = None if key != key else key
+                if key != at:
+                    at, state = key, fresh()
+                out, state = step(rows, key, state)
+                yield out
+
+    return d.repartition("key").sortWithinPartitions("key", "ts").mapInPandas(run, schema)
+
+
 ANCHORED = "key string, ts timestamp, decision boolean, remaining int, retry_after double"
 
 
@@ -53,7 +70,7 @@ def _anchored(pdf: pd.DataFrame, key: str, state: list, seconds: float, limit: i
 def rate_limit_anchored(df: DataFrame, key: str, ts: str, seconds: float, limit: int) -> DataFrame:
     """Decision, remaining calls and seconds to wait for each request; batch twin of ``rate_limit_anchored_stream``."""
     d = df.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"))
-    return d.groupBy("key").applyInPandas(lambda k, g: _anchored(g, k[0], [None, 0], seconds, limit)[0], ANCHORED)
+    return in_sequence(d, ANCHORED, lambda: [None, 0], lambda g, k, state: _anchored(g, k, state, seconds, limit))
 
 
 def rate_limit_anchored_stream(df: DataFrame, key: str, ts: str, seconds: float, limit: int, watermark: str = "10 minutes") -> DataFrame:
@@ -92,7 +109,7 @@ def _repeats(pdf: pd.DataFrame, key: str, stored, ttl: float, inclusive: bool) -
 def repeat_queries(df: DataFrame, key: Column, ts: str, ttl: float, inclusive: bool = True) -> DataFrame:
     """Whether each query's key was stored at most ``ttl`` seconds ago; batch twin of ``repeat_queries_stream``."""
     d = df.select(key.cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"))
-    return d.groupBy("key").applyInPandas(lambda k, g: _repeats(g, k[0], None, ttl, inclusive)[0], REPEATS)
+    return in_sequence(d, REPEATS, lambda: None, lambda g, k, stored: _repeats(g, k, stored, ttl, inclusive))
 
 
 def repeat_queries_stream(df: DataFrame, key: Column, ts: str, ttl: float, inclusive: bool = True, watermark: str = "10 minutes") -> DataFrame:
@@ -205,11 +222,13 @@ def ingest_stream(pages: DataFrame, chunk, path: str, key: str, checkpoint: str)
     return pages.writeStream.foreachBatch(lambda b, n: ingest_batch(b, chunk, path, key, batch_name(checkpoint, n))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def index_refresh(docs: DataFrame, codes: Column, doc: str, path: str, checkpoint: str, trigger: dict | None = None):
-    """Keep (code, document) pairs of all documents seen so far; readers group them by code."""
+def index_batch(docs: DataFrame, codes: Column, doc: str, path: str, batch: str | None = None) -> None:
+    """Add the (code, document) pairs of some documents to an index that doesn't have them."""
     from quillspark.sources.corpus import store_chunks
 
-    def add(batch: DataFrame, n: int) -> None:
-        store_chunks(batch.select(doc, F.explode(codes).alias("code")).distinct(), path, [doc, "code"], batch_name(checkpoint, n))
+    store_chunks(docs.select(doc, F.explode(codes).alias("code")).distinct(), path, [doc, "code"], batch)
+
 
-    return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+def index_refresh(docs: DataFrame, codes: Column, doc: str, path: str, checkpoint: str, trigger: dict | None = None):
+    """Keep (code, document) pairs of all documents seen so far; readers group them by code."""
+    return docs.writeStream.foreachBatch(lambda b, n: index_batch(b, codes, doc, path, batch_name(checkpoint, n))).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
