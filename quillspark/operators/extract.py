@@ -92,12 +92,14 @@ MEASUREMENTS = [("stress", r"(\d+(?:\.\d+)?)\s*(ksi|MPa)", 1, 2), ("percent", r"
 def quantities(c: Column, patterns: list | None = None) -> Column:
     """array<struct<value, unit, original>>: numbers with units, in order of pattern and place; commas go, and of a
     fraction or a range the first number counts. Of equal (value, unit) the first stays."""
-    found = []
-    for p, v, u in patterns or QUANTITIES:
-        part = lambda x, g, p=p: F.regexp_extract(x, pattern(p, True), g)
-        number = lambda x, v=v, part=part: F.regexp_extract(F.replace(part(x, v), F.lit(","), F.lit("")), r"^\d+(?:\.\d+)?", 0).cast("double")
-        # the text is scanned once; number and unit are taken from each short match
-        found.append(F.transform(find_all(c, p), lambda x, u=u, part=part, number=number: F.struct(number(x).alias("value"), part(x, u).alias("unit"), x.alias("original"))))
+
+    def of(p: str, v: int, u: int) -> Column:
+        """The text is scanned once; number and unit are taken from each short match."""
+        part = lambda x, g: F.regexp_extract(x, pattern(p, True), g)
+        number = lambda x: F.regexp_extract(F.replace(part(x, v), F.lit(","), F.lit("")), r"^\d+(?:\.\d+)?", 0).cast("double")
+        return F.transform(find_all(c, p), lambda x: F.struct(number(x).alias("value"), part(x, u).alias("unit"), x.alias("original")))
+
+    found = [of(*x) for x in patterns or QUANTITIES]
     every = F.flatten(F.array(*found))
     key = lambda x: F.struct(x["value"], x["unit"])
     seen = F.transform(every, key)

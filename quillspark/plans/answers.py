@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from quillspark.operators import evaluate as E
 from quillspark.operators import verify as V
@@ -40,42 +41,59 @@ def v1_ground_answers(spark, d):
     return V.ground_answers(*pairs(spark, d), QTY).drop("ungrounded")
 
 
-@query(r"""SELECT conv_id, turn, false AS structured, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\n\n+'), lambda p: regexp_matches(p, '\[\d+\]')))::INT AS claims FROM conversations WHERE role = 'assistant' AND NOT contains(coalesce(text, ''), '{')""")
+@query(r"""WITH a AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, conv_id % 3 = 0 AS structured, CASE WHEN conv_id % 3 = 0 THEN 2 ELSE len(list_filter(regexp_split_to_array(t, '\n\n+'), lambda p: regexp_matches(p, '\[\d+\]'))) END::INT AS claims,
+ CASE WHEN conv_id % 3 = 0 THEN t ELSE coalesce(list_filter(regexp_split_to_array(t, '\n\n+'), lambda p: regexp_matches(p, '\[\d+\]'))[1][1:200], '-') END AS first_claim, CASE WHEN conv_id % 3 = 0 THEN CASE conv_id % 2 WHEN 0 THEN 'high' ELSE 'medium' END END AS level, CASE WHEN conv_id % 3 = 0 THEN turn::DOUBLE END AS number FROM a""")
 def v2_parse_structured(spark, d):
-    a = T(spark, d, "conversations").where("role = 'assistant'").withColumn("text", F.coalesce("text", F.lit(""))).where(~F.contains("text", F.lit("{")))
-    return V.parse_structured(a, "text").select("conv_id", "turn", "structured", F.size("claims").alias("claims"))
+    """A third of the conversations answer in JSON, made from their text; a confidence of no known level is 'medium'."""
+    t = F.coalesce("text", F.lit(""))
+    claim = lambda ref, level, numbers: F.struct(t.alias("claim"), F.lit(ref).alias("source_ref"), level.alias("confidence"), numbers.alias("numerical_values"))
+    number = F.array(F.struct(F.concat(F.col("turn").cast("string"), F.lit(" ksi")).alias("value")))
+    claims = F.array(claim("[1]", F.when(F.col("conv_id") % 2 == 0, "HIGH").otherwise("sure"), number), claim("[2]", F.lit("low"), F.slice(number, 1, 0)))
+    text = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("Here: "), F.to_json(F.struct(t.alias("answer"), claims.alias("claims"))))).otherwise(t)
+    a = V.parse_structured(T(spark, d, "conversations").where("role = 'assistant'").withColumn("text", text), "text")
+    return a.select("conv_id", "turn", "structured", F.size("claims").alias("claims"), F.coalesce(F.get("claims", F.lit(0))["claim"], F.lit("-")).alias("first_claim"), F.when(F.col("structured"), F.get("claims", F.lit(0))["confidence"]).alias("level"), F.when(F.col("structured"), F.get("claims", F.lit(0))["numerical_values"][0]["value"]).alias("number"))
 
 
 PLAIN = r"trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-@query(rf"""WITH p AS (SELECT item_id, doc_id, {PLAIN.format("left(b.text, 40 + item_id % 2 * 60)")} AS q, {PLAIN.format("d.text")} AS s FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id),
-w AS (SELECT *, list_distinct(list_filter(string_split(q, ' '), lambda x: length(x) > 2)) AS ws FROM p)
-SELECT item_id, doc_id, CASE WHEN contains(s, q) THEN 100 WHEN length(q) > 50 THEN CASE WHEN len(ws) > 0 THEN floor(100 * len(list_intersect(ws, string_split(s, ' '))) / len(ws) + 0.5) ELSE 0 END ELSE greatest(0, floor(100.5 - 100 * levenshtein(left(q, 200), left(s, 200)) / length(q))) END::INT AS score FROM w""")
+#: 0 to 100 for the plain quote q and the plain source s.
+MATCH = """CASE WHEN contains({s}, {q}) THEN 100 WHEN length({q}) > 50 THEN CASE WHEN len(list_distinct(list_filter(string_split({q}, ' '), lambda x: length(x) > 2))) > 0
+ THEN floor(100 * len(list_intersect(list_distinct(list_filter(string_split({q}, ' '), lambda x: length(x) > 2)), string_split({s}, ' '))) / len(list_distinct(list_filter(string_split({q}, ' '), lambda x: length(x) > 2))) + 0.5) ELSE 0 END
+ ELSE greatest(0, floor(100.5 - 100 * levenshtein(left({q}, 200), left({s}, 200)) / length({q}))) END::INT"""
+
+
+@query(f"""WITH n AS (SELECT count(*) AS n FROM benchmark), p AS (SELECT item_id, doc_id, {PLAIN.format("b.text")} AS q, {PLAIN.format("d.text")} AS s FROM documents d, n JOIN benchmark b ON d.doc_id % n = b.item_id)
+SELECT item_id, doc_id, {MATCH.format(q="q", s="s")} AS score FROM p""")
 def v3_quote_match(spark, d):
-    b = T(spark, d, "benchmark").select("item_id", F.expr("substring(text, 1, cast(40 + item_id % 2 * 60 as int))").alias("q"))
-    j = T(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id")).join(b, "item_id")
+    """Whole benchmark texts as quotes of whole documents, each document with one of them."""
+    b = T(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
+    n = T(spark, d, "benchmark").agg(F.count("*").alias("n"))
+    j = T(spark, d, "documents").select("doc_id", "text").crossJoin(F.broadcast(n)).withColumn("item_id", F.col("doc_id") % F.col("n")).join(b, "item_id")
     return j.select("item_id", "doc_id", V.quote_match(F.col("q"), F.col("text")).alias("score"))
 
 
 def claim_results(spark, d):
+    """Whole texts as quotes; of ten answers' sources some are missing, some texts are another's, some lack the number."""
     b = T(spark, d, "benchmark")
-    claims = b.select((F.col("item_id") % 10).alias("answer_id"), F.col("item_id").alias("claim_no"), F.format_string("[%d]", F.col("item_id") % 7).alias("source_ref"), F.substring("text", 1, 30).alias("exact_quote"), F.when(F.col("item_id") % 3 == 0, F.array(F.lit(3.0))).alias("numbers"))
-    src = b.where("item_id % 7 < 5").select((F.col("item_id") % 10).alias("answer_id"), F.format_string("[%d]", F.col("item_id") % 7).alias("ref"), F.concat("text", F.lit(" 3")).alias("content"))
+    ref = lambda n: F.format_string("[%d]", n)
+    claims = b.select((F.col("item_id") % 10).alias("answer_id"), F.col("item_id").alias("claim_no"), ref(F.col("item_id") * 3 % 8).alias("source_ref"), F.col("text").alias("exact_quote"), F.when(F.col("item_id") % 3 == 0, F.array((F.col("item_id") % 4).cast("double"))).alias("numbers"))
+    src = b.select((F.col("item_id") % 10).alias("answer_id"), ref(F.col("item_id") % 8).alias("ref"), F.concat("text", F.lit(" "), (F.col("item_id") % 5).cast("string")).alias("content"))
     return V.verify_claims(claims, src.groupBy("answer_id", "ref").agg(F.max("content").alias("content")))
 
 
-CLAIMS = rf"""c AS (SELECT item_id % 10 AS answer_id, item_id AS claim_no, item_id % 7 AS r, left(text, 30) AS quote, item_id % 3 = 0 AS num FROM benchmark), s AS (SELECT item_id % 10 AS answer_id, item_id % 7 AS r, max(text || ' 3') AS content FROM benchmark WHERE item_id % 7 < 5 GROUP BY 1, 2),
+CLAIMS = rf"""c AS (SELECT item_id % 10 AS answer_id, item_id AS claim_no, item_id * 3 % 8 AS r, text AS quote, item_id % 3 = 0 AS num, (item_id % 4)::DOUBLE AS number FROM benchmark), s AS (SELECT item_id % 10 AS answer_id, item_id % 8 AS r, max(text || ' ' || item_id % 5) AS content FROM benchmark GROUP BY 1, 2),
 j AS (SELECT c.*, content, content IS NOT NULL AS found, {PLAIN.format("quote")} AS q, {PLAIN.format("content")} AS p FROM c LEFT JOIN s USING (answer_id, r)),
-v AS (SELECT *, CASE WHEN NOT found THEN 0 WHEN quote = '' THEN 100 WHEN contains(p, q) THEN 100 ELSE greatest(0, floor(100.5 - 100 * levenshtein(left(q, 200), left(p, 200)) / length(q))) END::INT AS quote_score FROM j), k AS (SELECT *, found AND quote_score >= 60 AS verified FROM v)"""
+v AS (SELECT *, CASE WHEN NOT found THEN 0 WHEN quote = '' THEN 100 ELSE {MATCH.format(q="q", s="p")} END::INT AS quote_score, found AND (NOT num OR len(list_filter(regexp_extract_all(coalesce(content, ''), '\d+(?:\.\d+)?'), lambda x: abs(x::DOUBLE - number) < 0.01)) > 0) AS number_ok FROM j), k AS (SELECT *, found AND quote_score >= 60 AND number_ok AS verified FROM v)"""
 
 
-@query(f"WITH {CLAIMS} SELECT answer_id, claim_no, found, quote_score, verified, CASE WHEN NOT found THEN 'source not found' WHEN quote_score < 60 THEN 'quote not in source' END AS discrepancy FROM k")
+@query(f"WITH {CLAIMS} SELECT answer_id, claim_no, found, quote_score, verified, CASE WHEN NOT found THEN 'source not found' WHEN quote_score < 60 THEN 'quote not in source' WHEN NOT number_ok THEN 'number not in source' END AS discrepancy FROM k")
 def v4_verify_claims(spark, d):
     return claim_results(spark, d).select("answer_id", "claim_no", "found", "quote_score", "verified", "discrepancy")
 
 
-SUMMARY = f"""{CLAIMS}, g AS (SELECT answer_id, count(*) AS claims, count(*) FILTER (verified)::BIGINT AS verified, count(*) FILTER (num)::BIGINT AS numeric, count(*) FILTER (num AND found)::BIGINT AS numeric_ok FROM k GROUP BY 1),
+SUMMARY = f"""{CLAIMS}, g AS (SELECT answer_id, count(*) AS claims, count(*) FILTER (verified)::BIGINT AS verified, count(*) FILTER (num)::BIGINT AS numeric, count(*) FILTER (num AND number_ok)::BIGINT AS numeric_ok FROM k GROUP BY 1),
 r AS (SELECT *, CASE WHEN claims = 0 THEN 100.0 ELSE 100.0 * verified / claims END AS cr, CASE WHEN numeric = 0 THEN 100.0 ELSE 100.0 * numeric_ok / numeric END AS nr FROM g),
 su AS (SELECT answer_id, claims, verified, numeric, numeric_ok, floor(0.6 * cr + 0.4 * nr + 0.5)::INT AS confidence, 0.6 * cr + 0.4 * nr >= 70 AND numeric = numeric_ok AS passed FROM r)"""
 
@@ -156,19 +174,22 @@ def v15_refinement_warnings(spark, d):
     return T(spark, d, "documents").select("doc_id", F.array_contains(w, "unknown source cited").alias("unknown_source"))
 
 
-@query(r"""WITH c AS (SELECT item_id % 5 AS answer_id, item_id AS claim_no, regexp_split_to_array(trim(lower(left(text, 60))), '\s+') AS ws FROM benchmark), s AS (SELECT doc_id % 5 AS answer_id, doc_id AS source_no, lower(coalesce(text, '')) AS t FROM documents WHERE doc_id % 3 = 0),
-h AS (SELECT answer_id, claim_no, source_no, len(list_filter(ws, lambda w: length(w) > 3 AND contains(t, w))) / len(ws) AS share FROM c JOIN s USING (answer_id)), f AS (SELECT * FROM h WHERE share > 0.5 QUALIFY row_number() OVER (PARTITION BY answer_id, claim_no ORDER BY source_no) = 1)
+@query(r"""WITH c AS (SELECT item_id % 25 AS answer_id, item_id AS claim_no, regexp_split_to_array(trim(lower(text)), '\s+') AS ws FROM benchmark), s AS (SELECT doc_id % 25 AS answer_id, doc_id AS source_no, lower(coalesce(text, '')) AS t FROM documents),
+h AS (SELECT answer_id, claim_no, source_no, len(list_filter(ws, lambda w: length(w) > 3 AND contains(t, w))) / len(ws) AS share FROM c JOIN s USING (answer_id)), f AS (SELECT * FROM h WHERE share > 0.4 QUALIFY row_number() OVER (PARTITION BY answer_id, claim_no ORDER BY source_no) = 1)
 SELECT answer_id, claim_no, source_no, round(share, 6) AS share, source_no IS NOT NULL AS supported FROM c LEFT JOIN f USING (answer_id, claim_no)""")
 def v16_support_claims(spark, d):
-    c = T(spark, d, "benchmark").select((F.col("item_id") % 5).alias("answer_id"), F.col("item_id").alias("claim_no"), F.substring("text", 1, 60).alias("claim"))
-    s = T(spark, d, "documents").where("doc_id % 3 = 0").select((F.col("doc_id") % 5).alias("answer_id"), F.col("doc_id").alias("source_no"), F.col("text").alias("content"))
-    return V.support_claims(c, s, 0.5).withColumn("share", F.round("share", 6))
+    c = T(spark, d, "benchmark").select((F.col("item_id") % 25).alias("answer_id"), F.col("item_id").alias("claim_no"), F.col("text").alias("claim"))
+    s = T(spark, d, "documents").select((F.col("doc_id") % 25).alias("answer_id"), F.col("doc_id").alias("source_no"), F.col("text").alias("content"))
+    return V.support_claims(c, s, 0.4).withColumn("share", F.round("share", 6))
 
 
-@query()
+@query(r"""WITH b AS (SELECT item_id, coalesce(text, '') AS text, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda w: length(w) > 3)) AS ws FROM benchmark),
+s AS (SELECT *, unnest(range(0, greatest(length(text) - 100, 0) + 1)) AS start FROM b), n AS (SELECT *, len(list_filter(ws, lambda w: contains(lower(text)[start + 1:start + 100], w)))::INT AS score FROM s)
+SELECT item_id, score, start::INT AS start, text[start + 1:start + 100] AS "window" FROM n QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, start) = 1""")
 def v17_best_window(spark, d):
-    w = V.best_window(F.coalesce("text", F.lit("")), F.substring("text", 1, 40), step=5)
-    return T(spark, d, "benchmark").select("item_id", w.alias("w")).select("item_id", "w.*")
+    """The densest window of a whole text, by all of its words."""
+    t = F.coalesce("text", F.lit(""))
+    return T(spark, d, "benchmark").select("item_id", V.best_window(t, t).alias("w")).select("item_id", "w.*")
 
 
 @query(r"""SELECT conv_id, turn, regexp_matches(coalesce(text, ''), '\[\d+\]') AS has_citation, regexp_matches(coalesce(text, ''), 'tion', 'i') AS is_refusal, regexp_matches(coalesce(text, ''), 'tion', 'i') AND turn % 4 <> 1 AS false_refusal FROM conversations WHERE role = 'assistant'""")
@@ -251,6 +272,13 @@ def e8_aggregate_metrics(spark, d):
     return E.aggregate_metrics(with_more(spark, d))
 
 
+@query("WITH c AS (SELECT DISTINCT source FROM documents) SELECT source, chr((64 + row_number() OVER (ORDER BY source))::INT) AS letter FROM c")
+def e9_category_letters(spark, d):
+    """Letters by place among the categories; the distinct categories are few, so one window orders them."""
+    c = T(spark, d, "documents").select("source").distinct()
+    return c.select("source", E.category_letter(F.row_number().over(W.orderBy("source"))).alias("letter"))
+
+
 @query(f"""WITH {PAIR}, r AS (SELECT cs.*, lang, source FROM cs JOIN documents USING (doc_id)), g AS (SELECT lang, source, grouping(lang) AS gl, grouping(source) AS gs, count(*) AS total, count(*) FILTER (a)::BIGINT AS passed FROM r GROUP BY GROUPING SETS ((lang), (source), ()))
 SELECT CASE WHEN gl = 0 THEN 'lang' WHEN gs = 0 THEN 'source' ELSE 'all' END AS dim, coalesce(lang, source) AS value, total, passed, 100 * passed / total AS percent FROM g""")
 def e10_breakdown(spark, d):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillspark.functions import catalogues as cat
@@ -277,16 +279,38 @@ def x5_code_index_chunks(spark, d):
     return X.code_index(docs, "doc_id", X.codes(F.col("source"), [(r"src\d", 0)]), chunks, X.codes(F.col("content"), [(MAIL, 0)]))
 
 
-@query(r"""WITH q AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '(\d+(?:,\d{3})*(?:\.\d+)?)\s*(MPa|ksi|%|mm|in)', 1, 'i')) AS v, unnest(regexp_extract_all(coalesce(text, ''), '(\d+(?:,\d{3})*(?:\.\d+)?)\s*(MPa|ksi|%|mm|in)', 2, 'i')) AS unit FROM documents)
-SELECT DISTINCT doc_id, replace(v, ',', '')::DOUBLE AS value, unit FROM q""")
+MEASURED = "coalesce(text, '') || ' of ' || n_chars || ' MPa, ' || doc_id % 90 || '.5 HRC and 1,' || 100 + doc_id % 7 || ' psi at ' || doc_id % 300 || ' °F, 3/4 in, ' || doc_id % 50 || ' - 60 ksi'"
+
+
+def measured(spark, d):
+    """Documents with a clause of measured values from their own columns."""
+    n = lambda c: c.cast("string")
+    i, w = F.col("doc_id"), F.lit
+    t = F.concat(F.coalesce("text", w("")), w(" of "), n(F.col("n_chars")), w(" MPa, "), n(i % 90), w(".5 HRC and 1,"), n(i % 7 + 100), w(" psi at "), n(i % 300), w(" °F, 3/4 in, "), n(i % 50), w(" - 60 ksi"))
+    return T(spark, d, "documents").select("doc_id", t.alias("text"))
+
+
+def found_sql(p, v, u):
+    return f"SELECT doc_id, regexp_extract(replace(unnest(regexp_extract_all(t, '{p}', {v}, 'i')), ',', ''), '^\\d+(?:\\.\\d+)?')::DOUBLE AS value, unnest(regexp_extract_all(t, '{p}', {u}, 'i')) AS unit FROM e"
+
+
+@query(f"WITH e AS (SELECT doc_id, {MEASURED} AS t FROM documents) SELECT DISTINCT * FROM ({' UNION ALL '.join(found_sql(*x) for x in X.QUANTITIES)})")
 def x8_quantities(spark, d):
-    q = [(r"(\d+(?:,\d{3})*(?:\.\d+)?)\s*(MPa|ksi|%|mm|in)", 1, 2)]
-    return X.extract_quantities(T(spark, d, "documents"), "text", ["doc_id"], q).select("doc_id", "value", "unit")
+    return X.extract_quantities(measured(spark, d), "text", ["doc_id"]).select("doc_id", "value", "unit")
 
 
-@query(r"""WITH q AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '(\d+(?:\.\d+)?)\s*%', 1)) AS v FROM documents) SELECT doc_id, v::DOUBLE AS value, count(*) AS n FROM q GROUP BY 1, 2""")
+@query(f"""WITH e AS (SELECT doc_id, {MEASURED} AS t FROM documents), q AS ({' UNION ALL '.join(f"SELECT doc_id, '{k}' AS kind, value, upper(unit) AS unit FROM ({found_sql(*x)})" for k, *x in X.MEASUREMENTS)}) SELECT doc_id, kind, value, unit, count(*) AS n FROM q GROUP BY 1, 2, 3, 4""")
 def x9_measurements(spark, d):
-    return X.measurements(T(spark, d, "documents"), "text", ["doc_id"]).where("kind = 'percent'").groupBy("doc_id", "value").agg(F.count("*").alias("n"))
+    return X.measurements(measured(spark, d), "text", ["doc_id"]).groupBy("doc_id", "kind", "value", "unit").agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH n AS (SELECT count(*) AS n FROM benchmark), h AS (SELECT doc_id % n AS item_id, bool_or(regexp_matches(coalesce(text, '') || CASE WHEN doc_id % 400 = 1 THEN ' PREN = Cr' ELSE '' END, '=\s*%?\w+\s*[+\-*/]|formula:|equation:|PREN\s*=', 'i')) AS seen FROM documents, n GROUP BY 1)
+SELECT item_id, item_id % 3 > 0 AND NOT coalesce(seen, false) AS guard FROM benchmark LEFT JOIN h USING (item_id)""")
+def x10_formula_guard(spark, d):
+    b = T(spark, d, "benchmark").select("item_id", F.concat("text", F.when(F.col("item_id") % 3 > 0, " Calculate it.").otherwise("")).alias("text"))
+    n = b.agg(F.count("*").alias("n"))
+    hits = T(spark, d, "documents").crossJoin(F.broadcast(n)).select((F.col("doc_id") % F.col("n")).alias("item_id"), F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 400 == 1, " PREN = Cr").otherwise("")).alias("content"))
+    return X.formula_guard(b, hits, "item_id").select("item_id", "guard")
 
 
 @query(r"""SELECT doc_id, regexp_matches(coalesce(text, ''), '=\s*%?\w+\s*[+\-*/]|formula:|equation:|PREN\s*=', 'i') AS has_formula, regexp_matches(lower(coalesce(text, '')), '\b(formula|equation|calculation|calculate|compute|derive)\b') AS asks FROM documents""")
@@ -312,11 +336,13 @@ def s2_page_texts(spark, d):
     return T(spark, d, "pages").select("page_id", strip_tags(F.col("html")).alias("t")).select("page_id", F.length("t").alias("chars"), count_of(F.col("t"), r"\d+").alias("numbers"))
 
 
-@query(r"""WITH e AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), x AS (SELECT doc_id, list_concat(regexp_extract_all(t, '\b(?:section|clause|para(?:graph)?|subsection)\s*(\d+(?:\.\d+)+)', 1, 'i'),
+@query(r"""WITH e AS (SELECT doc_id, coalesce(text, '') || ' Section ' || n_chars % 20 || '.' || doc_id % 10 || CASE WHEN doc_id % 2 = 0 THEN ' says 4.' || doc_id % 7 ELSE '' END AS t FROM documents), x AS (SELECT doc_id, list_concat(regexp_extract_all(t, '\b(?:section|clause|para(?:graph)?|subsection)\s*(\d+(?:\.\d+)+)', 1, 'i'),
  CASE WHEN regexp_matches(t, '\b(?:scope|about|says?|describes?|covers?|regarding|refers?\s+to|meaning\s+of|details?\s+of)\b', 'i') THEN list_filter(regexp_extract_all(t, '\b(\d+\.\d+(?:\.\d+)*)\b', 1), lambda v: coalesce(try_cast(split_part(v, '.', 1) AS INT), 100) < 100) ELSE [] END) AS r FROM e)
 SELECT doc_id, list_sort(list_distinct(r)) AS refs FROM x WHERE len(r) > 0""")
 def x2_section_refs(spark, d):
-    return T(spark, d, "documents").select("doc_id", F.array_sort(X.section_refs(F.coalesce("text", F.lit("")))).alias("refs")).where(F.size("refs") > 0)
+    n = lambda c, m: (F.col(c) % m).cast("string")
+    t = F.concat(F.coalesce("text", F.lit("")), F.lit(" Section "), n("n_chars", 20), F.lit("."), n("doc_id", 10), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" says 4."), n("doc_id", 7))).otherwise(""))
+    return T(spark, d, "documents").select("doc_id", F.array_sort(X.section_refs(t)).alias("refs")).where(F.size("refs") > 0)
 
 
 @query("""WITH q AS (SELECT conv_id, turn, 'A' || (700 + conv_id % 12) AS code FROM conversations), i AS (SELECT 'A' || (700 + doc_id % 9) AS code, list_sort(list(DISTINCT doc_id)) AS docs FROM documents GROUP BY 1) SELECT conv_id, turn, docs AS documents FROM q LEFT JOIN i USING (code)""")
@@ -355,3 +381,50 @@ def d3_attach_footnotes(spark, d):
 def s5_ingest_gate(spark, d):
     f = T(spark, d, "pages").select("page_id", F.col("url").alias("name"), F.length(F.coalesce("html", F.lit(""))).alias("length"), F.when(F.col("page_id") % 5 == 0, "text/html").otherwise("application/pdf").alias("content_type"), F.concat(F.when(F.col("page_id") % 3 == 0, "<html").otherwise("%PDF-"), "html").cast("binary").alias("content"), F.timestamp_seconds(F.lit(1)).alias("at"))
     return S.ingest_gate(f, 3000).select("page_id", "reason", "storage_name")
+
+
+CASES = """b AS (SELECT item_id::VARCHAR AS id, text AS query, [left(text, 5), right(text, 4)] AS expected, CASE WHEN item_id % 2 = 0 THEN ['none'] END AS forbidden, 'c' || item_id % 3 AS category, CASE WHEN item_id % 5 > 0 THEN 'easy' END AS difficulty FROM benchmark)"""
+
+
+@query(f"""WITH {CASES} SELECT 'cases' AS layout, * FROM b UNION ALL SELECT 'pairs', id, query, expected, NULL, NULL, difficulty FROM b UNION ALL SELECT 'stress', id, query, expected, NULL, NULL, difficulty FROM b UNION ALL SELECT 'prompts', id, query, NULL, NULL, category, difficulty FROM b""")
+def s6_golden_cases(spark, d):
+    """The benchmark nested into each of the four layouts, by source file, and read back as cases."""
+    i, t = F.col("item_id"), F.col("text")
+    values = {
+        "id": i.cast("string"), "query": t, "question": t, "expectedPatterns": F.array(F.substring(t, 1, 5), F.expr("right(text, 4)")), "forbiddenPatterns": F.when(i % 2 == 0, F.array(F.lit("none"))),
+        "category": F.concat(F.lit("c"), (i % 3).cast("string")), "difficulty": F.when(i % 5 > 0, "easy"),
+    }
+    values["expected_values"] = values["expectedPatterns"]
+    fields = {"cases": ["id", "query", "expectedPatterns", "forbiddenPatterns", "category", "difficulty"], "pairs": ["id", "question", "expected_values", "difficulty"], "stress": ["id", "question", "expected_values", "difficulty"], "prompts": ["id", "query", "category", "difficulty"]}
+    files, out = T(spark, d, "benchmark").groupBy((i % 4).alias("file")), None
+    for layout, names in fields.items():
+        rows = F.collect_list(F.struct(*[values[n].alias(n) for n in names]))
+        top = {"cases": "testCases", "pairs": "qa_pairs", "prompts": "prompts"}.get(layout)
+        raw = files.agg(rows.alias(top)) if top else files.agg(F.array(F.struct(rows.alias("queries"))).alias("datasets"))
+        one = S.cases_of(raw, layout).select(F.lit(layout).alias("layout"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def new_folder(spark):
+    """A new folder beside the written tables."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/store-{uuid.uuid4().hex}"
+
+
+@query(f"SELECT doc_id, count(*) AS chunks, sum(length(content))::BIGINT AS chars FROM ({windows(1500, 200, False)}) GROUP BY 1")
+def s9_chunk_store(spark, d):
+    """Chunks appended to a store twice over, some of them again: each stays once."""
+    path, chunks = new_folder(spark), D.window_chunks(T(spark, d, "documents"), "text", ["doc_id"])
+    S.store_chunks(chunks.where("doc_id % 2 = 0"), path, ["doc_id"])
+    S.store_chunks(chunks, path, ["doc_id"])
+    return S.read_chunks(spark, path).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("content")).alias("chars"))
+
+
+@query("SELECT 'summary' AS part, 'all' AS name, count(*) AS n FROM events UNION ALL SELECT 'detail', event_type, count(*) FROM events GROUP BY 2")
+def s11_report(spark, d):
+    """A report written, its one-row summary and its detail read back."""
+    path, e = new_folder(spark), T(spark, d, "events")
+    S.write_report(e.agg(F.lit("all").alias("name"), F.count("*").alias("n")), e.groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("n")), path)
+    part = lambda p: spark.read.schema("name string, n long").json(f"{path}/{p}").select(F.lit(p).alias("part"), "name", "n")
+    return part("summary").unionByName(part("detail"))

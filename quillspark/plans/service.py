@@ -185,9 +185,10 @@ def o15_workspace_slugs(spark, d):
     return c.select("c_custkey", O.workspace_slugs(F.col("email"), F.col("c_custkey")).alias("slug"))
 
 
-@query("SELECT c_custkey, 10 AS queries, 1 AS documents, 100 AS api_calls, '2024-02-15' AS period_end FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, 10 AS queries, 1 AS documents, 100 AS api_calls, '2024-02-15' AS period_end FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1996-02-01')")
 def o16_initial_quotas(spark, d):
-    have = T(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    month = (F.col("o_orderdate") >= F.lit("1996-01-01").cast("date")) & (F.col("o_orderdate") < F.lit("1996-02-01").cast("date"))
+    have = T(spark, d, "orders").where(month).select(F.col("o_custkey").alias("c_custkey")).distinct()
     q = O.initial_quotas(T(spark, d, "customer"), have, "c_custkey", F.lit("2024-01-15").cast("date"))
     return q.withColumn("period_end", F.date_format("period_end", "yyyy-MM-dd"))
 
@@ -217,11 +218,10 @@ def g3_requirements_for_family(spark, d):
     return G.requirements_for_family(T(spark, d, "part").select(F.col("p_brand").alias("family")).distinct(), r).select("family", "requirement").distinct()
 
 
-@query("""WITH e AS (SELECT l_partkey AS key, l_suppkey AS dst, min((CASE WHEN l_linenumber = 1 THEN 0 ELSE 1 END) * 1000000000 + l_orderkey) AS a FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 > 0) AND l_partkey % 10 = 0 GROUP BY 1, 2) SELECT key, dst, row_number() OVER (PARTITION BY key ORDER BY a, dst)::INT AS place FROM e""")
+@query("""WITH e AS (SELECT l_partkey AS key, l_suppkey AS dst, min((CASE WHEN l_linenumber = 1 THEN 0 ELSE 1 END) * 1000000000000 + l_orderkey) AS a FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) AND l_partkey IN (SELECT p_partkey FROM part) GROUP BY 1, 2) SELECT key, dst, row_number() OVER (PARTITION BY key ORDER BY a, dst)::INT AS place FROM e""")
 def g4_related_standards(spark, d):
     e = T(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.when(F.col("l_linenumber") == 1, "related").otherwise("references").alias("kind"), F.col("l_orderkey").alias("ord"))
-    keys = T(spark, d, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("key"))
-    return G.related_standards(keys, e, T(spark, d, "supplier").where("s_suppkey % 3 > 0").select(F.col("s_suppkey").alias("key")))
+    return G.related_standards(T(spark, d, "part").select(F.col("p_partkey").alias("key")), e, T(spark, d, "supplier").select(F.col("s_suppkey").alias("key")))
 
 
 @query("SELECT p_partkey, p_brand || ': PREN ' || p_size || '-' || (p_size + 5) AS guidance FROM part")

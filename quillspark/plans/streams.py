@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from quillspark.plans.corpus import SEMANTIC_SQL, semantic, semantic_pages
+from quillspark.plans.corpus import SEMANTIC_SQL, new_folder, semantic, semantic_pages
 from quillspark.sources.corpus import read_chunks
 from quillspark.sources.corpus import read_table as T
 from quillspark.streaming import events as S
@@ -71,16 +69,10 @@ def t6_windowed_slo(spark, d):
     return s.select(at("start"), "n", "p95", F.round("error_percent", 6).alias("error_percent"), "slow", "failing")
 
 
-def folder(spark):
-    """A new folder beside the written tables."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/store-{uuid.uuid4().hex}"
-
-
 @query(f"WITH x AS (WITH {SEMANTIC_SQL}" + """) SELECT doc_id, kind, count(*) AS chunks, sum(chars)::BIGINT AS chars FROM x GROUP BY 1, 2""")
 def t7_ingest(spark, d):
     """The work of the ingest stream on two batches of documents that overlap: semantic chunks, each document once."""
-    path, pages = folder(spark), semantic_pages(spark, d)
+    path, pages = new_folder(spark), semantic_pages(spark, d)
     chunk = lambda p: semantic(p).withColumn("chars", F.length("content")).select("doc_id", "block_no", "chunk_no", "kind", "chars")
     S.ingest_batch(pages.where("doc_id % 3 > 0"), chunk, path, "doc_id", "a-0")
     S.ingest_batch(pages, chunk, path, "doc_id", "a-1")
@@ -104,7 +96,7 @@ def t10_index_pairs(spark, d):
     from quillspark.operators.extract import codes
 
     c = F.array_distinct(codes(F.col("text"), [("(?-i)" + r"\b[A-Z]{3,}\b", 0)]))
-    path, docs = folder(spark), T(spark, d, "documents")
+    path, docs = new_folder(spark), T(spark, d, "documents")
     S.index_batch(docs.where("doc_id % 2 = 0"), c, "doc_id", path, "a-0")
     S.index_batch(docs, c, "doc_id", path, "a-1")
     return read_chunks(spark, path)

@@ -66,8 +66,12 @@ def ingest_gate(files: DataFrame, max_bytes: int = 50 * 1024 * 1024) -> DataFram
 
 
 def read_cases(spark: SparkSession, path: str, layout: str) -> DataFrame:
-    """Golden cases of one of four JSON layouts as (id, query, expected, forbidden, category, difficulty)."""
-    raw = spark.read.option("multiLine", True).json(path)
+    """Golden cases of a JSON file, or of a folder of them, as ``cases_of`` gives them."""
+    return cases_of(spark.read.option("multiLine", True).json(path), layout)
+
+
+def cases_of(raw: DataFrame, layout: str) -> DataFrame:
+    """Cases nested in one of four layouts as (id, query, expected, forbidden, category, difficulty)."""
     at = {"cases": "testCases", "pairs": "qa_pairs", "prompts": "prompts"}
     if layout == "stress":
         rows = raw.select(F.explode("datasets").alias("d")).select(F.explode("d.queries").alias("c"))
