@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import prepare as D
+from quillspark.sources.corpus import read_chunks, store_chunks
 from quillspark.streaming import events as S
 
 
@@ -40,6 +42,66 @@ def test_stateful(spark, sf_dir, tmp_path):
     assert r == sorted(map(repr, S.repeat_queries(e, key, "ts", 86_400.0).collect()))
 
 
+def test_caches_slo_and_audit(spark, sf_dir, tmp_path):
+    e, s = slices(spark, sf_dir, tmp_path)
+    live = lambda d: S.cache_evictions(d, "user_id", "ts", "1 day", 5)
+    q = live(s).writeStream.format("memory").queryName("live").outputMode("complete").option("checkpointLocation", str(tmp_path / "live")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got, want = ({r.start: r.live for r in d.collect()} for d in (spark.table("live"), live(e)))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 0.02 * want[k] + 1 for k in want)
+    slo = lambda d: S.windowed_slo(d, "ts", "6 hours", "value", F.col("event_type") == "error", 50.0, 20.0)
+    assert drain(spark, slo(s), "slo", "complete", tmp_path) == sorted(map(repr, slo(e).collect()))
+    op = F.when(F.col("event_type") == "signup", "insert").when(F.col("event_type") == "error", "delete").otherwise("update")
+    feed = lambda d: S.audit_stream(d.select(F.col("event_id").alias("key"), op.alias("op"), (F.col("event_id") % 2 == 0).alias("was_active"), (F.col("event_id") % 3 == 0).alias("now_active")))
+    assert drain(spark, feed(s), "audit", "append", tmp_path) == sorted(map(repr, feed(e).collect()))
+
+
+def test_rolling_latency(spark, sf_dir, tmp_path):
+    e, s = slices(spark, sf_dir, tmp_path)
+    rows = lambda d: {r.event_id: (r.event_type, r.p50, r.p95, r.p99, r["mean"]) for r in d.collect()}
+    same = lambda a, b: a.keys() == b.keys() and all(a[k][:4] == b[k][:4] and a[k][4] == pytest.approx(b[k][4]) for k in a)
+    for n in (1, 5, 100):
+        a, b = (rows(S.rolling_latency(e, "event_type", "ts", "event_id", "value", n, size)) for size in (3_600, 10**9))
+        assert same(a, b)  # however time is cut
+        q = S.rolling_latency_stream(s, "event_type", "ts", "event_id", "value", n).writeStream.format("memory").queryName(f"l{n}").outputMode("append").option("checkpointLocation", str(tmp_path / f"l{n}")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert same(rows(spark.table(f"l{n}")), a)
+
+
+def test_index_refresh(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs.repartition(3).write.parquet(str(tmp_path / "docs"))
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Z]{3,}"), F.lit(0)))
+    for k in range(2):
+        s = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "docs"))
+        S.index_refresh(s, found, "doc_id", str(tmp_path / "index"), str(tmp_path / f"i{k}")).awaitTermination(120)
+    want = docs.select("doc_id", F.explode(found).alias("code"))
+    got = read_chunks(spark, str(tmp_path / "index")).select("doc_id", "code")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_batch_run_again(spark, tmp_path):
+    """A batch that is run again with the same name leaves each row once, also after a part of it was written."""
+    rows = spark.createDataFrame([(i, f"c{j}") for i in range(40) for j in range(3)], "doc_id long, content string")
+    path = str(tmp_path / "s")
+    store_chunks(rows.where("doc_id < 20"), path, ["doc_id"], "x-0")
+    store_chunks(rows.where("doc_id >= 20 AND content = 'c0'"), path, ["doc_id"], "x-1")  # only some rows came through
+    store_chunks(rows.where("doc_id >= 20"), path, ["doc_id"], "x-1")
+    store_chunks(rows, path, ["doc_id"], "y-0")
+    assert sorted(map(tuple, read_chunks(spark, path).collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_semantic_ingest_once(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit(1).alias("page"), "text")
+    docs.repartition(3).write.parquet(str(tmp_path / "d"))
+    chunk = lambda p: D.semantic_chunks(p, "doc_id", "page", "text", r"\n")
+    for k in range(2):
+        s = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "d"))
+        S.ingest_stream(s, chunk, str(tmp_path / "sc"), "doc_id", str(tmp_path / f"sc{k}")).awaitTermination(120)
+    got, want = read_chunks(spark, str(tmp_path / "sc")).select("doc_id", "chunk_no", "content"), chunk(docs).select("doc_id", "chunk_no", "content")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
 def test_ingest_once(spark, sf_dir, tmp_path):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     pages.repartition(3).write.parquet(str(tmp_path / "pages"))
