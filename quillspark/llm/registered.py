@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,10 +100,35 @@ def op10_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_dp.encode_texts(docs, tokenizer_path(), ids=False).drop("text")
 
 
+LOWER_SQL = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+
+OP7_SQL = rf"""
+WITH dw AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+bw AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+p AS (SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM bw WHERE len(w) > 0)),
+g AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw CROSS JOIN (SELECT DISTINCT n FROM p))),
+h AS (SELECT doc_id, i, n, item FROM g JOIN p USING (n, g)),
+c AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM h) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM dw LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+OP8_SQL = rf"""
+WITH RECURSIVE dw AS (SELECT doc_id, list_filter(regexp_split_to_array({LOWER_SQL}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM dw WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT r.doc_id, b FROM r JOIN e ON a = root)
+SELECT r.doc_id, any_value(coalesce(n, 0))::BIGINT AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY 1
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_chat_format, op2_ann_hilbert, op3_lm_scoring, op4_toxicity, op5_quality, op6_token_count, op7_decontaminate, op8_ngram_join, op9_license_scan, op10_bpe_encode)
 }
-SQL: dict[str, str] = {"op1_chat_format": OP1_SQL}
+SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op7_decontaminate": OP7_SQL, "op8_ngram_join": OP8_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which driver and executors share."""
+    """The folder named in spark.checkpoint.dir, which driver and executors share. In local mode, where they are one
+    process, a new temporary folder does where none is named; on a cluster one has to be."""
     if d := spark.conf.get("spark.checkpoint.dir", None):
         return d
-    if spark.sparkContext.master.startswith("local"):  # one process: the warehouse folder is everyone's
-        return spark.conf.get("spark.sql.warehouse.dir")
-    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-"))
 
 
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
