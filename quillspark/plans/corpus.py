@@ -408,8 +408,7 @@ def s6_golden_cases(spark, d):
 
 def new_folder(spark):
     """A new folder beside the written tables."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/store-{uuid.uuid4().hex}"
+    return f"{S.shared_folder(spark)}/store-{uuid.uuid4().hex}"
 
 
 @query(f"SELECT doc_id, count(*) AS chunks, sum(length(content))::BIGINT AS chars FROM ({windows(1500, 200, False)}) GROUP BY 1")

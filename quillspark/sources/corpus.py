@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,18 +10,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir, which driver and executors share. In local mode, where they are one
+    process, a new temporary folder does where none is named; on a cluster one has to be."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-"))
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder of spark.checkpoint.dir (in local mode the warehouse serves as
-    well) and read back: it is computed once, its size is known to the planner, and lost executors don't matter."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    """``df`` written as Parquet to the shared folder and read back: it is computed once, its size is known to the
+    planner, and lost executors don't matter."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -123,7 +131,7 @@ def store_chunks(chunks: DataFrame, path: str, keys: list[str], batch: str | Non
         parts = [r["part_"] for r in dealt.select("part_").distinct().collect()]  # STORE_PARTS at most
         have = store.where(F.col("part_").isin(parts))
         have = have if batch is None else have.where(F.col("batch_") != batch)
-        dealt = dealt.join(have.select(*keys), keys, "left_anti")
+        dealt = dealt.join(have.select(*keys).hint("merge"), keys, "left_anti")
     mode, option = ("append", "static") if batch is None else ("overwrite", "dynamic")
     dealt.write.mode(mode).option("partitionOverwriteMode", option).partitionBy("batch_", "part_").parquet(path)
 
