@@ -71,8 +71,8 @@ def resolve_documents(queries: DataFrame, text: str, key: str, index: DataFrame)
     astm = codes(t, cat.CODES["astm"])
     astm = F.transform(astm, lambda a: F.regexp_extract(a, r"(A\d{3,4})", 1))
     named = F.coalesce(F.when(F.size(astm) > 0, F.array_distinct(astm)), one(r"\b(?:per|according\s+to|in|from|spec|specification|under|about|of|ASTM)\s+(A\d{3,4})\b"), one(r"\b(A\d{3,4})\s+(?:pipe|tubing|tube|plate|sheet|bar|cast|specification|spec|standard)\b"), one(r"\bAPI[\s-]+(?:SPEC(?:IFICATION)?\s+)?(\d{1,2}[A-Z]{1,4})\b"))
-    found = queries.select(key, F.explode(named).alias("code")).join(index, "code").select(key, F.explode("docs").alias("d"))
-    return queries.join(found.groupBy(key).agg(F.sort_array(F.collect_set("d")).alias("documents")), key, "left")
+    found = queries.select(key, F.explode(named).alias("code")).join(index.hint("merge"), "code").select(key, F.explode("docs").alias("d"))
+    return queries.join(found.groupBy(key).agg(F.sort_array(F.collect_set("d")).alias("documents")).hint("merge"), key, "left")
 
 
 def spec_code(c: Column) -> Column:
@@ -131,7 +131,7 @@ def has_formula(c: Column) -> Column:
 def formula_guard(queries: DataFrame, hits: DataFrame, key: str) -> DataFrame:
     """Whether a query asks for a formula that none of its hits has."""
     seen = hits.groupBy(key).agg(F.bool_or(has_formula(F.col("content"))).alias("seen"))
-    return queries.join(seen, key, "left").withColumn("guard", asks_formula(F.col("text")) & ~F.coalesce("seen", F.lit(False))).drop("seen")
+    return queries.join(seen.hint("merge"), key, "left").withColumn("guard", asks_formula(F.col("text")) & ~F.coalesce("seen", F.lit(False))).drop("seen")
 
 
 def claim_sentences(df: DataFrame, text: str, keys: list[str], patterns: list[str] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 
 def standards_for_material(ids: DataFrame, edges: DataFrame) -> DataFrame:
     """ids: id; edges: id, standard."""
-    return ids.join(edges, "id").groupBy("id").agg(F.sort_array(F.collect_set("standard")).alias("standards"))
+    return ids.join(edges.hint("merge"), "id").groupBy("id").agg(F.sort_array(F.collect_set("standard")).alias("standards"))
 
 
 def material_lookup(keys: DataFrame, materials: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def expand_grades(q: DataFrame, key: str, text: str, grades: dict[str, str] | No
     found = words.join(F.broadcast(table), "word").where(~F.col("low").contains(F.lower("more")))
     first = found.groupBy(key, "more").agg(F.min(F.struct("kind", "i")).alias("at"))
     each = first.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "more"))), lambda x: x["more"]), " ").alias("more"))
-    return q.join(each, key, "left").withColumn("expanded", F.concat_ws(" ", text, "more")).drop("more")
+    return q.join(each.hint("merge"), key, "left").withColumn("expanded", F.concat_ws(" ", text, "more")).drop("more")
 
 
 def enhance_queries(q: DataFrame, text: str, products: dict[str, str], expansions: dict[str, str]) -> DataFrame:
@@ -115,9 +115,9 @@ def few_shot(q: DataFrame, key: str, intent: str, examples: DataFrame, order: st
     """Up to n examples of each query's intent, or of the fallback intent where it has none."""
     top = examples.withColumn("r_", F.row_number().over(W.partitionBy("kind").orderBy(order))).where(F.col("r_") <= n)
     have = top.select(F.col("kind").alias(intent)).distinct()
-    q = q.join(F.broadcast(have.withColumn("have_", F.lit(True))), intent, "left")
+    q = q.join(have.withColumn("have_", F.lit(True)), intent, "left")
     q = q.withColumn("kind", F.when(F.col("have_"), F.col(intent)).otherwise(F.lit(fallback))).drop("have_")
-    return q.join(F.broadcast(top), "kind").withColumnRenamed("r_", "example_no")
+    return q.join(top, "kind").withColumnRenamed("r_", "example_no")
 
 
 def dynamic_topk(c: Column) -> Column:
