@@ -43,3 +43,33 @@ def test_stages(spark, sf_dir):
 
 def test_contamination_rule():
     assert decontaminate.WINDOW == 13
+
+
+def test_odd_rows_in_every_stage(spark, sf_dir, tmp_path):
+    import shutil
+
+    for t in ("labels", "benchmark"):
+        shutil.copy(f"{sf_dir}/{t}.parquet", tmp_path / f"{t}.parquet")
+    some = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(30).collect()
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
+    good = max((r.text for r in some), key=len)
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, "mine", 7, None) for r in some]
+    rows += [(10**6, None, None, None, None, None, None, None), (None, good, None, "x", 1, "mine", 7, "c"), (10**6 + 1, "", "en", "x", 0, "mine", 7, "c")]
+    rows += [(10**6 + 2, good + " and so on", "en", "x", 5, "mine", 7, "c")] * 2 + [(10**6 + 3, item, "en", "x", 5, "mine", 7, "c"), (10**6 + 4, (good + " ") * 60, "en", "x", 5, "mine", 7, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string, predicted int, contaminated string")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        got = out.collect()
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        if name == "bpe_encode":
+            assert len(got) == len(rows) and {r.n_tokens for r in got if r.doc_id in (10**6, 10**6 + 1)} == {0}
+            continue
+        assert out.columns == docs.columns
+        count = lambda x: sum(tuple(r) == tuple(x) for r in got)
+        assert all(count(r) <= rows.count(tuple(r)) for r in got)  # rows come out as they went in
+        twice = count((10**6 + 2, good + " and so on", "en", "x", 5, "mine", 7, "c"))
+        assert twice in (0, 2)
+        if name == "ngram_join":
+            assert None in {r.doc_id for r in got} and {10**6, 10**6 + 1} <= {r.doc_id for r in got} and twice == 0
+        if name == "decontaminate":
+            assert 10**6 + 3 not in {r.doc_id for r in got} and {None, 10**6, 10**6 + 1} <= {r.doc_id for r in got}
