@@ -40,6 +40,7 @@ from quillspark.llm.textops import NONSPACE, chunks, map_texts, mix, per_segment
 COMMON, COMMON_WORDS, BROADCAST_IDS = 1 << 18, 1 << 16, 1 << 20
 #: Bits of a set's parity sketch, in longs of 64.
 SKETCH = [f"b{i}" for i in range(4)]
+HALF = SKETCH[:2]
 _MULTIPLIERS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -209,32 +210,35 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sig = written(signatures(docs, id_col, text_col, k, num, den))
     live = sig.where("id IS NOT NULL AND n > 0")
     nodes = written(live.groupBy("node", "n").agg(F.min("id").alias("rep"), *[F.min(b).alias(b) for b in SKETCH], F.min_by("short", "id").alias("short")))
-    posts = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("short").alias("i", "h"))
-    # one exchange by shingle: each list's leaders, and lists of one member go. The first leader is the member with the
-    # least before the shingle, so with the least that is its own: the middle of a group of near copies.
-    by_list = W.partitionBy("h")
-    lists = posts.withColumn("l", F.min(F.struct("i", "node", "n")).over(by_list)).withColumn("s", F.min(F.struct("node", "i", "n")).over(by_list))
-    lists = lists.withColumn("size", F.count("*").over(by_list)).where("size > 1")
-    names = [F.col(f"{a}.{b}").alias(c) for a, cs in (("l", ("lead", "li", "ln")), ("s", ("second", "si", "sn"))) for b, c in zip(("node", "i", "n"), cs, strict=True)]
-    lists = written(lists.select("h", "node", "n", "i", *names))
-
     def passes(i: str, n: str, j: str, m: str) -> str:
         """Length, and position: from the first shared shingle on, at places i and j, n - i and m - j can be shared.
 
         A later shared shingle may fail where the pair would link, but then its first one passes, in another list."""
         return f"({den}L * least({n}, {m}) >= {num}L * greatest({n}, {m}) AND {den + num}L * least({n} - {i}, {m} - {j}) >= {num}L * ({n} + {m}))"
 
-    def alike(x: str, n: str, y: str, m: str):
+    def alike(x: str, n: str, y: str, m: str, sketch: list[str]):
         """Sketches differ in no more bits than sets with the overlap can."""
-        bits = sum((F.bit_count(F.col(x + b).bitwiseXOR(F.col(y + b))) for b in SKETCH), F.lit(0))
+        bits = sum((F.bit_count(F.col(x + b).bitwiseXOR(F.col(y + b))) for b in sketch), F.lit(0))
         return (den + num) * bits <= (den - num) * (F.col(n).cast("long") + F.col(m))
 
     def sketch_of(prefix: str, key: str) -> DataFrame:
         return nodes.select(F.col("node").alias(key), *[F.col(b).alias(prefix + b) for b in SKETCH])
 
-    star = lists.where("node != lead").where(passes("i", "n", "li", "ln")).select(F.col("lead").alias("a"), F.col("node").alias("b"), "ln", "n")
-    star = star.unionByName(lists.where("node != second").where(passes("i", "n", "si", "sn")).select(F.col("second").alias("a"), F.col("node").alias("b"), F.col("sn").alias("ln"), "n")).distinct()
-    star = star.join(sketch_of("x", "a").hint("merge"), "a").join(sketch_of("y", "b").hint("merge"), "b").where(alike("x", "ln", "y", "n"))
+    posts = nodes.select("node", F.col("n").cast("int").alias("n"), *HALF, F.posexplode("short").alias("i", "h"))
+    # one exchange by shingle: each list's leaders, and lists of one member go. The first leader is the member with the
+    # least before the shingle, so with the least that is its own: the middle of a group of near copies. Half of a sketch
+    # goes along, so that sets which meet by chance part here.
+    by_list = W.partitionBy("h")
+    lists = posts.withColumn("l", F.min(F.struct("i", "node", "n", *HALF)).over(by_list)).withColumn("s", F.min(F.struct("node", "i", "n", *HALF)).over(by_list))
+    lists = lists.withColumn("size", F.count("*").over(by_list)).where("size > 1")
+
+    def tried(at: str):
+        return (F.col("node") != F.col(f"{at}.node")) & F.expr(passes("i", "n", f"{at}.i", f"{at}.n")) & alike("", "n", f"{at}.", f"{at}.n", HALF)
+
+    lists = written(lists.select("h", "node", "n", "i", F.col("l.node").alias("lead"), F.col("l.n").alias("ln"), tried("l").alias("try_l"), F.col("s.node").alias("second"), F.col("s.n").alias("sn"), tried("s").alias("try_s")))
+    star = lists.where("try_l").select(F.col("lead").alias("a"), F.col("node").alias("b"), "ln", "n")
+    star = star.unionByName(lists.where("try_s").select(F.col("second").alias("a"), F.col("node").alias("b"), F.col("sn").alias("ln"), "n")).distinct()
+    star = star.join(sketch_of("x", "a").hint("merge"), "a").join(sketch_of("y", "b").hint("merge"), "b").where(alike("x", "ln", "y", "n", SKETCH))
     star = written(star.select("a", "b"))
 
     def ids_of(pairs: DataFrame) -> DataFrame:
@@ -250,7 +254,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = written(mixed.join(sketch_of("", "node").hint("merge"), "node").select("h", "node", "n", "i", "c", "lc", *SKETCH))
     x = named.where("c != lc").select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("pb"), F.col("c").alias("cb"), *[F.col(k).alias("x" + k) for k in SKETCH])
     y = named.select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("pa"), F.col("c").alias("ca"), *[F.col(k).alias("y" + k) for k in SKETCH])
-    rest = x.join(y.hint("merge"), "h").where("ca != cb").where(passes("pa", "na", "pb", "nb")).where(alike("x", "nb", "y", "na"))
+    rest = x.join(y.hint("merge"), "h").where("ca != cb").where(passes("pa", "na", "pb", "nb")).where(alike("x", "nb", "y", "na", SKETCH))
     rest = written(rest.select("a", "b", "ca", "cb").distinct())
     sets = written(sets_of(docs, id_col, text_col, k, ids_of(rest)))
     more = probe(rest.select("a", "b").distinct(), sets, num, den).select(F.col("u").alias("a"), F.col("v").alias("b")).join(rest.hint("merge"), ["a", "b"])
