@@ -15,13 +15,15 @@ ENTITIES = {
     "uns": [(r"\b(?:S|J)\d{5}\b", 0)],
     "standards": [(r"\bA\d{3,4}(?:/A\d{3,4}M)?\b", 0)],
 }
-PROPERTY_WORDS = (
-    "yield tensile elongation hardness hrc hbw hvn pren charpy impact ksi mpa ferrite austenite annealing solution quench temper "
-    "nitrogen chromium molybdenum nickel carbon manganese phosphorus phosphorous sulfur silicon copper tungsten cobalt vanadium titanium niobium columbium aluminum boron "
-    "cr mo ni mn si cu co ti nb al temperature quenching cooling chemical composition requirements minimum maximum thickness tolerance permissible "
-    "strengths temperatures tolerances properties min max psi flattening hydrostatic transverse longitudinal casing tubing coupling connection collapse burst "
-    "scope marking supplementary inspection certification certificate dimensional dimensions"
-).split()
+PROPERTY_WORDS = [
+    "yield", "tensile", "elongation", "hardness", "hrc", "hbw", "hvn", "pren", "charpy", "impact", "ksi", "mpa", "ferrite", "austenite", "annealing",
+    "solution", "quench", "temper", "nitrogen", "chromium", "molybdenum", "nickel", "carbon", "manganese", "phosphorus", "phosphorous", "sulfur",
+    "silicon", "copper", "tungsten", "cobalt", "vanadium", "titanium", "niobium", "columbium", "aluminum", "boron", "cr", "mo", "ni", "mn", "si",
+    "cu", "co", "ti", "nb", "al", "temperature", "quenching", "cooling", "chemical", "composition", "requirements", "minimum", "maximum", "thickness",
+    "tolerance", "permissible", "strengths", "temperatures", "tolerances", "properties", "min", "max", "psi", "flattening", "hydrostatic",
+    "transverse", "longitudinal", "casing", "tubing", "coupling", "connection", "collapse", "burst", "scope", "marking", "supplementary",
+    "inspection", "certification", "certificate", "dimensional", "dimensions",
+]
 SYNONYMS = {
     "yield": ["yield strength", "Ys", "0.2% proof", "offset yield"],
     "tensile": ["tensile strength", "UTS", "ultimate tensile", "Rm"],
@@ -45,11 +47,13 @@ ABBREVIATIONS = {
     "ys": "yield strength", "ts": "tensile strength", "el": "elongation", "cr": "chromium", "ni": "nickel", "mo": "molybdenum", "n": "nitrogen", "c": "carbon", "mn": "manganese",
     "p": "phosphorus", "s": "sulfur", "si": "silicon", "cu": "copper", "w": "tungsten", "co": "cobalt",
 }
-STOP_WORDS = (
-    "the a an is are was were be been being have has had do does did will would could should may might must shall can need what which who when where why how "
-    "this that these those it its of for to in on at by with from and or but not if as so than then about into through during before after above below between under "
-    "again further once here there all any both each few more most other some such no nor only own same too very just also"
-).split()
+STOP_WORDS = [
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "must", "shall", "can", "need", "what", "which", "who", "when", "where", "why", "how", "this", "that", "these", "those",
+    "it", "its", "of", "for", "to", "in", "on", "at", "by", "with", "from", "and", "or", "but", "not", "if", "as", "so", "than", "then", "about",
+    "into", "through", "during", "before", "after", "above", "below", "between", "under", "again", "further", "once", "here", "there", "all", "any",
+    "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "only", "own", "same", "too", "very", "just", "also",
+]
 INJECTIONS = [
     r"\[SYSTEM\]", r"\[INST\]", r"\[/INST\]", r"<\|im_start\|>", r"<\|im_end\|>", r"<\|system\|>", r"<\|user\|>", r"<\|assistant\|>", r"</s>", r"<<SYS>>", r"</SYS>>",
     r"ignore\s+(?:previous|above|all)\s+(?:instructions?|rules?|prompts?)", r"disregard\s+(?:previous|above|all)\s+(?:instructions?|rules?|prompts?)",
@@ -98,3 +102,23 @@ ERRORS = [
     ("TIMEOUT", ["timeout", "timed out", "econnreset"]), ("SERVICE_UNAVAILABLE", ["econnrefused", "network", "fetch failed"]), ("UNAUTHORIZED", ["unauthorized", "authentication", "401"]),
     ("VALIDATION_ERROR", ["invalid", "validation", "required"]),
 ]
+#: Quantities: pattern, group of the number, group of the unit.
+QUANTITIES = [
+    (r"(\d+(?:,\d{3})*(?:\.\d+)?)\s*(MPa|ksi|psi|HRC|HRB|HBW|HV|%|°[CF]|mm|in|kJ/m²)", 1, 2),
+    (r'(\d+/\d+)\s*("|in|inch)', 1, 2),
+    (r"(\d+(?:,\d{3})*(?:\.\d+)?)\s*[-–]\s*(\d+(?:,\d{3})*(?:\.\d+)?)\s*(MPa|ksi|psi|HRC|HBW|%)", 1, 3),
+]
+#: Measured values: kind, pattern, group of the number, group of the unit.
+MEASUREMENTS = [("stress", r"(\d+(?:\.\d+)?)\s*(ksi|MPa)", 1, 2), ("percent", r"(\d+(?:\.\d+)?)\s*(%)", 1, 2), ("temperature", r"(\d+(?:\.\d+)?)\s*°([FC])", 1, 2), ("hardness", r"(\d+(?:\.\d+)?)\s*(HBW|HRC|HRB)", 1, 2)]
+FORMULA_ASKED = r"\b(formula|equation|calculation|calculate|compute|derive)\b"
+FORMULA_SHOWN = r"=\s*%?\w+\s*[+\-*/]|formula:|equation:|PREN\s*="
+#: Ways in which a query names a document, after codes of the catalogue.
+NAMED_DOCUMENTS = [
+    r"\b(?:per|according\s+to|in|from|spec|specification|under|about|of|ASTM)\s+(A\d{3,4})\b",
+    r"\b(A\d{3,4})\s+(?:pipe|tubing|tube|plate|sheet|bar|cast|specification|spec|standard)\b",
+    r"\bAPI[\s-]+(?:SPEC(?:IFICATION)?\s+)?(\d{1,2}[A-Z]{1,4})\b",
+]
+#: Codes in file names (upper case), and the code of a document's name.
+FILENAME_ASTM, FILENAME_UNS = r"A\d{3,4}(?![M\d])", r"[SNCGHJKWRT]\d{5}"
+FILENAME_API, API_CODE = r"(?:API|SPEC)\s+(\d{1,2}[A-Z]{1,4})\b", r"^\d{1,2}[A-Z]{1,3}$"
+SPEC_CODES = [r"(A\d{3,4})(?![M\d])", r"(?:API|SPEC)[\s-]+(?:SPEC\s+)?(\d{1,2}[A-Z]{1,4})", r"(\d{1,2}(?:CT|CRA|[A-Z]))"]

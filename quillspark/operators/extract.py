@@ -47,8 +47,8 @@ def keywords(c: Column, stop_words: list[str] | None = None, more: Column | None
 def filename_codes(c: Column) -> Column:
     """Codes in a file name, where words may stand close together."""
     up = F.upper(F.coalesce(c, F.lit("")))
-    api = F.filter(find_all(up, r"(?:API|SPEC)\s+(\d{1,2}[A-Z]{1,4})\b", 1), lambda x: x.rlike(r"^\d{1,2}[A-Z]{1,3}$"))
-    return F.array_distinct(F.concat(find_all(up, r"A\d{3,4}(?![M\d])"), find_all(up, r"[SNCGHJKWRT]\d{5}"), api))
+    api = F.filter(find_all(up, cat.FILENAME_API, 1), lambda x: x.rlike(cat.API_CODE))
+    return F.array_distinct(F.concat(find_all(up, cat.FILENAME_ASTM), find_all(up, cat.FILENAME_UNS), api))
 
 
 def code_index(names: DataFrame, doc: str, name_codes: Column, chunks: DataFrame | None = None, chunk_codes: Column | None = None, order: str = "chunk_no", first: int = 5) -> DataFrame:
@@ -70,7 +70,7 @@ def resolve_documents(queries: DataFrame, text: str, key: str, index: DataFrame)
 
     astm = codes(t, cat.CODES["astm"])
     astm = F.transform(astm, lambda a: F.regexp_extract(a, r"(A\d{3,4})", 1))
-    named = F.coalesce(F.when(F.size(astm) > 0, F.array_distinct(astm)), one(r"\b(?:per|according\s+to|in|from|spec|specification|under|about|of|ASTM)\s+(A\d{3,4})\b"), one(r"\b(A\d{3,4})\s+(?:pipe|tubing|tube|plate|sheet|bar|cast|specification|spec|standard)\b"), one(r"\bAPI[\s-]+(?:SPEC(?:IFICATION)?\s+)?(\d{1,2}[A-Z]{1,4})\b"))
+    named = F.coalesce(F.when(F.size(astm) > 0, F.array_distinct(astm)), *map(one, cat.NAMED_DOCUMENTS))
     found = queries.select(key, F.explode(named).alias("code")).join(index.hint("merge"), "code").select(key, F.explode("docs").alias("d"))
     return queries.join(found.groupBy(key).agg(F.sort_array(F.collect_set("d")).alias("documents")).hint("merge"), key, "left")
 
@@ -78,15 +78,10 @@ def resolve_documents(queries: DataFrame, text: str, key: str, index: DataFrame)
 def spec_code(c: Column) -> Column:
     up = F.upper(F.coalesce(c, F.lit("")))
     nth = lambda p: F.nullif(F.regexp_extract(up, p, 1), F.lit(""))
-    return F.coalesce(nth(r"(A\d{3,4})(?![M\d])"), nth(r"(?:API|SPEC)[\s-]+(?:SPEC\s+)?(\d{1,2}[A-Z]{1,4})"), nth(r"(\d{1,2}(?:CT|CRA|[A-Z]))"))
+    return F.coalesce(*map(nth, cat.SPEC_CODES))
 
 
-QUANTITIES = [
-    (r"(\d+(?:,\d{3})*(?:\.\d+)?)\s*(MPa|ksi|psi|HRC|HRB|HBW|HV|%|°[CF]|mm|in|kJ/m²)", 1, 2),
-    (r'(\d+/\d+)\s*("|in|inch)', 1, 2),
-    (r"(\d+(?:,\d{3})*(?:\.\d+)?)\s*[-–]\s*(\d+(?:,\d{3})*(?:\.\d+)?)\s*(MPa|ksi|psi|HRC|HBW|%)", 1, 3),
-]
-MEASUREMENTS = [("stress", r"(\d+(?:\.\d+)?)\s*(ksi|MPa)", 1, 2), ("percent", r"(\d+(?:\.\d+)?)\s*(%)", 1, 2), ("temperature", r"(\d+(?:\.\d+)?)\s*°([FC])", 1, 2), ("hardness", r"(\d+(?:\.\d+)?)\s*(HBW|HRC|HRB)", 1, 2)]
+QUANTITIES, MEASUREMENTS = cat.QUANTITIES, cat.MEASUREMENTS
 
 
 def quantities(c: Column, patterns: list | None = None) -> Column:
@@ -121,11 +116,11 @@ def measurements(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
 
 
 def asks_formula(c: Column) -> Column:
-    return has(c, r"\b(formula|equation|calculation|calculate|compute|derive)\b")
+    return has(c, cat.FORMULA_ASKED)
 
 
 def has_formula(c: Column) -> Column:
-    return has(c, r"=\s*%?\w+\s*[+\-*/]|formula:|equation:|PREN\s*=")
+    return has(c, cat.FORMULA_SHOWN)
 
 
 def formula_guard(queries: DataFrame, hits: DataFrame, key: str) -> DataFrame:

@@ -255,6 +255,12 @@ def x1_extract_codes(spark, d):
     return X.extract_codes(T(spark, d, "documents"), "text", ["doc_id"], CATALOGUE)
 
 
+@query(" UNION ALL ".join(f"SELECT doc_id, '{k}' AS code_type, list_sort(list_distinct(list_transform({' || '.join(f"regexp_extract_all(coalesce(text, ''), '{p}', {g}, 'i')" for p, g in ps)}, lambda x: upper(x)))) AS codes FROM documents" for k, ps in CATALOGUE.items()))
+def x1_pivot_codes(spark, d):
+    t = X.pivot_codes(T(spark, d, "documents"), "text", CATALOGUE)
+    return t.select("doc_id", F.inline(F.array(*[F.struct(F.lit(k).alias("code_type"), F.array_sort(k).alias("codes")) for k in CATALOGUE])))
+
+
 STOP = "the and that with this have from for was are not you".split()
 
 
