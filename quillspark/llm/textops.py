@@ -102,11 +102,14 @@ def map_texts(
 
     ``make`` runs once in each task and gives the function that turns the texts of a batch into one list or
     array for each field. A kept column with the name of a new field is replaced, as withColumn does. The session's Arrow
-    batches are set to BATCH_ROWS rows, as whole texts are long.
+    batches are cut to BATCH_ROWS rows, where they are larger, as whole texts are long: Spark has no such setting for
+    one plan.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     new = {f.name.lower() for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
     schema = T.StructType([f for c in kept for f in df.select(f"`{c}`").schema.fields] + fields)
