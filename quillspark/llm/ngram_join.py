@@ -216,7 +216,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lists = posts.withColumn("l", F.min(F.struct("i", "node", "n")).over(by_list)).withColumn("s", F.min(F.struct("node", "i", "n")).over(by_list))
     lists = lists.withColumn("size", F.count("*").over(by_list)).where("size > 1")
     names = [F.col(f"{a}.{b}").alias(c) for a, cs in (("l", ("lead", "li", "ln")), ("s", ("second", "si", "sn"))) for b, c in zip(("node", "i", "n"), cs, strict=True)]
-    lists = written(lists.select("h", "node", "n", "i", *names))
+    lists = written(lists.select("h", "node", "n", "i", F.col("size").cast("int").alias("size"), *names))
 
     def passes(i: str, n: str, j: str, m: str) -> str:
         """Length, and position: from the first shared shingle on, at places i and j, n - i and m - j can be shared.
@@ -243,7 +243,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     sets = written(sets_of(docs, id_col, text_col, k, ids_of(star)))
     linked = components(probe(star, sets, num, den))
-    named = lists.join(linked.select("node", "component").hint("merge"), "node", "left").withColumn("c", F.coalesce("component", "node"))
+    # a list of two has no other pair than that of its leader and its other member, which was tried
+    named = lists.where("size > 2").join(linked.select("node", "component").hint("merge"), "node", "left").withColumn("c", F.coalesce("component", "node"))
     heads = named.where("node = lead").select("h", F.col("c").alias("lc"))
     # lists in which all are of the least member's component have nothing to try
     mixed = named.join(heads.hint("merge"), "h").withColumn("out", F.max((F.col("c") != F.col("lc")).cast("int")).over(by_list)).where("out = 1 AND node != lead")
