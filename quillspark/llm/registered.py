@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import ann_hilbert, bpe_dp, chat_format, decontaminate, license_scan, lm_mixing, ngram_join, quality_knn, token_count, toxicity
+from quillspark.llm import ann_hilbert, bpe_dp, chat_format, decontaminate, license_scan, lm_mixing, merkle, ngram_join, quality_knn, token_count, toxicity
 
 
 def tokenizer_path() -> str:
@@ -100,6 +100,13 @@ def op10_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_dp.encode_texts(docs, tokenizer_path(), ids=False).drop("text")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = [F.translate("text", "\n", "") if c == "text" else F.col(c) for c in columns]
+    return merkle.merkle_manifest(docs, columns, tampered=changed, where=F.crc32(F.col("doc_id").cast("string")) % 2 == 0)
+
+
 LOWER_SQL = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 
 OP7_SQL = rf"""
@@ -125,10 +132,30 @@ r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT r.doc_id, b FROM
 SELECT r.doc_id, any_value(coalesce(n, 0))::BIGINT AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY 1
 """
 
+OP11_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, source, {" || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars"))} AS head, text,
+  list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)::UBIGINT[]), lambda c, _: xor(c >> 1, 3988292384::UBIGINT * (c & 1)))) AS crc FROM documents),
+l AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, CASE WHEN (xor(crc, 4294967295::UBIGINT) & 1) = 0 THEN sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) END AS other FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM l),
+t AS (SELECT source, 0 AS l, pos, leaf AS h, n FROM p UNION ALL SELECT source, l + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM t WHERE n > 1 GROUP BY source, l, pos // 3, n),
+s AS (SELECT source, l AS deep, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS l, pos, h, n FROM s UNION ALL SELECT l + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM u WHERE n > 1 GROUP BY l, pos // 3, n),
+r AS (SELECT h AS root FROM u WHERE n = 1),
+b AS (SELECT p.doc_id, p.source, p.pos AS leaf_no, p.leaf, t.l AS k, t.pos, t.h FROM p JOIN t ON t.source IS NOT DISTINCT FROM p.source AND t.n > 1 AND t.pos // 3 = (p.pos // (3 ** t.l)::BIGINT) // 3
+  UNION ALL SELECT p.doc_id, p.source, p.pos, p.leaf, 1000 + u.l, u.pos, u.h FROM p JOIN s ON s.source IS NOT DISTINCT FROM p.source JOIN u ON u.n > 1 AND u.pos // 3 = (s.pos // (3 ** u.l)::BIGINT) // 3),
+w AS (SELECT b.source, b.leaf_no, k, b.pos, b.h, b.pos = CASE WHEN k < 1000 THEN b.leaf_no // (3 ** k)::BIGINT ELSE s.pos // (3 ** (k - 1000))::BIGINT END AS own FROM b JOIN s ON s.source IS NOT DISTINCT FROM b.source),
+g AS (SELECT source, leaf_no, list({{'a': a, 'b': b}} ORDER BY k) AS steps, string_agg(a || b, '' ORDER BY k) AS proof FROM
+  (SELECT source, leaf_no, k, coalesce(string_agg(h, '' ORDER BY pos) FILTER (NOT own AND pos < mine), '') AS a, coalesce(string_agg(h, '' ORDER BY pos) FILTER (NOT own AND pos > mine), '') AS b FROM (SELECT *, max(pos) FILTER (own) OVER (PARTITION BY source, leaf_no, k) AS mine FROM w) GROUP BY source, leaf_no, k) GROUP BY source, leaf_no),
+f AS (SELECT p.source, p.pos AS leaf_no, coalesce(other, leaf) AS h, coalesce(steps, []) AS steps FROM p LEFT JOIN g ON g.source IS NOT DISTINCT FROM p.source AND g.leaf_no = p.pos
+  UNION ALL SELECT source, leaf_no, sha256(steps[1].a || h || steps[1].b), steps[2:] FROM f WHERE len(steps) > 0)
+SELECT p.doc_id, leaf, s.h AS subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, f.h AS folded_root, f.h = root AS verified
+FROM p JOIN s ON s.source IS NOT DISTINCT FROM p.source CROSS JOIN r LEFT JOIN g ON g.source IS NOT DISTINCT FROM p.source AND g.leaf_no = p.pos JOIN f ON f.source IS NOT DISTINCT FROM p.source AND f.leaf_no = p.pos AND len(f.steps) = 0
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_ann_hilbert, op3_lm_scoring, op4_toxicity, op5_quality, op6_token_count, op7_decontaminate, op8_ngram_join, op9_license_scan, op10_bpe_encode)
+    f.__name__: f for f in (op1_chat_format, op2_ann_hilbert, op3_lm_scoring, op4_toxicity, op5_quality, op6_token_count, op7_decontaminate, op8_ngram_join, op9_license_scan, op10_bpe_encode, op11_merkle_manifest)
 }
-SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op7_decontaminate": OP7_SQL, "op8_ngram_join": OP8_SQL}
+SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op7_decontaminate": OP7_SQL, "op8_ngram_join": OP8_SQL, "op11_merkle_manifest": OP11_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -21,11 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-"))
 
 
-def written(df: DataFrame, *partition_by: str) -> DataFrame:
+def written(df: DataFrame, *partition_by: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
