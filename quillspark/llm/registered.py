@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import ann_hilbert, bpe_dp, chat_format, decontaminate, license_scan, lm_mixing, merkle, ngram_join, quality_knn, token_count, toxicity
+from quillspark.llm import ann_hilbert, bpe_dp, chat_format, decontaminate, html_text, license_scan, lm_mixing, max_sketch, merkle, ngram_join, quality_knn, token_count, toxicity
 
 
 def tokenizer_path() -> str:
@@ -107,6 +107,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_manifest(docs, columns, tampered=changed, where=F.crc32(F.col("doc_id").cast("string")) % 2 == 0)
 
 
+def op12_max_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = max_sketch.build_index(table(spark, sf_dir, "documents"))
+    return max_sketch.search(index, table(spark, sf_dir, "benchmark"))
+
+
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 LOWER_SQL = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 
 OP7_SQL = rf"""
@@ -152,10 +161,23 @@ SELECT p.doc_id, leaf, s.h AS subroot, root, sha256(coalesce(proof, '')) AS proo
 FROM p JOIN s ON s.source IS NOT DISTINCT FROM p.source CROSS JOIN r LEFT JOIN g ON g.source IS NOT DISTINCT FROM p.source AND g.leaf_no = p.pos JOIN f ON f.source IS NOT DISTINCT FROM p.source AND f.leaf_no = p.pos AND len(f.steps) = 0
 """
 
+OP12_SQL = rf"""
+WITH dw AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+d AS (SELECT row_number() OVER () AS r, doc_id, w, len(w) AS n FROM dw WHERE len(w) > 0),
+z AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM d),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY 1, 2),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1),
+q AS (SELECT item_id, t, count(*) AS c FROM (SELECT item_id, unnest(regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY 1, 2),
+qw AS (SELECT item_id, t, c * floor(1000 * ln((2 * big_n + 2) / (2 * df + 1)))::BIGINT AS w FROM q JOIN df USING (t) CROSS JOIN z),
+m AS (SELECT r, doc_id, 100 - 25 + (25 * n * big_n) // big_l AS m FROM d CROSS JOIN z),
+s AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM qw JOIN tf USING (t) JOIN m USING (r) GROUP BY 1, 2, 3)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST, r)::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 20
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_ann_hilbert, op3_lm_scoring, op4_toxicity, op5_quality, op6_token_count, op7_decontaminate, op8_ngram_join, op9_license_scan, op10_bpe_encode, op11_merkle_manifest)
+    f.__name__: f for f in (op1_chat_format, op2_ann_hilbert, op3_lm_scoring, op4_toxicity, op5_quality, op6_token_count, op7_decontaminate, op8_ngram_join, op9_license_scan, op10_bpe_encode, op11_merkle_manifest, op12_max_sketch, op13_html_text)
 }
-SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op7_decontaminate": OP7_SQL, "op8_ngram_join": OP8_SQL, "op11_merkle_manifest": OP11_SQL}
+SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op7_decontaminate": OP7_SQL, "op8_ngram_join": OP8_SQL, "op11_merkle_manifest": OP11_SQL, "op12_max_sketch": OP12_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
