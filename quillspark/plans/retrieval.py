@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillspark.operators import dedup as P
+from quillspark.operators import lexindex as L
 from quillspark.operators import search as R
 from quillspark.sources.corpus import read_table as T
-from quillspark.sources.corpus import written
+from quillspark.sources.corpus import shared_folder, written
 
 QUERIES, SQL = {}, {}
 
@@ -32,6 +35,16 @@ def terms(spark, d):
     return written(R.query_terms(T(spark, d, "benchmark"), "item_id", "text"))
 
 
+def index(spark, d):
+    """The saved index of all documents; every tenth is said to be of one document."""
+    docs = T(spark, d, "documents").withColumn("document", F.col("doc_id") % 10)
+    return L.write_index(docs, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", "doc_id", "text", "document")
+
+
+def asked(spark, d):
+    return T(spark, d, "benchmark").withColumnRenamed("item_id", "query_id")
+
+
 TOK = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 LEX = f"""dt AS (SELECT doc_id AS chunk_id, {TOK} AS ts FROM documents), po AS (SELECT chunk_id, unnest(ts) AS term, len(ts) AS length FROM dt),
 pp AS (SELECT chunk_id, term, count(*) AS tf, any_value(length) AS length FROM po GROUP BY 1, 2),
@@ -50,13 +63,13 @@ def r1_build_postings(spark, d):
 
 @query(f"WITH {LEX}, nd AS (SELECT query_id, count(*) AS need FROM qt GROUP BY 1), hv AS (SELECT query_id, chunk_id, count(*) AS have FROM qt JOIN pp USING (term) GROUP BY 1, 2) SELECT query_id, chunk_id FROM hv JOIN nd USING (query_id) WHERE have = need")
 def r2_match_all(spark, d):
-    return R.match_all(terms(spark, d), postings(spark, d))
+    return L.match_queries(index(spark, d), asked(spark, d), "text")
 
 
 @query(f"WITH {BM} SELECT query_id, chunk_id, round(bm25_score, 6) AS bm25_score FROM lx")
 def r3_lexical_scores(spark, d):
-    size = R.corpus_size(T(spark, d, "documents"), "text")
-    return R.lexical_scores(terms(spark, d), postings(spark, d), size).withColumn("bm25_score", F.round("bm25_score", 6))
+    every = L.segment_hits(index(spark, d), asked(spark, d), "text", L.Scoring(None))
+    return every.select("query_id", "chunk_id", F.round("bm25_score", 6).alias("bm25_score"))
 
 
 @query(f"""WITH {LEX}, nd AS (SELECT query_id, count(*) AS need FROM qt GROUP BY 1), mp AS (SELECT query_id, chunk_id, need FROM (SELECT query_id, chunk_id, count(*) AS have FROM qt JOIN pp USING (term) GROUP BY 1, 2) JOIN nd USING (query_id) WHERE have = need),
@@ -73,7 +86,11 @@ TOPK = "row_number() OVER (PARTITION BY query_id ORDER BY {s} DESC, chunk_id)::I
 
 @query(f"WITH {BM}, rk AS (SELECT query_id, chunk_id, round(bm25_score, 6) AS bm25_score FROM lx), tk AS (SELECT *, {TOPK.format(s='bm25_score')} AS rank FROM rk) SELECT * FROM tk WHERE rank <= 5")
 def r4_lexical_search(spark, d):
-    return R.top_k(r3_lexical_scores(spark, d), 5, "bm25_score")
+    return lexical(spark, d, 5)
+
+
+def lexical(spark, d, k):
+    return L.search_index(index(spark, d), asked(spark, d), "text", L.Scoring(k, lexical_digits=(6,))).select("query_id", "chunk_id", "bm25_score", "rank")
 
 
 def vectors(spark, d):
@@ -105,17 +122,17 @@ hy AS (SELECT query_id, chunk_id, bm25_score, vector_score, round(wl * bm25_scor
 top AS (SELECT *, {TOPK.format(s='combined_score')} AS rank FROM hy)"""
 
 
-def hybrid(spark, d):
-    w = T(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 0, 0.3).otherwise(0.7).alias("w_lexical")).withColumn("w_vector", 1 - F.col("w_lexical"))
-    lexical = r3_lexical_scores(spark, d).withColumn("bm25_score", F.round("bm25_score", 3))
-    vector = scored(spark, d, 0.2).join(w.select("query_id").hint("merge"), "query_id", "left_semi").withColumn("vector_score", F.round("vector_score", 3))
-    f = R.fuse(lexical, vector, w)
-    return f.withColumn("combined_score", F.round("combined_score", 4))
+def hybrid(spark, d, k, documents=None):
+    w = F.when(F.col("query_id") % 2 == 0, 0.3).otherwise(0.7)
+    q = asked(spark, d).withColumn("w_lexical", w).withColumn("w_vector", 1 - w)
+    q = q if documents is None else q.withColumn("documents", documents)
+    vector = scored(spark, d, 0.2).withColumn("vector_score", F.round("vector_score", 3)).withColumn("document_id", F.col("chunk_id") % 10)
+    return L.search_index(index(spark, d), q, "text", L.Scoring(k, lexical_digits=(6, 3), digits=4), vector)
 
 
 @query(f"WITH {HY} SELECT query_id, chunk_id, bm25_score, vector_score, combined_score, rank FROM top WHERE rank <= 10")
 def r7_hybrid_search(spark, d):
-    return R.top_k(hybrid(spark, d), 10, "combined_score").select("query_id", "chunk_id", "bm25_score", "vector_score", "combined_score", "rank")
+    return hybrid(spark, d, 10).select("query_id", "chunk_id", "bm25_score", "vector_score", "combined_score", "rank")
 
 
 def with_meta(spark, d, hits):
@@ -128,17 +145,17 @@ META = "JOIN (SELECT doc_id AS chunk_id, n_chars % 2 = 0 AS hc, lang = 'en' AS t
 
 @query(f"WITH {HY} SELECT query_id, chunk_id, round(combined_score + CASE WHEN hc THEN 0.1 ELSE 0 END + CASE WHEN tb THEN 0.05 ELSE 0 END, 6) AS combined_score FROM top {META} WHERE rank <= 20")
 def r8_boost_v1(spark, d):
-    return R.boost(with_meta(spark, d, R.top_k(hybrid(spark, d), 20, "combined_score")), "v1").select("query_id", "chunk_id", F.round("combined_score", 6).alias("combined_score"))
+    return R.boost(with_meta(spark, d, hybrid(spark, d, 20)), "v1").select("query_id", "chunk_id", F.round("combined_score", 6).alias("combined_score"))
 
 
 @query(f"WITH {HY} SELECT query_id, chunk_id, round(combined_score * CASE WHEN query_id % 3 = 0 AND tb THEN 1.25 ELSE 1 END + CASE WHEN hc THEN 0.1 ELSE 0 END + CASE WHEN query_id % 3 <> 0 AND tb THEN 0.05 ELSE 0 END, 6) AS combined_score FROM top {META} WHERE rank <= 20")
 def r9_boost_v2(spark, d):
-    return R.boost(with_meta(spark, d, R.top_k(hybrid(spark, d), 20, "combined_score")), "v2", F.col("query_id") % 3 == 0).select("query_id", "chunk_id", F.round("combined_score", 6).alias("combined_score"))
+    return R.boost(with_meta(spark, d, hybrid(spark, d, 20)), "v2", F.col("query_id") % 3 == 0).select("query_id", "chunk_id", F.round("combined_score", 6).alias("combined_score"))
 
 
 @query(f"WITH {HY} SELECT query_id, chunk_id, round(combined_score + CASE WHEN hc THEN 0.1 ELSE 0 END + CASE WHEN tb THEN 0.05 ELSE 0 END + CASE WHEN starts_with(source, 'src1') OR lang = 'fr' THEN 0.5 ELSE 0 END, 6) AS combined_score FROM top {META} WHERE rank <= 20")
 def r10_boost_v3(spark, d):
-    h = with_meta(spark, d, R.top_k(hybrid(spark, d), 20, "combined_score")).withColumn("refs", F.array(F.lit("SRC1"), F.lit("fr")))
+    h = with_meta(spark, d, hybrid(spark, d, 20)).withColumn("refs", F.array(F.lit("SRC1"), F.lit("fr")))
     return R.boost(h, "v3", refs="refs").select("query_id", "chunk_id", F.round("combined_score", 6).alias("combined_score"))
 
 
@@ -146,16 +163,15 @@ def r10_boost_v3(spark, d):
  OR regexp_matches(text, '\b\d+(?:\.\d+)?\s*(?:ksi|MPa)\b.*\b\d+(?:\.\d+)?\s*(?:ksi|MPa)\b') OR len(regexp_extract_all(text, '\d+(?:\.\d+)?')) / len(regexp_split_to_array(text, '\s+')) > 0.2 AS tb FROM top JOIN documents ON doc_id = chunk_id WHERE rank <= 20)
 SELECT query_id, chunk_id, CASE WHEN tb THEN greatest(combined_score, least(1.0, round(combined_score + 0.15, 6))) ELSE combined_score END AS combined_score FROM t""")
 def r11_table_content_boost(spark, d):
-    h = R.top_k(hybrid(spark, d), 20, "combined_score").join(T(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text").hint("merge"), "chunk_id")
+    h = hybrid(spark, d, 20).join(T(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text").hint("merge"), "chunk_id")
     return R.table_content_boost(h, "text").select("query_id", "chunk_id", F.round("combined_score", 6).alias("combined_score"))
 
 
 @query(f"""WITH {HY}, al AS (SELECT * FROM hy WHERE query_id % 2 = 1 OR chunk_id % 10 IN (1, 2, 3)), ak AS (SELECT *, {TOPK.format(s='combined_score')} AS rank FROM al)
 SELECT query_id, chunk_id, combined_score, rank FROM ak WHERE rank <= 20""")
 def r12_document_filter(spark, d):
-    allowed = T(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 0, F.array(*[F.lit(i).cast("long") for i in (1, 2, 3)])).alias("documents"))
-    h = R.document_filter(hybrid(spark, d).withColumn("document_id", F.col("chunk_id") % 10), allowed)
-    return R.top_k(h, 20, "combined_score").select("query_id", "chunk_id", "combined_score", "rank")
+    only = F.when(F.col("query_id") % 2 == 0, F.array(*map(F.lit, "123")))
+    return hybrid(spark, d, 20, only).select("query_id", "chunk_id", "combined_score", "rank")
 
 
 @query(f"WITH {COS}, hb AS (SELECT *, vector_score AS combined_score, 0.5::DOUBLE AS bm25_score FROM cs WHERE vector_score > 0.45 AND query_id <> chunk_id) SELECT query_id, chunk_id, bm25_score, combined_score FROM hb UNION ALL SELECT query_id, chunk_id, 0.0, vector_score FROM cs WHERE vector_score > 0.3 AND query_id NOT IN (SELECT query_id FROM hb)")
@@ -205,7 +221,7 @@ SELECT query_id, entity FROM e LEFT JOIN h USING (query_id) GROUP BY 1, 2 HAVING
 def r17_missing_entities(spark, d):
     ents = F.array_distinct(F.filter(F.split("text", r"\s+"), lambda x: F.length(x) > 6))
     q = T(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), ents.alias("e"))
-    h = R.top_k(hybrid(spark, d), 5, "combined_score").join(T(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text").hint("merge"), "chunk_id")
+    h = hybrid(spark, d, 5).join(T(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text").hint("merge"), "chunk_id")
     return R.missing_entities(q, "e", h, "text")
 
 
@@ -260,7 +276,7 @@ def r22_dedup_pages(spark, d):
 
 def texts_of_hits(spark, d, k):
     docs = T(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "source")
-    return R.top_k(hybrid(spark, d), k, "combined_score").join(docs.hint("merge"), "chunk_id").withColumn("document_id", F.col("source")).withColumn("page_number", F.col("chunk_id") % 5)
+    return hybrid(spark, d, k).join(docs.hint("merge"), "chunk_id").withColumn("document_id", F.col("source")).withColumn("page_number", F.col("chunk_id") % 5)
 
 
 @query(f"""WITH RECURSIVE {HY}, h AS (SELECT query_id, source, chunk_id, rank, list_distinct(regexp_split_to_array(lower(coalesce(text, '')), '\\s+')) AS ws, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS i FROM top JOIN documents ON doc_id = chunk_id WHERE rank <= 20),
@@ -294,14 +310,14 @@ def r26_citation_preview(spark, d):
 SELECT query_id, coalesce(results, 0) AS results, best, CASE WHEN wl > 0.5 THEN 'keyword-focused (70/30)' ELSE 'semantic-focused (30/70)' END AS strategy FROM q LEFT JOIN n USING (query_id)""")
 def r27_search_summary(spark, d):
     q = T(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 0, 0.3).otherwise(0.7).alias("w_lexical")).withColumn("w_vector", 1 - F.col("w_lexical"))
-    return R.search_summary(q, R.top_k(hybrid(spark, d), 10, "combined_score")).select("query_id", "results", "best", "strategy")
+    return R.search_summary(q, hybrid(spark, d, 10)).select("query_id", "results", "best", "strategy")
 
 
 @query(f"""WITH {HY}, l AS (SELECT *, {TOPK.format(s='bm25_score')} AS r FROM (SELECT query_id, chunk_id, round(bm25_score, 6) AS bm25_score FROM lx)), a AS (SELECT query_id, chunk_id, combined_score AS sa FROM top WHERE rank <= 10), b AS (SELECT query_id, chunk_id, bm25_score AS sb FROM l WHERE r <= 10)
 SELECT query_id, count(*) FILTER (sa IS NOT NULL AND sb IS NOT NULL)::BIGINT AS "both", count(*) FILTER (sb IS NULL)::BIGINT AS only_a, count(*) FILTER (sa IS NULL)::BIGINT AS only_b, round(avg(sa - sb), 4) AS mean_delta FROM a FULL JOIN b USING (query_id, chunk_id) GROUP BY query_id""")
 def r28_compare_rankings(spark, d):
-    a = R.top_k(hybrid(spark, d), 10, "combined_score").withColumnRenamed("combined_score", "score")
-    b = R.top_k(r3_lexical_scores(spark, d), 10, "bm25_score").withColumnRenamed("bm25_score", "score")
+    a = hybrid(spark, d, 10).withColumnRenamed("combined_score", "score")
+    b = lexical(spark, d, 10).withColumnRenamed("bm25_score", "score")
     return R.compare_rankings(a, b, 10).withColumn("mean_delta", F.round("mean_delta", 4))
 
 
