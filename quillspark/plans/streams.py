@@ -28,10 +28,11 @@ def at(c):
 
 @query("""WITH RECURSIVE e AS (SELECT user_id || '/' || event_type AS key, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) AS i FROM events),
 w AS (SELECT key, i, ts, ts AS since FROM e WHERE i = 1 UNION ALL SELECT e.key, e.i, e.ts, CASE WHEN epoch(e.ts) - epoch(since) >= 86400 THEN e.ts ELSE since END FROM w JOIN e ON e.key = w.key AND e.i = w.i + 1),
-n AS (SELECT key, row_number() OVER (PARTITION BY key, since ORDER BY i) AS nth FROM w) SELECT key, count(*) AS n, count(*) FILTER (nth <= 2)::BIGINT AS allowed FROM n GROUP BY key""")
+n AS (SELECT *, row_number() OVER (PARTITION BY key, since ORDER BY i) AS nth FROM w)
+SELECT key, epoch_us(ts) AS t, nth <= 2 AS decision, greatest(2 - nth, 0)::INT AS remaining, CASE WHEN nth <= 2 THEN 0 ELSE round(86400 - (epoch_us(ts) - epoch_us(since)) / 1e6, 3) END AS retry_after FROM n""")
 def t1_rate_limit_anchored(spark, d):
-    e = T(spark, d, "events").withColumn("key", F.concat_ws("/", "user_id", "event_type"))
-    return S.rate_limit_anchored(e, "key", "ts", 86_400.0, 2).groupBy("key").agg(F.count("*").alias("n"), F.count_if("decision").alias("allowed"))
+    r = S.rate_limit_anchored(T(spark, d, "events"), F.concat_ws("/", "user_id", "event_type"), "ts", 86_400.0, 2)
+    return r.select("key", F.unix_micros("ts").alias("t"), "decision", "remaining", F.round("retry_after", 3).alias("retry_after"))
 
 
 @query("SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, count(*) > 4 AS over FROM events GROUP BY 1, 2")
@@ -45,11 +46,11 @@ def t2_rate_limit_sliding(spark, d):
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id || '/' || event_type AS key, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) AS i FROM events),
-w AS (SELECT key, i, ts AS since, false AS hit FROM e WHERE i = 1 UNION ALL SELECT e.key, e.i, CASE WHEN epoch(e.ts) - epoch(since) > 43200 THEN e.ts ELSE since END, epoch(e.ts) - epoch(since) <= 43200 FROM w JOIN e ON e.key = w.key AND e.i = w.i + 1)
-SELECT key, count(*) AS n, count(*) FILTER (hit)::BIGINT AS hits FROM w GROUP BY key""")
+w AS (SELECT key, i, ts, ts AS since, false AS hit FROM e WHERE i = 1 UNION ALL SELECT e.key, e.i, e.ts, CASE WHEN epoch(e.ts) - epoch(since) > 43200 THEN e.ts ELSE since END, epoch(e.ts) - epoch(since) <= 43200 FROM w JOIN e ON e.key = w.key AND e.i = w.i + 1)
+SELECT key, epoch_us(ts) AS t, hit FROM w""")
 def t3_repeat_queries(spark, d):
     key = F.concat_ws("/", "user_id", "event_type")
-    return S.repeat_queries(T(spark, d, "events"), key, "ts", 43_200.0).groupBy("key").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
+    return S.repeat_queries(T(spark, d, "events"), key, "ts", 43_200.0).select("key", F.unix_micros("ts").alias("t"), "hit")
 
 
 @query("SELECT strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d %H:%M') AS start, count(DISTINCT user_id) AS live, greatest(count(DISTINCT user_id) - 100, 0)::BIGINT AS evicted FROM events GROUP BY 1")
@@ -58,7 +59,7 @@ def t4_cache_evictions(spark, d):
 
 
 @query("""WITH e AS (SELECT event_type, event_id, list_sort(list(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)) AS a FROM events WHERE value IS NOT NULL)
-SELECT event_type, event_id, round(list_avg(a), 6) AS mean, a[least(floor(len(a) * 0.5), len(a) - 1)::INT + 1] AS p50, a[least(floor(len(a) * 0.95), len(a) - 1)::INT + 1] AS p95, a[least(floor(len(a) * 0.99), len(a) - 1)::INT + 1] AS p99 FROM e""")
+SELECT event_type, event_id, round(list_sum(list_transform(a, lambda x: x::DECIMAL(18, 6))) / len(a), 6) AS mean, a[least(floor(len(a) * 0.5), len(a) - 1)::INT + 1] AS p50, a[least(floor(len(a) * 0.95), len(a) - 1)::INT + 1] AS p95, a[least(floor(len(a) * 0.99), len(a) - 1)::INT + 1] AS p99 FROM e""")
 def t5_rolling_latency(spark, d):
     return S.rolling_latency(T(spark, d, "events"), "event_type", "ts", "event_id", "value").withColumn("mean", F.round("mean", 6))
 
@@ -91,6 +92,15 @@ def t9_audit_stream(spark, d):
     return S.audit_stream(e.select(F.col("event_id").alias("key"), op.alias("op"), (F.col("event_id") % 2 == 0).alias("was_active"), (F.col("event_id") % 3 == 0).alias("now_active")))
 
 
+@query("""WITH f AS (SELECT user_id::VARCHAR AS key, epoch_us(ts) AS t, event_id AS tie, event_type = 'error' AS gone, event_id % 3 > 0 AS active FROM events),
+p AS (SELECT *, lag(gone) OVER w AS was_gone, lag(active) OVER w AS was_active FROM f WINDOW w AS (PARTITION BY key ORDER BY t, tie)),
+a AS (SELECT key, t, tie, CASE WHEN gone AND NOT coalesce(was_gone, true) THEN 'delete' WHEN NOT gone AND coalesce(was_gone, true) THEN 'insert' WHEN NOT gone AND was_active AND NOT active THEN 'revoke' END AS action FROM p)
+SELECT * FROM a WHERE action IS NOT NULL""")
+def t9_audit_feed(spark, d):
+    f = T(spark, d, "events").select("user_id", "ts", "event_id", (F.col("event_id") % 3 > 0).alias("active"), (F.col("event_type") == "error").alias("gone"))
+    return S.audit_feed(f, "user_id", "ts", "event_id", "active", "gone").select("key", F.unix_micros("ts").alias("t"), "tie", "action")
+
+
 @query(r"SELECT DISTINCT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '\b[A-Z]{3,}\b')) AS code FROM documents")
 def t10_index_pairs(spark, d):
     from quillspark.operators.extract import codes

@@ -7,13 +7,15 @@ key in Spark's state store; the batch twins are windows, or one ordered pass for
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from quillspark.functions.order import numbered
+from quillspark.streaming import stateful as S
 
 
 def with_time(df: DataFrame, ts: str, watermark: str = "10 minutes") -> DataFrame:
@@ -34,101 +36,37 @@ def rate_limit_sliding(df: DataFrame, key: str, ts: str, seconds: int, limit: in
     return df.withColumn("n", F.count("*").over(w)).withColumn("over", F.col("n") > limit)
 
 
-def in_sequence(d: DataFrame, schema: str, fresh, step) -> DataFrame:
-    """Run ``step(rows, key, state) -> (rows, state)`` over each key's rows in order of ts. Keys are dealt to tasks and
-    sorted there; a key's state goes from one Arrow batch to the next, so a long key is never held whole."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, state = object(), None
-        for b in batches:
-            for key, rows in b.groupby("key", sort=False, dropna=False):
-                key = None if key != key else key
-                if key != at:
-                    at, state = key, fresh()
-                out, state = step(rows, key, state)
-                yield out
-
-    return d.repartition("key").sortWithinPartitions("key", "ts").mapInPandas(run, schema)
-
+ANCHORED = "key string, t long, decision boolean, remaining int, retry_after double"
 
-ANCHORED = "key string, ts timestamp, decision boolean, remaining int, retry_after double"
 
+def _timed(out: DataFrame) -> DataFrame:
+    """Times of day in place of microseconds."""
+    return out.select("key", F.timestamp_micros("t").alias("ts"), *[c for c in out.columns if c not in ("key", "t")])
 
-def _anchored(pdf: pd.DataFrame, key: str, state: list, seconds: float, limit: int) -> tuple[pd.DataFrame, list]:
-    """A window begins with the first request after the last one ended; requests beyond the limit are turned away."""
-    begin, n = state
-    rows = []
-    for t in pdf["ts"].sort_values(kind="stable"):
-        if begin is None or (t - begin).total_seconds() >= seconds:
-            begin, n = t, 0
-        ok = n < limit
-        n += ok
-        rows.append((key, t, ok, limit - n, 0.0 if ok else seconds - (t - begin).total_seconds()))
-    return pd.DataFrame(rows, columns=["key", "ts", "decision", "remaining", "retry_after"]), [begin, n]
 
-
-def rate_limit_anchored(df: DataFrame, key: str, ts: str, seconds: float, limit: int) -> DataFrame:
+def rate_limit_anchored(df: DataFrame, key: Column | str, ts: str, seconds: float, limit: int) -> DataFrame:
     """Decision, remaining calls and seconds to wait for each request; batch twin of ``rate_limit_anchored_stream``."""
-    d = df.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"))
-    return in_sequence(d, ANCHORED, lambda: [None, 0], lambda g, k, state: _anchored(g, k, state, seconds, limit))
-
-
-def rate_limit_anchored_stream(df: DataFrame, key: str, ts: str, seconds: float, limit: int, watermark: str = "10 minutes") -> DataFrame:
-    d = with_time(df.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts")), "ts", watermark)
+    return _timed(S.in_order(S.rows_of(df, F.col(key) if isinstance(key, str) else key, ts), S.anchored_limit(seconds, limit), ANCHORED))
 
-    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        got = list(parts)
-        begin, n = state.get if state.exists else (None, 0)
-        out, (begin, n) = _anchored(pd.concat(got), k[0], [None if begin is None else pd.Timestamp(begin), n], seconds, limit)
-        state.update((begin.to_pydatetime(), int(n)))
-        end = int((begin.timestamp() + seconds) * 1000)
-        if end > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(end)
-        yield out
 
-    return d.groupBy("key").applyInPandasWithState(step, ANCHORED, "begin timestamp, n int", "append", GroupStateTimeout.EventTimeTimeout)
+def rate_limit_anchored_stream(df: DataFrame, key: Column | str, ts: str, seconds: float, limit: int, watermark: str = "10 minutes") -> DataFrame:
+    """The same for a stream, whose rows may come out of order within the watermark. Windows that have ended leave the state."""
+    rows = S.rows_of(df, F.col(key) if isinstance(key, str) else key, ts)
+    return _timed(S.stream_in_order(rows, S.anchored_limit(seconds, limit), ANCHORED, "begin bigint, n bigint", watermark))
 
 
-REPEATS = "key string, ts timestamp, hit boolean"
-
-
-def _repeats(pdf: pd.DataFrame, key: str, stored, ttl: float, inclusive: bool) -> tuple[pd.DataFrame, object]:
-    rows = []
-    for t in pdf["ts"].sort_values(kind="stable"):
-        age = None if stored is None else (t - stored).total_seconds()
-        hit = age is not None and (age <= ttl if inclusive else age < ttl)
-        if not hit:
-            stored = t  # a hit does not renew the entry
-        rows.append((key, t, hit))
-    return pd.DataFrame(rows, columns=["key", "ts", "hit"]), stored
+REPEATS = "key string, t long, hit boolean"
 
 
 def repeat_queries(df: DataFrame, key: Column, ts: str, ttl: float, inclusive: bool = True) -> DataFrame:
     """Whether each query's key was stored at most ``ttl`` seconds ago; batch twin of ``repeat_queries_stream``."""
-    d = df.select(key.cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"))
-    return in_sequence(d, REPEATS, lambda: None, lambda g, k, stored: _repeats(g, k, stored, ttl, inclusive))
+    return _timed(S.in_order(S.rows_of(df, key, ts), S.stored_repeats(ttl, inclusive), REPEATS))
 
 
 def repeat_queries_stream(df: DataFrame, key: Column, ts: str, ttl: float, inclusive: bool = True, watermark: str = "10 minutes") -> DataFrame:
-    d = with_time(df.select(key.cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts")), "ts", watermark)
-
-    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        got = list(parts)
-        stored = pd.Timestamp(state.get[0]) if state.exists else None
-        out, stored = _repeats(pd.concat(got), k[0], stored, ttl, inclusive)
-        state.update((stored.to_pydatetime(),))
-        end = int((stored.timestamp() + ttl + 1) * 1000)
-        if end > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(end)
-        yield out
-
-    return d.groupBy("key").applyInPandasWithState(step, REPEATS, "stored timestamp", "append", GroupStateTimeout.EventTimeTimeout)
+    """The same for a stream, whose rows may come out of order within the watermark. Entries that have expired leave the
+    state."""
+    return _timed(S.stream_in_order(S.rows_of(df, key, ts), S.stored_repeats(ttl, inclusive), REPEATS, "stored bigint", watermark))
 
 
 def cache_evictions(df: DataFrame, key: str, ts: str, window: str, capacity: int) -> DataFrame:
@@ -138,50 +76,41 @@ def cache_evictions(df: DataFrame, key: str, ts: str, window: str, capacity: int
     return g.select(F.col("window.start").alias("start"), "live", F.greatest(F.col("live") - capacity, F.lit(0)).alias("evicted"))
 
 
-def last_stats(last: Column) -> list[Column]:
-    """Mean and percentiles (place floor(n p), the last at most) of a sorted array."""
-    at = lambda p: F.get(last, F.least(F.floor(F.size(last) * p), F.size(last) - 1).cast("int"))
-    return [(F.aggregate(last, F.lit(0.0), lambda a, x: a + x) / F.size(last)).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99")]
+#: Samples of a key that one group sorts through.
+SAMPLES = 20_000
 
 
-def rolling_latency(df: DataFrame, by: str, ts: str, tie: str, value: str, n: int = 100, slice_seconds: int = 86_400) -> DataFrame:
+def rolling_latency(df: DataFrame, by: str, ts: str, tie: str, value: str, n: int = 100, samples: int = SAMPLES) -> DataFrame:
     """Mean and percentiles of the last n samples at each event; batch twin of ``rolling_latency_stream``.
 
-    Each key's time is cut into slices, so a task sorts a slice of a key at a time; a slice is led by the n - 1 samples
-    before it, which come from as many slices as it takes."""
-    d = df.where(F.col(value).isNotNull()).withColumn("slice_", F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / slice_seconds))
-    sizes = d.groupBy(by, "slice_").agg(F.count("*").alias("m_"))
-    # how many slices back hold n - 1 samples: the slices of a key are few
-    w = W.partitionBy(by).orderBy("slice_")
-    past = sizes.withColumn("upto_", F.sum("m_").over(w) - F.col("m_"))
-    past = past.withColumn("all_", F.collect_list(F.struct("slice_", "upto_")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    lead = F.coalesce(F.element_at(F.filter("all_", lambda x: x["upto_"] <= F.greatest(F.col("upto_") - (n - 1), F.lit(0))), -1)["slice_"], F.col("slice_"))
-    to = past.select(by, F.col("slice_").alias("home_"), F.explode(F.filter(F.transform("all_", lambda x: x["slice_"]), lambda x: x >= lead)).alias("slice_"))
-    led = d.join(to.hint("merge"), [by, "slice_"])
-    # of what leads a slice only the last n - 1 samples go there
-    late = F.row_number().over(W.partitionBy(by, "home_", "slice_").orderBy(F.desc(ts), F.desc(tie)))
-    led = led.withColumn("late_", late).where((F.col("slice_") == F.col("home_")) | (F.col("late_") < n))
-    over = W.partitionBy(by, "home_").orderBy(ts, tie).rowsBetween(1 - n, 0)
-    return led.withColumn("last_", F.array_sort(F.collect_list(value).over(over))).where("slice_ = home_").select(by, tie, *last_stats(F.col("last_")))
-
-
-def rolling_latency_stream(df: DataFrame, by: str, ts: str, tie: str, value: str, n: int = 100, watermark: str = "10 minutes") -> DataFrame:
-    """The same for a stream that comes in order of time: a key's state is its last n - 1 samples. Keys come as string,
-    ties as long, values as double."""
-    d = with_time(df.where(F.col(value).isNotNull()).select(F.col(by).cast("string").alias(by), F.col(ts).alias("ts"), F.col(tie).cast("long").alias(tie), F.col(value).cast("double").alias("v")), "ts", watermark)
-
-    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        got = pd.concat(list(parts)).sort_values(["ts", tie])
-        held = list(state.get[0]) if state.exists else []
-        rows = []
-        for t, v in zip(got[tie], got["v"], strict=True):
-            held = [*held, v][-n:]
-            last, m = sorted(held), len(held)
-            rows.append((k[0], t, sum(last) / m, *(last[min(int(m * p), m - 1)] for p in (0.5, 0.95, 0.99))))
-        state.update((held[1 - n :],))
-        yield pd.DataFrame(rows, columns=[by, tie, "mean", "p50", "p95", "p99"])
-
-    return d.groupBy(by).applyInPandasWithState(step, f"{by} string, {tie} long, mean double, p50 double, p95 double, p99 double", "held array<double>", "append", GroupStateTimeout.NoTimeout)
+    A key's samples are numbered in order and cut into stretches; each goes to a task led by the n - 1 samples before it,
+    which lie in one stretch, as a stretch has n samples at least. There the samples go in and out of a sorted structure
+    one by one."""
+    size = max(samples, n)
+    d = df.where(F.col(value).isNotNull()).select(F.col(by).alias("by_"), F.col(ts).alias("ts_"), F.col(tie).cast("long").alias("tie_"), F.col(value).cast("double").alias("v_"))
+    d = numbered(d, ["by_"], ["ts_", "tie_"])
+    home, leads = F.expr(f"pos div {size}L"), F.col("pos") % size >= size - (n - 1)
+    d = d.withColumn("block_", F.explode(F.when(leads, F.array(home, home + 1)).otherwise(F.array(home))))
+    kind = dict(d.dtypes)["by_"]
+
+    def stretch(t: pa.Table) -> pa.Table:
+        t = t.sort_by("pos")
+        pos, v = t.column("pos").to_numpy(), t.column("v_").to_numpy()
+        lead = int(np.searchsorted(pos, t.column("block_")[0].as_py() * size))
+        mean, p50, p95, p99 = S.rolled(v[:lead].tolist(), v[lead:], n)
+        own = t.slice(lead)
+        return pa.table({by: own.column("by_"), tie: own.column("tie_"), "mean": mean, "p50": p50, "p95": p95, "p99": p99})
+
+    return d.groupBy("by_", "block_").applyInArrow(stretch, f"`{by}` {kind}, `{tie}` long, mean double, p50 double, p95 double, p99 double")
+
+
+def rolling_latency_stream(df: DataFrame, by: str, ts: str, tie: str, value: str, n: int = 100, watermark: str = "10 minutes", idle_seconds: int | None = 86_400) -> DataFrame:
+    """The same for a stream, whose rows may come out of order within the watermark: a key's state is its last n - 1
+    samples, and goes when nothing has come for ``idle_seconds`` (None: it stays). Keys come as string."""
+    rows = S.rows_of(df.where(F.col(value).isNotNull()), F.col(by), ts, F.col(tie), F.col(value))
+    step = S.rolling_step(n, None if idle_seconds is None else 1000 * idle_seconds)
+    out = S.stream_in_order(rows, step, "key string, o long, mean double, p50 double, p95 double, p99 double", "last array<double>", watermark)
+    return out.withColumnsRenamed({"key": by, "o": tie})
 
 
 def windowed_slo(df: DataFrame, ts: str, window: str, value: str, failed: Column, p95_above: float, errors_above: float) -> DataFrame:
@@ -199,11 +128,36 @@ def quota_use(df: DataFrame, tenant: str, ts: str, limit: int) -> DataFrame:
 
 
 def audit_stream(changes: DataFrame) -> DataFrame:
-    """Audit rows of a change feed (key, op, was_active, now_active); stateless, batch or stream."""
+    """Audit rows of a change feed that brings old values (key, op, was_active, now_active); stateless, batch or stream."""
     action = F.when(F.col("op") == "insert", "insert").when(F.col("op") == "delete", "delete").when(F.col("was_active") & ~F.col("now_active"), "revoke")
     return changes.select("key", action.alias("action")).where("action IS NOT NULL")
 
 
+AUDIT = "key string, t long, o long, action int"
+
+
+def _changes(feed: DataFrame, key: str, ts: str, tie: str, active: str, deleted: str) -> DataFrame:
+    value = F.when(F.coalesce(F.col(deleted), F.lit(False)), S.DELETED).when(F.coalesce(F.col(active), F.lit(False)), S.ACTIVE).otherwise(S.INACTIVE)
+    return S.rows_of(feed, F.col(key), ts, F.col(tie), value)
+
+
+def _actions(out: DataFrame) -> DataFrame:
+    action = F.element_at(F.array(*map(F.lit, ("insert", "delete", "revoke"))), F.when(F.col("action") > 0, F.col("action")).otherwise(1))
+    return out.where("action > 0").select("key", F.timestamp_micros("t").alias("ts"), F.col("o").alias("tie"), action.alias("action"))
+
+
+def audit_feed(feed: DataFrame, key: str, ts: str, tie: str, active: str, deleted: str) -> DataFrame:
+    """Audit rows of a feed of plain new values: each row says that a key is active or not, or deleted. What it was before
+    is the last row of its key. A null counts as not active, and as not deleted. Batch twin of ``audit_feed_stream``."""
+    return _actions(S.in_order(_changes(feed, key, ts, tie, active, deleted), S.audit_step, AUDIT))
+
+
+def audit_feed_stream(feed: DataFrame, key: str, ts: str, tie: str, active: str, deleted: str, watermark: str = "10 minutes") -> DataFrame:
+    """The same for a stream, whose rows may come out of order within the watermark. The state is the last value of each
+    key that isn't deleted."""
+    return _actions(S.stream_in_order(_changes(feed, key, ts, tie, active, deleted), S.audit_step, AUDIT, "last double", watermark))
+
+
 def batch_name(checkpoint: str, n: int) -> str:
     """A name that only this batch of this stream has."""
     return f"{zlib.crc32(checkpoint.encode()):08x}-{n}"

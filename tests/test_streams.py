@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import datetime
+import os
+import random
+import time
+from collections import defaultdict
+
+import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quillspark.operators import prepare as D
 from quillspark.sources.corpus import read_chunks, store_chunks
 from quillspark.streaming import events as S
+from quillspark.streaming import stateful as SF
 
 
 def slices(spark, sf_dir, tmp_path, n=4):
@@ -33,13 +42,162 @@ def test_windows_and_quota(spark, sf_dir, tmp_path):
         assert drain(spark, f(s), name, "complete", tmp_path) == sorted(map(repr, f(e).collect()))
 
 
-def test_stateful(spark, sf_dir, tmp_path):
-    e, s = slices(spark, sf_dir, tmp_path)
-    key = F.concat_ws("/", "user_id", "event_type")
-    a = drain(spark, S.rate_limit_anchored_stream(s.withColumn("k", key), "k", "ts", 86_400.0, 1, "60 days"), "a", "append", tmp_path)
-    assert a == sorted(map(repr, S.rate_limit_anchored(e.withColumn("k", key), "k", "ts", 86_400.0, 1).collect()))
-    r = drain(spark, S.repeat_queries_stream(s, key, "ts", 86_400.0, watermark="60 days"), "r", "append", tmp_path)
-    assert r == sorted(map(repr, S.repeat_queries(e, key, "ts", 86_400.0).collect()))
+@pytest.fixture
+def rocksdb(spark):
+    names = (SF.ROCKSDB[0], "spark.sql.shuffle.partitions")
+    was = [spark.conf.get(n) for n in names]
+    for n, x in zip(names, (SF.ROCKSDB[1], "2"), strict=True):
+        spark.conf.set(n, x)
+    yield
+    for n, x in zip(names, was, strict=True):
+        spark.conf.set(n, x)
+
+
+FAR = datetime.datetime(2030, 1, 1)
+
+
+def shuffled(spark, rows, schema, tmp_path, end, batches=5, seed=1):
+    """A stream of rows in a random order that strays by up to a fifth of them, and at last ``end`` (far later), which
+    moves the watermark past all others; and the same rows as a table."""
+    r = random.Random(seed)
+    rows = sorted(rows, key=lambda x: x[1])
+    mixed = [x for _, x in sorted(enumerate(rows), key=lambda p: p[0] + r.random() * len(rows) / batches)]
+    size = -(-len(mixed) // batches)
+    for i in range(0, len(mixed), size):
+        spark.createDataFrame(mixed[i : i + size], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i:06d}"))
+    spark.createDataFrame([end], schema).coalesce(1).write.parquet(str(tmp_path / "in" / "z"))
+    for i, p in enumerate(sorted((tmp_path / "in").iterdir())):  # files are taken by the time of their last change
+        for f in p.glob("*.parquet"):
+            os.utime(f, (1e9 + i, 1e9 + i))
+    table = spark.createDataFrame(rows, schema)
+    return table, spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+
+
+def requests(n=300, keys=4, seed=2):
+    r = random.Random(seed)
+    at = datetime.datetime(2024, 1, 1)
+    return [(r.choice([*"abcd"[:keys], None]), at + datetime.timedelta(seconds=r.randrange(6 * 3600), microseconds=r.choice([0, 0, 1, 999_999])), i, round(r.expovariate(0.1), 2)) for i in range(n)]
+
+
+def results(df):
+    return sorted(repr(r) for r in df.collect() if r["key" if "key" in df.columns else "k"] != "zz")
+
+
+def test_anchored_and_repeats(spark, tmp_path, rocksdb):
+    table, s = shuffled(spark, requests(), "k string, ts timestamp, i long, v double", tmp_path, ("zz", FAR, 0, 0.0))
+    for name, batch, stream in (
+        ("a", lambda d: S.rate_limit_anchored(d, "k", "ts", 1800.0, 3), lambda d: S.rate_limit_anchored_stream(d, "k", "ts", 1800.0, 3, "3 hours")),
+        ("r", lambda d: S.repeat_queries(d, F.col("k"), "ts", 900.0), lambda d: S.repeat_queries_stream(d, F.col("k"), "ts", 900.0, watermark="3 hours")),
+        ("x", lambda d: S.repeat_queries(d, F.col("k"), "ts", 900.0, False), lambda d: S.repeat_queries_stream(d, F.col("k"), "ts", 900.0, False, "3 hours")),
+    ):
+        drain(spark, stream(s), name, "append", tmp_path)
+        got, want = results(spark.table(name)), results(batch(table))
+        assert got == want and len(want) == 300
+
+
+def plain_anchored(times, seconds, limit):
+    begin, n, out = None, 0, []
+    for t in times:
+        if begin is None or (t - begin).total_seconds() >= seconds:
+            begin, n = t, 0
+        ok = n < limit
+        n += ok
+        out.append((t, ok, limit - n, 0.0 if ok else seconds - (t - begin).total_seconds()))
+    return out
+
+
+def test_batch_by_brute_force(spark):
+    rows = requests(400, 3, 5)
+    table = spark.createDataFrame(rows, "k string, ts timestamp, i long, v double").repartition(4)
+    by = defaultdict(list)
+    for k, t, _, _ in rows:
+        by[k].append(t)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")  # state goes from batch to batch
+    try:
+        got = sorted(((r["key"], r["ts"], r["decision"], r["remaining"], round(r["retry_after"], 6)) for r in S.rate_limit_anchored(table, "k", "ts", 1000.0, 2).collect()), key=repr)
+        assert got == sorted(((k, t, ok, left, round(wait, 6)) for k, ts in by.items() for t, ok, left, wait in plain_anchored(sorted(ts), 1000.0, 2)), key=repr)
+        for inclusive in (True, False):
+            want = []
+            for k, ts in by.items():
+                stored = None
+                for t in sorted(ts):
+                    age = None if stored is None else (t - stored).total_seconds()
+                    hit = age is not None and (age <= 600 if inclusive else age < 600)
+                    stored = stored if hit else t
+                    want.append((k, t, hit))
+            assert sorted(map(tuple, S.repeat_queries(table, F.col("k"), "ts", 600.0, inclusive).collect()), key=repr) == sorted(want, key=repr)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert S.rate_limit_anchored(table.where("false"), "k", "ts", 1.0, 1).count() == 0
+
+
+def test_idle_keys_leave_the_state(spark, tmp_path, rocksdb):
+    """Only the last row's key is left once the watermark has passed all windows; rows behind the watermark are dropped."""
+    rows = requests(120)
+    _, s = shuffled(spark, rows, "k string, ts timestamp, i long, v double", tmp_path, ("zz", FAR, 0, 0.0))
+
+
+    def run():
+        q = S.rate_limit_anchored_stream(s, "k", "ts", 600.0, 3, "3 hours").writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "idle")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        q.awaitTermination(120)
+        return spark.read.parquet(str(tmp_path / "out")).count()
+
+    assert run() == 120
+    held = spark.read.format("statestore").option("path", str(tmp_path / "idle")).option("stateVarName", "held").load()
+    assert held.count() == 0
+    waiting = spark.read.format("statestore").option("path", str(tmp_path / "idle")).option("stateVarName", "waiting").load()
+    assert waiting.count() == 1  # the far one's
+    spark.createDataFrame([("a", datetime.datetime(2024, 1, 1), -5, 0.0)], "k string, ts timestamp, i long, v double").write.parquet(str(tmp_path / "in" / "late"))
+    assert run() == 120
+
+
+def test_audit_feed(spark, tmp_path, rocksdb):
+    """A feed of plain new values gives what two snapshots give, change by change."""
+    r = random.Random(7)
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(r.choice("abcde"), at + datetime.timedelta(seconds=r.randrange(20_000)), i, r.choice([True, True, False, None]), r.random() < 0.2) for i in range(200)]
+    schema = "k string, ts timestamp, i long, active boolean, gone boolean"
+    table, s = shuffled(spark, rows, schema, tmp_path, ("zz", FAR, 0, True, False))
+    args = ("k", "ts", "i", "active", "gone")
+    drain(spark, S.audit_feed_stream(s, *args, "3 hours"), "feed", "append", tmp_path)
+    got = results(spark.table("feed"))
+    assert got == results(S.audit_feed(table, *args)) and len(got) > 50
+    held, want = {}, []
+    for k, t, i, active, gone in sorted(rows, key=lambda x: (x[1], x[2])):
+        before, held = dict(held), {**held, k: bool(active)}
+        if gone:
+            held.pop(k)
+        snaps = [spark_free_audit(before, held)]
+        want += [(k, t, i, a) for x, a in snaps[0] if x == k]
+    assert got == sorted(repr(Row(key=k, ts=t, tie=i, action=a)) for k, t, i, a in want)
+
+
+def spark_free_audit(before, after):
+    for k in before.keys() | after.keys():
+        if k not in before:
+            yield k, "insert"
+        elif k not in after:
+            yield k, "delete"
+        elif before[k] and not after[k]:
+            yield k, "revoke"
+
+
+def test_ranked():
+    r, held = random.Random(3), []
+    x = SF.Ranked()
+    x.WIDE = 4
+    for step in range(3000):
+        if held and r.random() < 0.45:
+            v = r.choice(held)
+            held.remove(v)
+            x.take(v)
+        else:
+            v = float(r.randrange(40))
+            held.append(v)
+            x.add(v)
+        want = sorted(held)
+        assert [x.at(i) for i in range(0, len(want), 7)] == want[::7]
+        assert all(len(c) <= 8 for c in x.chunks)
 
 
 def test_caches_slo_and_audit(spark, sf_dir, tmp_path):
@@ -56,16 +214,40 @@ def test_caches_slo_and_audit(spark, sf_dir, tmp_path):
     assert drain(spark, feed(s), "audit", "append", tmp_path) == sorted(map(repr, feed(e).collect()))
 
 
-def test_rolling_latency(spark, sf_dir, tmp_path):
-    e, s = slices(spark, sf_dir, tmp_path)
-    rows = lambda d: {r.event_id: (r.event_type, r.p50, r.p95, r.p99, r["mean"]) for r in d.collect()}
+def test_rolling_latency(spark, sf_dir, tmp_path, rocksdb):
+    table, s = shuffled(spark, requests(400), "k string, ts timestamp, i long, v double", tmp_path, ("zz", FAR, 0, 0.0))
+    rows = lambda d: {r["i"]: (r["k"], r["p50"], r["p95"], r["p99"], r["mean"]) for r in d.collect() if r["k"] != "zz"}
     same = lambda a, b: a.keys() == b.keys() and all(a[k][:4] == b[k][:4] and a[k][4] == pytest.approx(b[k][4]) for k in a)
+    by = defaultdict(list)
+    for k, t, i, v in requests(400):
+        by[k].append((t, i, v))
     for n in (1, 5, 100):
-        a, b = (rows(S.rolling_latency(e, "event_type", "ts", "event_id", "value", n, size)) for size in (3_600, 10**9))
-        assert same(a, b)  # however time is cut
-        q = S.rolling_latency_stream(s, "event_type", "ts", "event_id", "value", n).writeStream.format("memory").queryName(f"l{n}").outputMode("append").option("checkpointLocation", str(tmp_path / f"l{n}")).trigger(availableNow=True).start()
+        want = {}
+        for k, x in by.items():
+            x = sorted(x)
+            for j in range(len(x)):
+                last = sorted(v for _, _, v in x[max(0, j - n + 1) : j + 1])
+                want[x[j][1]] = (k, *(last[min(int(len(last) * p), len(last) - 1)] for p in (0.5, 0.95, 0.99)), sum(last) / len(last))
+        a, b = (rows(S.rolling_latency(table, "k", "ts", "i", "v", n, size)) for size in (7, 20_000))
+        assert same(a, want) and same(b, want)  # however a key's samples are cut
+        if n != 5:
+            continue
+        q = S.rolling_latency_stream(s, "k", "ts", "i", "v", n, "3 hours", 3600 * 24 * 365 * 10).writeStream.format("memory").queryName(f"l{n}").outputMode("append").option("checkpointLocation", str(tmp_path / f"l{n}")).trigger(availableNow=True).start()
         q.awaitTermination(120)
-        assert same(rows(spark.table(f"l{n}")), a)
+        assert same(rows(spark.table(f"l{n}")), want)
+
+
+def test_rolling_latency_of_many():
+    """Ten thousand samples in the window cost little more a row than a hundred."""
+    v = np.random.default_rng(1).random(30_000)
+    took = []
+    for n in (100, 10_000):
+        t = time.process_time()
+        mean, _, p95, _ = SF.rolled([], v, n)
+        took.append(time.process_time() - t)
+        last = np.sort(v[-n:])
+        assert p95[-1] == last[int(n * 0.95)] and mean[-1] == pytest.approx(last.mean())
+    assert took[1] < 8 * took[0] + 1
 
 
 def test_index_refresh(spark, sf_dir, tmp_path):
