@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillspark.functions import catalogues as cat
 from quillspark.functions.text import BOUNDARY, cascade, clip, has_any
+from quillspark.sources.corpus import written
 
 
 def score_patterns(answers: DataFrame, cases: DataFrame, variant: str = "golden") -> DataFrame:
@@ -82,37 +85,59 @@ def breakdown(results: DataFrame, dims: list[str], passed: str) -> DataFrame:
     return long.groupBy("dim", "value").agg(F.count("*").alias("total"), F.count_if("ok").alias("passed"), (100 * F.count_if("ok") / F.count("*")).alias("percent"))
 
 
-#: Ranges of values into which each group is cut for percentiles; groups whose cuts are broadcast at most.
-SLICES, BROADCAST_GROUPS = 256, 10_000
+#: Size of a group's sketch (of KLL, whose places are off by about 2.3 in so many), how many times that is allowed for,
+#: and groups whose bounds are broadcast at most.
+SKETCH, ALLOWED, BROADCAST_GROUPS = 4096, 3, 10_000
 
 
 def percentiles(df: DataFrame, by: list[str], value: str, ps: dict[str, float], convention: str = "floor") -> DataFrame:
-    """Exact percentiles by group, all in one pass: n and a column for each name of ``ps``.
+    """Exact percentiles by group in two scans: n and a column for each name of ``ps``.
 
     floor: place floor(n p), the last at most; ceil: ceil(n p) - 1; offset: floor(n p), null if there is none. Places
-    count from 0; nulls don't count. Groups are cut into SLICES ranges at approximate quantiles; counts of the ranges
-    tell in which one a place falls, and only distinct values of that range, with their counts, are sorted. So no task
-    sorts more than a slice of a group, nor a value that many rows share more than once."""
-    d = df.where(F.col(value).isNotNull()).select(F.to_json(F.struct(*by)).alias("g_") if by else F.lit("").alias("g_"), *by, F.col(value).alias("v_"))
-    keys = d.groupBy("g_").agg(*[F.first(c).alias(c) for c in by], F.array_distinct(F.percentile_approx(F.col("v_").cast("double"), [i / SLICES for i in range(1, SLICES)], 4 * SLICES)).alias("cuts_"))
-    few = keys.select("g_").limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    near = (lambda t: t.hint("broadcast")) if few else (lambda t: t.hint("merge"))
-    d = d.select("g_", "v_").join(near(keys.select("g_", "cuts_")), "g_").select("g_", "v_", F.size(F.filter("cuts_", lambda c: c < F.col("v_"))).alias("s_"))
-    sizes = d.groupBy("g_", "s_").agg(F.count("*").alias("m_"))
-    w = W.partitionBy("g_")
-    sizes = sizes.withColumn("n", F.sum("m_").over(w)).withColumn("upto_", F.sum("m_").over(w.orderBy("s_")))
+    count from 0; nulls don't count, a null group is one. The first scan makes a sketch of each group, which says between
+    which two values a place lies. The second counts what lies under, between and over the bounds, and keeps the values
+    between them, each once with its count; only these are sorted. Where a sketch was off by more than is allowed for, its
+    groups' places aren't found, and the second scan runs again with wider bounds, at last with none."""
+    keyed = [f"k{i}_" for i in range(len(by))]
+    d = df.where(F.col(value).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(by, keyed, strict=True)], F.col(value).alias("v_"), F.col(value).cast("double").alias("x_"))
+    groups = written(d.groupBy(*keyed).agg(F.count("*").alias("n"), F.kll_sketch_agg_double("x_", F.lit(SKETCH)).alias("sketch_")).where("n > 0"))
+    how = "broadcast" if groups.count() <= BROADCAST_GROUPS else "merge"
+    n = F.col("n")
     if convention == "ceil":
-        place = lambda p: F.greatest(F.ceil(F.col("n") * p) - 1, F.lit(0))
+        place = lambda p: F.greatest(F.ceil(n * p) - 1, F.lit(0))
     else:
-        place = lambda p: F.floor(F.col("n") * p) if convention == "offset" else F.least(F.floor(F.col("n") * p), F.col("n") - 1)
-    wanted = sizes.select("g_", "s_", "n", "upto_", (F.col("upto_") - F.col("m_")).alias("from_"), F.explode(F.array(*[F.struct(F.lit(k).alias("p"), place(p).alias("at")) for k, p in ps.items()])).alias("w"))
-    wanted = wanted.where("w.at >= from_ AND w.at < upto_").groupBy("g_", "s_", "from_").agg(F.collect_list("w").alias("ws"))
-    values = d.join(near(wanted), ["g_", "s_"]).groupBy("g_", "s_", "from_", "ws", "v_").agg(F.count("*").alias("c_"))
-    last = F.col("from_") + F.sum("c_").over(W.partitionBy("g_", "s_").orderBy("v_"))
-    hits = values.withColumn("last_", last).select("g_", "v_", F.explode(F.filter("ws", lambda x: (x["at"] < F.col("last_")) & (x["at"] >= F.col("last_") - F.col("c_")))).alias("w"))
-    found = hits.groupBy("g_").agg(*[F.max(F.when(F.col("w.p") == k, F.col("v_"))).alias(k) for k in ps])
-    n = sizes.groupBy("g_").agg(F.max("n").alias("n"))
-    return keys.select("g_", *by).join(n.hint("merge"), "g_").join(found.hint("merge"), "g_", "left").drop("g_")
+        place = lambda p: F.floor(n * p) if convention == "offset" else F.least(F.floor(n * p), n - 1)
+    done = groups.select(*keyed, "n", *[place(p).alias(f"at{i}_") for i, p in enumerate(ps.values())])
+    for slack in (ALLOWED * 2.3 / SKETCH, 10 * ALLOWED * 2.3 / SKETCH, 1.0):
+        found = written(_between(d, groups, keyed, [(p, place(p)) for p in ps.values()], slack, how))
+        if slack == 1.0 or found.where(" OR ".join(f"missed{i}_" for i in range(len(ps)))).isEmpty():
+            break
+    same = reduce(lambda a, c: a & done[c].eqNullSafe(found[c]), keyed, F.lit(True))
+    out = done.join(found.hint(how), same)
+    return out.select(*[done[k].alias(c) for c, k in zip(by, keyed, strict=True)], "n", *[F.col(f"p{i}_").alias(k) for i, k in enumerate(ps)])
+
+
+def _between(d: DataFrame, groups: DataFrame, keyed: list[str], places: list[tuple[float, Column]], slack: float, how: str) -> DataFrame:
+    """By group (NaN is the largest number) the values at the places (p0_, ...), and which of them don't lie within the sketch's bounds (missed0_, ...)."""
+    # small groups are kept whole; in others a place is off n p by less than the slack
+    end = lambda r, open_: F.when(F.lit(not 0 < r < 1) | (F.col("n") <= SKETCH), open_).otherwise(F.kll_sketch_get_quantile_double("sketch_", F.lit(min(max(r, 0.0), 1.0))))
+    ends = [F.array(end(p - slack, F.lit(float("-inf"))), end(p + slack, F.lit(float("nan")))) for p, _ in places]
+    places = [at for _, at in places]
+    bounds = groups.select(*[F.col(k).alias(f"{k}b") for k in keyed], F.array(*ends).alias("ends_"))
+    same = reduce(lambda a, c: a & d[c].eqNullSafe(bounds[f"{c}b"]), keyed, F.lit(True))
+    j = d.join(bounds.hint(how), same) if keyed else d.crossJoin(F.broadcast(bounds))  # one row of bounds
+    one = lambda i, k: F.col("ends_")[i][k]
+    x, m = F.col("x_"), range(len(places))
+    region = sum(((x >= one(i, 0)).cast("int") + (x > one(i, 1)).cast("int") for i in m), F.lit(0))
+    inside = reduce(lambda a, b: a | b, [(x >= one(i, 0)) & (x <= one(i, 1)) for i in m])
+    counts = written(j.groupBy(*keyed, region.alias("r_"), F.when(inside, F.col("v_")).alias("v_")).agg(F.count("*").alias("c_")))
+    whole = counts.groupBy(*keyed, "r_").agg(F.sum("c_").alias("c_"))
+    w = W.partitionBy(*keyed).orderBy("r_")
+    before = whole.select(*[F.col(k).alias(f"{k}r") for k in keyed], F.col("r_").alias("rr_"), (F.sum("c_").over(w) - F.col("c_")).alias("from_"), F.sum("c_").over(W.partitionBy(*keyed)).alias("n"))
+    same = reduce(lambda a, c: a & counts[c].eqNullSafe(before[f"{c}r"]), keyed, counts["r_"] == before["rr_"])
+    ranked = counts.join(before.hint(how), same).withColumn("upto_", F.col("from_") + F.sum("c_").over(W.partitionBy(*keyed, "r_").orderBy("v_")))
+    hit = lambda at: (at < F.col("upto_")) & (at >= F.col("upto_") - F.col("c_"))
+    return ranked.groupBy(*keyed).agg(*[F.max(F.when(hit(at), F.col("v_"))).alias(f"p{i}_") for i, at in enumerate(places)], *[F.coalesce(F.bool_or(hit(at) & F.col("v_").isNull()), F.lit(False)).alias(f"missed{i}_") for i, at in enumerate(places)])
 
 
 def percentile_rank(df: DataFrame, by: list[str], value: str, p: float, convention: str = "floor") -> DataFrame:

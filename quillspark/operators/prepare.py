@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillspark.functions import catalogues as cat
-from quillspark.functions.text import cascade, count_of, has, has_any, lines
+from quillspark.functions.text import cascade, count_of, find_all, has, has_any, lines
 
 
 def paragraphs(df: DataFrame, text: str, keys: list[str], sep: str = r"\n\n+") -> DataFrame:
@@ -148,6 +148,12 @@ def overlap_audit(chunks: DataFrame, by: list[str], tolerance: int = 100) -> Dat
     return chunks.withColumn("overlap", over).where(F.col("overlap") > tolerance)
 
 
+def grade_counts(pages: DataFrame, doc: str, text: str, grade: str = r"\b(?:F\d{2,3}[A-Z]?|[SN]\d{5})\b") -> DataFrame:
+    """Different grades that each document names on any page, 0 where it names none."""
+    found = pages.select(doc, F.explode_outer(F.array_distinct(find_all(F.col(text), grade, 0, False))).alias("g"))
+    return found.groupBy(doc).agg(F.count_distinct("g").alias("grades"))
+
+
 def document_stats(pages: DataFrame, doc: str, text: str) -> DataFrame:
     t = F.coalesce(text, F.lit(""))
     words = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))

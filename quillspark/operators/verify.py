@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from quillspark.functions import catalogues as cat
 from quillspark.functions.text import cascade, clip, find_all, has, has_any, pattern
 from quillspark.operators.extract import quantities
+from quillspark.sources.corpus import written
 
 
 def ground_answers(answers: DataFrame, sources: DataFrame, patterns: list | None = None, tolerance: float = 0.01, passing: int = 50) -> DataFrame:
@@ -31,6 +32,30 @@ def ground_answers(answers: DataFrame, sources: DataFrame, patterns: list | None
     return out.withColumn("passed", F.col("score") >= passing)
 
 
+def ground_by_topic(answers: DataFrame, sources: DataFrame, patterns: list | None = None, tolerance: float = 0.01, passing: int = 50) -> DataFrame:
+    """``ground_answers`` where many answers share their sources: answers (answer_id, topic, text), sources (topic, text).
+
+    A topic's values are never on one row. Different values of answers and of sources meet by topic and bucket of value,
+    twice the tolerance wide, so a value looks into its bucket and the two beside it; numbers meet by topic and number.
+    Either join only says whether there is a match, and hot topics are spread by their values. An answer of a topic
+    without sources is grounded in nothing; a null topic has none."""
+    q = written(answers.select("answer_id", "topic", F.posexplode_outer(quantities(F.col("text"), patterns)).alias("no", "q")).select("answer_id", "topic", "q.value", "q.unit", F.col("no").isNotNull().alias("is")))
+    width, shown = 2 * tolerance, F.when(F.col("value") == F.floor("value"), F.floor("value").cast("string")).otherwise(F.format_string("%.2f", F.col("value")))
+    asked = q.where("is").select("topic", "value").distinct()
+    had = sources.select("topic", F.explode(F.array_distinct(F.transform(quantities(F.col("text"), patterns), lambda x: x["value"]))).alias("has")).distinct()
+    had = had.select("topic", "has", F.floor(F.col("has") / width).alias("bucket"))
+    near = asked.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("value") / width) - 1, F.floor(F.col("value") / width) + 1)))
+    had = had.select(F.col("topic").alias("t_"), "has", F.col("bucket").alias("b_"))
+    near = near.join(had.hint("merge"), (F.col("topic") == F.col("t_")) & (F.col("bucket") == F.col("b_")) & (F.abs(F.col("value") - F.col("has")) < tolerance), "left_semi").select("topic", "value")
+    numbers = sources.select("topic", F.explode(F.array_distinct(find_all(F.col("text"), r"\b\d+(?:\.\d+)?\b"))).alias("shown")).distinct()
+    bare = asked.where((F.col("value") > 10) | (F.col("value") != F.floor("value"))).withColumn("shown", shown).join(numbers.hint("merge"), ["topic", "shown"], "left_semi").select("topic", "value")
+    good = near.unionByName(bare).distinct().select("topic", "value", F.lit(True).alias("ok"))
+    j = q.join(good.hint("merge"), ["topic", "value"], "left")
+    out = j.groupBy("answer_id").agg(F.count_if("is").alias("n"), F.count_if(F.col("is") & F.coalesce("ok", F.lit(False))).alias("grounded"))
+    out = out.withColumn("score", F.when(F.col("n") == 0, 70).otherwise(F.floor(100 * F.col("grounded") / F.col("n") + 0.5)).cast("int"))
+    return out.withColumn("passed", F.col("score") >= passing)
+
+
 CLAIM = "struct<answer:string,claims:array<struct<claim:string,source_ref:string,exact_quote:string,confidence:string,numerical_values:array<struct<value:string,unit:string,property:string>>>>>"
 
 

@@ -41,6 +41,19 @@ def v1_ground_answers(spark, d):
     return V.ground_answers(*pairs(spark, d), QTY).drop("ungrounded")
 
 
+@query(r"""WITH k AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract(source, '(\d+)', 1)::INT AS topic FROM documents), a AS (SELECT doc_id AS answer_id, topic, text FROM k), s AS (SELECT (topic + 1) % 20 AS topic, text FROM k),
+q AS (SELECT DISTINCT answer_id, topic, unnest(regexp_extract_all(text, '\b(\d+)\s*(%|the|th|en|de|,|\.)', 1, 'i'))::DOUBLE AS value, unnest(regexp_extract_all(text, '\b(\d+)\s*(%|the|th|en|de|,|\.)', 2, 'i')) AS unit FROM a),
+sv AS (SELECT DISTINCT topic, unnest(regexp_extract_all(text, '\b(\d+)\s*(%|the|th|en|de|,|\.)', 1, 'i'))::DOUBLE AS sv FROM s), nb AS (SELECT DISTINCT topic, unnest(regexp_extract_all(text, '\b\d+(?:\.\d+)?\b')) AS shown FROM s),
+e AS (SELECT q.*, EXISTS (SELECT 1 FROM sv WHERE sv.topic = q.topic AND abs(sv - value) < 0.01) OR (value > 10 AND EXISTS (SELECT 1 FROM nb WHERE nb.topic = q.topic AND shown = value::BIGINT::VARCHAR)) AS ok FROM q),
+g AS (SELECT answer_id, count(*) AS n, count(*) FILTER (ok)::BIGINT AS grounded FROM e GROUP BY 1), r AS (SELECT answer_id, coalesce(n, 0) AS n, coalesce(grounded, 0) AS grounded FROM a LEFT JOIN g USING (answer_id))
+SELECT *, CASE WHEN n = 0 THEN 70 ELSE floor(100 * grounded / n + 0.5)::INT END AS score, CASE WHEN n = 0 THEN true ELSE floor(100 * grounded / n + 0.5) >= 50 END AS passed FROM r""")
+def v1_ground_by_topic(spark, d):
+    """All documents of a source as answers, those of the source before it as what they share."""
+    topic = F.regexp_extract("source", r"(\d+)", 1).cast("int")
+    k = T(spark, d, "documents").select("doc_id", "text", topic.alias("topic"))
+    return V.ground_by_topic(k.withColumnRenamed("doc_id", "answer_id"), k.withColumn("topic", (F.col("topic") + 1) % 20), QTY)
+
+
 @query(r"""WITH a AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations WHERE role = 'assistant')
 SELECT conv_id, turn, conv_id % 3 = 0 AS structured, CASE WHEN conv_id % 3 = 0 THEN 2 ELSE len(list_filter(regexp_split_to_array(t, '\n\n+'), lambda p: regexp_matches(p, '\[\d+\]'))) END::INT AS claims,
  CASE WHEN conv_id % 3 = 0 THEN t ELSE coalesce(list_filter(regexp_split_to_array(t, '\n\n+'), lambda p: regexp_matches(p, '\[\d+\]'))[1][1:200], '-') END AS first_claim, CASE WHEN conv_id % 3 = 0 THEN CASE conv_id % 2 WHEN 0 THEN 'high' ELSE 'medium' END END AS level, CASE WHEN conv_id % 3 = 0 THEN turn::DOUBLE END AS number FROM a""")

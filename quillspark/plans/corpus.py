@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from quillspark.functions import catalogues as cat
 from quillspark.functions.text import count_of, squeeze
@@ -67,6 +68,19 @@ def s8_export_embeddings(spark, d):
     return S.export_embeddings(chunks, T(spark, d, "documents"), "doc_id").select("vec_id", "label", "lang", "preview", F.size("embedding").alias("dims"))
 
 
+@query(r"""WITH e AS (SELECT vec_id, label, lang, trim(regexp_replace(left(coalesce(text, ''), 200), '\s+', ' ', 'g')) AS preview, list_sum(embedding::DOUBLE[]) AS total FROM embeddings JOIN documents ON doc_id = vec_id WHERE embedding IS NOT NULL), c AS (SELECT lang, count(*) AS chunks FROM e GROUP BY 1)
+SELECT vec_id, label, lang, preview, round(total, 4) AS total, chunks, dense_rank() OVER (ORDER BY chunks DESC, lang)::INT AS place FROM e JOIN c USING (lang)""")
+def s8_write_embeddings(spark, d):
+    """The export as it is read back from its JSON lines, with the counts by document (languages stand for them)."""
+    chunks = T(spark, d, "embeddings").withColumn("doc_id", F.col("vec_id"))
+    export = S.export_embeddings(chunks, T(spark, d, "documents"), "doc_id").select("vec_id", "label", "lang", "preview", "embedding")
+    path = new_folder(spark)
+    S.write_embeddings(export, path, "lang", "label", "vec_id")
+    back = spark.read.schema("vec_id long, label int, lang string, preview string, embedding array<double>").json(f"{path}/embeddings")
+    counts = spark.read.schema("lang string, chunks long").json(f"{path}/counts").withColumn("place", F.dense_rank().over(W.orderBy(F.desc("chunks"), "lang")))  # a row for each document
+    return back.join(counts, "lang").select("vec_id", "label", "lang", "preview", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), "chunks", "place")
+
+
 @query("""WITH m AS (SELECT event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events)
 SELECT was, event_type AS now, count(*) AS n, (was || '>' || event_type) IN ('view>click', 'click>purchase', 'signup>view') AS legal FROM m WHERE was IS NOT NULL GROUP BY 1, 2""")
 def s10_status_funnel(spark, d):
@@ -243,6 +257,13 @@ def d13_document_stats(spark, d):
     return D.document_stats(T(spark, d, "documents"), "source", "text")
 
 
+@query(r"""WITH g AS (SELECT source, unnest(regexp_extract_all(coalesce(text, ''), '\b[A-Z][a-z]{1,2}\b')) AS g FROM documents), n AS (SELECT source, count(DISTINCT g) AS grades FROM g GROUP BY 1)
+SELECT source, coalesce(grades, 0) AS grades FROM (SELECT DISTINCT source FROM documents) LEFT JOIN n USING (source)""")
+def d13_grades(spark, d):
+    """Short capitalised words stand for grades."""
+    return D.grade_counts(T(spark, d, "documents"), "source", "text", r"\b[A-Z][a-z]{1,2}\b")
+
+
 def x1_sql(table, key):
     parts = [
         f"SELECT DISTINCT {key}, '{k}' AS code_type, upper(unnest(regexp_extract_all(coalesce(text, ''), '{p}', {g}, 'i'))) AS code FROM {table}" for k, ps in CATALOGUE.items() for p, g in ps

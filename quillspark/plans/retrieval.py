@@ -257,11 +257,25 @@ def r20_balance_documents(spark, d):
     return R.balance_documents(c, need, 5).select("query_id", "chunk_id", "reserved", "place")
 
 
+@query(f"""WITH RECURSIVE {COS}, c AS (SELECT query_id, chunk_id, vector_score AS s, chunk_id % 10 AS d FROM cs WHERE vector_score > 0.2), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS place FROM c QUALIFY place <= 2),
+f AS (SELECT query_id, list({{'s': s, 'c': chunk_id, 'd': d, 'i': false}} ORDER BY place) AS hits FROM k GROUP BY 1), b AS (SELECT query_id, d, max(s) AS s, min(chunk_id) FILTER (s = best) AS chunk_id FROM (SELECT *, max(s) OVER (PARTITION BY query_id, d) AS best FROM c WHERE d IN (7, 1, 2, 5)) GROUP BY 1, 2),
+m AS (SELECT b.*, row_number() OVER (PARTITION BY b.query_id ORDER BY list_position([7, 1, 2, 5], d)) AS j FROM b JOIN f ON f.query_id = b.query_id AND NOT list_contains(list_transform(hits, lambda h: h.d), d)),
+r AS (SELECT query_id, hits, 0 AS j FROM f UNION ALL SELECT r.query_id, list_transform(hits, lambda h, i: CASE WHEN i = list_position(list_transform(hits, lambda y: y.s), list_min(list_transform(hits, lambda y: y.s))) THEN {{'s': m.s, 'c': m.chunk_id, 'd': m.d, 'i': true}} ELSE h END), r.j + 1 FROM r JOIN m ON m.query_id = r.query_id AND m.j = r.j + 1),
+l AS (SELECT query_id, hits, unnest(range(1, len(hits) + 1)) AS place FROM r QUALIFY j = max(j) OVER (PARTITION BY query_id))
+SELECT query_id, place::INT AS place, hits[place].c AS chunk_id, hits[place].d AS document_id, hits[place].s AS combined_score, hits[place].i AS injected FROM l""")
+def r20_balance_sequential(spark, d):
+    """Two hits and up to four documents that are put in, so that later ones take earlier ones' places."""
+    c = written(scored(spark, d, 0.2).select("query_id", "chunk_id", F.col("vector_score").alias("combined_score"), (F.col("chunk_id") % 10).alias("document_id")))
+    final = R.top_k(c, 2, "combined_score").withColumnRenamed("rank", "place")
+    need = c.select("query_id").distinct().withColumn("documents", F.array(*map(F.lit, (7, 1, 2, 5))).cast("array<long>"))
+    return R.balance_sequential(final, c, need)
+
+
 @query("""WITH a AS (SELECT user_id AS query_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS attempt_no, event_type AS strategy, (floor(abs(value)) % 100)::INT AS confidence FROM events),
 m AS (SELECT *, max(confidence) OVER (PARTITION BY query_id ORDER BY attempt_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM a WHERE attempt_no <= 2), k AS (SELECT * FROM m WHERE b IS NULL OR b < 60),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, attempt_no) AS r, count(*) OVER (PARTITION BY query_id) AS tried FROM k) SELECT query_id, strategy, confidence, tried FROM r WHERE r = 1""")
 def r21_best_strategy(spark, d):
-    e = T(spark, d, "events").where("value IS NOT NULL OR value IS NULL")
+    e = T(spark, d, "events")
     n = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     return R.best_strategy(e.select(F.col("user_id").alias("query_id"), n.alias("attempt_no"), F.col("event_type").alias("strategy"), (F.floor(F.abs("value")) % 100).cast("int").alias("confidence")))
 
@@ -364,3 +378,12 @@ def p5_near_duplicates(spark, d):
 SELECT s.id AS doc_id, g.id AS class_id, coalesce(links, 0) AS links FROM s JOIN g ON s.ws = g.ws LEFT JOIN c ON c.class_id = g.id""")
 def p5_near_classes(spark, d):
     return P.near_classes(T(spark, d, "documents"), "text", "doc_id")
+
+
+@query(f"WITH {NEAR} SELECT count(*) FILTER (n / (na + nb - n) > 0.8) AS links, true AS found, 0 AS wrong FROM p")
+def p5_near_approximate(spark, d):
+    """Links of the exact join, whether the bands of MinHash signatures find 95 of 100 of them, and wrong ones among those."""
+    docs = T(spark, d, "documents")
+    exact, near = (written(P.near_duplicates(docs, "text", "doc_id", exact=x)[0].select("a", "b")).withColumn(name, F.lit(1)) for x, name in ((True, "e"), (False, "f")))
+    both = exact.join(near.hint("merge"), ["a", "b"], "full").agg(F.count("e").alias("links"), F.count_if(F.col("e").isNotNull() & F.col("f").isNotNull()).alias("n"), F.count_if(F.col("e").isNull()).cast("int").alias("wrong"))
+    return both.select("links", (F.col("n") >= 0.95 * F.col("links")).alias("found"), "wrong")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.plans.corpus import SEMANTIC_SQL, new_folder, semantic, semantic_pages
 from quillspark.sources.corpus import read_chunks
 from quillspark.sources.corpus import read_table as T
+from quillspark.sources.corpus import written
 from quillspark.streaming import events as S
 
 QUERIES, SQL = {}, {}
@@ -29,10 +30,10 @@ def at(c):
 @query("""WITH RECURSIVE e AS (SELECT user_id || '/' || event_type AS key, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) AS i FROM events),
 w AS (SELECT key, i, ts, ts AS since FROM e WHERE i = 1 UNION ALL SELECT e.key, e.i, e.ts, CASE WHEN epoch(e.ts) - epoch(since) >= 86400 THEN e.ts ELSE since END FROM w JOIN e ON e.key = w.key AND e.i = w.i + 1),
 n AS (SELECT *, row_number() OVER (PARTITION BY key, since ORDER BY i) AS nth FROM w)
-SELECT key, epoch_us(ts) AS t, nth <= 2 AS decision, greatest(2 - nth, 0)::INT AS remaining, CASE WHEN nth <= 2 THEN 0 ELSE round(86400 - (epoch_us(ts) - epoch_us(since)) / 1e6, 3) END AS retry_after FROM n""")
+SELECT key, epoch_us(ts) AS t, nth <= 2 AS decision, greatest(2 - nth, 0)::INT AS remaining, CASE WHEN nth <= 2 THEN 0 ELSE round(86400 - (epoch_us(ts) - epoch_us(since)) / 1e6, 6) END AS retry_after FROM n""")
 def t1_rate_limit_anchored(spark, d):
     r = S.rate_limit_anchored(T(spark, d, "events"), F.concat_ws("/", "user_id", "event_type"), "ts", 86_400.0, 2)
-    return r.select("key", F.unix_micros("ts").alias("t"), "decision", "remaining", F.round("retry_after", 3).alias("retry_after"))
+    return r.select("key", F.unix_micros("ts").alias("t"), "decision", "remaining", F.round("retry_after", 6).alias("retry_after"))
 
 
 @query("SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, count(*) > 4 AS over FROM events GROUP BY 1, 2")
@@ -70,6 +71,22 @@ def t6_windowed_slo(spark, d):
     return s.select(at("start"), "n", "p95", F.round("error_percent", 6).alias("error_percent"), "slow", "failing")
 
 
+@query("""SELECT strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(value) AS n, round(avg(value), 4) AS mean_ms, quantile_disc(value, 0.95) AS p95, avg(value) > 50 AS slow FROM events GROUP BY 1, 2""")
+def t6_component_means(spark, d):
+    c = S.component_means(T(spark, d, "events"), "ts", "1 day", "event_type", "value", 50.0)
+    return c.select(at("start"), "event_type", "n", F.round("mean_ms", 4).alias("mean_ms"), "p95", "slow")
+
+
+@query("""WITH e AS (SELECT event_type, value FROM events WHERE value IS NOT NULL), q AS (SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean_ms, list_sort(list(value)) AS a FROM e GROUP BY 1) SELECT event_type, n, mean_ms, true AS p95_within FROM q""")
+def t6_merged_latencies(spark, d):
+    """Statistics of all days from the sketches of each, and whether P95 lies within a hundredth of its place."""
+    e = T(spark, d, "events")
+    m = S.merged_latencies(written(S.latency_sketches(e, "ts", "1 day", ["event_type"], "value")), ["event_type"], [0.95])
+    j = e.where("value IS NOT NULL").join(m.hint("broadcast"), "event_type").groupBy("event_type", "n", "mean_ms")  # a row for each type
+    under, upto = F.avg((F.col("value") < F.col("p95")).cast("int")), F.avg((F.col("value") <= F.col("p95")).cast("int"))
+    return j.agg(((under <= 0.96) & (upto >= 0.94)).alias("p95_within")).select("event_type", "n", F.round("mean_ms", 4).alias("mean_ms"), "p95_within")
+
+
 @query(f"WITH x AS (WITH {SEMANTIC_SQL}" + """) SELECT doc_id, kind, count(*) AS chunks, sum(chars)::BIGINT AS chars FROM x GROUP BY 1, 2""")
 def t7_ingest(spark, d):
     """The work of the ingest stream on two batches of documents that overlap: semantic chunks, each document once."""

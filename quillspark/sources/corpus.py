@@ -107,6 +107,29 @@ def export_embeddings(chunks: DataFrame, docs: DataFrame, key: str, preview: int
     return chunks.where(F.col("embedding").isNotNull()).join(docs, key).withColumn("preview", text)
 
 
+def write_embeddings(export: DataFrame, path: str, document: str, page: str, key: str) -> None:
+    """An export as JSON lines in order of document, page and key over its files, and beside it the number of chunks of
+    each document, most first."""
+    export.repartitionByRange(document, page, key).sortWithinPartitions(document, page, key).write.mode("overwrite").json(f"{path}/embeddings")
+    export.groupBy(document).agg(F.count("*").alias("chunks")).orderBy(F.desc("chunks"), document).write.mode("overwrite").json(f"{path}/counts")
+
+
+#: Columns of the metric tables.
+METRICS = {
+    "test_runs": "id long, timestamp timestamp, scenario string, git_commit string, duration_ms long",
+    "request_metrics": "id long, run_id long, endpoint string, method string, status_code int, duration_ms long, timestamp timestamp",
+    "component_metrics": "id long, run_id long, component string, operation string, duration_ms long, success boolean, metadata string, timestamp timestamp",
+    "resource_metrics": "id long, run_id long, cpu_percent double, memory_mb long, timestamp timestamp",
+}
+
+
+def read_metrics(spark: SparkSession, path: str, kind: str, stream: bool = False, form: str = "json", files: int | None = None) -> DataFrame:
+    """A metric table that is only appended to, as files in ``path``: a table, or a stream of what is added (``files`` at
+    a time). Columns that a file lacks are null; rows of no known form are null in all columns."""
+    reader = (spark.readStream if stream else spark.read).format(form).schema(METRICS[kind])
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).load(path)
+
+
 #: Folders of a chunk store; keys are dealt to them by hash.
 STORE_PARTS = 64
 

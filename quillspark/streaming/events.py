@@ -121,6 +121,33 @@ def windowed_slo(df: DataFrame, ts: str, window: str, value: str, failed: Column
     return g.select(F.col("window.start").alias("start"), "n", "p95", "error_percent", (F.col("p95") > p95_above).alias("slow"), (F.col("error_percent") > errors_above).alias("failing"))
 
 
+def component_means(df: DataFrame, ts: str, window: str, component: str, ms: str, slow_above: float) -> DataFrame:
+    """Samples, mean time, P95 (from a sketch in a stream) and alert of each component and window; batch or stream."""
+    d = with_time(df, ts)
+    p95 = F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(ms, F.lit(SLO_SKETCH)), F.lit(0.95)) if df.isStreaming else F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {ms})")
+    g = d.groupBy(F.window(ts, window), component).agg(F.count(ms).alias("n"), F.avg(ms).alias("mean_ms"), p95.alias("p95"))
+    return g.select(F.col("window.start").alias("start"), component, "n", "mean_ms", "p95", (F.col("mean_ms") > slow_above).alias("slow"))
+
+
+#: Size of the sketches kept by window.
+SLO_SKETCH = 4096
+
+
+def latency_sketches(df: DataFrame, ts: str, window: str, by: list[str], ms: str) -> DataFrame:
+    """Count, sum and a KLL sketch of the times of each group and window; batch or stream. Rows of this kind are kept and
+    added up: ``merged_latencies`` gives statistics of any windows without their events."""
+    g = with_time(df.where(F.col(ms).isNotNull()), ts).groupBy(F.window(ts, window), *by)
+    g = g.agg(F.count("*").alias("n"), F.sum(F.col(ms).cast("double")).alias("total"), F.kll_sketch_agg_double(F.col(ms).cast("double"), F.lit(SLO_SKETCH)).alias("sketch"))
+    return g.select(F.col("window.start").alias("start"), *by, "n", "total", "sketch")
+
+
+def merged_latencies(sketches: DataFrame, by: list[str], ps: list[float]) -> DataFrame:
+    """Count, mean and percentiles of all windows of each group, from their sketches (places off by about 2.3 in
+    SLO_SKETCH of the count)."""
+    g = sketches.groupBy(*by).agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean_ms"), F.kll_merge_agg_double("sketch", F.lit(SLO_SKETCH)).alias("sketch"))
+    return g.select(*by, "n", "mean_ms", *[F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(f"p{round(100 * p)}") for p in ps])
+
+
 def quota_use(df: DataFrame, tenant: str, ts: str, limit: int) -> DataFrame:
     """Use of each tenant and month, and whether it is over the limit. Batch, or a stream in update mode."""
     d = with_time(df, ts)
