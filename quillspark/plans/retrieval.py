@@ -111,6 +111,11 @@ def r5_vector_search(spark, d):
     return R.vector_search(*vectors(spark, d), 10, 0.2, 6)
 
 
+@query(f"WITH {COS}, k AS (SELECT *, {TOPK.format(s='vector_score')} AS rank FROM cs WHERE vector_score > 0.2) SELECT * FROM k WHERE rank <= 10")
+def r5_cell_search(spark, d):
+    return R.cell_search(*vectors(spark, d), 10, 0.2, 6)
+
+
 @query(f"WITH {COS} SELECT * FROM cs WHERE vector_score > 0.3")
 def r6_vector_candidates(spark, d):
     return scored(spark, d, 0.3)

@@ -124,7 +124,7 @@ def windowed_slo(df: DataFrame, ts: str, window: str, value: str, failed: Column
 def component_means(df: DataFrame, ts: str, window: str, component: str, ms: str, slow_above: float) -> DataFrame:
     """Samples, mean time, P95 (from a sketch in a stream) and alert of each component and window; batch or stream."""
     d = with_time(df, ts)
-    p95 = F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(ms, F.lit(SLO_SKETCH)), F.lit(0.95)) if df.isStreaming else F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {ms})")
+    p95 = F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(F.col(ms).cast("double"), F.lit(SLO_SKETCH)), F.lit(0.95)) if df.isStreaming else F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {ms})")
     g = d.groupBy(F.window(ts, window), component).agg(F.count(ms).alias("n"), F.avg(ms).alias("mean_ms"), p95.alias("p95"))
     return g.select(F.col("window.start").alias("start"), component, "n", "mean_ms", "p95", (F.col("mean_ms") > slow_above).alias("slow"))
 
