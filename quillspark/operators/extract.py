@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillspark.functions import catalogues as cat
-from quillspark.functions.text import cascade, find_all, has, has_any, pattern
+from quillspark.functions.text import bound, cascade, find_all, has, has_any, pattern
 
 Catalogue = dict[str, list[tuple[str, int]]]
 
@@ -95,10 +95,9 @@ def quantities(c: Column, patterns: list | None = None) -> Column:
         return F.transform(find_all(c, p), lambda x: F.struct(number(x).alias("value"), part(x, u).alias("unit"), x.alias("original")))
 
     found = [of(*x) for x in patterns or QUANTITIES]
-    every = F.flatten(F.array(*found))
     key = lambda x: F.struct(x["value"], x["unit"])
-    seen = F.transform(every, key)
-    return F.filter(every, lambda x, i: F.array_position(seen, key(x)) == i + 1)
+    first = lambda every, seen: F.filter(every, lambda x, i: F.array_position(seen, key(x)) == i + 1)
+    return bound(F.flatten(F.array(*found)), lambda every: bound(F.transform(every, key), lambda seen: first(every, seen)))
 
 
 def extract_quantities(df: DataFrame, text: str, keys: list[str], patterns: list | None = None) -> DataFrame:
