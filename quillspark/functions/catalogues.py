@@ -75,6 +75,8 @@ FOOTNOTES_CASED = [r"^[A-Z]\s+.{10,}"]
 FOOTNOTES = [r"^Note\s*\d*:?\s+", r"^[ᴬᴮᶜᴰᴱᶠᴳᴴᴵᴶᴷᴸᴹᴺᴼᴾᵠᴿˢᵀᵁⱽᵂˣʸᶻ]\s+", r"Maximum,?\s+unless", r"\.\.\.\s*(?:indicates|no\s+requirement)"]
 NUMBER_OR_RANGE = r"\d+(?:\.\d+)?(?:\s*[-–]\s*\d+(?:\.\d+)?)?"
 DATA_ROW = r"^\s*(?:[SNCGHJKWRT]\d{5}|F\d{2}|[A-Z]\d{3,4}\b|\d+(?:\.\d+)?[%\s])"
+TABLE_RULE, BULLET, NUMBERED = r"^[\s|:-]+$", r"^\s*[-•*◦▪]\s+", r"^\s*\d+[.)]\s+"
+SECTION_NUMBER = r"(?m)^(?:Section\s+)?(\d+(?:\.\d+)*)\.?:?\s+[A-Z]"
 HEADINGS = [(r"(?m)^(\d+\.?\d*)\s+([A-Z][^\n]{3,50})$", 2), (r"(?mi)^(Section\s+\d+:?\s*)([A-Z][^\n]{3,50})$", 2), (r"(?m)^([A-Z][A-Z\s]{3,50})$", 1)]
 FULL_REFUSALS = [
     r"I cannot (provide|answer|find|determine|locate)", r"not\s+(available|provided|included|found|present)\s+in\s+(the\s+)?(uploaded|provided|given)", r"unable to (answer|provide|find|determine)",

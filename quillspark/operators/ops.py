@@ -57,7 +57,7 @@ def regression_check(base: DataFrame, current: DataFrame, tolerance: float = 10.
 
 def latency_stats(m: DataFrame, by: list[str], value: str, convention: str = "ceil") -> DataFrame:
     stats = m.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"))
-    return stats.join(request_percentiles(m, by, value, [0.5, 0.95, 0.99], convention), by)
+    return stats.join(request_percentiles(m, by, value, [0.5, 0.95, 0.99], convention).hint("merge"), by)
 
 
 def categorize_errors(message: Column, rules: list[tuple[str, list[str]]] | None = None) -> Column:

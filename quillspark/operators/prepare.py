@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillspark.functions import catalogues as cat
-from quillspark.functions.text import cascade, count_of, find_all, has, has_any, lines
+from quillspark.functions.text import bound, cascade, count_of, find_all, has, has_any, lines
 
 
 def paragraphs(df: DataFrame, text: str, keys: list[str], sep: str = r"\n\n+") -> DataFrame:
@@ -22,22 +22,28 @@ def numeric_columns(ls: Column) -> Column:
 
 
 def is_table(c: Column, headers: list[str] | None = None) -> Column:
-    ls = lines(c)
-    piped = (F.size(F.filter(ls, lambda x: x.contains("|"))) >= 2) & F.exists(ls, lambda x: x.rlike(r"^[\s|:-]+$"))
-    tabbed = F.size(F.filter(ls, lambda x: F.size(F.split(x, "\t")) >= 3)) >= 0.7 * F.size(ls)
-    return (F.size(ls) >= 2) & (piped | tabbed | has_any(c, cat.TABLE_HEADERS if headers is None else headers) | numeric_columns(ls))
+    def of(ls: Column) -> Column:
+        piped = (F.size(F.filter(ls, lambda x: x.contains("|"))) >= 2) & F.exists(ls, lambda x: x.rlike(cat.TABLE_RULE))
+        tabbed = F.size(F.filter(ls, lambda x: F.size(F.split(x, "\t")) >= 3)) >= 0.7 * F.size(ls)
+        return (F.size(ls) >= 2) & (piped | tabbed | has_any(c, cat.TABLE_HEADERS if headers is None else headers) | numeric_columns(ls))
+
+    return bound(lines(c), of)
 
 
 def is_footnote(c: Column) -> Column:
-    ls = lines(c)
-    some = F.filter(ls, lambda x: has_any(x, cat.FOOTNOTES_CASED, False) | has_any(x, cat.FOOTNOTES))
-    return F.size(ls).between(1, 10) & (F.size(some) >= 0.5 * F.size(ls))
+    def of(ls: Column) -> Column:
+        some = F.filter(ls, lambda x: has_any(x, cat.FOOTNOTES_CASED, False) | has_any(x, cat.FOOTNOTES))
+        return F.size(ls).between(1, 10) & (F.size(some) >= 0.5 * F.size(ls))
+
+    return bound(lines(c), of)
 
 
 def list_kind(c: Column) -> Column:
-    ls = lines(c)
-    share = lambda p: F.size(F.filter(ls, lambda x: x.rlike(p))) >= 0.6 * F.size(ls)
-    return F.when(F.size(ls) >= 2, F.when(share(r"^\s*[-•*◦▪]\s+"), "bullet").when(share(r"^\s*\d+[.)]\s+"), "numbered"))
+    def of(ls: Column) -> Column:
+        share = lambda p: F.size(F.filter(ls, lambda x: x.rlike(p))) >= 0.6 * F.size(ls)
+        return F.when(F.size(ls) >= 2, F.when(share(cat.BULLET), "bullet").when(share(cat.NUMBERED), "numbered"))
+
+    return bound(lines(c), of)
 
 
 def section_title(c: Column) -> Column:
@@ -47,7 +53,7 @@ def section_title(c: Column) -> Column:
 
 
 def section_number(c: Column) -> Column:
-    return F.nullif(F.regexp_extract(c, r"(?m)^(?:Section\s+)?(\d+(?:\.\d+)*)\.?:?\s+[A-Z]", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(c, cat.SECTION_NUMBER, 1), F.lit(""))
 
 
 def classify_blocks(blocks: DataFrame, doc: str, page: str, headers: list[str] | None = None) -> DataFrame:
