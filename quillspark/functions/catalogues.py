@@ -86,6 +86,15 @@ FULL_REFUSALS = [
 PARTIAL_REFUSALS = [r"I cannot provide a complete", r"I cannot fully (answer|address)", r"only contains? (information|data) about", r"limited information", r"not all.+(?:available|found|included)"]
 REFUSAL_ANSWERS = [r"cannot\s+answer", r"not\s+(?:in|included|provided|found)", r"no\s+(?:information|data|specification)", r"don'?t\s+have", r"not\s+specified", r"outside\s+(?:the\s+)?scope"]
 TABLE_CONTENT = [r"(?i)TABLE\s+\d+", r"(?i)\bTABLE\s+[A-Z]\d*", r"(?i)(?:Mechanical|Chemical|Physical)\s+(?:Requirements|Properties)", r"(?i)(?:Grade|Type|Class)\s+(?:Designation|UNS)", r"\b(?:min|max|Min|Max|MIN|MAX)\b.*\b(?:ksi|MPa|%|psi)\b", r"\b\d+(?:\.\d+)?\s*(?:ksi|MPa)\b.*\b\d+(?:\.\d+)?\s*(?:ksi|MPa)\b", r"\|\s*\w+\s*\|", r"\t\s*\d+(?:\.\d+)?\s*\t"]
+#: What makes a question simple or complex, what asks for parts, and sections by topic.
+COMPLEXITY = {"compares": r"compare|vs\.?|versus|differ", "lists": "list|all|which|what are", "explains": "explain|why|how does|describe", "direct": "what is|yield|tensile|hardness|composition"}
+DECOMPOSED = ["compare", "difference", "vs", "versus", "better", "worse", "list", "all", "which", "what are"]
+JOINED = r"\band\b|\bor\b"
+SECTION_NAMED = r"(?:section|table|clause|annex|appendix)\s+\w+"
+SECTION_TOPICS = [
+    ("heat\\s*treat", ["heat treatment", "Section 6"]), ("mechanic", ["mechanical properties", "tensile requirements"]), ("chemic", ["chemical composition", "chemical requirements"]),
+    ("hardness", ["hardness", "mechanical requirements"]), ("impact|charpy", ["impact test", "supplementary requirements"]), ("scope", ["scope", "Section 1"]),
+]
 #: Intents in the order in which ties are broken.
 INTENTS = {
     "lookup": [r"what\s+is\s+(?:the\s+)?(?:\w+\s+){0,3}(?:of|for)\s+", r"(?:yield|tensile)\s+strength\s+(?:of|for)", r"(?:chemical\s+)?composition\s+(?:of|for)", r"\b(?:nitrogen|chromium|nickel|molybdenum)\s+(?:content|range)", r"heat\s+treatment\s+(?:temperature|for)"],

@@ -99,11 +99,14 @@ def window_chunks(df: DataFrame, text: str, keys: list[str], size: int = 1500, o
 
 def table_header(c: Column) -> Column:
     """Up to five first lines of a table before its first data row; none for fewer than three lines."""
-    ls = F.transform(F.slice(lines(c), 1, 5), lambda x: F.trim(x))
-    # the first data row after the first line ends the header
-    cut = F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(ls), F.lit(2))), F.lit(0), lambda a, i: F.when((a == 0) & has(F.get(ls, i - 1), cat.DATA_ROW, False), i).otherwise(a))
-    head = F.when(cut > 0, F.slice(ls, 1, cut - 1)).otherwise(ls)
-    return F.when(F.size(lines(c)) >= 3, F.array_join(head, "\n"))
+    def of(every: Column) -> Column:
+        ls = F.transform(F.slice(every, 1, 5), lambda x: F.trim(x))
+        # the first data row after the first line ends the header
+        cut = lambda ls: F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(ls), F.lit(2))), F.lit(0), lambda a, i: F.when((a == 0) & has(F.get(ls, i - 1), cat.DATA_ROW, False), i).otherwise(a))
+        head = bound(ls, lambda ls: bound(cut(ls), lambda n: F.when(n > 0, F.slice(ls, 1, n - 1)).otherwise(ls)))
+        return F.when(F.size(every) >= 3, F.array_join(head, "\n"))
+
+    return bound(lines(c), of)
 
 
 def semantic_chunks(

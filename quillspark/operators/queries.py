@@ -72,9 +72,9 @@ def search_weights(q: DataFrame, text: str, match: str = "substring", words: lis
 
 def query_complexity(q: DataFrame, text: str, entity: str = r"S\d{5}|A\d{3,4}") -> DataFrame:
     t = F.col(text)
-    compares, lists, explains = has(t, r"compare|vs\.?|versus|differ"), has(t, "list|all|which|what are"), has(t, "explain|why|how does|describe")
+    compares, lists, explains = (has(t, cat.COMPLEXITY[k]) for k in ("compares", "lists", "explains"))
     several = F.size(find_all(t, entity)) > 1
-    direct = has(t, "what is|yield|tensile|hardness|composition") & ~compares & ~lists
+    direct = has(t, cat.COMPLEXITY["direct"]) & ~compares & ~lists
     short = F.size(F.split(t, r"\s+")) <= 10
     kind = cascade([(direct & short & ~several, "simple"), (compares | lists | several | explains, "complex")], "moderate")
     out = q.withColumn("complexity", kind)
@@ -83,7 +83,7 @@ def query_complexity(q: DataFrame, text: str, entity: str = r"S\d{5}|A\d{3,4}")
 
 def needs_decomposition(c: Column) -> Column:
     low = F.lower(c)
-    return has_any(low, ["compare", "difference", "vs", "versus", "better", "worse", "list", "all", "which", "what are"], False) | has(c, r"\band\b|\bor\b")
+    return has_any(low, cat.DECOMPOSED, False) | has(c, cat.JOINED)
 
 
 def classify_intent(q: DataFrame, text: str, patterns: dict[str, list[str]] | None = None, grades=r"\bF\d{2,3}[A-Z]?\b", uns=r"\b(?:S|J)\d{5}\b", standards=r"\bA\d{3,4}(?:/A\d{3,4}M)?\b") -> DataFrame:
@@ -130,9 +130,8 @@ def normalize_query(c: Column, strip_punctuation: bool = True) -> Column:
 
 
 def section_keywords(c: Column) -> Column:
-    topics = [("heat\\s*treat", ["heat treatment", "Section 6"]), ("mechanic", ["mechanical properties", "tensile requirements"]), ("chemic", ["chemical composition", "chemical requirements"]), ("hardness", ["hardness", "mechanical requirements"]), ("impact|charpy", ["impact test", "supplementary requirements"]), ("scope", ["scope", "Section 1"])]
     none = F.array().cast("array<string>")
-    return F.concat(find_all(c, r"(?:section|table|clause|annex|appendix)\s+\w+"), *[F.when(has(c, p), F.array(*map(F.lit, ws))).otherwise(none) for p, ws in topics])
+    return F.concat(find_all(c, cat.SECTION_NAMED), *[F.when(has(c, p), F.array(*map(F.lit, ws))).otherwise(none) for p, ws in cat.SECTION_TOPICS])
 
 
 def explode_subqueries(q: DataFrame, key: str, text: str, parts: Column, budget: int = 40) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillspark.functions import catalogues as cat
-from quillspark.functions.text import cascade, clip, find_all, has, has_any, pattern
+from quillspark.functions.text import bound, cascade, clip, find_all, has, has_any, pattern
 from quillspark.operators.extract import quantities
 from quillspark.sources.corpus import written
 
@@ -119,8 +119,8 @@ def refusals(answers: DataFrame, text: str, relevant: Column, full: list[str] |
 
 def rebuild(text: Column, p: str, new: Column) -> Column:
     """Text with each occurrence of a pattern replaced by the entry of ``new`` for it, all at once."""
-    cut, n = F.split(text, p, -1), F.size(new)
-    return F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(F.get(cut, i), F.coalesce(F.get(new, i), F.lit("")))), "")
+    joined = lambda cut, ws: F.array_join(F.transform(cut, lambda x, i: F.concat(x, F.coalesce(F.get(ws, i), F.lit("")))), "")
+    return bound(F.split(text, p, -1), lambda cut: bound(new, lambda ws: joined(F.slice(cut, 1, F.size(ws) + 1), ws)))
 
 
 def remap_citations(answers: DataFrame, sources: DataFrame) -> DataFrame:
