@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,6 +89,7 @@ def near_duplicates(docs: DataFrame, text: str, doc: str, above: float = 0.8, ex
     classes = member.groupBy("digest").agg(F.min("id").alias("class_id"))
     membership = member.select("id", "digest").join(classes.hint("merge"), "digest").select(F.col("id").alias(doc), "class_id")
     sets = member.join(classes.select("digest", F.col("class_id").alias("id")).hint("merge"), ["digest", "id"], "left_semi").select("id", "n", "ws").dropDuplicates(["id"])
+    sets = written(sets)
     pairs = _sharing_rare_words(sets, above) if exact else _sharing_bands(sets, above)
     wa, wb = sets.select(F.col("id").alias("a"), F.col("ws").alias("wa")), sets.select(F.col("id").alias("b"), F.col("ws").alias("wb"))
     both = F.size(F.array_intersect("wa", "wb"))
@@ -95,12 +97,39 @@ def near_duplicates(docs: DataFrame, text: str, doc: str, above: float = 0.8, ex
     return j.where(F.col("similarity") > above).select("a", "b", "similarity"), membership
 
 
+#: Slots that counts of words are kept in, by hash of the word.
+SLOTS = 1 << 20
+
+
 def _sharing_rare_words(sets: DataFrame, above: float) -> DataFrame:
-    """Pairs (a, b) that pass the prefix filter."""
-    long = sets.select("id", "n", F.explode("ws").alias("w"))
-    rare = long.groupBy("w").agg(F.count("*").alias("df"))
-    ranked = long.join(rare.hint("merge"), "w").withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("df", "w")))
-    head = ranked.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * above) + 1) & (F.col("df") > 1)).select("id", "n", "w", "r")
+    """Pairs (a, b) that pass the prefix filter. Words are in order of the count of their slot, then of their hash: any
+    fixed order gives all pairs, and this one has rare words first. Only counts by slot are gathered, SLOTS at most, and
+    only the words of the prefixes are shuffled; a word that is alone in its slot is in no other set."""
+    hashed = sets.select("id", "n", F.transform("ws", lambda w: F.xxhash64(w)).alias("h"))
+    slots = hashed.select(F.explode(F.transform("h", lambda h: F.pmod(h, F.lit(SLOTS)))).alias("slot")).groupBy("slot").agg(F.count("*").alias("c")).toPandas()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[slots["slot"].to_numpy(np.int64)] = slots["c"].to_numpy(np.int64)
+    known = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            hs = t.column(2)
+            cut, flat = hs.offsets.to_numpy(), hs.values.to_numpy(zero_copy_only=False)
+            count = known.value[flat % SLOTS]
+            words, places, size = [], [], []
+            for i in range(t.num_rows):
+                h, c = flat[cut[i] : cut[i + 1]], count[cut[i] : cut[i + 1]]
+                first = np.lexsort((h, c))[: len(h) - math.ceil(len(h) * above - 1e-9) + 1]
+                shared = c[first] > 1
+                words.append(h[first][shared])
+                places.append(np.flatnonzero(shared) + 1)
+                size.append(int(shared.sum()))
+            edges = np.cumsum([0, *size]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(edges, pa.array(np.concatenate([np.zeros(0, np.int64), *x]))) for x in (words, places)]
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), *lists], names=["id", "n", "ws", "rs"])
+
+    head = hashed.mapInArrow(prefixes, f"id {dict(sets.dtypes)['id']}, n int, ws array<long>, rs array<long>")
+    head = written(head.select("id", "n", F.inline(F.arrays_zip(F.col("ws").alias("w"), F.col("rs").alias("r")))))
     a, b = ([F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("r").alias(f"r{x}"), "w"] for x in "ab")
     least = above / (1 + above) * (F.col("na") + F.col("nb"))
     fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= above * F.greatest("na", "nb"))
