@@ -92,3 +92,21 @@ def test_equal_texts_over_partitions(spark, sf_dir):
     copies = docs.limit(40).selectExpr("doc_id", "text").crossJoin(spark.range(20)).withColumn("doc_id", F.col("doc_id") + 1000 * F.col("id") + 1000).repartition(7, "id")
     more = quality_knn.score_quality(docs.select("doc_id", "text").unionByName(copies.select("doc_id", "text")), labels)
     assert more.groupBy("text").agg(F.countDistinct("score").alias("n")).where("n > 1").count() == 0
+
+
+def test_equal_texts_have_equal_scores():
+    """Whatever rows stand beside them: the last bits of a product don't come through."""
+    import numpy as np
+
+    from quillspark.llm import toxicity
+    from quillspark.llm.textops import ALNUM, span_hash, words
+
+    texts = [f"word{i} word{i * 7 % 50} other{i % 11} SHOUTED {i}".encode() for i in range(400)]
+    data, s, e, _ = words(texts, ALNUM)
+    terms = np.unique(span_hash(data, s, e))[:300]
+    tiers = np.zeros(len(terms), np.int64)
+    wide = toxicity.with_tiers(toxicity.presence(texts[:1], terms), tiers).shape[1]
+    model = toxicity.Model(terms, tiers, np.random.default_rng(1).normal(size=wide + 1))
+    whole = model.score(texts)
+    for n in (1, 3, 37):
+        assert np.array_equal(np.concatenate([model.score(texts[i : i + n]) for i in range(0, 400, n)]), whole)
