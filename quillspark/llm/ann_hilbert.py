@@ -143,7 +143,7 @@ def nearest(
         if len(q) and len(v):
             v = v.sort_values("member")
             x, reps = np.stack(v["x"].to_numpy()), v["member"].to_numpy()
-            take = min(k + 1, len(v))
+            take = min(k + 1 + SPARE, len(v))
             for i in range(0, len(q), 512):
                 part = q.iloc[i : i + 512]
                 scores = np.stack(part["vec"].to_numpy()) @ x.T
