@@ -10,7 +10,7 @@ compared with the text byte by byte. All texts of a chunk are probed in lanes at
 ``LANE`` bytes plus an overlap.
 
 Items are dealt by hash into parts of about ``PART`` bytes of text. Only one part at a time comes to the driver, is
-broadcast, and is let go after its pass over the documents; its tables are built once in each task. With several parts
+broadcast, and is let go after its pass over the documents; its tables are built once in each worker process. With several parts
 the hits of each pass are written, and joined by row, so memory is bounded whatever the size of the benchmark.
 
 Defined results: a text without words (or null) has 0 words and 0 hits and is not contaminated; null and empty items
@@ -145,6 +145,18 @@ def scan(texts: list[bytes], tables: list[ShiftTables]) -> Iterator[tuple[int, n
             yield int(first[k + 1] - first[k]), hit[first[k] : first[k + 1]], found.get(k, set())
 
 
+#: The last part's broadcast and its tables, which a worker's tasks share.
+_built: list = [None, None]
+
+
+def _tables(part, window: int) -> list[ShiftTables]:
+    """The tables of a broadcast part, made once in each worker process."""
+    items = part.value
+    if _built[0] is not items:
+        _built[:] = [items, groups(item_windows(items, window))]
+    return _built[1]
+
+
 HITS = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("item_ids", T.ArrayType(T.StringType()))]
 
 
@@ -152,7 +164,7 @@ def _hits(docs: DataFrame, text_col: str, part, window: int, keep: list[str] | N
     """``docs`` with n_words, hit_spans and item_ids for the items of one broadcast part."""
 
     def make() -> Callable:
-        tables = groups(item_windows(part.value, window))
+        tables = _tables(part, window)
 
         def run(texts: list[bytes]) -> list:
             found = list(scan(texts, tables))

@@ -297,3 +297,13 @@ def test_nearest_beside_hot_key(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
     got = {x.query_id for x in ann_hilbert.nearest(df, "vec_id", "embedding", "id >= 2388", 20, curves=1).where("vec_id < 900").collect()}
     assert got >= set(above)
+
+
+def test_tables_of_a_part_are_built_once():
+    from quillspark.llm import decontaminate
+
+    class Part:
+        value = [("1", b"one two three four five six seven eight nine ten eleven twelve thirteen fourteen")]
+
+    first = decontaminate._tables(Part, 13)
+    assert decontaminate._tables(Part, 13) is first and sum(len(t.patterns) for t in first) == 2
