@@ -132,7 +132,7 @@ def remap_citations(answers: DataFrame, sources: DataFrame) -> DataFrame:
     s = sources.withColumn("first", F.min("no").over(W.partitionBy("answer_id", "document", "page"))).withColumn("new", F.dense_rank().over(w.orderBy("first")))
     m = s.groupBy("answer_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("no").cast("string").alias("k"), F.col("new").cast("string").alias("v"))))).alias("m"), F.max("new").alias("n_sources"))
     refs = find_all(F.col("text"), r"\[(\d+)\]", 1)
-    j = answers.join(m, "answer_id", "left")
+    j = answers.join(m.hint("merge"), "answer_id", "left")
     new = F.transform(refs, lambda r: F.coalesce(F.concat(F.lit("["), F.try_element_at(F.coalesce("m", F.create_map().cast("map<string,string>")), r), F.lit("]")), F.lit("")))
     return j.withColumn("text", rebuild(F.col("text"), r"\[\d+\]", new)).drop("m")
 

@@ -31,6 +31,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever file system it names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -143,13 +149,7 @@ def store_chunks(chunks: DataFrame, path: str, keys: list[str], batch: str | Non
     leaves each row once. One writer at a time."""
     spark = chunks.sparkSession
     dealt = chunks.withColumn("part_", F.pmod(F.xxhash64(*keys), F.lit(STORE_PARTS)).cast("int")).withColumn("batch_", F.lit(batch or "-"))
-    try:
-        store = spark.read.schema(dealt.schema).parquet(path)
-        store.isEmpty()
-    except Exception as e:  # the store doesn't exist yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        store = None
+    store = spark.read.schema(dealt.schema).parquet(path) if exists(spark, path) else None
     if store is not None:
         parts = [r["part_"] for r in dealt.select("part_").distinct().collect()]  # STORE_PARTS at most
         have = store.where(F.col("part_").isin(parts))
