@@ -2,9 +2,9 @@
 
 A page is cut into blocks where a block-level element begins or ends (and at two line breaks in a row). The first pass
 judges each block by itself, by its share of linked characters, its length and its density of stop words: good, bad or,
-where it is too short or neither, undecided. In the second pass undecided blocks inherit the label of the nearest decided
-block of their page, before or after; of two as near that which stands in the same element decides, and a heading goes
-with what follows it.
+where it is too short or has no links and is neither, undecided. In the second pass undecided blocks inherit the label of
+the nearest decided block, before or after: of the same element, or else of the page; a heading goes with what follows
+it. On a page without any good block, and where nothing is decided, all stays that nothing speaks against.
 
 What markup says comes first: blocks inside elements that never hold main text (navigation, forms, asides, footers, page
 headers, scripts, hidden parts), or whose class, id or role names an advert, notice, menu, comments and the like, are
@@ -206,6 +206,23 @@ def cut(page: str, number: int, out: Blocks) -> None:
     close()
 
 
+def nearest(group: np.ndarray, speaks: np.ndarray, good: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a block's group has a decided one, and the label of the nearest; where two as near differ, ``near``."""
+    order = np.argsort(group, kind="stable")
+    g, n = group[order], len(group)
+    at = np.arange(n)
+    before = np.maximum.accumulate(np.where(speaks[order], at, -1))
+    after = np.minimum(np.minimum.accumulate(np.where(speaks[order], at, n)[::-1])[::-1], n - 1)
+    far = 2 * n + 1
+    to_before = np.where((before >= 0) & (g[before] == g), order - order[before], far)
+    to_after = np.where(speaks[order][after] & (g[after] == g) & (after >= at), order[after] - order, far)
+    one, two = good[order][before], good[order][after]
+    label = np.where(to_before < to_after, one, np.where(to_after < to_before, two, near[order] | one & two))
+    has, out = np.zeros(n, bool), np.zeros(n, bool)
+    has[order], out[order] = (to_before < far) | (to_after < far), label
+    return has, out
+
+
 def judge(b: Blocks, rules: Rules) -> np.ndarray:
     """Which blocks are main text."""
     n = len(b.text)
@@ -227,25 +244,23 @@ def judge(b: Blocks, rules: Rules) -> np.ndarray:
 
     dense = links > np.where(inside, rules.article_links, rules.links)
     short = size < rules.short
-    bad = ~region | dense | owned | ~inside & (short & (linked > 0) | ~short & (density < rules.low))
+    bad = ~region | dense | owned | ~inside & (linked > 0) & (short | (density < rules.low))
     good = ~bad & ~short & (size > rules.long) & (density >= rules.high)
-    near = ~bad & ~good & (inside | ~short)
+    some = np.bincount(page[good], minlength=pages) > 0
+    # what leans to good where two decided blocks differ: parts of a marked article, prose that isn't long, and on pages
+    # without anything good all that nothing speaks against
+    near = ~bad & ~good & (inside | ~short & (density >= rules.low) | ~some[page])
 
     # second pass; a marked article's neighbours are its own blocks, and a list of links says nothing of what is beside it
     speaks = (good | bad) & (region & ~dense | ~marked[page])
+    here, own = nearest(page * (int(around.max()) + 1) + around, speaks, good, near)
+    there, other = nearest(page, speaks, good, near)
+    label = np.where(here, own, np.where(there & some[page], other, near))
     at = np.arange(n)
-    before = np.maximum.accumulate(np.where(speaks, at, -1))
     after = np.minimum.accumulate(np.where(speaks, at, n)[::-1])[::-1]
-    has_before = (before >= 0) & (page[before] == page)
-    has_after = (after < n) & (page[np.minimum(after, n - 1)] == page)
-    label_before, label_after = good[before], good[np.minimum(after, n - 1)]
-    tied = near | label_before & (label_after | (around[before] == around)) | label_after & (around[np.minimum(after, n - 1)] == around)
-    far = 2 * n + 1
-    to_before, to_after = np.where(has_before, at - before, far), np.where(has_after, after - at, far)
-    nearest = np.where(to_before < to_after, label_before, np.where(to_after < to_before, label_after, tied))
-    nearest = np.where(heading & has_after, label_after, nearest)
-    nearest = np.where(has_before | has_after, nearest, near)
-    return good | ~bad & nearest
+    follows = (after < n) & (page[np.minimum(after, n - 1)] == page)
+    label = np.where(heading & follows & some[page], good[np.minimum(after, n - 1)], label)
+    return good | ~bad & label
 
 
 def main_texts(pages: list[str], rules: Rules) -> list[str]:

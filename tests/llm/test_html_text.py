@@ -72,7 +72,8 @@ def test_hints_that_are_none():
 def test_article_keeps_what_has_no_stop_words():
     odd = "zrk%%% qwv### " * 30
     assert one(f"<article><h1>Qx</h1><p>{odd}</p><p>{SHORT}</p></article>") == f"Qx\n{odd.strip()}\n{SHORT}"
-    assert one(f"<div><p>{odd}</p></div>") == ""
+    assert one(f"<div><p>{odd}</p></div>") == odd.strip()  # nothing speaks against it
+    assert one(f"<nav><p>{LONG}</p></nav><p>{odd}</p><div><p>{LONG}</p></div>") == LONG  # the navigation is as near as the text
     assert one(f"<div>{LONG}</div><article><p>{SHORT}</p></article>") == SHORT
 
 
@@ -88,7 +89,7 @@ def plain_second_pass(b: Blocks, rules: Rules) -> list[bool]:
         rows = [i for i, p in enumerate(b.page) if p == page]
         marked = any(b.place[i] == INSIDE for i in rows)
         plain = any(b.place[i] == OUTSIDE for i in rows)
-        label, speaks, leans = {}, {}, {}
+        label, speaks, prose = {}, {}, {}
         for i in rows:
             t, inside = b.text[i], b.place[i] == INSIDE
             region = inside if marked else b.place[i] == OUTSIDE or b.place[i] == WEAK and not plain
@@ -97,30 +98,39 @@ def plain_second_pass(b: Blocks, rules: Rules) -> list[bool]:
             dense = b.linked[i] / len(t) > (rules.article_links if inside else rules.links)
             if not region or dense or "©" in t and not inside and len(t) < rules.long:
                 label[i] = False
-            elif len(t) < rules.short:
-                label[i] = False if b.linked[i] and not inside else None
-            elif density >= rules.high and len(t) > rules.long:
+            elif not inside and b.linked[i] and (len(t) < rules.short or density < rules.low):
+                label[i] = False
+            elif len(t) >= rules.short and density >= rules.high and len(t) > rules.long:
                 label[i] = True
             else:
-                label[i] = None if inside or density >= rules.low else False
-            leans[i] = label[i] is None and (inside or len(t) >= rules.short)
+                label[i] = None
+            prose[i] = inside or len(t) >= rules.short and density >= rules.low
             speaks[i] = label[i] is not None and (region and not dense or not marked)
+        good = any(label[i] for i in rows)
+
+        def inherited(i, among):
+            before = max((j for j in among if j < i and speaks[j]), default=None)
+            after = min((j for j in among if j > i and speaks[j]), default=None)
+            near = [(abs(i - j), j) for j in (before, after) if j is not None]
+            if not near:
+                return None
+            if len(near) == 1 or near[0][0] != near[1][0]:
+                return bool(label[min(near)[1]])
+            return bool(prose[i] or not good or label[before] and label[after])
+
         for i in rows:
             if label[i] is not None:
                 out.append(label[i])
                 continue
-            before = max((j for j in rows if j < i and speaks[j]), default=None)
             after = min((j for j in rows if j > i and speaks[j]), default=None)
-            near = [(i - j if j < i else j - i, j) for j in (before, after) if j is not None]
-            if after is not None and b.heading[i]:
-                out.append(label[after])
-            elif not near:
-                out.append(leans[i])
-            elif len(near) == 1 or near[0][0] != near[1][0]:
-                out.append(label[min(near)[1]])
+            own = inherited(i, [j for j in rows if b.around[j] == b.around[i]])
+            page_wide = inherited(i, rows) if good else None
+            if b.heading[i] and after is not None and good:
+                out.append(bool(label[after]))
+            elif own is not None:
+                out.append(own)
             else:
-                a, c = label[before], label[after]
-                out.append(leans[i] or a and c or a and b.around[before] == b.around[i] or c and b.around[after] == b.around[i])
+                out.append(page_wide if page_wide is not None else bool(prose[i] or not good))
     return out
 
 
@@ -148,5 +158,5 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(rows, "page_id long, html string, url string").withColumn("n_chars", F.lit("old")).withColumn("place", F.lit(1))
     got = html_text.extract_text(df)
     assert sorted(got.columns) == ["n_chars", "page_id", "place", "text", "url"]
-    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got.collect()) == [(0, 0), (1, len(LONG)), (1, len(LONG)), (3, 0), (4, 0), (5, len(PROSE) * 50_000 - 1)]
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got.collect()) == [(0, 0), (1, len(LONG)), (1, len(LONG)), (3, 0), (4, 1), (5, len(PROSE) * 50_000 - 1)]
     assert html_text.extract_text(df.where("false")).count() == 0
