@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -49,7 +50,7 @@ BANDS, ROWS = 20, 5
 
 
 def band_keys(sets: DataFrame, bands: int = BANDS, rows: int = ROWS, seed: int = 1) -> DataFrame:
-    """(id, n, band, key) of sets (id, n, ws): MinHash of each word set, a key for each band of its signature."""
+    """(id, n, band, key) of sets (id, n, h: hashes of the words): MinHash of each word set, a key for each band of its signature."""
     r = np.random.default_rng(seed)
     a, b = r.integers(0, 1 << 63, (2, bands * rows), dtype=np.uint64)
     a |= np.uint64(1)
@@ -68,8 +69,7 @@ def band_keys(sets: DataFrame, bands: int = BANDS, rows: int = ROWS, seed: int =
             flat_keys = pa.ListArray.from_arrays(np.arange(0, t.num_rows * bands + 1, bands, dtype=np.int32), pa.array(keys.ravel().astype(np.int64)))
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), flat_keys], names=["id", "n", "keys"])
 
-    hashed = sets.select("id", "n", F.transform("ws", lambda w: F.xxhash64(w)).alias("h"))
-    out = hashed.mapInArrow(run, f"id {dict(sets.dtypes)['id']}, n int, keys array<long>")
+    out = sets.mapInArrow(run, f"id {dict(sets.dtypes)['id']}, n int, keys array<long>")
     return out.select("id", "n", F.posexplode("keys").alias("band", "key"))
 
 
@@ -83,18 +83,62 @@ def near_duplicates(docs: DataFrame, text: str, doc: str, above: float = 0.8, ex
     membership: every document with its class, the smallest id with the same word set (by a digest of the sorted words).
     pairs: a, b, similarity of linked classes; copies aren't expanded. Prefix filter: with words in order of rarity, a
     pair shares one of each set's first size - ceil(above * size) + 1 words, the sizes differ little, and from the first
-    shared word on enough words are left on both sides. Word sets meet only for what passes."""
+    shared word on enough words are left on both sides. Of the smaller set a shorter prefix will do, as the overlap is at
+    least 2 * above / (1 + above) of its size. Word sets meet only for what passes, in groups of near copies."""
     words = F.array_sort(F.array_distinct(F.split(F.trim(F.lower(F.coalesce(text, F.lit("")))), r"\s+")))
     member = docs.select(F.col(doc).alias("id"), words.alias("ws")).withColumn("digest", F.sha2(F.array_join("ws", " "), 256)).withColumn("n", F.size("ws"))
     classes = member.groupBy("digest").agg(F.min("id").alias("class_id"))
     membership = member.select("id", "digest").join(classes.hint("merge"), "digest").select(F.col("id").alias(doc), "class_id")
-    sets = member.join(classes.select("digest", F.col("class_id").alias("id")).hint("merge"), ["digest", "id"], "left_semi").select("id", "n", "ws").dropDuplicates(["id"])
-    sets = written(sets)
+    sets = member.join(classes.select("digest", F.col("class_id").alias("id")).hint("merge"), ["digest", "id"], "left_semi")
+    sets = sets.select("id", "n", "ws").dropDuplicates(["id"])
+    sets = written(sets.select("id", "n", F.transform("ws", lambda w: F.xxhash64(w)).alias("h")))  # from here words go by their hashes
     pairs = _sharing_rare_words(sets, above) if exact else _sharing_bands(sets, above)
-    wa, wb = sets.select(F.col("id").alias("a"), F.col("ws").alias("wa")), sets.select(F.col("id").alias("b"), F.col("ws").alias("wb"))
-    both = F.size(F.array_intersect("wa", "wb"))
-    j = pairs.join(wa.hint("merge"), "a").join(wb.hint("merge"), "b").withColumn("similarity", both / (F.size("wa") + F.size("wb") - both))
-    return j.where(F.col("similarity") > above).select("a", "b", "similarity"), membership
+    return _similar(written(pairs), sets, above), membership
+
+
+#: Word sets of near copies that a group of pairs holds of each side at most, and pairs of a group.
+HELD, HELD_PAIRS = 512, 1 << 18
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, above: float) -> DataFrame:
+    """Pairs (a, b, similarity) of a saved table of pairs that are similar enough.
+
+    A word set doesn't go along with each of its pairs. Sets are dealt to parts by the smallest id among them and their
+    partners, which near copies have in common, and by salt where that is more than HELD; pairs go to the group of their
+    two parts, and a set goes once to each group that has a pair of it."""
+    kind = dict(sets.dtypes)["id"]
+    ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other")))
+    leader = written(ends.groupBy("id").agg(F.min("other").alias("other")).select("id", F.least("id", "other").alias("leader")))
+    many = leader.groupBy("leader").agg(F.ceil(F.count("*") / HELD).alias("salts"))
+    part = leader.join(many.hint("merge"), "leader").select("id", F.xxhash64("leader", F.pmod(F.xxhash64("id"), F.col("salts"))).alias("part"))
+    part = written(part)
+    groups = max(1, part.count() // HELD, pairs.count() // HELD_PAIRS)
+    a, b = (part.select(F.col("id").alias(x), F.col("part").alias(f"p{x}")).hint("merge") for x in "ab")
+    group = F.pmod(F.xxhash64(F.least("pa", "pb"), F.greatest("pa", "pb")), F.lit(groups)).alias("g")
+    dealt = written(pairs.join(a, "a").join(b, "b").select(group, "a", "b"))
+    held = dealt.select(F.col("g").alias("of"), F.explode(F.array("a", "b")).alias("id")).distinct()
+    held = held.join(sets.select("id", "h").hint("merge"), "id").select("of", "id", "h")
+
+    def verify(some: pa.Table, own: pa.Table) -> pa.Table:
+        if not some.num_rows:
+            return pa.table([pa.array([], some.schema.field(c).type) for c in ("a", "b")] + [pa.array([], pa.float64())], names=["a", "b", "similarity"])
+        ids, hs = (pa.concat_arrays(own.column(c).chunks) for c in ("id", "h"))
+        cut = hs.offsets.to_numpy().astype(np.int64)
+        words, code = np.unique(hs.values.to_numpy(zero_copy_only=False), return_inverse=True)
+        at, to = (pc.index_in(some.column(c), value_set=ids).to_numpy().astype(np.int64) for c in ("a", "b"))
+        order = np.argsort(at, kind="stable")
+        n, both, mine = np.diff(cut), np.zeros(len(at), np.int64), np.zeros(len(words), bool)
+        first = np.flatnonzero(np.diff(at[order], prepend=-1))
+        for i, j in zip(first, np.append(first[1:], len(order)), strict=True):
+            own_words = code[cut[at[order[i]]] : cut[at[order[i]] + 1]]
+            mine[own_words] = True
+            both[order[i:j]] = [np.count_nonzero(mine[code[cut[x] : cut[x + 1]]]) for x in to[order[i:j]].tolist()]
+            mine[own_words] = False
+        similarity = both / (n[at] + n[to] - both)
+        keep = np.flatnonzero(similarity > above)
+        return pa.table({"a": some.column("a").take(keep), "b": some.column("b").take(keep), "similarity": similarity[keep]})
+
+    return dealt.groupBy("g").cogroup(held.groupBy("of")).applyInArrow(verify, f"a {kind}, b {kind}, similarity double")
 
 
 #: Slots that counts of words are kept in, by hash of the word.
@@ -105,8 +149,7 @@ def _sharing_rare_words(sets: DataFrame, above: float) -> DataFrame:
     """Pairs (a, b) that pass the prefix filter. Words are in order of the count of their slot, then of their hash: any
     fixed order gives all pairs, and this one has rare words first. Only counts by slot are gathered, SLOTS at most, and
     only the words of the prefixes are shuffled; a word that is alone in its slot is in no other set."""
-    hashed = sets.select("id", "n", F.transform("ws", lambda w: F.xxhash64(w)).alias("h"))
-    slots = hashed.select(F.explode(F.transform("h", lambda h: F.pmod(h, F.lit(SLOTS)))).alias("slot")).groupBy("slot").agg(F.count("*").alias("c")).toPandas()
+    slots = sets.select(F.explode(F.transform("h", lambda h: F.pmod(h, F.lit(SLOTS)))).alias("slot")).groupBy("slot").agg(F.count("*").alias("c")).toPandas()
     counts = np.zeros(SLOTS, np.int64)
     counts[slots["slot"].to_numpy(np.int64)] = slots["c"].to_numpy(np.int64)
     known = sets.sparkSession.sparkContext.broadcast(counts)
@@ -128,14 +171,16 @@ def _sharing_rare_words(sets: DataFrame, above: float) -> DataFrame:
             lists = [pa.ListArray.from_arrays(edges, pa.array(np.concatenate([np.zeros(0, np.int64), *x]))) for x in (words, places)]
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), *lists], names=["id", "n", "ws", "rs"])
 
-    head = hashed.mapInArrow(prefixes, f"id {dict(sets.dtypes)['id']}, n int, ws array<long>, rs array<long>")
+    head = sets.mapInArrow(prefixes, f"id {dict(sets.dtypes)['id']}, n int, ws array<long>, rs array<long>")
     head = written(head.select("id", "n", F.inline(F.arrays_zip(F.col("ws").alias("w"), F.col("rs").alias("r")))))
-    a, b = ([F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("r").alias(f"r{x}"), "w"] for x in "ab")
-    least = above / (1 + above) * (F.col("na") + F.col("nb"))
-    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= above * F.greatest("na", "nb"))
-    left = F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) + 1
+    s, l = (head.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("r").alias(f"r{x}"), "w") for x in "sl")
+    s = s.where(F.col("rs") <= F.col("ns") - F.ceil(F.col("ns") * (2 * above / (1 + above)) - 1e-9) + 1)  # the smaller set's prefix
+    fits = ((F.col("ns") < F.col("nl")) | ((F.col("ns") == F.col("nl")) & (F.col("s") < F.col("l")))) & (F.col("ns") >= above * F.col("nl"))
+    least = above / (1 + above) * (F.col("ns") + F.col("nl"))
+    left = F.least(F.col("ns") - F.col("rs"), F.col("nl") - F.col("rl")) + 1
     # at a later shared word less is left, but then the first one passes in its own list
-    return head.select(*a).join(head.select(*b).hint("merge"), "w").where(fits & (left >= least - 1e-9)).select("a", "b").distinct()
+    passed = s.join(l.hint("merge"), "w").where(fits & (left >= least - 1e-9))
+    return passed.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).distinct()
 
 
 def _sharing_bands(sets: DataFrame, above: float) -> DataFrame:

@@ -225,3 +225,20 @@ def test_export(spark, tmp_path):
     assert [(x.get("name") or "", x["page"]) for x in lines] == sorted((x[1] or "", x[2]) for x in rows) and lines[1]["embedding"] == [1.0, 2.0]
     counts = [json.loads(x) for f in sorted((tmp_path / "x" / "counts").glob("part-*")) for x in f.read_text().splitlines()]
     assert [(x.get("name"), x["chunks"]) for x in counts] == [("d0", 4), ("d1", 3), ("d2", 3), (None, 1)]
+
+
+def test_near_duplicates_in_groups(spark, monkeypatch):
+    """Word sets go once to each group of pairs, not along with every pair; groups of near copies are split."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    base = [r.choice(words) for _ in range(80)]
+    rows = near_texts(60, 5) + [(1000 + i, " ".join(w if r.random() > 0.04 else r.choice(words) for w in base)) for i in range(40)]
+    monkeypatch.setattr(P, "HELD", 7)
+    monkeypatch.setattr(P, "HELD_PAIRS", 50)
+    pairs, classes = P.near_duplicates(spark.createDataFrame(rows, "id long, t string").repartition(3), "t", "id")
+    sets = {i: set(t.lower().split()) for i, t in rows}
+    reps = sorted({c.class_id for c in classes.collect()})
+    sim = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in reps for b in reps if a < b}
+    assert {(p["a"], p["b"]): p["similarity"] for p in pairs.collect()} == {k: v for k, v in sim.items() if v > 0.8}
+    assert len([1 for (a, b), v in sim.items() if v > 0.8 and a >= 1000]) > 200
+    assert "array_intersect" not in pairs._jdf.queryExecution().optimizedPlan().toString()
