@@ -242,3 +242,16 @@ def test_near_duplicates_in_groups(spark, monkeypatch):
     assert {(p["a"], p["b"]): p["similarity"] for p in pairs.collect()} == {k: v for k, v in sim.items() if v > 0.8}
     assert len([1 for (a, b), v in sim.items() if v > 0.8 and a >= 1000]) > 200
     assert "array_intersect" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_postings_without_shuffle(spark, monkeypatch):
+    from quillspark.operators import search as R
+
+    monkeypatch.setattr(R, "SLICE_TOKENS", 5)
+    rows = [(1, "a b a, C"), (2, None), (3, ""), (4, "b " * 9 + "a"), (5, "c a")]
+    docs = spark.createDataFrame(rows, "id long, t string").repartition(2)
+    got = R.build_postings(docs, "id", "t", ["c"])
+    assert "Exchange" not in got.select("term")._jdf.queryExecution().executedPlan().toString().replace("Exchange RoundRobin", "").replace("REPARTITION_BY_NUM", "")
+    want = {(1, "a", 2, (0, 2), 4), (1, "b", 1, (1,), 4), (4, "a", 1, (9,), 10), (4, "b", 9, tuple(range(9)), 10), (5, "a", 1, (1,), 2)}
+    assert {(r.chunk_id, r.term, r.tf, tuple(r.positions), r.length) for r in got.collect()} == want
+    assert R.build_postings(docs.where("false"), "id", "t", positions=False).columns == ["chunk_id", "term", "tf", "length"]
