@@ -255,3 +255,18 @@ def test_postings_without_shuffle(spark, monkeypatch):
     want = {(1, "a", 2, (0, 2), 4), (1, "b", 1, (1,), 4), (4, "a", 1, (9,), 10), (4, "b", 9, tuple(range(9)), 10), (5, "a", 1, (1,), 2)}
     assert {(r.chunk_id, r.term, r.tf, tuple(r.positions), r.length) for r in got.collect()} == want
     assert R.build_postings(docs.where("false"), "id", "t", positions=False).columns == ["chunk_id", "term", "tf", "length"]
+
+
+def test_cover_scores_where_chunks_lie(spark, monkeypatch):
+    from quillspark.operators import search as R
+
+    monkeypatch.setattr(R, "SLICE_TOKENS", 6)
+    monkeypatch.setattr(R, "QUERY_ROWS", 2)
+    docs = spark.createDataFrame([(1, "a x b a b"), (2, "a c"), (3, None), (4, "b b A"), (5, "")], "id long, t string").coalesce(1)
+    queries = spark.createDataFrame([(7, "a b a"), (8, "c"), (9, "z a"), (10, ""), (11, None), (12, "B")], "q long, t string")
+    got = R.cover_scores(queries, "q", "t", docs, "id", "t")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    # of chunk 1 the spans a x b, b a and a b
+    want = {(7, 1): 2.5 / 3.5, (7, 4): 1 / 2, (8, 2): 1 / 2, (12, 1): 2 / 3, (12, 4): 2 / 3}
+    assert {(r.query_id, r.chunk_id): r.bm25_score for r in got.collect()} == want
+    assert R.cover_scores(queries.where("false"), "q", "t", docs, "id", "t").count() == 0
