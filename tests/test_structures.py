@@ -270,3 +270,16 @@ def test_cover_scores_where_chunks_lie(spark, monkeypatch):
     want = {(7, 1): 2.5 / 3.5, (7, 4): 1 / 2, (8, 2): 1 / 2, (12, 1): 2 / 3, (12, 4): 2 / 3}
     assert {(r.query_id, r.chunk_id): r.bm25_score for r in got.collect()} == want
     assert R.cover_scores(queries.where("false"), "q", "t", docs, "id", "t").count() == 0
+
+
+def test_resolved_documents_are_not_expanded(spark):
+    """A list of documents is made once for each list of codes, and isn't taken apart for each query."""
+    from quillspark.operators import extract as X
+
+    index = spark.createDataFrame([("A312", [2, 1]), ("A999", [3, 2])], "code string, docs array<long>")
+    q = spark.createDataFrame([(1, "yield of A312"), (2, "A312 and A999"), (3, "A999, A312"), (4, "nothing"), (None, "A312"), (6, "A111"), (1, "A999")], "k long, t string")
+    got = X.resolve_documents(q, "t", "k", index)
+    assert sorted((str(r.k), r.t, r.documents) for r in got.collect()) == sorted(
+        [("1", "yield of A312", [1, 2]), ("2", "A312 and A999", [1, 2, 3]), ("3", "A999, A312", [1, 2, 3]), ("4", "nothing", None), ("None", "A312", [1, 2]), ("6", "A111", None), ("1", "A999", [2, 3])]
+    )
+    assert "explode(docs" not in got._jdf.queryExecution().optimizedPlan().toString()
