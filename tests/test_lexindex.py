@@ -205,3 +205,18 @@ def test_empty_and_long(spark, tmp_path, queries):
     assert L.search_index(index, query_table(spark, []), "t", L.Scoring(5)).collect() == []
     index = L.write_index(chunk_table(spark, rows[:2]), str(tmp_path / "f"), "c", "t", "d")  # over what was there
     assert L.index_size(index).first()["n"] == 1
+
+
+def test_vector_scores_of_asked_queries_alone(spark, saved, chunks, monkeypatch):
+    """A segment gets the vector scores of a block's queries, and none of queries that nobody asks for."""
+    monkeypatch.setattr(L, "QUERY_ROWS", 1)
+    held = []
+    own = L._over_segments
+    monkeypatch.setattr(L, "_over_segments", lambda index, terms, segments, run, schema: held.append(segments) or own(index, terms, segments, run, schema))
+    vectors = spark.createDataFrame([(q, c, 0.5) for q in range(40) for c in range(0, 60, 3)] + [(q, 10**6, 0.4) for q in range(40)], "query_id long, chunk_id long, vector_score double")
+    asked = query_table(spark, [(3, "w1 w2"), (4, None), (77, "w1")])
+    got = L.segment_hits(saved, asked, "t", L.Scoring(None), vectors).collect()
+    assert {r.query_id for r in got if r.vector_score > 0} == {3, 4}
+    assert sum(r.vector_score > 0 for r in got) == 2 * 21
+    each = [{x.query_id for r in s.select("near").collect() for x in r.near or []} for s in held if "near" in s.columns]
+    assert set().union(*each) == {3, 4} and max(map(len, each)) < 3
