@@ -13,11 +13,24 @@ from quillspark.functions.text import BOUNDARY, cascade, clip, has_any
 from quillspark.sources.corpus import written
 
 
+#: Cases that are broadcast at most, and the tasks that a case's answers are spread over beyond that.
+BROADCAST_CASES, SALTS = 10_000, 64
+
+
+def _with_cases(answers: DataFrame, cases: DataFrame) -> DataFrame:
+    """Answers beside their cases. Few cases may have all answers, so texts don't meet by case: cases are broadcast, or
+    joined by salts of the texts where they are many."""
+    if cases.limit(BROADCAST_CASES + 1).count() <= BROADCAST_CASES:
+        return answers.join(cases.hint("broadcast"), "case_id")
+    spread = cases.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return answers.withColumn("salt_", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")).join(spread.hint("merge"), ["case_id", "salt_"]).drop("salt_")
+
+
 def score_patterns(answers: DataFrame, cases: DataFrame, variant: str = "golden") -> DataFrame:
     """answers: case_id, text, false_refusal; cases: case_id, expected, forbidden, citations (arrays of patterns, the
     last of substrings). Passed with half the expected patterns, none forbidden and, in the golden variant, one of the
     citations where some are required; in the readiness variant also no false refusal. Case is ignored."""
-    j = answers.join(cases, "case_id")
+    j = _with_cases(answers, cases)
     none = F.array().cast("array<string>")
     arr = lambda c: F.coalesce(F.col(c), none)
     match = lambda p: F.rlike(F.col("text"), F.concat(F.lit("(?iu)"), F.replace(p, F.lit(r"\b"), F.lit(BOUNDARY))))

@@ -283,3 +283,21 @@ def test_resolved_documents_are_not_expanded(spark):
         [("1", "yield of A312", [1, 2]), ("2", "A312 and A999", [1, 2, 3]), ("3", "A999, A312", [1, 2, 3]), ("4", "nothing", None), ("None", "A312", [1, 2]), ("6", "A111", None), ("1", "A999", [2, 3])]
     )
     assert "explode(docs" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_answers_of_few_cases_are_not_gathered(spark, monkeypatch):
+    from quillspark.operators import evaluate as E
+
+    answers = spark.createDataFrame([(i % 3, f"ten {i} of", i % 5 == 0) for i in range(60)] + [(9, "no case", False), (None, "ten", False), (0, None, False)], "case_id int, text string, false_refusal boolean")
+    cases = spark.createDataFrame([(0, ["ten"], ["7"], []), (1, ["x"], None, ["OF"]), (2, None, None, ["no"])], "case_id int, expected array<string>, forbidden array<string>, citations array<string>")
+    rows = lambda: sorted((r.case_id, str(r.text), r.matched or [], r.passed) for r in E.score_patterns(answers, cases).collect())
+    monkeypatch.setattr(E, "BROADCAST_CASES", 0)
+    salted, plan = rows(), E.score_patterns(answers, cases)._jdf.queryExecution().executedPlan().toString()
+    assert "salt_" in plan
+    monkeypatch.setattr(E, "BROADCAST_CASES", 10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in E.score_patterns(answers, cases)._jdf.queryExecution().executedPlan().toString()
+        assert rows() == salted and len(salted) == 61
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
