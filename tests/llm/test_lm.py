@@ -144,3 +144,17 @@ def test_order_of_words_counts(spark):
     rows = [(i, "one two three four five six seven eight nine ten " * 3) for i in range(40)] + [(100, "one two three four five six"), (101, "six three one five two four")]
     got = {r.doc_id: r.score for r in lm_mixing.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[100] > got[101] + 1
+
+
+def test_no_weight_comes_from_a_sample(spark, monkeypatch):
+    """A text's score follows the counts of all training texts alone: texts are mixed once, each from the same constants."""
+    L = lm_mixing
+    tables, seen = [], L.code_counts
+    monkeypatch.setattr(L, "code_counts", lambda *a: tables.append(seen(*a)) or tables[-1])
+    texts = [f"some words of text {i % 7} and more of text {i % 5}" for i in range(60)]
+    got = {r.doc_id: r.score for r in L.score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    train = np.array([zlib.crc32(str(i).encode()) % 5 != 1 for i in range(60)])
+    h, c = np.unique(np.concatenate([L.tokens_of([t.encode()], np.zeros(0, np.uint64)).h for t, x in zip(texts, train, strict=True) if x]), return_counts=True)
+    code = L.huffman(h, c, max(int((c == 1).sum()), 0))
+    want = L.Mixer.ready(code, tables[0], L.first_weights()).mixed([t.encode() for t in texts], train)[1]
+    assert all(abs(got[i] - w) < 1e-4 * -w for i, w in enumerate(want.tolist()) if train[i])
