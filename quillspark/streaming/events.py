@@ -192,10 +192,11 @@ def batch_name(checkpoint: str, n: int) -> str:
 
 def ingest_batch(pages: DataFrame, chunk, path: str, key: str, batch: str | None = None) -> None:
     """Chunk the documents of a micro-batch that the sink doesn't have yet, and append them. For foreachBatch: a batch
-    that is run again adds nothing."""
-    from quillspark.sources.corpus import store_chunks
+    that is run again adds nothing. Documents that the sink has are left out before they are chunked, and nothing is
+    chunked twice."""
+    from quillspark.sources.corpus import append_chunks, not_stored
 
-    store_chunks(chunk(pages), path, [key], batch)
+    append_chunks(chunk(not_stored(pages, path, [key], batch)), path, [key], batch)
 
 
 def ingest_stream(pages: DataFrame, chunk, path: str, key: str, checkpoint: str):

@@ -292,3 +292,26 @@ def test_ingest_once(spark, sf_dir, tmp_path):
         s = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "pages"))
         S.ingest_stream(s, chunk, str(tmp_path / "chunks"), "page_id", str(tmp_path / f"c{k}")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "chunks")).count() == chunk(pages).count()
+
+
+def test_stored_documents_are_not_chunked_again(spark, tmp_path):
+    """Each document of two batches that overlap is chunked once."""
+    from pyspark.sql import functions as F
+
+    pages = spark.createDataFrame([(i, f"text {i}") for i in range(30)], "doc_id long, text string")
+    n = spark.sparkContext.accumulator(0)
+
+    def chunk(p):
+        def run(batches):
+            for b in batches:
+                n.add(b.num_rows)
+                yield b
+
+        return p.mapInArrow(run, "doc_id long, text string")
+
+    path = "file://" + str(tmp_path / "once")
+    S.ingest_batch(pages.where("doc_id % 3 > 0"), chunk, path, "doc_id", "a-0")
+    S.ingest_batch(pages, chunk, path, "doc_id", "a-1")
+    assert n.value == 30
+    S.ingest_batch(pages, chunk, path, "doc_id", "a-1")
+    assert read_chunks(spark, path).groupBy("doc_id").agg(F.count("*").alias("n")).where("n = 1").count() == 30
