@@ -301,3 +301,24 @@ def test_answers_of_few_cases_are_not_gathered(spark, monkeypatch):
         assert rows() == salted and len(salted) == 61
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tasks_by_query_grow_with_the_pairs(spark, monkeypatch):
+    """Windows by query run in as many tasks as the compared pairs ask for, whatever spark.sql.shuffle.partitions says."""
+    monkeypatch.setattr(R, "TASK_PAIRS", 400)
+    hits = spark.range(60 * 200).select((F.col("id") % 60).alias("query_id"), F.floor(F.col("id") / 60).alias("chunk_id"), (F.col("id") * 7919 % 1009 / 1009).alias("combined_score"))
+    dealt = R.dealt_by_query(hits.withColumn("document_id", F.col("chunk_id") % 5).withColumn("page_number", F.col("chunk_id") % 3), 60 * 200)
+    need = spark.range(60).select(F.col("id").alias("query_id"), F.explode(F.array(F.lit(1), F.lit(2)).cast("array<long>")).alias("document_id")).where("query_id % 2 = 0")
+    balanced, pages = R.balance_documents(dealt, need, 5), R.dedup_pages(R.ranked(dealt, "combined_score"))
+    assert balanced.rdd.getNumPartitions() == pages.rdd.getNumPartitions() == 30
+    rows = {}
+    for r in dealt.collect():
+        rows.setdefault(r.query_id, []).append((-r.combined_score, r.chunk_id, r.document_id, r.page_number))
+    want = set()
+    for q, own in rows.items():
+        own.sort()
+        first = [next(x for x in own if x[2] == d) for d in (1, 2)] if q % 2 == 0 else []
+        want |= {(q, x[1], x in first, i + 1) for i, x in enumerate([*sorted(first), *(x for x in own if x not in first)][:5])}
+    assert {(r.query_id, r.chunk_id, r.reserved, r.place) for r in balanced.collect()} == want
+    best = {(q, x[1], i + 1) for q, own in rows.items() for i, x in enumerate(own) if x[2:] not in {y[2:] for y in own[:i]}}
+    assert {(r.query_id, r.chunk_id, r.place) for r in pages.collect()} == best
