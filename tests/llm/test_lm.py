@@ -158,3 +158,30 @@ def test_no_weight_comes_from_a_sample(spark, monkeypatch):
     code = L.huffman(h, c, max(int((c == 1).sum()), 0))
     want = L.Mixer.ready(code, tables[0], L.first_weights()).mixed([t.encode() for t in texts], train)[1]
     assert all(abs(got[i] - w) < 1e-4 * -w for i, w in enumerate(want.tolist()) if train[i])
+
+
+def test_array_steps_by_plain_python():
+    """Words are found by the first bits of their hash, bits are tallied at once, and log odds come ready for each slot."""
+    L, r = lm_mixing, np.random.default_rng(3)
+    h = r.integers(0, 1 << 64, 3000, dtype=np.uint64)
+    for n in (0, 1, 2, 700, 2999):
+        keys = np.unique(np.append(h[:n], np.uint64(7) if n else h[:0]))
+        at = {int(k): i for i, k in enumerate(keys)}
+        asked = np.append(h, [np.uint64(0), np.uint64(7), np.uint64(2**64 - 1)])
+        assert L.places_of(keys, asked).tolist() == [at.get(int(x), len(keys)) for x in asked]
+    slots, bit = r.integers(0, 16, 500).astype(np.int32), r.integers(0, 2, 500).astype(np.int8)
+    table = np.ones((2, 16), np.int64)
+    L.tally(table, slots, bit)
+    assert table.tolist() == [[1 + sum(s == k and b == x for s, b in zip(slots, bit, strict=True)) for k in range(16)] for x in (1, 0)]
+    counts = [r.integers(0, 3, (2, 1 << w)).astype(np.float16) for _, w in L.ORDERS]
+    ws = [b"a", b"", b"abc", "É".encode()]
+    slots, bit = L.bits(ws)
+    assert "".join(map(str, bit.ravel())) == "".join(f"{x:08b}" for x in b" ".join(ws) + b" ")
+    for left_out in (None, bit.ravel()):
+        got = list(L.inputs_of(L.stretch(counts, left_out is not None), slots, left_out))
+        for i, y in enumerate(bit.ravel().tolist()):
+            kept = [[max(float(c[k][s.ravel()[i]]) - (left_out is not None and y == 1 - k), 0) for k in (0, 1)] for c, s in zip(counts, slots, strict=True)]
+            seen = [min(int(math.log2(a + b + 1)), L.SEEN - 1) for a, b in kept]
+            for o, (cell, odds) in enumerate(got):
+                assert cell[i] == (seen[-1] * len(L.ORDERS) + o) * L.SEEN + seen[o]
+                assert abs(odds[i] - math.log((kept[o][0] + L.DELTA) / (kept[o][1] + L.DELTA))) < 1e-5
