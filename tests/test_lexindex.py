@@ -220,3 +220,19 @@ def test_vector_scores_of_asked_queries_alone(spark, saved, chunks, monkeypatch)
     assert sum(r.vector_score > 0 for r in got) == 2 * 21
     each = [{x.query_id for r in s.select("near").collect() for x in r.near or []} for s in held if "near" in s.columns]
     assert set().union(*each) == {3, 4} and max(map(len, each)) < 3
+
+
+def test_a_segment_holds_no_batch_of_texts(spark, tmp_path):
+    """Until it is full, a segment keeps ids and codes of words: a word that comes again takes four bytes."""
+    import pyarrow as pa
+
+    rows = [(i, f"d{i}", "longwordlongwordlongword " * 200) for i in range(3000)]
+    b = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([tok(r[2]) for r in rows])], names=["chunk_id", "document", "ts"])
+    before, size = pa.total_allocated_bytes(), b.nbytes
+    part = L.Part.of(b.slice(100, 2000))
+    assert pa.total_allocated_bytes() - before < size / 4
+    assert part.ids.to_pylist() == list(range(100, 2100)) and part.documents[0].as_py() == "d100" and part.length.tolist() == [200] * 2000
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    x = L.write_index(chunk_table(spark, rows[:50]), str(tmp_path / "x"), "c", "t", "d")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1024
+    assert x.rows.where("term IS NOT NULL").selectExpr("sum(aggregate(tf, 0, (s, v) -> s + v)) AS n").first().n == 50 * 200
