@@ -185,3 +185,25 @@ def test_array_steps_by_plain_python():
             for o, (cell, odds) in enumerate(got):
                 assert cell[i] == (seen[-1] * len(L.ORDERS) + o) * L.SEEN + seen[o]
                 assert abs(odds[i] - math.log((kept[o][0] + L.DELTA) / (kept[o][1] + L.DELTA))) < 1e-5
+
+
+def test_counts_in_parts_and_lanes(spark, monkeypatch):
+    """Counts of 32 bits are given away before they could overflow and words before too many are held, with the same sums;
+    texts mixed side by side score as each does alone, to the last bit."""
+    L = lm_mixing
+    docs = spark.createDataFrame([(i, f"word{i % 3} of text {i} and the words of it") for i in range(50)], "doc_id long, text string")
+    counts, kinds = [], []
+    code = spark.sparkContext.broadcast(L.huffman(L.tokens_of([b"the of word1 and text"], np.zeros(0, np.uint64)).h[:-1], np.array([9, 8, 5, 4, 3]), 7))
+    for most, held in (((1 << 31) - 1, 1 << 20), (20, 3)):
+        monkeypatch.setattr(L, "MOST_BITS", most)
+        monkeypatch.setattr(L, "KINDS", held)
+        counts.append(L.code_counts(docs, "doc_id", "text", code, 500))
+        kinds.append(sorted((r.h, bytes(r.w), r.c) for r in L.kinds_of_words(docs, "doc_id", "text").collect()))
+    assert all((a == b).all() for a, b in zip(*counts, strict=True)) and counts[0][0].sum() > 0 and kinds[0] == kinds[1]
+    table = np.zeros((2, 4), np.int32)
+    L.tally(table, np.array([1, 1, 3], np.int32), np.array([1, 0, 0], np.int8))
+    assert table.tolist() == [[0, 1, 0, 0], [0, 1, 0, 1]] and table.dtype == np.int32
+    texts = [b"the of word1 " * n for n in (1, 40, 3, 0, 700)]
+    mixer = L.Mixer.ready(code.value, [c.astype(np.float16) for c in counts[0]], L.first_weights())
+    train = np.array([True, False, True, True, False])
+    assert mixer.mixed(texts, train)[1].tolist() == [mixer.mixed([t], train[i : i + 1])[1][0] for i, t in enumerate(texts)]
