@@ -6,6 +6,7 @@ from __future__ import annotations
 import datetime
 import json
 import math
+import os
 import random
 from collections import defaultdict
 
@@ -244,6 +245,34 @@ def test_near_duplicates_in_groups(spark, monkeypatch):
     assert "array_intersect" not in pairs._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_near_duplicates_write_little(spark, monkeypatch):
+    """Sets of all sizes, near copies at every border of sizes and sketches, exact copies; no table of all word sets is written."""
+    r = random.Random(12)
+    rare, common = [f"r{i}" for i in range(60_000)], [f"c{i}" for i in range(700)]
+    sizes = [1, 2, 3, 5, 6, 11, 30, 90, 300, 500, 520, 600, 1000, 1030, 1300]
+    bases = [r.sample(common, n // 2) + r.sample(rare, n - n // 2) for n in sizes for _ in range(8)]
+    texts = [" ".join(b) for b in bases]
+    for b in bases:
+        for share in (0.04, 0.09, 0.1, 0.11, 0.13):  # about the limit of 0.8, as a ninth of the words
+            k = max(1, round(share * len(b)))
+            texts.append(" ".join(b[k:] + r.sample(rare, k)))
+            texts.append(" ".join(b[: -2 * k]))
+    texts += [" ".join(reversed(t.split())).upper() for t in texts[:40]]
+    rows, tables = list(enumerate(texts)), []
+    monkeypatch.setattr(P, "written", lambda df, f=P.written: tables.append(f(df)) or tables[-1])
+    for name, n in (("GROUP_WORDS", 5000), ("LOOKED_AT", 300)):
+        monkeypatch.setattr(P, name, n, raising=False)
+    got = {(x["a"], x["b"]): x["similarity"] for x in P.near_duplicates(spark.createDataFrame(rows, "id long, t string").repartition(4), "t", "id")[0].collect()}
+    first, sets = {}, {i: frozenset(t.lower().split(" ")) for i, t in rows}
+    for i in sets:
+        first.setdefault(sets[i], i)
+    classes = [(i, s) for s, i in first.items()]
+    near = [(a, b, len(x & y) / len(x | y)) for a, x in classes for b, y in classes if a < b and 0.8 * max(len(x), len(y)) <= min(len(x), len(y))]
+    assert got == {(a, b): v for a, b, v in near if v > 0.8} and len(got) > 800
+    written = sum(os.path.getsize(f.removeprefix("file://").removeprefix("file:")) for t in tables for f in t.inputFiles())
+    assert written < sum(map(len, texts)) / 8 and not any(k.startswith("array") for t in tables for _, k in t.dtypes)
+
+
 def test_postings_without_shuffle(spark, monkeypatch):
     from quillspark.operators import search as R
 
