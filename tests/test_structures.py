@@ -273,7 +273,8 @@ def test_near_duplicates_write_little(spark, monkeypatch):
     assert written < sum(map(len, texts)) / 8 and not any(k.startswith("array") for t in tables for _, k in t.dtypes)
 
 
-def test_near_classes_count_links_of_copies(spark, monkeypatch):
+@pytest.mark.parametrize("exact", [True, False])
+def test_near_classes_count_links_of_copies(spark, monkeypatch, exact):
     """Exact copies take their class's links; no word set is written on the way."""
     r = random.Random(3)
     base = [f"w{i}" for i in range(90)]
@@ -281,7 +282,7 @@ def test_near_classes_count_links_of_copies(spark, monkeypatch):
     rows = list(enumerate([*texts, *(t.upper() for t in r.sample(texts, 5)), "", None, "alone"]))
     tables = []
     monkeypatch.setattr(P, "written", lambda df, f=P.written: tables.append(f(df)) or tables[-1])
-    got = {x["id"]: (x["class_id"], x["links"]) for x in P.near_classes(spark.createDataFrame(rows, "id long, t string").repartition(3), "t", "id").collect()}
+    got = {x["id"]: (x["class_id"], x["links"]) for x in P.near_classes(spark.createDataFrame(rows, "id long, t string").repartition(3), "t", "id", exact=exact).collect()}
     first = {}
     for i, t in rows:
         first.setdefault((t or "").lower(), i)
